@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, near_dups, secrets
+from graphloom.llm import bpe, decontaminate, licenses, near_dups, secrets, warc
 from graphloom.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -62,9 +63,62 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, stated or inherited; a document's path is source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.withColumn("path", path), keep=("doc_id",))
+
+
+def _op8_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in licenses.STOP)
+    listed = ", ".join(f"('{name}', '{words.lower()}')" for name, words in licenses.TEMPLATES.items())
+    tokens = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {listed}) AS v(template, words)),
+tw AS (SELECT template, word, count(*) AS tf FROM (SELECT template, unnest({tokens.format("words")}) AS word FROM t) WHERE word NOT IN ({stop}) GROUP BY ALL),
+voc AS (SELECT DISTINCT word FROM tw),
+f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'), CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown')) AS dir, coalesce(source, 'unknown') AS top, coalesce(text, '') AS text FROM documents),
+df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT path, unnest({tokens.format("text")}) AS word FROM f) WHERE word IN (SELECT word FROM voc) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (word)),
+tm AS (SELECT template, word, tf * idf AS weight FROM tw JOIN idf USING (word)),
+tn AS (SELECT template, sqrt(sum(weight * weight)) AS norm FROM tm GROUP BY template),
+lines AS (SELECT path, line, said, len({tokens.format("text")}) AS words FROM (SELECT path, text, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f) WHERE regexp_matches(lower(said), '{licenses.CANDIDATE}')),
+lw AS (SELECT path, line, word, count(*) AS tf FROM (SELECT path, line, unnest({tokens.format("said")}) AS word FROM lines) WHERE word IN (SELECT word FROM voc) GROUP BY ALL),
+lv AS (SELECT path, line, word, tf * idf AS weight FROM lw JOIN idf USING (word)),
+ln_ AS (SELECT path, line, sqrt(sum(weight * weight)) AS norm FROM lv GROUP BY ALL),
+sc AS (SELECT path, line, template, round(sum(lv.weight * tm.weight) / (any_value(ln_.norm) * any_value(tn.norm)), 9) AS score FROM lv JOIN tm USING (word) JOIN ln_ USING (path, line) JOIN tn USING (template) GROUP BY ALL),
+best AS (SELECT path, line, max(score) AS score, arg_min(template, (-score, template)) AS template FROM sc WHERE score >= {licenses.THRESHOLD} GROUP BY ALL),
+own AS (SELECT path, max(score) AS score, arg_min(template, (-score, template)) AS licence, sum(len({tokens.format("said")})) >= {licenses.FILE_SHARE} * max(words) AS is_file FROM best JOIN lines USING (path, line) GROUP BY path),
+given AS (SELECT dir, max(score) AS score, arg_min(own.path, (-score, own.path)) AS path, arg_min(licence, (-score, own.path)) AS licence FROM own JOIN f USING (path) WHERE is_file GROUP BY dir)
+SELECT doc_id, f.path, coalesce(own.licence, given.licence) AS licence, coalesce(own.score, given.score) AS score,
+CASE WHEN own.licence IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN given.licence IS NOT NULL THEN 'inherited' END AS found,
+CASE WHEN own.licence IS NOT NULL THEN f.path ELSE given.path END AS from_path
+FROM f LEFT JOIN own USING (path) LEFT JOIN given ON given.dir = f.dir
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC records, with revisits, and reads the archive back."""
+    folder = warc.archive_folder(spark)
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, manifest, folder, payloads=False)
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS b FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(b, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(b, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(b, i * 5 + 3, 1) AS INT) + 2 * CAST(substr(b, i * 5 + 4, 1) AS INT) + CAST(substr(b, i * 5 + 5, 1) AS INT), 1)), '') AS payload_digest FROM h),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op4_secrets": op4_secrets, "op7_near_dups": op7_near_dups, "op9_byte_bpe": op9_byte_bpe}
+    return {"op2_decontaminate": op2_decontaminate, "op4_secrets": op4_secrets, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op7_near_dups": OP7_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
