@@ -2,12 +2,14 @@
 
 Documents with equal shingle sets form a class; only one row per class goes on. A class has REGISTERS
 registers, floor(1 - log_b(min x)) with x ~ Exp(RATE) per shingle, cut off to 16 bits. BANDS bands of
-register values give buckets. A bucket never expands into all its pairs: its members are compared with
-pivots, and only across components that aren't connected yet. A pivot whose links in a bucket are all
-tested leaves the bucket; the number of pivots doubles each round, and the rounds end when every bucket
-holds one component or less than two members. So every pair of a bucket is either tested or already
-connected. Candidates get a joint maximum-likelihood estimate of their similarity from the registers;
-those that can still reach the threshold are verified on the full sets.
+register values give buckets. A bucket never expands into all its pairs: in ROUNDS rounds its members
+are compared with one pivot, then two, and only across components that aren't connected yet; a pivot
+whose links in a bucket are all tested leaves it. What buckets with several components still hold (copies
+edited too much to link with a pivot) meets in an exact prefix join: shingles ordered by their frequency
+in these sets, rare ones first, prefixes and positions bounded by the threshold. So every pair of a
+bucket is tested, excluded by a bound, or already connected. Candidates get a joint maximum-likelihood
+estimate of their similarity from the registers; those that can still reach the threshold are verified
+on the full sets.
 
 At the threshold of 0.75 a pair shares no band with probability (1 - 0.75^3)^32 < 3e-8.
 
@@ -39,6 +41,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 MARGIN = 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Rows of ids that may be broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Rounds with pivots before the prefix join, and shingles whose frequency orders its prefixes.
+ROUNDS, COMMON = 2, 1_000_000
 #: Words hashed once per worker before the memo starts anew.
 MEMO = 500_000
 #: Shingles sketched together.
@@ -170,13 +174,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs that link, compared on full sets made anew from the texts."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "doc", "digest"), "cid"))
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(cid, set) of the classes in ids (cid, doc, digest), made anew from their texts."""
     few = ids.count() <= BROADCAST_IDS
     picked = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).join(F.broadcast(ids) if few else ids, "doc")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -184,8 +187,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
                 same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(found, part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["cid", "set"]).filter(pa.array(same))
 
-    full = picked.select("cid", "t", "digest").mapInArrow(sets, "cid long, set binary")
-    full = full.groupBy("cid").agg(F.first("set").alias("set"))  # an id may be repeated with the same text
+    full = picked.select("cid", "t", "digest").mapInArrow(run, "cid long, set binary")
+    return full.groupBy("cid").agg(F.first("set").alias("set"))  # an id may be repeated with the same text
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs that link, compared on full sets."""
     num, den = threshold
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +204,61 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of the sets with their counts, at most COMMON of them, by shingle.
+
+    They only order the prefixes: any order gives whole results, so the bound loses nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                flat = np.frombuffer(b"".join(batch.column(0).slice(at, 500).to_pylist()), np.int64)
+                token, count = np.unique(flat, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count)], names=["token", "count"])
+
+    counts = sets.select("set").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    found = counts.where(F.col("count") >= 4).orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
+    order = np.argsort(found["token"].to_numpy().astype(np.uint64))
+    return found["token"].to_numpy().astype(np.uint64)[order], found["count"].to_numpy().astype(np.int64)[order]
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that pass the prefix, size and position bounds."""
+    common = sets.sparkSession.sparkContext.broadcast(_common(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = common.value
+        for batch in batches:
+            cid, size, place, token = [], [], [], []
+            for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(s, np.uint64)
+                n = len(s)
+                weight = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.searchsorted(known, s).clip(0, len(known) - 1)
+                    weight = np.where(known[at] == s, count[at], 0)
+                prefix = s[np.lexsort((s, weight))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+                cid.append(np.full(len(prefix), c))
+                size.append(np.full(len(prefix), n))
+                place.append(np.arange(len(prefix)))
+                token.append(prefix.astype(np.int64))
+            if cid:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cid, size, place)], names=["token", "cid", "size", "place"])
+
+    rows = written(sets.select("cid", "set").mapInArrow(run, "token long, cid long, size long, place long").join(labels, "cid"), "prefixes")
+    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cid", "size", "place", "label")])
+    b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cid", "size", "place", "label")])
+    shared = F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("cid_a") < F.col("cid_b")))
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    bound = smaller & (F.col("label_a") != F.col("label_b")) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (left >= shared)
+    pairs = a.join(b, (a["token"] == b["token"]) & bound)
+    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,28 +290,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     members = written(bands.join(crowded, "key"), "members")
     mass = cut_lineage(members.groupBy("cid").agg(F.sum("many").alias("mass")))
     state = mass.withColumn("label", F.col("cid"))
-    links, found, pivots = None, None, 1
-    while True:
+    links, found = None, None
+    for pivots in range(1, ROUNDS + 2):
         active = members.join(state, "cid").select("key", "cid", "label", "mass")
         open_ = active.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         active = written(active.join(open_, "key"), "active")
         if active.isEmpty():
             break
-        # the most central members go first: they share more buckets with the others
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "cid"))
-        chosen = written(active.withColumn("place", place).where(F.col("place") <= pivots).select("key", "cid", "label"), "pivots")
-        pairs = chosen.select("key", F.col("cid").alias("p"), F.col("label").alias("p_label")).join(active, "key").where("p <> cid and p_label <> label")
-        pairs = cut_lineage(pairs.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
-        near = cut_lineage(_plausible(pairs, classes, least))
-        new = _verified(near, classes, docs, key, text, threshold)
+        if pivots <= ROUNDS:
+            # the most central members go first: they share more buckets with the others
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "cid"))
+            chosen = written(active.withColumn("place", place).where(F.col("place") <= pivots).select("key", "cid", "label"), "pivots")
+            pairs = chosen.select("key", F.col("cid").alias("p"), F.col("label").alias("p_label")).join(active, "key").where("p <> cid and p_label <> label")
+            pairs = cut_lineage(pairs.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
+            members = active.select("key", "cid").join(chosen.select("key", "cid"), ["key", "cid"], "left_anti")
+            near = cut_lineage(_plausible(pairs, classes, least))
+            sets = _sets(_ids(near.select(F.explode(F.array("a", "b")).alias("cid")), classes), docs, key, text)
+        else:
+            sets = written(_sets(_ids(active.select("cid"), classes), docs, key, text), "sets")
+            near = cut_lineage(_plausible(cut_lineage(_prefix_pairs(sets, state.select("cid", "label"), least)), classes, least))
+        new = _verified(near, sets, threshold)
         links = cut_lineage(new if links is None else links.unionByName(new))
         found = components(links)
         state = cut_lineage(mass.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
-        members = active.select("key", "cid").join(chosen.select("key", "cid"), ["key", "cid"], "left_anti")
-        pivots *= 2
     return _result(sketches, classes, found, key)
 
 
+def _ids(cids: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, doc, digest) of the distinct classes in a column of cids."""
+    return cut_lineage(cids.distinct().join(classes.select("cid", "doc", "digest"), "cid"))
+
+
 def _result(sketches: DataFrame, classes: DataFrame, found: DataFrame | None, key: str) -> DataFrame:
     """Component ids of all rows; only classes with copies or links are joined."""
     grouped = classes.where("copies > 1").select("digest", F.col("doc").alias("component"))
