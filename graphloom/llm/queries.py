@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, licenses, near_dups, secrets, warc
+from graphloom.llm import bpe, decontaminate, licenses, near_dups, quality, secrets, toxicity, warc
+from graphloom.llm.sampling import fold
 from graphloom.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -116,8 +117,24 @@ FROM d JOIN f USING (payload_digest)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows of fold 0 of 5 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    scored = quality.score(docs, labels, fold("doc_id", 5) != 0, ["doc_id", held_out])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows of fold 1 of 3 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    scored = toxicity.score(docs, labels, fold("doc_id", 3) != 1, ["doc_id", held_out])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op4_secrets": op4_secrets, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
+    return {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
