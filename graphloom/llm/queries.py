@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, licenses, near_dups, quality, secrets, toxicity, warc
+from graphloom.llm import bpe, decontaminate, licenses, near_dups, quality, secrets, toxicity, vptree, warc
 from graphloom.llm.sampling import fold
 from graphloom.session import table
 
@@ -133,9 +133,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows, by cosine, of every row whose vec_id is divisible by 50."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
+    return {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_neighbours": op5_neighbours, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op5_neighbours": OP5_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
