@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, licenses, near_dups, quality, secrets, toxicity, vptree, warc
+from graphloom.llm import bpe, decontaminate, language_model, licenses, near_dups, quality, secrets, toxicity, vptree, warc
 from graphloom.llm.sampling import fold
 from graphloom.session import table
 
@@ -146,9 +146,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document under the recurrent model; rows of fold 2 of 7 are held out."""
+    return language_model.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_neighbours": op5_neighbours, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
+    return {"op1_language_model": op1_language_model, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_neighbours": op5_neighbours, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op5_neighbours": OP5_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
+    return {"op1_language_model": op1_language_model, "op2_decontaminate": OP2_SQL, "op5_neighbours": OP5_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
