@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.sampling import labelled
+from graphloom.llm.sampling import fitted
 
 #: Bounds of the labelled sample: rows of either label, characters of a row.
 ROWS_PER_CLASS, MAX_CHARS = 1800, 12_000
@@ -169,7 +169,7 @@ def fit(sample: list[tuple[str, int]]) -> dict[str, np.ndarray]:
 def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[Column | str], text: str = "text", label: str = "quality", key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Columns of `keep`, then `score`: a narrow transformation after the fit on the bounded sample."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(labelled(docs, labels, label, train, rows_per_class, max_chars, key, text)))
+    shared = spark.sparkContext.broadcast(fitted(docs, labels, label, train, fit, rows_per_class, max_chars, key, text))
     rows = docs.select(*keep)
     n = len(rows.columns)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])

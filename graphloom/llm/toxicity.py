@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.sampling import labelled
+from graphloom.llm.sampling import fitted
 
 #: Bounds of the labelled sample: rows of either label, characters of a row.
-ROWS_PER_CLASS, MAX_CHARS = 3000, 40_000
+ROWS_PER_CLASS, MAX_CHARS = 3000, 20_000
 #: Most induced voters, least toxic texts and least share of toxic texts among those that a voter hits.
 VOTERS, LEAST_HITS, LEAST_PRECISION = 300, 10, 0.95
 #: Correlation within a class from which voters share their weight.
@@ -130,15 +130,14 @@ def fit_linear(words: list[set[bytes]], target: np.ndarray) -> tuple[np.ndarray,
     a long clean text add nothing and those of a long toxic text hide nothing.
     """
     memo: dict[bytes, list[int]] = {}
-    rows, slots = [], []
+    parts = []
     for ws in words:
         for w in ws:
             if w not in memo:
                 memo[w] = [slot(f) for f in _features(w)]
-            slots += memo[w]
-        rows.append(len(slots))
-    slots = np.array(slots, np.int64)
-    row = np.repeat(np.arange(len(words)), np.diff([0, *rows]))
+        parts.append(np.array([k for w in ws for k in memo[w]], np.int64))
+    slots = np.concatenate(parts)
+    row = np.repeat(np.arange(len(words)), [len(x) for x in parts])
     one, two = np.unique(row << BITS | slots), target.sum()
     yes = np.bincount(one & ((1 << BITS) - 1), target[one >> BITS], 1 << BITS)
     no = np.bincount(one & ((1 << BITS) - 1), (1 - target)[one >> BITS], 1 << BITS)
@@ -201,7 +200,7 @@ class Scorer:
 def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[Column | str], text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Columns of `keep`, then `score`: a narrow transformation after the fit on the bounded sample."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(labelled(docs, labels, label, train, rows_per_class, max_chars, key, text)))
+    shared = spark.sparkContext.broadcast(fitted(docs, labels, label, train, fit, rows_per_class, max_chars, key, text))
     rows = docs.select(*keep)
     n = len(rows.columns)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
