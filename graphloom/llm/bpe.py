@@ -23,12 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import map_texts, pieces
+
 #: Piece length in bytes from which block minima replace the padded matrix.
 LONG = 1024
 #: Width of a block of minima.
 BLOCK = 512
 #: Distinct pieces kept per worker before the cache starts anew (memory only, results don't depend on it).
-CACHE = 400_000
+CACHE = 250_000
 #: Bytes of matrix cells handled at once.
 MATRIX_CELLS = 1_000_000
 NONE = np.int32(2**31 - 1)
@@ -225,22 +227,6 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-#: Characters of text that are encoded together.
-SLICE = 2_000_000
-
-
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about SLICE characters each, one row at least."""
-    begin, chars = 0, 0
-    for i, text in enumerate(texts):
-        chars += len(text)
-        if chars >= SLICE:
-            yield begin, i + 1
-            begin, chars = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text", digests: bool = False) -> DataFrame:
     """Encodes and decodes every text; a narrow transformation without a shuffle.
 
@@ -250,25 +236,20 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    kept = docs.select(*keep).schema.fields
-    fields = [*kept, T.StructField("n_tokens", T.LongType())]
+    fields = [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
-    n = len(kept)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], n: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(n).to_pylist()]
-            for begin, end in slices(texts):
+            for part in pieces(batch, n):
                 counts, first, second = [], [], []
-                for ids in c.encode(texts[begin:end]):
+                for ids in c.encode([x or "" for x in part.column(n).to_pylist()]):
                     counts.append(len(ids))
                     decoded = c.decode(ids)
                     first.append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids.astype(np.int32))
                     second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
-                arrays = [batch.column(k).slice(begin, end - begin) for k in range(n)]
                 kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-                arrays += [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=names)
 
-    return docs.select(*keep, text).mapInArrow(run, T.StructType(fields))
+    return map_texts(docs, keep, text, fields, run)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import pieces
+
 ITEM_WINDOW = 10
 #: Words of a shingle; windows with fewer words are one shingle.
 SHINGLE = 3
@@ -163,7 +165,7 @@ def _rarity(docs: DataFrame, text: str, block, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros(n, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 0)):
             for _, texts in _groups(batch.column(0).to_pylist()):
                 block.value.count(block.value.ids(texts)[0], into)
         there = np.flatnonzero(into)
@@ -192,13 +194,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     state = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names, strict=True)], F.col(text).alias("t"), F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
 
     carried = T.StructType([*fields, T.StructField("t", T.StringType()), *_STATE.fields])
-    final = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+    final = T.StructType([*fields, *made])
 
     def step(shared, last: bool):
         schema = final if last else carried
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, n)):
                 hits, items, sizes = batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), []
                 for first, texts in _groups(batch.column(n).to_pylist()):
                     sizes += map(len, texts)
@@ -222,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
         block.order(_rarity(docs, text, shared, len(block.shingles)))
         shared.unpersist()
         waiting = spark.sparkContext.broadcast(block)
-    return state.mapInArrow(*step(waiting, True))
+    return state.mapInArrow(*step(waiting, True)).toDF(*keep, *[f.name for f in made])
 
 
 def _add_hits(block: Block, texts: list[list[bytes]], first: int, hits: list, items: list) -> None:

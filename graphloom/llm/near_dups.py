@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import pieces
 from graphloom.session import cut_lineage, written
 
 WORDS = 5
@@ -43,8 +44,8 @@ MARGIN = 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
 BROADCAST_IDS = 500_000
 #: Rounds with pivots before the prefix join, and shingles whose frequency orders its prefixes.
 ROUNDS, COMMON = 2, 1_000_000
-#: Words hashed once per worker before the memo starts anew.
-MEMO = 500_000
+#: Words hashed once per task before the memo starts anew.
+MEMO = 200_000
 #: Shingles sketched together.
 FLAT = 400_000
 
@@ -62,8 +63,6 @@ class _Memo(dict):
         return value
 
 
-_MEMO = _Memo()
-
 
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, lower-cased in A-Z."""
@@ -76,12 +75,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, memo: _Memo) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text."""
     ws = words(text)
     if len(ws) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), len(ws))] if ws else [], np.uint64)
-    h = np.fromiter(map(_MEMO.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
     n = len(h) - WORDS + 1
     return np.unique(_mixed(sum(h[k : k + n] * _PLACES[k] for k in range(WORDS))))
 
@@ -125,13 +124,14 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, n, digest (16 bytes, null without words) and registers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        memo = _Memo()
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             texts = batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
                 sets, total, begin = [], 0, at
                 while at < len(texts) and total < FLAT:
-                    sets.append(shingles(texts[at]))
+                    sets.append(shingles(texts[at], memo))
                     total += len(sets[-1])
                     at += 1
                 full = [s for s in sets if len(s)]
@@ -180,10 +180,10 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     picked = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).join(F.broadcast(ids) if few else ids, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [s.tobytes() for s in map(shingles, part.column(1).to_pylist())]
+            for part in pieces(batch, 1):
+                found = [shingles(t, memo).tobytes() for t in part.column(1).to_pylist()]
                 same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(found, part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["cid", "set"]).filter(pa.array(same))
 

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import map_texts, pieces
 from graphloom.llm.sampling import fitted
 
 #: Bounds of the labelled sample: rows of either label, characters of a row.
@@ -83,23 +83,21 @@ class Network:
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         owner = np.repeat(np.arange(len(texts)), count)
         size = np.concatenate(sizes).astype(np.float64)
-        flat: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        total = 0
+        # always as many chunks at once, so that a chunk's rounding doesn't depend on its neighbours
+        flat, held, filled = [], np.zeros((TOGETHER, CHUNK), np.uint8), 0
         for part in parts:
-            for k in range(0, len(part), TOGETHER):
-                held.append(part[k : k + TOGETHER])
-                total += len(held[-1])
-                if total >= TOGETHER:
-                    flat.append(self._chunk_logits(held))
-                    held, total = [], 0
-        if held:
-            flat.append(self._chunk_logits(held))
+            at = 0
+            while at < len(part):
+                some = part[at : at + TOGETHER - filled]
+                held[filled : filled + len(some)] = some
+                at, filled = at + len(some), filled + len(some)
+                if filled == TOGETHER:
+                    flat.append(self.head(self.pooled(held)[2])[1])
+                    filled = 0
+        if filled:
+            flat.append(self.head(self.pooled(held)[2])[1][:filled])
         return np.bincount(owner, np.concatenate(flat) * size, len(texts)) / np.bincount(owner, size, len(texts))
 
-    def _chunk_logits(self, held: list[np.ndarray]) -> np.ndarray:
-        return self.head(self.pooled(np.concatenate(held))[2])[1]
-
     def gradients(self, texts: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross-entropy over some documents."""
         p = self.p
@@ -170,18 +168,14 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[Column |
     """Columns of `keep`, then `score`: a narrow transformation after the fit on the bounded sample."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fitted(docs, labels, label, train, fit, rows_per_class, max_chars, key, text))
-    rows = docs.select(*keep)
-    n = len(rows.columns)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], n: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         network = Network()
         network.p = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, n):
                 logit = network.logits(part.column(n).to_pylist())
                 found = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(found.astype(np.float64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(found.astype(np.float64))], names=names)
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return map_texts(docs, keep, text, [T.StructField("score", T.DoubleType())], run)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import map_texts, pieces
+
 #: The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -111,20 +113,18 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     A narrow transformation: no shuffle, one text in memory at a time beside its Arrow batch.
     """
-    kept = docs.select(*keep).schema.fields
-    n = len(kept)
-    schema = T.StructType([*kept, T.StructField("spans", SPAN), T.StructField("redacted", T.StringType())])
+    fields = [T.StructField("spans", SPAN), T.StructField("redacted", T.StringType())]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch], n: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces(whole, n)):
             texts = batch.column(n).to_pylist()
             found = [spans(x or "") for x in texts]
             clean = [x if not s else redacted(x, s) for x, s in zip(texts, found, strict=True)]
             rows = pa.array([[{"kind": k, "start": b, "end": e} for k, b, e in s] for s in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], rows, pa.array(clean, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], rows, pa.array(clean, pa.string())], names=names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return map_texts(docs, keep, text, fields, run)
 
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:

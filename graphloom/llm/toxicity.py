@@ -14,28 +14,31 @@ columns asked for, so extra columns may have any name; an empty table gives an e
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.carry import map_texts, pieces
 from graphloom.llm.sampling import fitted
 
 #: Bounds of the labelled sample: rows of either label, characters of a row.
 ROWS_PER_CLASS, MAX_CHARS = 3000, 20_000
 #: Most induced voters, least toxic texts and least share of toxic texts among those that a voter hits.
-VOTERS, LEAST_HITS, LEAST_PRECISION = 300, 10, 0.95
+VOTERS, LEAST_HITS, LEAST_PRECISION = 300, 6, 0.95
+#: Share of the sample up to which a feature is rare, and may tell near copies.
+RARE = 0.01
 #: Correlation within a class from which voters share their weight.
 CORRELATED = 0.5
 BITS = 18
+#: Words whose features are kept per worker before they start anew (memory only).
+MEMO = 200_000
 BEGINNINGS = (4, 5, 6)
 PRIOR = 0.1
-STEPS, RATE, RIDGE = 300, 0.2, 2e-5
+STEPS, RATE, RIDGE = 1000, 0.1, 1e-6
 #: Standard deviations by which a feature must be more frequent in toxic texts to get a weight.
 SIGNIFICANT = 6.0
 
@@ -55,6 +58,20 @@ def _features(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
+def slot(feature: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
+
+
+class _Slots(dict):
+    """Feature slots of a word."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = found = [slot(f) for f in _features(word)]
+        return found
+
+
 def patterns(text: str, lexicon_hits: int) -> list[bool]:
     """Votes of the pattern voters."""
     letters = sum(c.isalpha() for c in text) or 1
@@ -62,29 +79,50 @@ def patterns(text: str, lexicon_hits: int) -> list[bool]:
     return [lexicon_hits >= 2, text.count("!") >= 3 and upper > 0.5 * letters, lexicon_hits == 0]
 
 
-def induce(texts: list[set[bytes]], labels: np.ndarray) -> list[bytes]:
-    """Features that hit toxic texts mostly, by log-likelihood gain."""
-    hits = [Counter(), Counter()]
-    for words, y in zip(texts, labels, strict=True):
-        hits[y].update({f for w in words for f in _features(w)})
-    n = np.bincount(labels, minlength=2)
-    scored = []
-    for feature, one in hits[1].items():
-        zero = hits[0][feature]
-        p, q = one / n[1], zero / n[0]  # classes are sampled at different rates
-        if one >= LEAST_HITS and p / (p + q) >= LEAST_PRECISION:
-            scored.append((-(one * np.log((p + 1e-9) / (p + q)) + one * np.log(2)), feature))
-    return [f for _, f in sorted(scored)[:VOTERS]]
-
-
-def votes(texts: list[str], words: list[set[bytes]], lexicon: list[bytes]) -> np.ndarray:
-    """One row per text, one 0/1 column per voter; columns that never or always fire are all the same."""
-    place = {f: i for i, f in enumerate(lexicon)}
+def independent(slots: list[np.ndarray]) -> np.ndarray:
+    """Weight of each text: near copies, which share their least rare feature, count as one text."""
+    df = np.zeros(1 << BITS, np.int64)
+    for found in slots:
+        df[np.unique(found)] += 1
+    order = np.arange(1 << BITS, dtype=np.uint32) * np.uint32(2654435761)
+    rare = df <= max(2, RARE * len(slots))
+    keys = []
+    for k, found in enumerate(slots):
+        few = found[rare[found]]
+        keys.append(int(few[order[few].argmin()]) if len(few) else -1 - k)
+    _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
+    return 1 / size[group]
+
+
+def induce(texts: list[str], slots: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> list[bytes]:
+    """Features that hit toxic texts mostly, by log-likelihood gain; counted by slot, then named."""
+    hits = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+    for found, y, w in zip(slots, labels, weight, strict=True):
+        hits[y][np.unique(found)] += w
+    n = np.bincount(labels, weight, minlength=2)
+    p, q = hits[1] / n[1], hits[0] / n[0]  # classes are sampled at different rates
+    share = p / np.maximum(p + q, 1e-12)
+    good = np.flatnonzero((hits[1] >= LEAST_HITS) & (share >= LEAST_PRECISION))
+    gain = hits[1][good] * (np.log(share[good]) + np.log(2))
+    best = good[np.lexsort((good, -gain))[:VOTERS]]
+    rank = {int(s): k for k, s in enumerate(best)}
+    names: dict[int, bytes] = {}
+    for text, found, y in zip(texts, slots, labels, strict=True):
+        if y and len(names) < len(rank) and not rank.keys().isdisjoint(found.tolist()):
+            for f in (f for w in sorted(distinct_words(text)) for f in _features(w)):
+                if slot(f) in rank:
+                    names.setdefault(slot(f), f)
+    return [names[s] for s in rank if s in names]
+
+
+def votes(texts: list[str], lexicon: list[bytes], memo: _Slots) -> np.ndarray:
+    """One row per text, one 0/1 column per voter."""
+    place = {slot(f): i for i, f in enumerate(lexicon)}
     out = np.zeros((len(texts), len(lexicon) + 3), np.float32)
-    for k, (text, ws) in enumerate(zip(texts, words, strict=True)):
-        fired = {place[f] for w in ws for f in _features(w) if f in place}
-        out[k, list(fired)] = 1
-        out[k, len(lexicon) :] = patterns(text, sum(any(f in place for f in _features(w)) for w in ws))
+    for k, text in enumerate(texts):
+        fired = [[place[s] for s in memo[w] if s in place] for w in distinct_words(text)]
+        out[k, [i for some in fired for i in some]] = 1
+        out[k, len(lexicon) :] = patterns(text, sum(map(bool, fired)))
     return out
 
 
@@ -119,37 +157,25 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def slot(feature: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
-
-
-def fit_linear(words: list[set[bytes]], target: np.ndarray) -> tuple[np.ndarray, float]:
+def fit_linear(parts: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Non-negative logistic weights of hashed features and the intercept, by full-batch projected Adam.
 
     Only features that toxic texts have significantly more often get a weight, so that the many words of
     a long clean text add nothing and those of a long toxic text hide nothing.
     """
-    memo: dict[bytes, list[int]] = {}
-    parts = []
-    for ws in words:
-        for w in ws:
-            if w not in memo:
-                memo[w] = [slot(f) for f in _features(w)]
-        parts.append(np.array([k for w in ws for k in memo[w]], np.int64))
-    slots = np.concatenate(parts)
-    row = np.repeat(np.arange(len(words)), [len(x) for x in parts])
-    one, two = np.unique(row << BITS | slots), target.sum()
-    yes = np.bincount(one & ((1 << BITS) - 1), target[one >> BITS], 1 << BITS)
-    no = np.bincount(one & ((1 << BITS) - 1), (1 - target)[one >> BITS], 1 << BITS)
-    rest = len(target) - two
-    p, q, both = yes / two, no / rest, (yes + no) / len(target)
-    used = np.flatnonzero((p - q) > SIGNIFICANT * np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / two + 1 / rest)))
+    slots = np.concatenate(parts).astype(np.int64)
+    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    one, two, rest = np.unique(row << BITS | slots), float(target @ weight), float((1 - target) @ weight)
+    yes = np.bincount(one & ((1 << BITS) - 1), (target * weight)[one >> BITS], 1 << BITS)
+    no = np.bincount(one & ((1 << BITS) - 1), ((1 - target) * weight)[one >> BITS], 1 << BITS)
+    p, q, both = yes / two, no / rest, (yes + no) / (two + rest)
+    used = np.flatnonzero((p >= LEAST_PRECISION * (p + q)) & ((p - q) > SIGNIFICANT * np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / two + 1 / rest))))
     kept = np.isin(slots, used)
     row, slots = row[kept], np.searchsorted(used, slots[kept])
     w, bias = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        logit = np.bincount(row, w[slots], len(words)) + bias
+        logit = np.bincount(row, w[slots], len(parts)) + bias
         gap = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target) / len(target)
         grad, grad_b = np.bincount(slots, gap[row], len(used)) + RIDGE * w, gap.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -166,15 +192,15 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     y = np.array([label for _, label in sample], np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), float(np.log(PRIOR / (1 - PRIOR)))
-    texts = [t for t, _ in sample]
-    words = list(map(distinct_words, texts))
-    induced = induce(words, y)
-    lexicon = list(dict.fromkeys([*induced, *(w.encode() for w in INSULTS)]))
-    fired = votes(texts, words, lexicon)
+    texts, memo = [t for t, _ in sample], _Slots()
+    parts = [np.array([s for w in distinct_words(t) for s in memo[w]], np.int32) for t in texts]
+    weight = independent(parts)
+    lexicon = list(dict.fromkeys([*induce(texts, parts, y, weight), *(w.encode() for w in INSULTS)]))
+    fired = votes(texts, lexicon, memo)
     moving = (fired.sum(0) >= 3) & (fired.sum(0) <= len(fired) - 3)
     model = LabelModel().fit(fired[:, moving], start=(fired[:, :-1].sum(1) > 0) * 0.9 + 0.05)
     posterior = model.posterior(fired[:, moving])
-    return fit_linear(words, posterior)
+    return fit_linear(parts, posterior, weight)
 
 
 class Scorer:
@@ -185,7 +211,7 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         memo, weights = self.memo, self.weights
-        if len(memo) > 500_000:
+        if len(memo) > MEMO:
             memo.clear()
         logits = []
         for text in texts:
@@ -201,14 +227,11 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, keep: list[Column |
     """Columns of `keep`, then `score`: a narrow transformation after the fit on the bounded sample."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fitted(docs, labels, label, train, fit, rows_per_class, max_chars, key, text))
-    rows = docs.select(*keep)
-    n = len(rows.columns)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], n: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, n)):
             found = scorer(batch.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.asarray(found, np.float64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.asarray(found, np.float64))], names=names)
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return map_texts(docs, keep, text, [T.StructField("score", T.DoubleType())], run)
