@@ -33,7 +33,6 @@ VOTERS, LEAST_HITS, LEAST_PRECISION = 300, 6, 0.95
 RARE = 0.01
 #: Correlation within a class from which voters share their weight.
 CORRELATED = 0.5
-BITS = 18
 #: Words whose features are kept per worker before they start anew (memory only).
 MEMO = 200_000
 BEGINNINGS = (4, 5, 6)
@@ -59,7 +58,8 @@ def _features(word: bytes) -> list[bytes]:
 
 
 def slot(feature: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
+    """A feature's 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(feature)
 
 
 class _Slots(dict):
@@ -79,24 +79,26 @@ def patterns(text: str, lexicon_hits: int) -> list[bool]:
     return [lexicon_hits >= 2, text.count("!") >= 3 and upper > 0.5 * letters, lexicon_hits == 0]
 
 
-def independent(slots: list[np.ndarray]) -> np.ndarray:
-    """Weight of each text: near copies, which share their least rare feature, count as one text."""
-    df = np.zeros(1 << BITS, np.int64)
+def independent(slots: list[np.ndarray], size: int) -> np.ndarray:
+    """Weight of each text: near copies, which share their least rare feature, count as one text.
+
+    slots are places in the sorted hashes of `size` features, so the least one is a random one.
+    """
+    df = np.zeros(size, np.int64)
     for found in slots:
         df[np.unique(found)] += 1
-    order = np.arange(1 << BITS, dtype=np.uint32) * np.uint32(2654435761)
     rare = df <= max(2, RARE * len(slots))
     keys = []
     for k, found in enumerate(slots):
         few = found[rare[found]]
-        keys.append(int(few[order[few].argmin()]) if len(few) else -1 - k)
+        keys.append(int(few.min()) if len(few) else -1 - k)
     _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
     return 1 / size[group]
 
 
-def induce(texts: list[str], slots: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> list[bytes]:
-    """Features that hit toxic texts mostly, by log-likelihood gain; counted by slot, then named."""
-    hits = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
+def induce(texts: list[str], slots: list[np.ndarray], known: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> list[bytes]:
+    """Features that hit toxic texts mostly, by log-likelihood gain; counted by place in `known`, then named."""
+    hits = [np.zeros(len(known)), np.zeros(len(known))]
     for found, y, w in zip(slots, labels, weight, strict=True):
         hits[y][np.unique(found)] += w
     n = np.bincount(labels, weight, minlength=2)
@@ -105,10 +107,12 @@ def induce(texts: list[str], slots: list[np.ndarray], labels: np.ndarray, weight
     good = np.flatnonzero((hits[1] >= LEAST_HITS) & (share >= LEAST_PRECISION))
     gain = hits[1][good] * (np.log(share[good]) + np.log(2))
     best = good[np.lexsort((good, -gain))[:VOTERS]]
-    rank = {int(s): k for k, s in enumerate(best)}
+    rank = {int(known[s]): k for k, s in enumerate(best)}
+    toxic = np.zeros(len(known), bool)
+    toxic[best] = True
     names: dict[int, bytes] = {}
     for text, found, y in zip(texts, slots, labels, strict=True):
-        if y and len(names) < len(rank) and not rank.keys().isdisjoint(found.tolist()):
+        if y and len(names) < len(rank) and toxic[found].any():
             for f in (f for w in sorted(distinct_words(text)) for f in _features(w)):
                 if slot(f) in rank:
                     names.setdefault(slot(f), f)
@@ -157,7 +161,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_linear(parts: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def fit_linear(parts: list[np.ndarray], known: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[int, float], float]:
     """Non-negative logistic weights of hashed features and the intercept, by full-batch projected Adam.
 
     Only features that toxic texts have significantly more often get a weight, so that the many words of
@@ -165,9 +169,9 @@ def fit_linear(parts: list[np.ndarray], target: np.ndarray, weight: np.ndarray)
     """
     slots = np.concatenate(parts).astype(np.int64)
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    one, two, rest = np.unique(row << BITS | slots), float(target @ weight), float((1 - target) @ weight)
-    yes = np.bincount(one & ((1 << BITS) - 1), (target * weight)[one >> BITS], 1 << BITS)
-    no = np.bincount(one & ((1 << BITS) - 1), ((1 - target) * weight)[one >> BITS], 1 << BITS)
+    one, two, rest = np.unique(row * len(known) + slots), float(target @ weight), float((1 - target) @ weight)
+    yes = np.bincount(one % len(known), (target * weight)[one // len(known)], len(known))
+    no = np.bincount(one % len(known), ((1 - target) * weight)[one // len(known)], len(known))
     p, q, both = yes / two, no / rest, (yes + no) / (two + rest)
     used = np.flatnonzero((p >= LEAST_PRECISION * (p + q)) & ((p - q) > SIGNIFICANT * np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / two + 1 / rest))))
     kept = np.isin(slots, used)
@@ -182,31 +186,31 @@ def fit_linear(parts: list[np.ndarray], target: np.ndarray, weight: np.ndarray)
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b * grad_b
         w = np.maximum(0, w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6))
         bias -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-    out = np.zeros(1 << BITS, np.float32)
-    out[used] = w
-    return out, float(bias)
+    return {int(known[k]): float(x) for k, x in zip(used, w, strict=True) if x > 0}, float(bias)
 
 
-def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+def fit(sample: list[tuple[str, int]]) -> tuple[dict[int, float], float]:
     """Weights and intercept from a sample of (text, label)."""
     y = np.array([label for _, label in sample], np.int64)
     if len(set(y.tolist())) < 2:
-        return np.zeros(1 << BITS, np.float32), float(np.log(PRIOR / (1 - PRIOR)))
+        return {}, float(np.log(PRIOR / (1 - PRIOR)))
     texts, memo = [t for t, _ in sample], _Slots()
-    parts = [np.array([s for w in distinct_words(t) for s in memo[w]], np.int32) for t in texts]
-    weight = independent(parts)
-    lexicon = list(dict.fromkeys([*induce(texts, parts, y, weight), *(w.encode() for w in INSULTS)]))
+    parts = [np.array([s for w in sorted(distinct_words(t)) for s in memo[w]], np.uint64) for t in texts]
+    known, place = np.unique(np.concatenate(parts), return_inverse=True)
+    parts = np.split(place, np.cumsum([len(x) for x in parts])[:-1])
+    weight = independent(parts, len(known))
+    lexicon = list(dict.fromkeys([*induce(texts, parts, known, y, weight), *(w.encode() for w in INSULTS)]))
     fired = votes(texts, lexicon, memo)
     moving = (fired.sum(0) >= 3) & (fired.sum(0) <= len(fired) - 3)
     model = LabelModel().fit(fired[:, moving], start=(fired[:, :-1].sum(1) > 0) * 0.9 + 0.05)
     posterior = model.posterior(fired[:, moving])
-    return fit_linear(parts, posterior, weight)
+    return fit_linear(parts, known, posterior, weight)
 
 
 class Scorer:
     """Scores texts with given weights; a word's share of the logit is computed once per worker."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -218,7 +222,7 @@ class Scorer:
             words = distinct_words(text)
             for w in words:
                 if w not in memo:
-                    memo[w] = float(sum(weights[slot(f)] for f in _features(w)))
+                    memo[w] = sum(weights.get(slot(f), 0.0) for f in _features(w))
             logits.append(self.bias + sum(sorted(map(memo.__getitem__, words))))  # sorted: sets have no order
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
