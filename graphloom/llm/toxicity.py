@@ -3,7 +3,7 @@
 Voters are lexicon words, word beginnings and patterns. Lexicons are induced from a bounded sample of
 labelled training rows, beside a small fixed one. The label model is a latent-class model: each voter
 fires at one rate on toxic and another on clean texts; both rates, the share of toxic texts and the
-voters' correlations within a class are estimated by expectation-maximisation, and correlated voters
+voters' correlations within a class are estimated by classification EM, and correlated voters
 (a word and its beginning) share their weight. A logistic model over hashed words and word beginnings is
 fitted to the posterior labels and scores whole texts.
 
@@ -143,11 +143,13 @@ class LabelModel:
         np.fill_diagonal(self.correlation, 1)
         # voters that fire together within a class count as one
         self.weight = 1 / np.where(np.abs(self.correlation) > CORRELATED, np.abs(self.correlation), 0).sum(1)
+        chosen = posterior > 0.5
         for _ in range(rounds):
-            before, posterior = posterior, self.posterior(fired)
-            if np.abs(posterior - before).max() < 1e-4:
+            # rates come from the likelier class: with shared weights, soft ones would drift together
+            before, chosen = chosen, self.posterior(fired) > 0.5
+            if (chosen == before).all() or not 0 < chosen.sum() < len(chosen):
                 break
-            self._rates(fired, posterior)
+            self._rates(fired, chosen.astype(float))
         return self
 
     def _rates(self, fired: np.ndarray, posterior: np.ndarray) -> None:
@@ -202,7 +204,7 @@ def fit(sample: list[tuple[str, int]]) -> tuple[dict[int, float], float]:
     lexicon = list(dict.fromkeys([*induce(texts, parts, known, y, weight), *(w.encode() for w in INSULTS)]))
     fired = votes(texts, lexicon, memo)
     moving = (fired.sum(0) >= 3) & (fired.sum(0) <= len(fired) - 3)
-    model = LabelModel().fit(fired[:, moving], start=(fired[:, :-1].sum(1) > 0) * 0.9 + 0.05)
+    model = LabelModel().fit(fired[:, moving], start=(fired[:, :-1].sum(1) > 0) * 1.0)
     posterior = model.posterior(fired[:, moving])
     return fit_linear(parts, known, posterior, weight)
 
