@@ -35,9 +35,15 @@ def build_session(app: str = "graphloom", master: str | None = None, **conf) ->
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts may be long, and both the JVM and Python hold a batch whole.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application, and bounds Arrow batches."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
