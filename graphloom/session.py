@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -69,9 +70,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_SCRATCH).rstrip("/")
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; nothing is created yet. It goes when the driver's process ends."""
+    if not _SCRATCH:
+        atexit.register(forget_scratch)
+    path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def forget_scratch() -> None:
+    """Deletes all scratch folders of this process; results that still read them can't be used any more."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        with contextlib.suppress(Exception):  # a session that has stopped can't delete
+            drop_path(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

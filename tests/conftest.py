@@ -12,12 +12,13 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 @pytest.fixture(scope="session")
 def spark():
-    from graphloom.session import build_session
+    from graphloom.session import build_session, forget_scratch
 
     extra = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g"}
     session = build_session("tests", "local[4]", **extra)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    forget_scratch()
     session.stop()
 
 
