@@ -91,17 +91,17 @@ def most_common_word(words: DataFrame) -> DataFrame:
 
 
 def name_clusters(entry_points: DataFrame) -> DataFrame:
-    """(cluster_idx, name): from what the cluster's URLs share, else its functions' words, command or type.
+    """(cluster_idx, name, description): from what the cluster's URLs share, else its functions' words, command or type.
 
     Reads cluster_idx, node_name, entry_type, route_info and ep_seq; a cluster's functions make one array.
     """
     short = fn.short_name(F.col("node_name"))
     url = F.nullif(fn.strip_params(F.coalesce(F.col("route_info")["url"], F.lit(""))), F.lit(""))
-    flat = entry_points.select("cluster_idx", "ep_seq", "entry_type", short.alias("short"), url.alias("url"), F.nullif(F.col("route_info")["command"], F.lit("")).alias("command"))
+    flat = entry_points.select("cluster_idx", "ep_seq", "entry_type", short.alias("short"), url.alias("url"), F.nullif(F.col("route_info")["command"], F.lit("")).alias("command"), F.nullif(F.upper(F.col("route_info")["method"]), F.lit("")).alias("method"))
     row = flat.groupBy("cluster_idx").agg(
         F.min("url").alias("low"), F.max("url").alias("high"), F.array_sort(F.collect_list(F.struct("ep_seq", "short"))).alias("list"),
         F.min_by("command", F.when(F.col("command").isNotNull(), F.col("ep_seq"))).alias("command"), F.min("entry_type").alias("low_type"), F.max("entry_type").alias("high_type"),
-        F.min_by("url", F.when(F.col("entry_type") == "websocket", F.col("ep_seq"))).alias("socket"),
+        F.min_by("url", F.when(F.col("entry_type") == "websocket", F.col("ep_seq"))).alias("socket"), F.array_sort(F.collect_set("method")).alias("methods"),
     )
     names = F.transform("list", lambda x: x["short"])
     sets = F.transform(names, lambda s: F.split(s, "_"))
@@ -122,7 +122,9 @@ def name_clusters(entry_points: DataFrame) -> DataFrame:
         F.nullif(F.array_join(F.transform(F.slice(names, 1, 2), fn.title), " & "), F.lit("")),
         F.concat(F.lit("feature_"), F.col("cluster_idx").cast("string")),
     )
-    return row.select("cluster_idx", name.alias("name"))
+    route = F.when(F.size("methods") > 0, F.concat(F.array_join("methods", "/"), F.lit(" /"), common)).otherwise(F.concat(F.lit("Handles /"), common))
+    listed = F.concat(F.when(F.size(names) == 1, "Endpoint: ").otherwise("Endpoints: "), F.array_join(names, ", "))
+    return row.select("cluster_idx", name.alias("name"), F.when(fn.snake(common) != "", route).otherwise(listed).alias("description"))
 
 
 def qualify_names(features: DataFrame) -> DataFrame:

@@ -91,6 +91,19 @@ def update_feature(features: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(f"{c}__new", c).alias(c) if c in fields else F.col(c) for c in features.columns])
 
 
+def new_repository(spark, url: str | None, local_path: str, created_at, branch: str = "main") -> DataFrame:
+    """One row for the repositories table; its id is a hash of where it is, known before it is written."""
+    row = spark.createDataFrame([(url, local_path, branch, created_at)], "url string, local_path string, branch string, created_at timestamp")
+    none = F.lit(None)
+    ident = F.sha2(F.concat_ws("::", F.coalesce("url", "local_path"), "branch"), 256)
+    return row.select(ident.alias("id"), "url", "local_path", "branch", none.cast("string").alias("last_commit_sha"), none.cast("timestamp").alias("last_analyzed_at"), "created_at")
+
+
+def repository_list(repositories: DataFrame) -> DataFrame:
+    """Newest first."""
+    return repositories.orderBy(F.desc("created_at"), "id")
+
+
 def delete_repository(tables: dict[str, DataFrame], repo_id: str) -> dict[str, DataFrame]:
     """The five tables without a repository and all that hangs on it."""
     gone = tables["analysis_snapshots"].where(F.col("repo_id") == repo_id).select(F.col("id").alias("snapshot_id"))

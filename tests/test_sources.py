@@ -140,3 +140,20 @@ def test_progress(spark, tmp_path):
     progress.follow(stream, "r", got.append, available_now=True).awaitTermination()
     assert got[-1]["status"] == "completed" and got[-1]["progress"] == 100.0
     assert [progress.may_start(True, False, None), progress.may_start(False, False, None), progress.may_start(True, True, None), progress.may_start(True, False, "zz")] == [202, 404, 409, 400]
+
+
+def test_repository_tables(spark):
+    from datetime import datetime
+
+    one = serve.new_repository(spark, "https://x.org/a", "/a", datetime(2024, 1, 1))
+    two = serve.new_repository(spark, None, "/b", datetime(2024, 1, 2))
+    repos = one.unionByName(two)
+    ids = [r["id"] for r in serve.repository_list(repos).collect()]
+    assert ids[0] == two.first()["id"] and len(set(ids)) == 2
+    snapshots = spark.createDataFrame([("s1", ids[0]), ("s2", ids[1])], "id string, repo_id string")
+    rest = {"features": spark.createDataFrame([("f", ids[0])], "id string, repo_id string"), "code_nodes": spark.createDataFrame([("n1", "s1"), ("n2", "s2")], "id string, snapshot_id string"), "code_edges": spark.createDataFrame([("e", "s1")], "id string, snapshot_id string")}
+    left = serve.delete_repository({"repositories": repos, "analysis_snapshots": snapshots, **rest}, ids[0])
+    assert {name: table.count() for name, table in left.items()} == {"repositories": 1, "analysis_snapshots": 1, "features": 0, "code_nodes": 1, "code_edges": 0}
+    features = spark.createDataFrame([("f", "a", None), ("g", "b", "x")], "id string, name string, description string")
+    changed = serve.update_feature(features, spark.createDataFrame([("f", None, "new")], "id string, name string, description string"))
+    assert sorted(map(tuple, changed.collect())) == [("f", "a", "new"), ("g", "b", "x")]
