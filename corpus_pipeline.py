@@ -42,10 +42,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near-duplicates."""
+    """Keeps the document of the least id of each group of near-duplicates.
+
+    Repeated rows of one id are one document; an id goes if none of its rows is kept.
+    """
 
     def step(frame: DataFrame, names: list[str], key: str, text: str) -> DataFrame:
-        gone = near_dups.cut_lineage(near_dups.near_duplicates(frame, key, text).where("not kept").select(F.col(key).alias("gone")).distinct())
+        found = near_dups.near_duplicates(frame, key, text).groupBy(F.col(key).alias("gone")).agg(F.bool_or("kept").alias("kept"))
+        gone = near_dups.cut_lineage(found.where("not kept").select("gone"))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
         return frame.join(gone, frame[key] == gone["gone"], "left_anti")
 
