@@ -30,7 +30,7 @@ LONG = 1024
 #: Width of a block of minima.
 BLOCK = 512
 #: Distinct pieces kept per worker before the cache starts anew (memory only, results don't depend on it).
-CACHE = 250_000
+CACHE = 200_000
 #: Bytes of matrix cells handled at once.
 MATRIX_CELLS = 1_000_000
 NONE = np.int32(2**31 - 1)

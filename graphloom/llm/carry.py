@@ -29,7 +29,7 @@ def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fields: list
 
 
 #: Bytes of text that are Python objects at once.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def pieces(batch: pa.RecordBatch, column: int) -> Batches:

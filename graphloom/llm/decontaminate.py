@@ -33,7 +33,7 @@ SHINGLE = 3
 #: Benchmark words in a broadcast block.
 BLOCK_WORDS = 1_000_000
 #: Words of documents that are looked up together.
-LOOKUP_WORDS = 400_000
+LOOKUP_WORDS = 200_000
 
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes from 0x80, makes all else a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -45,7 +45,7 @@ BROADCAST_IDS = 500_000
 #: Rounds with pivots before the prefix join, and shingles whose frequency orders its prefixes.
 ROUNDS, COMMON = 2, 1_000_000
 #: Words hashed once per task before the memo starts anew.
-MEMO = 200_000
+MEMO = 100_000
 #: Shingles sketched together.
 FLAT = 400_000
 

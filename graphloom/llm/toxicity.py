@@ -34,7 +34,7 @@ RARE = 0.01
 #: Correlation within a class from which voters share their weight.
 CORRELATED = 0.5
 #: Words whose features are kept per worker before they start anew (memory only).
-MEMO = 200_000
+MEMO = 100_000
 BEGINNINGS = (4, 5, 6)
 PRIOR = 0.1
 STEPS, RATE, RIDGE = 1000, 0.1, 1e-6
