@@ -28,8 +28,8 @@ ROWS_PER_CLASS, MAX_CHARS = 1800, 12_000
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 12, 4, 32, 16
 EPOCHS, BATCH, RATE, DECAY = 8, 24, 4e-3, 1e-5
-#: Share of the sample that also trains with a passage of 3 to 29 words.
-PASSAGES = 0.4
+#: Share of the sample that also trains with a passage of 3 to 23 words.
+PASSAGES = 0.8
 #: Chunks convolved at once.
 TOGETHER = 64
 STEP = CHUNK - OVERLAP
@@ -134,7 +134,7 @@ class Network:
         # short texts are rare in a sample: passages of others stand in for them
         for t, y in sample:
             words = t.split(" ")
-            size = int(rng.integers(3, 30))
+            size = int(rng.integers(3, 24))
             begin = int(rng.integers(0, max(1, len(words) - size)))
             if rng.random() < PASSAGES:
                 data.append((*chunks(" ".join(words[begin : begin + size])), y))
