@@ -1,16 +1,17 @@
 """Scores of whole documents under a gated recurrent language model, in numpy.
 
-One pass turns the texts into blocks: token positions in the block's own vocabulary, that vocabulary with
-its counts over training texts, and a training sample. Word counts then meet by word over all documents
+One pass turns the texts into blocks: token positions in the block's own vocabulary and that vocabulary with
+its counts over training texts. Word counts then meet by word over all documents
 (each block sends a word once) and go back to the blocks, in which documents are scored; texts aren't
 shuffled, and nothing of the vocabulary's size is broadcast.
 
 The model is a GRU with a class-factored softmax: the most frequent words have classes of WITHIN words
 each with a learned distribution; all others fall into classes by their ending, within which words have
-their smoothed share of the counts. It is trained by truncated backpropagation with Adam: every block
-gives a sample, shards of samples train from the current weights, and the mean of their weights starts
-the next round.
-What is trained on grows with the corpus. State is carried across windows, from a document's first token
+their smoothed share of the counts. It is trained by truncated backpropagation with Adam on every token of
+every training text: blocks are read where they lie, shards of them train from the current weights, and
+the mean of their weights starts the next round. Each round takes its own share of the documents, so all
+rounds together are one pass; only shards too small for LEAST_STEPS steps are read more than once.
+State is carried across windows, from a document's first token
 to its last, in training and in scoring.
 
 Words are known by 64-bit hashes; two of a billion words share one with a chance of about 3 %.
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 from graphloom.session import written
 
 BLOCK_TOKENS = 2_200_000
-#: Tokens of a block's training sample; rounds of averaging, passes over the sample in each.
-SAMPLE_TOKENS, ROUNDS, PASSES, RATE = 32_000, 3, 2, 6e-3
-#: Tokens of one document in a sample: passages of many documents fill the lanes evenly.
-PASSAGE = 512
+#: Tokens from which a task's blocks make a shard; rounds of averaging.
+SHARD_TOKENS, ROUNDS, RATE = BLOCK_TOKENS, 3, 6e-3
+#: Steps of a shard and round: small shards are passed over again to reach the first, lanes widen beyond the second.
+LEAST_STEPS, STEPS = 64, 180
 CLASSES, WITHIN, ENDINGS = 32, 32, 32
 TOP = CLASSES * WITHIN
 HIDDEN = 32
-WINDOW, LANES, TRAIN_LANES = 32, 256, 16
+WINDOW, LANES = 32, 256
+#: Lanes in training, at least and at most.
+TRAIN_LANES = 16, 128
 MEMO = 300_000
 END = 0x656E64
 POSITIONS = 24
@@ -86,10 +89,10 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-_BLOCK = "block long, vocabulary binary, docs binary, sample binary, sampled long"
+_BLOCK = "block long, vocabulary binary, docs binary"
 
 
-def _blocks(docs: DataFrame, key: str, text: str, train: Column, block_tokens: int, sample_tokens: int) -> DataFrame:
+def _blocks(docs: DataFrame, key: str, text: str, train: Column, block_tokens: int) -> DataFrame:
     """One row per block. vocabulary: hashes, ending classes, training counts; docs: ids, folds, lengths, positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +111,17 @@ def _blocks(docs: DataFrame, key: str, text: str, train: Column, block_tokens: i
                 tokens.append(np.append(h, np.uint64(END)))
                 total += len(h) + 1
                 if total >= block_tokens:
-                    yield _block((part << 12) + number, ids, held, tokens, memo, sample_tokens)
+                    yield _block((part << 12) + number, ids, held, tokens, memo)
                     ids, held, tokens, total, number = [], [], [], 0, number + 1
                     if len(memo) > MEMO:
                         memo = _Memo()
         if ids:
-            yield _block((part << 12) + number, ids, held, tokens, memo, sample_tokens)
+            yield _block((part << 12) + number, ids, held, tokens, memo)
 
     return docs.select(F.col(key).cast("long").alias("i"), train.alias("trains"), F.col(text)).mapInArrow(run, _BLOCK)
 
 
-def _block(block: int, ids: list, held: list, tokens: list[np.ndarray], memo: _Memo, sample_tokens: int) -> pa.RecordBatch:
+def _block(block: int, ids: list, held: list, tokens: list[np.ndarray], memo: _Memo) -> pa.RecordBatch:
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     known, place, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")  # frequent words get small positions
@@ -129,20 +132,18 @@ def _block(block: int, ids: list, held: list, tokens: list[np.ndarray], memo: _M
     n = np.bincount(place[trains], minlength=len(known))
     vocabulary = known[order]
     endings = np.fromiter((memo.endings.get(h, 0) for h in vocabulary.tolist()), np.uint8, len(vocabulary))
-    picked, left = [], sample_tokens
-    order = sorted((xxhash.xxh3_64_intdigest(str(i).encode() + len(t).to_bytes(8, "little")), k) for k, (i, t) in enumerate(zip(ids, tokens, strict=True)) if not held[k])
-    start = np.cumsum(lengths) - lengths
-    for h, k in order:
-        if left <= 0:
-            break
-        size = int(min(lengths[k], left, PASSAGE))
-        begin = int(start[k]) + h % (int(lengths[k]) - size + 1)
-        picked.append(place[begin : begin + size])
-        left -= size
-    used = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
-    sample = (vocabulary[used], endings[used], [np.searchsorted(used, p) for p in picked])
-    row = [(vocabulary, endings, n), (ids, held, lengths, _planes(place)), sample]
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in row), pa.array([sample_tokens - left], pa.int64())], names=["block", "vocabulary", "docs", "sample", "sampled"])
+    row = [(vocabulary, endings, n), (ids, held, lengths, _planes(place))]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in row)], names=["block", "vocabulary", "docs"])
+
+
+def _lessons(vocabulary: bytes, docs: bytes, top: dict[int, int], turn: int, rounds: int) -> list[np.ndarray]:
+    """Model ids of a block's training documents whose turn is this round; each has one turn."""
+    h, endings, _ = _unpack(vocabulary)
+    ids, held, lengths, planes = _unpack(docs)
+    model_id = np.fromiter((top.get(w, TOP + e) for w, e in zip(h.tolist(), endings.tolist(), strict=True)), np.int64, len(h))
+    place, start = _from_planes(planes), np.cumsum(lengths) - lengths
+    mine = [k for k, i in enumerate(ids) if not held[k] and xxhash.xxh3_64_intdigest(f"{i} {k}".encode()) % rounds == turn]
+    return [model_id[place[start[k] : start[k] + lengths[k]]] for k in mine]
 
 
 def _words(blocks: DataFrame) -> DataFrame:
@@ -273,12 +274,14 @@ class Model:
         n_tokens = max(1, int(mask.sum()))
         return {k: g / n_tokens for k, g in grads.items()}, h, float(logs.sum()) / n_tokens
 
-    def train(self, docs: list[np.ndarray], end: int, passes: int, rate: float) -> Model:
-        """Truncated backpropagation over documents that lanes read one after the other."""
+    def train(self, docs: list[np.ndarray], end: int, rate: float) -> Model:
+        """Truncated backpropagation over all documents, which lanes read one after the other."""
         m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        for _ in range(passes):
+        size = sum(map(len, docs))
+        width = min(TRAIN_LANES[1], max(TRAIN_LANES[0], size // (WINDOW * STEPS)))
+        for _ in range(-(-LEAST_STEPS // max(1, size // (WINDOW * width)))):
             states = _States()
-            for x, y, mask, here in lanes(docs, TRAIN_LANES, WINDOW, end):
+            for x, y, mask, here in lanes(docs, width, WINDOW, end):
                 grads, h, _ = self.learn(x, y, mask, states.take(here))
                 states.update(zip(here, h, strict=True))
                 g = np.concatenate([grads[k].ravel() for k in self.SHAPES])
@@ -336,28 +339,35 @@ def log_likelihoods(model: Model, docs: list[np.ndarray], end: int) -> np.ndarra
     return out
 
 
-def _federated(blocks: DataFrame, model_ids: dict[int, int], rounds: int) -> np.ndarray:
-    """Weights after rounds of local training on shards of all samples and averaging in two steps."""
+def _federated(blocks: DataFrame, model_ids: dict[int, int], tokens: int, shard_tokens: int, rounds: int) -> np.ndarray:
+    """Weights after rounds of local training on shards of all blocks and averaging in two steps."""
     context = blocks.sparkSession.sparkContext
     top = context.broadcast(model_ids)
-    total = blocks.agg(F.coalesce(F.sum("sampled"), F.lit(0))).first()[0]
-    shards = max(1, round(total / SAMPLE_TOKENS))  # small blocks train together
-    samples = blocks.where("sampled > 0").select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), "block", "sample")
-    samples = written(samples.repartition(min(shards, 100_000), "shard"), "samples")
     flat = Model().flat
-    groups = max(1, int(np.sqrt(shards)))
-    for _ in range(rounds):
+    groups = max(1, int(np.sqrt(tokens / shard_tokens)))
+    for turn in range(rounds):
         start = context.broadcast(flat)
 
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            docs = []
-            for raw in pdf.sort_values("block")["sample"]:
-                h, endings, some = _unpack(raw)
-                ids = np.fromiter((top.value.get(w, TOP + e) for w, e in zip(h.tolist(), endings.tolist(), strict=True)), np.int64, len(h))
-                docs += [ids[d] for d in some]
-            size = sum(map(len, docs))
-            trained = Model(start.value).train(docs, top.value.get(END, TOP), PASSES, RATE).flat
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [float(size)], "flat": [(trained * np.float32(size)).tobytes()]})
+        def local(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
+            docs: list[np.ndarray] = []
+            size, shard = 0, 0
+
+            def learned() -> pa.RecordBatch:
+                flat = Model(start.value).train(docs, top.value.get(END, TOP), RATE).flat
+                return pa.RecordBatch.from_arrays([pa.array([shard % groups], pa.int32()), pa.array([float(size)]), pa.array([(flat * np.float32(size)).tobytes()], pa.binary())], names=["g", "size", "flat"])
+
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block, vocabulary, raw = (batch.column(c)[k].as_py() for c in range(3))
+                    more = _lessons(vocabulary, raw, top.value, turn, rounds)
+                    shard = shard if docs else xxhash.xxh3_64_intdigest(str(block).encode())
+                    docs += more
+                    size += sum(map(len, more))
+                    if size * rounds >= shard_tokens:
+                        yield learned()
+                        docs, size = [], 0
+            if docs:
+                yield learned()
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(len(flat), np.float64)
@@ -365,18 +375,21 @@ def _federated(blocks: DataFrame, model_ids: dict[int, int], rounds: int) -> np.
                 total += np.frombuffer(raw, np.float32)
             return pd.DataFrame({"size": [pdf["size"].sum()], "flat": [total.tobytes()]})
 
-        trained = samples.groupBy("shard").applyInPandas(local, "shard int, size double, flat binary")
-        rows = trained.groupBy(F.pmod("shard", F.lit(groups)).alias("g")).applyInPandas(add, "size double, flat binary").collect()  # at most the square root of the number of shards
+        trained = blocks.mapInArrow(local, "g int, size double, flat binary")
+        rows = trained.groupBy("g").applyInPandas(add, "size double, flat binary").collect()  # at most the square root of the number of shards
         if rows:
             flat = (sum(np.frombuffer(r["flat"], np.float64) for r in rows) / sum(r["size"] for r in rows)).astype(np.float32)
         start.unpersist()
     return flat
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, sample_tokens: int = SAMPLE_TOKENS, rounds: int = ROUNDS) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, sample_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
+
+    All training tokens are trained on; sample_tokens only says how many make a shard.
+    """
     spark = docs.sparkSession
-    blocks = written(_blocks(docs, key, text, train, block_tokens, sample_tokens), "blocks")
+    blocks = written(_blocks(docs, key, text, train, block_tokens), "blocks")
     counts = written(_words(blocks).groupBy("word").agg(F.sum("n").alias("c"), F.min("ending").alias("ending")).where("c > 0"), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
@@ -386,7 +399,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     for _, c, e in most:
         mass[e] -= c + 1
     room = np.array([mass.get(e, 0) + 1 for e in range(ENDINGS)], np.float64)  # one more for an unknown word
-    weights = _federated(blocks, top, rounds)
+    weights = _federated(blocks, top, n, sample_tokens, rounds)
     shared = spark.sparkContext.broadcast((weights, top, room))
 
     # counts go back to the blocks by word; a block's own row follows its counts

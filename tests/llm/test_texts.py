@@ -305,6 +305,18 @@ def test_language_model_carries_state_and_sums_to_one():
     assert abs(np.exp(model.outputs(np.repeat(h, len(every), 0), every)[0]).sum() - 1) < 1e-4
 
 
+def test_language_model_trains_on_every_training_token():
+    memo = language_model._Memo()
+    texts = [f"a{k} " * n for k, n in enumerate((0, 3, 700, 40_000))] + ["held out"]
+    tokens = [np.array([*map(memo.__getitem__, language_model.words(t)), language_model.END], np.uint64) for t in texts]
+    block = language_model._block(0, list(range(5)), [False] * 4 + [True], tokens, memo)
+    vocabulary, docs = (block.column(c)[0].as_py() for c in ("vocabulary", "docs"))
+    top = {int(t[0]): k for k, t in enumerate(tokens)}
+    lessons = [d for turn in range(3) for d in language_model._lessons(vocabulary, docs, top, turn, 3)]
+    assert sorted(map(len, lessons)) == [1, 4, 701, 40_001]
+    assert all((d[:-1] == d[0]).all() and d[-1] == 0 for d in lessons)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(_docs(spark, []), F.lit(True)).collect() == []
     alone = language_model.score(_docs(spark, ["a b"]), F.lit(False)).collect()
