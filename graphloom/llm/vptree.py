@@ -5,6 +5,9 @@ distance orders like cosine. A subtree is skipped if the triangle inequality kee
 best found so far divided by `factor`: 1 is exact, larger values skip more. Queries stream through each
 shard's tree in blocks, so neither side is ever held whole; shards' results meet in a top-k by query.
 
+Distances are rounded, so the trees only propose: every row within a query's k-th distance and the rounding,
+however many tie there, is scored in double precision, and score and id decide.
+
 Of equal vectors only the k + 1 smallest ids are searched: no query can have another one of them among
 its k nearest, so nothing is lost however many copies a vector has.
 
@@ -29,9 +32,12 @@ SHARD_ROWS = 2048
 LEAF = 48
 #: Queries searched together.
 BLOCK = 1024
-#: Candidates kept beyond k while distances are rounded.
+#: Candidates kept beyond k; queries with more rows than these within the rounding are searched again for all of them.
 SPARE = 6
-ROUNDING = 1e-9
+#: Error of a distance, at most: the root of that of a product of unit vectors, where vectors are nearly equal.
+ROUNDING = 1e-6
+#: Candidates scored at once.
+PAIRS = 65_536
 
 
 class Tree:
@@ -66,6 +72,26 @@ class Tree:
             self._visit(self.root, np.arange(len(unit)))
         return self.best, self.row
 
+    def within(self, unit: np.ndarray, own: np.ndarray, limit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows up to each query's limit and the rounding but those with its own id."""
+        self.query, self.own, self.factor, self.limit = unit, own, factor, limit
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self._gather(self.root, np.arange(len(unit)))
+        return tuple(map(np.concatenate, zip(*self.pairs, strict=True)))
+
+    def _gather(self, node, q: np.ndarray) -> None:
+        if not len(q):
+            return
+        leaf = isinstance(node, np.ndarray)
+        rows = node if leaf else np.array([node[0]])
+        far = self._distance(self.query[q], self.unit[rows])
+        a, b = np.nonzero((far <= self.limit[q, None] + ROUNDING) & (self.ids[rows][None, :] != self.own[q, None]))
+        self.pairs.append((q[a], rows[b]))
+        if not leaf:
+            reach, gap = self.limit[q] / self.factor + ROUNDING, far[:, 0] - node[1]
+            self._gather(node[2], q[gap <= reach])
+            self._gather(node[3], q[-gap <= reach])
+
     def _offer(self, q: np.ndarray, rows: np.ndarray, far: np.ndarray) -> None:
         far = np.where(self.ids[rows][None, :] == self.own[q][:, None], np.inf, far)
         near = far.min(1) < self.best[q, -1]
@@ -107,10 +133,18 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _found(tree: Tree, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
-    rows = tree.search(_unit(queries), own, k + SPARE, factor)[1]
+    unit = _unit(queries)
+    far, rows = tree.search(unit, own, k + SPARE, factor)
+    crowded = np.flatnonzero(np.isfinite(far[:, -1]) & (far[:, -1] <= far[:, k - 1] + 2 * ROUNDING))
+    rows[crowded] = -1
     q, place = np.nonzero(rows >= 0)
     r = rows[q, place]
-    score, found = cosine(queries[q], vectors[r]), tree.ids[r]
+    if len(crowded):
+        more, tied = tree.within(unit[crowded], own[crowded], far[crowded, k - 1] + ROUNDING, factor)
+        q, r = np.append(q, crowded[more]), np.append(r, tied)
+    cuts = range(0, len(q), PAIRS)
+    score = np.concatenate([cosine(queries[q[c : c + PAIRS]], vectors[r[c : c + PAIRS]]) for c in cuts]) if len(q) else np.zeros(0)
+    found = tree.ids[r]
     order = np.lexsort((found, -score, q))
     first = np.searchsorted(q[order], q[order])
     order = order[np.arange(len(order)) - first < k]

@@ -125,6 +125,23 @@ def test_nearest_equals_brute_force(spark, shard_rows):
     assert all(a[2] == b[2] for a, b in zip(found, expected, strict=True))
 
 
+@pytest.mark.parametrize("shard_rows", [60, 5000])
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark, shard_rows):
+    rng = np.random.default_rng(9)
+    one = rng.integers(-8, 9, 16).astype(float)
+    vectors = [(i, (one * 2.0 ** (i * 7 % 40 - 20)).tolist()) for i in range(40)]  # one direction, 40 lengths
+    vectors += [(i, [float(j == i % 16) for j in range(16)]) for i in range(100, 180)]  # all others at a right angle
+    vectors += [(i, rng.integers(-1, 2, 16).astype(float).tolist()) for i in range(200, 400)]
+    frame = spark.createDataFrame([(i, v) for i, v in vectors if any(v)], "vec_id long, embedding array<float>")
+    found = sorted(tuple(r) for r in vptree.nearest(frame, F.lit(True), 5, shard_rows=shard_rows).collect())
+    expected = {}
+    by_size = {i: np.array(v) for i, v in vectors if any(v)}
+    for q, v in by_size.items():  # scores in the operator's own order of adding, so that ties are ties
+        score = vptree.cosine(np.broadcast_to(v, (len(by_size), 16)), np.array(list(by_size.values())))
+        expected[q] = sorted((-s, i) for s, i in zip(score, by_size, strict=True) if i != q)[:5]
+    assert found == sorted((q, n + 1, i, -s) for q, near in expected.items() for n, (s, i) in enumerate(near))
+
+
 def test_relaxed_search_keeps_most_neighbours(spark):
     rng = np.random.default_rng(5)
     centers = rng.standard_normal((20, 32))
