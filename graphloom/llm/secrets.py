@@ -3,7 +3,10 @@
 Base spans are leftmost non-overlapping matches per kind. The method adds `novel` spans: strings in a
 sensitive context (a key word shortly before them) whose marginal compressed size, given the text
 around them and a dictionary of common identifiers as zstandard dictionary, stays close to their
-length. Offsets are code points, ends exclusive.
+length. Strings of digits, of letters and of both are measured alike; of those without digits, words (most of
+whose pairs of letters are PAIRS) are no secrets. The compressor takes a string in
+pieces too short for coding by letter frequency, which shortens random strings of few letters too, each
+with what precedes it in the dictionary, so only repetition counts. Offsets are code points, ends exclusive.
 
 Defined results: a null text counts as empty and has no spans; rows are independent, so repeated
 rows, empty tables and very long texts need nothing special; only the columns asked for are carried,
@@ -47,10 +50,19 @@ IDENTIFIERS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ /usr/local/bin /etc/ssl/certs application/json Content-Type charset utf-8"
 ).encode()
 
+#: Frequent pairs of letters; a string without digits whose pairs are these to WORDY is made of words.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro me ne ri li no ic la io ce co "
+    "di el ch ma om ll ta ot ec ct il us tr ss ee pe na ac ca un be em ns ol pr ut rs ad id ie rt ge po ho tu su mo ai lo pa ig ul im fo mi ag am ap ab".split()
+)
+WORDY = 0.45
+
 #: Code points before a candidate in which a sensitive word counts, and those around it that prime the dictionary.
 REACH, AROUND = 64, 1024
 #: A candidate is novel from this share of its length in marginal bytes on.
 NOVEL_SHARE = 0.75
+#: Characters of a piece, at least; pieces stay below the 64 from which zstandard codes literals by frequency.
+PIECE = 32
 
 
 _HEX_CLASS = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -64,8 +76,17 @@ def marginal_bytes(candidate: bytes, around: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
-def _varied(token: str) -> bool:
-    return bool(re.search("[0-9]", token)) and bool(re.search("[A-Za-z]", token)) and len(set(token)) >= 8
+def _wordy(token: str) -> bool:
+    low = token.lower()
+    pairs = [x for x in map("".join, zip(low, low[1:], strict=False)) if x.isalpha()]
+    return not any(c.isdigit() for c in low) and sum(x in PAIRS for x in pairs) >= WORDY * len(pairs)
+
+
+def is_novel(token: bytes, around: bytes) -> bool:
+    """Whether the token's pieces keep NOVEL_SHARE of its length, given its surroundings and its own earlier pieces."""
+    n = max(1, len(token) // PIECE)
+    cuts = [len(token) * k // n for k in range(n + 1)]
+    return sum(marginal_bytes(token[x:y], around + token[max(0, x - AROUND) : x]) for x, y in zip(cuts, cuts[1:], strict=False)) >= NOVEL_SHARE * len(token)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,9 +109,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     break
                 m = CANDIDATE.match(text, begin)  # the whole token, beyond the reach too
                 reached = m.end()
-                if _varied(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in found):
+                if not _wordy(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in found):
                     around = text[max(0, begin - AROUND) : begin] + text[m.end() : m.end() + AROUND]
-                    if marginal_bytes(m[0].encode(), around.encode()) >= NOVEL_SHARE * len(m[0]):
+                    if is_novel(m[0].encode(), around.encode()):
                         found.append(("novel", *m.span()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

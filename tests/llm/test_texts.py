@@ -105,6 +105,17 @@ def test_novel_strings_need_context_and_entropy():
     assert secrets.spans(repeated) == []  # the surroundings explain it
 
 
+def test_novel_strings_of_any_letters_and_length():
+    rng = random.Random(11)
+    for letters in ("0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCabc0189+/"):
+        for n in (16, 32, 63, 64, 80, 96, 256, 512, 5000):
+            for _ in range(5):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                assert ("novel", 10, 10 + n) in secrets.spans(f"my bearer {key} is here") or "hex" in str(secrets.spans(key))
+    for dull in ("=" * 400, "-" * 20, "ab" * 300, "0123456789abcdef" * 9, "x1" * 40, "password_password_password_password"):
+        assert not any(k == "novel" for k, *_ in secrets.spans(f"my bearer {dull} is here")), dull
+
+
 def test_redaction(spark):
     text = "a password=abcdefgh1 b " + "0a" * 16
     assert secrets.redacted(text, secrets.spans(text)) == "a [ASSIGN] b [HEX]"
