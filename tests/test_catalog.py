@@ -33,3 +33,12 @@ def test_query(spark, name):
     theirs = [dict(zip(result.columns, r, strict=True)) for r in result.fetchall()]
     assert columns == sorted(result.columns)
     assert ours == sorted((tuple(plain(float(r[c]) if type(r[c]).__name__ == "Decimal" else r[c]) for c in columns) for r in theirs), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_whole_tables(spark):
+    """No filter leaves out line items or parts."""
+    n = {t: spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("orders", "lineitem", "part")}
+    assert QUERIES["induced_all_lines"](spark, DATA).count() == n["orders"] + n["lineitem"]
+    assert QUERIES["fk_resolve_all_lines"](spark, DATA).count() == n["lineitem"]
+    assert QUERIES["token_overlap_brands"](spark, DATA).count() == n["part"]
