@@ -3,7 +3,8 @@
 A file's lines that name a licence (CANDIDATE) are compared with the templates: TF-IDF vectors over the
 templates' content words, document frequencies taken over all files. A line matches the template of the
 greatest cosine from THRESHOLD on (ties: the smaller name). A file's own licence is that of its best
-line. A file is a licence file of its directory if its name says so or its matching lines hold FILE_SHARE
+line. Statements may wrap or lack the word: in a file of which no line matches, windows of up to WINDOW lines
+that share SHARED words with a template are compared in the same way, and the best one counts. A file is a licence file of its directory if its name says so or its matching lines hold FILE_SHARE
 of its words; of several the best score, then the smallest path counts. A file without a licence of its
 own takes that of the nearest ancestor directory that has one.
 
@@ -39,12 +40,16 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain, see unlicense",
 }
+#: Shorter statements that windows are compared with instead; of words that TEMPLATES have.
+HEADERS = {"BSD-3-Clause": "Use of this source code is governed by a BSD-style license", "CC-BY-4.0": "Distributed under CC BY 4.0"}
 #: Words of the templates that say nothing about a licence.
 STOP = ("the", "this", "is", "of", "a", "in", "by", "to", "into", "under", "and", "work", "see", "use", "made", "form", "forms", "code", "program", "available", "subject", "terms", "free", "v")
 #: A line that may state a licence.
 CANDIDATE = "licen[cs]|redistribution"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 THRESHOLD = 0.75
+#: Lines of a window, at most, and different words that it shares with its template, at least.
+WINDOW, SHARED = 4, 3
 FILE_SHARE = 0.2
 #: Directories that may be broadcast.
 BROADCAST_DIRS = 200_000
@@ -63,7 +68,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[s
     spark = files.sparkSession
     import re
 
-    vectors = {name: _counts([w for w in re.split("[^a-z0-9]+", words.lower()) if w and w not in STOP]) for name, words in (templates or TEMPLATES).items()}
+    def counted(statements: dict[str, str]) -> dict[str, dict[str, int]]:
+        return {name: _counts([w for w in re.split("[^a-z0-9]+", words.lower()) if w and w not in STOP]) for name, words in statements.items()}
+
+    vectors = counted(templates or TEMPLATES)
     vocabulary = sorted({w for v in vectors.values() for w in v})
     content = F.array(*map(F.lit, vocabulary))
     where = F.coalesce(F.col(path), F.lit(""))
@@ -75,22 +83,49 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[s
     listed = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(F.broadcast(seen), "word", "left").crossJoin(F.broadcast(total))
     idf = listed.select("word", (F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
     idf = written(idf, "idf")
-    model = spark.createDataFrame([(n, w, c) for n, v in vectors.items() for w, c in v.items()], "template string, word string, tf int").join(F.broadcast(idf), "word")
-    model = model.withColumn("weight", F.col("tf") * F.col("idf"))
-    model = written(model.join(F.broadcast(model.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))), "template").select("template", "word", (F.col("weight") / F.col("norm")).alias("share")), "templates")
+
+    def weighed(vectors: dict[str, dict[str, int]]) -> DataFrame:
+        model = spark.createDataFrame([(n, w, c) for n, v in vectors.items() for w, c in v.items()], "template string, word string, tf int").join(F.broadcast(idf), "word")
+        model = model.withColumn("weight", F.col("tf") * F.col("idf"))
+        return written(model.join(F.broadcast(model.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))), "template").select("template", "word", (F.col("weight") / F.col("norm")).alias("share")), "templates")
+
+    model = weighed(vectors)
+    headers = model if templates else weighed(counted(TEMPLATES | HEADERS))
 
     # lines that may state a licence; most files have none and end here
     stated = rows.where(F.lower("text_").rlike(CANDIDATE)).select("path_", F.size(_tokens(F.col("text_"))).alias("words"), F.posexplode(F.split("text_", "\n")).alias("line", "said"))
     stated = stated.where(F.lower("said").rlike(CANDIDATE)).dropDuplicates(["path_", "line", "said"])
     stated = stated.withColumn("bag", _tokens(F.col("said"))).withColumn("said_words", F.size("bag"))
-    word = stated.select("path_", "words", "line", "said_words", "said", F.explode(F.filter("bag", lambda w: F.array_contains(content, w))).alias("word"))
-    word = word.groupBy("path_", "words", "line", "said_words", "said", "word").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "word").withColumn("weight", F.col("tf") * F.col("idf"))
-    line = ["path_", "words", "line", "said_words", "said"]
-    norm = F.sqrt(F.sum(F.struct(F.col("weight"))["weight"] * F.col("weight")).over(Window.partitionBy(*line)))
-    scored = word.withColumn("norm", norm).join(F.broadcast(model), "word").groupBy(*line, "template").agg((F.sum(F.col("weight") * F.col("share")) / F.first("norm")).alias("score"))
-    scored = scored.withColumn("score", F.round("score", 9)).where(F.col("score") >= THRESHOLD)
-    best = scored.groupBy(*line).agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("template"))).alias("best"))
-    own = best.groupBy("path_").agg(F.min("best").alias("best"), F.sum("said_words").alias("said_words"), F.max("words").alias("words"))
+    line = ["path_", "words", "line", "said_words"]
+
+    def matches(said: DataFrame, model: DataFrame, shared: int = 1) -> DataFrame:
+        """Best template of each row of `line` and bag that has one."""
+        word = said.select(*line, "said", F.explode(F.filter("bag", lambda w: F.array_contains(content, w))).alias("word"))
+        word = word.groupBy(*line, "said", "word").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "word").withColumn("weight", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.struct(F.col("weight"))["weight"] * F.col("weight")).over(Window.partitionBy(*line, "said")))
+        scored = word.withColumn("norm", norm).join(F.broadcast(model), "word").groupBy(*line, "said", "template").agg((F.sum(F.col("weight") * F.col("share")) / F.first("norm")).alias("score"), F.count("*").alias("shared"))
+        scored = scored.withColumn("score", F.round("score", 9)).where((F.col("score") >= THRESHOLD) & (F.col("shared") >= shared))
+        return scored.groupBy(*line, "said").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("template"))).alias("best"))
+
+    own = matches(stated, model).groupBy("path_").agg(F.min("best").alias("best"), F.sum("said_words").alias("said_words"), F.max("words").alias("words"))
+    own = written(own, "lines")
+
+    # windows of the other files, of template words only; few have enough of them to leave their row
+    heard = rows.select("path_", F.transform(F.split("text_", "\n"), lambda x: F.struct(F.size(_tokens(x)).alias("n"), F.filter(_tokens(x), lambda w: F.array_contains(content, w)).alias("bag"))).alias("heard"))
+    some = F.filter(F.sequence(F.lit(1), F.size("heard")), lambda i: F.size(F.element_at("heard", i)["bag"]) > 0)
+    size = F.sequence(F.lit(1), F.lit(WINDOW))
+
+    def window(i: Column, k: Column) -> Column:
+        part = F.slice("heard", i, k)
+        return F.struct(i.alias("line"), k.alias("k"), F.aggregate(part, F.lit(0), lambda n, x: n + x["n"]).alias("said_words"), F.flatten(F.transform(part, lambda x: x["bag"])).alias("bag"))
+
+    windows = F.flatten(F.transform(some, lambda i: F.transform(size, lambda k: window(i, k))))
+    windows = F.filter(windows, lambda x: F.size(F.array_distinct(x["bag"])) >= SHARED)
+    total_words = F.aggregate("heard", F.lit(0), lambda n, x: n + x["n"]).alias("words")
+    wide = heard.select("path_", total_words, F.explode(windows).alias("x")).select("path_", "words", "x.line", "x.said_words", F.col("x.k").alias("said"), "x.bag").dropDuplicates(["path_", "line", "said", "said_words", "bag"])
+    wide = wide.join(own.select("path_"), "path_", "left_anti")
+    wide = matches(wide, headers, SHARED).groupBy("path_").agg(F.min(F.struct("best", "said_words", "words")).alias("x")).select("path_", "x.best", F.col("x.said_words").cast("long").alias("said_words"), "x.words")
+    own = own.unionByName(wide)
     name = F.regexp_extract("path_", "([^/]*)$", 1)
     is_file = name.rlike(LICENSE_NAME) | (F.col("said_words") >= FILE_SHARE * F.col("words"))
     own = written(own.select("path_", F.col("best.template").alias("licence"), (-F.col("best.minus")).alias("score"), is_file.alias("is_file")), "own")

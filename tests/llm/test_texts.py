@@ -183,6 +183,17 @@ def test_licences(spark):
     assert licenses.scan(table.limit(0), keep=("id",)).collect() == []
 
 
+def test_licences_of_wrapped_statements(spark):
+    texts = [
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n" + "code\n" * 300,
+        "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + "code\n" * 300,
+        "This is free and unencumbered software released into the public domain.\n" + "code\n" * 300, "Distributed under CC BY 4.0.\n" + "code\n" * 300, "the public source of a version\n" * 50, *["plain words of code"] * 40,
+    ]
+    table = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(texts)], "path string, text string")
+    found = {r["path"]: (r["licence"], r["found"]) for r in licenses.scan(table).where("licence is not null").collect()}
+    assert found == {"d0/x": ("MPL-2.0", "header"), "d1/x": ("BSD-3-Clause", "header"), "d2/x": ("Unlicense", "header"), "d3/x": ("CC-BY-4.0", "header")}
+
+
 def _labelled(spark, n=400, seed=6):
     """Prose, a third of it repetitive (quality 0), a fifth with insults (toxic 1)."""
     rng = random.Random(seed)
