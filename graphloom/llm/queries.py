@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, language_model, licenses, near_dups, quality, secrets, toxicity, vptree, warc
+from graphloom.llm import bpe, decontaminate, language_model, license_texts, licenses, near_dups, quality, secrets, toxicity, vptree, warc
 from graphloom.llm.sampling import fold
 from graphloom.session import table
 
@@ -65,37 +65,47 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents, stated or inherited; a document's path is source/lang/doc_id."""
+    """Licences of all documents, stated or inherited.
+
+    The shorter a document, the higher its path: source/id below 400 characters, source/lang/id below 1,500,
+    else source/lang/group/id, so that directories at three depths have ancestors.
+    """
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    size = F.length(F.coalesce("text", F.lit("")))
+    group = F.concat(F.lit("g"), (F.col("doc_id") % 16).cast("string"))
+    folders = F.when(size < 400, F.array(F.lit(None).cast("string"))).when(size < 1500, F.array(F.coalesce("lang", F.lit("unknown")))).otherwise(F.array(F.coalesce("lang", F.lit("unknown")), group))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), folders, F.col("doc_id").cast("string"))
     return licenses.scan(docs.withColumn("path", path), keep=("doc_id",))
 
 
 def _op8_sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in licenses.STOP)
-    listed = ", ".join(f"('{name}', '{words.lower()}')" for name, words in licenses.TEMPLATES.items())
-    tokens = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+    listed = ", ".join(f"({k}, '{t.licence}', {sorted(set(licenses.words(t.must)))}, {licenses.words(t.statement)})" for k, t in enumerate(license_texts.ALL))
+    tokens = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
     return f"""
-WITH t AS (SELECT * FROM (VALUES {listed}) AS v(template, words)),
-tw AS (SELECT template, word, count(*) AS tf FROM (SELECT template, unnest({tokens.format("words")}) AS word FROM t) WHERE word NOT IN ({stop}) GROUP BY ALL),
-voc AS (SELECT DISTINCT word FROM tw),
-f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'), CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown')) AS dir, coalesce(source, 'unknown') AS top, coalesce(text, '') AS text FROM documents),
-df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT path, unnest({tokens.format("text")}) AS word FROM f) WHERE word IN (SELECT word FROM voc) GROUP BY word),
-idf AS (SELECT word, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (word)),
-tm AS (SELECT template, word, tf * idf AS weight FROM tw JOIN idf USING (word)),
+WITH t AS (SELECT * FROM (VALUES {listed}) AS v(template, licence, must, bag)),
+voc AS (SELECT DISTINCT unnest(list_concat(bag, must)) AS word FROM t),
+f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'unknown'), CASE WHEN length(coalesce(text, '')) >= 400 THEN coalesce(lang, 'unknown') END, CASE WHEN length(coalesce(text, '')) >= 1500 THEN 'g' || doc_id % 16 END) AS dir FROM documents),
+w AS (SELECT *, dir || '/' || doc_id AS path, {tokens.format("text")} AS bag FROM f),
+df AS (SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(bag)) AS word FROM w) WHERE word IN (SELECT word FROM voc) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM w)) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (word)),
+tm AS (SELECT template, word, count(*) * any_value(idf) AS weight FROM (SELECT template, unnest(bag) AS word FROM t) JOIN idf USING (word) GROUP BY ALL),
 tn AS (SELECT template, sqrt(sum(weight * weight)) AS norm FROM tm GROUP BY template),
-lines AS (SELECT path, line, said, len({tokens.format("text")}) AS words FROM (SELECT path, text, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f) WHERE regexp_matches(lower(said), '{licenses.CANDIDATE}')),
-lw AS (SELECT path, line, word, count(*) AS tf FROM (SELECT path, line, unnest({tokens.format("said")}) AS word FROM lines) WHERE word IN (SELECT word FROM voc) GROUP BY ALL),
-lv AS (SELECT path, line, word, tf * idf AS weight FROM lw JOIN idf USING (word)),
-ln_ AS (SELECT path, line, sqrt(sum(weight * weight)) AS norm FROM lv GROUP BY ALL),
-sc AS (SELECT path, line, template, round(sum(lv.weight * tm.weight) / (any_value(ln_.norm) * any_value(tn.norm)), 9) AS score FROM lv JOIN tm USING (word) JOIN ln_ USING (path, line) JOIN tn USING (template) GROUP BY ALL),
-best AS (SELECT path, line, max(score) AS score, arg_min(template, (-score, template)) AS template FROM sc WHERE score >= {licenses.THRESHOLD} GROUP BY ALL),
-own AS (SELECT path, max(score) AS score, arg_min(template, (-score, template)) AS licence, sum(len({tokens.format("said")})) >= {licenses.FILE_SHARE} * max(words) AS is_file FROM best JOIN lines USING (path, line) GROUP BY path),
-given AS (SELECT dir, max(score) AS score, arg_min(own.path, (-score, own.path)) AS path, arg_min(licence, (-score, own.path)) AS licence FROM own JOIN f USING (path) WHERE is_file GROUP BY dir)
-SELECT doc_id, f.path, coalesce(own.licence, given.licence) AS licence, coalesce(own.score, given.score) AS score,
-CASE WHEN own.licence IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN given.licence IS NOT NULL THEN 'inherited' END AS found,
-CASE WHEN own.licence IS NOT NULL THEN f.path ELSE given.path END AS from_path
-FROM f LEFT JOIN own USING (path) LEFT JOIN given ON given.dir = f.dir
+ls AS (SELECT path, len(bag) AS n_words, bag AS whole, list_transform(string_split(text, chr(10)), lambda x: {tokens.format("x")}) AS bags, list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.COMMENT}')), false) AS head FROM w),
+win AS (SELECT path, n_words, bags, unnest(range(1, len(bags) + 1)) AS line FROM ls),
+units AS (SELECT path, n_words, 0 AS kind, 0 AS line, 0 AS size, whole AS bag FROM ls UNION ALL SELECT path, n_words, 1, 0, 0, flatten(bags[1 : head - 1]) FROM ls WHERE head > 1
+UNION ALL SELECT path, n_words, 2, line, k, flatten(bags[line : line + k - 1]) FROM win, unnest(range(1, {licenses.WINDOW} + 1)) AS r(k)),
+u AS (SELECT path, n_words, kind, line, size, bag FROM units WHERE list_has_any(bag, (SELECT list(DISTINCT m) FROM (SELECT unnest(must) AS m FROM t)))),
+uw AS (SELECT path, n_words, kind, line, size, word, count(*) AS tf, count(*) * any_value(idf) AS weight FROM (SELECT path, n_words, kind, line, size, unnest(bag) AS word FROM u) JOIN idf USING (word) GROUP BY ALL),
+un AS (SELECT path, kind, line, size, sum(tf) AS said, sqrt(sum(weight * weight)) AS norm FROM uw GROUP BY ALL),
+sc AS (SELECT path, uw.n_words, kind, line, size, template, any_value(said) AS said, round(sum(uw.weight * tm.weight) / (any_value(un.norm) * any_value(tn.norm)), 9) AS score, list(uw.word) AS held FROM uw JOIN tm USING (word) JOIN un USING (path, kind, line, size) JOIN tn USING (template) GROUP BY ALL),
+own AS (SELECT path, max(score) AS score, arg_min(licence, (-score, licence, said)) AS licence, arg_min(said, (-score, licence, said)) >= {licenses.FILE_SHARE} * any_value(n_words) AS is_file FROM sc JOIN t USING (template) WHERE score >= {licenses.THRESHOLD} AND list_has_all(held, must) GROUP BY path),
+given AS (SELECT dir, max(score) AS score, arg_min(own.path, (-score, own.path)) AS path, arg_min(licence, (-score, own.path)) AS licence FROM own JOIN w USING (path) WHERE is_file GROUP BY dir),
+above AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1 : depth], '/') AS up FROM (SELECT DISTINCT dir FROM w), unnest(range(0, 4)) AS r(depth)),
+near AS (SELECT above.dir, arg_max(given.score, depth) AS score, arg_max(given.path, depth) AS path, arg_max(licence, depth) AS licence FROM above JOIN given ON given.dir = above.up WHERE depth <= len(string_split(above.dir, '/')) GROUP BY above.dir)
+SELECT doc_id, w.path, coalesce(own.licence, near.licence) AS licence, coalesce(own.score, near.score) AS score,
+CASE WHEN own.licence IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN near.licence IS NOT NULL THEN 'inherited' END AS found,
+CASE WHEN own.licence IS NOT NULL THEN w.path ELSE near.path END AS from_path
+FROM w LEFT JOIN own USING (path) LEFT JOIN near ON near.dir = w.dir
 """
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, language_model, licenses, quality, secrets, toxicity
+from graphloom.llm import bpe, decontaminate, language_model, license_texts, licenses, quality, secrets, toxicity
 from graphloom.llm.sampling import fold
 
 P = pytest.importorskip("public_tokenizers")
@@ -183,15 +183,30 @@ def test_licences(spark):
     assert licenses.scan(table.limit(0), keep=("id",)).collect() == []
 
 
-def test_licences_of_wrapped_statements(spark):
-    texts = [
-        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n" + "code\n" * 300,
-        "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + "code\n" * 300,
-        "This is free and unencumbered software released into the public domain.\n" + "code\n" * 300, "Distributed under CC BY 4.0.\n" + "code\n" * 300, "the public source of a version\n" * 50, *["plain words of code"] * 40,
-    ]
-    table = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(texts)], "path string, text string")
-    found = {r["path"]: (r["licence"], r["found"]) for r in licenses.scan(table).where("licence is not null").collect()}
-    assert found == {"d0/x": ("MPL-2.0", "header"), "d1/x": ("BSD-3-Clause", "header"), "d2/x": ("Unlicense", "header"), "d3/x": ("CC-BY-4.0", "header")}
+def test_licences_of_real_headers_and_files(spark):
+    """Openings and whole texts as their publishers word them, wrapped, in comments, and amid other lines."""
+    t = {(x.licence, len(x.statement)): x.statement for x in license_texts.TEMPLATES}
+    longest = lambda name: max((s for (n, _), s in t.items() if n == name), key=len)
+    mit, bsd2, bsd3 = (f"Copyright (c) 2019 Jane Roe\n\n{longest(n)}" for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
+    code = "\nimport os\nvalue = os.getcwd()\n" * 300
+    comment = lambda text, mark: "\n".join(f"{mark} {x}" for x in text.strip().split("\n"))
+    expected = {
+        "a/LICENSE": ("MIT License\n\n" + mit, "MIT", "file"),
+        "b/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", "Apache-2.0", "file"),
+        "c/UNLICENSE": (longest("Unlicense"), "Unlicense", "file"), "d/LICENSE": (bsd2, "BSD-2-Clause", "file"), "e/LICENSE": (bsd3, "BSD-3-Clause", "file"), "e2/LICENSE": (longest("ISC"), "ISC", "file"),
+        "f/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n", "GPL-3.0", "file"),
+        "g/m.c": ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */" + code, "MPL-2.0", "header"),
+        "h/b.go": ("// Copyright 2020 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + code, "BSD-3-Clause", "header"),
+        "i/u.py": ("This is free and unencumbered software released into the public domain.\n" + code, "Unlicense", "header"),
+        "j/m.py": (comment(mit, "#") + code, "MIT", "header"), "k/a.py": (comment(longest("Apache-2.0"), "#") + code, "Apache-2.0", "header"), "l/g.c": (comment(longest("GPL-3.0"), " *") + code, "GPL-3.0", "header"),
+        "m/s.rs": ("// SPDX-License-Identifier: MIT OR Apache-2.0\n" + code, ("Apache-2.0", "MIT"), "header"), "n/s.c": ("/* SPDX-License-Identifier: GPL-2.0-only */\n" + code, "GPL-2.0", "header"), "o/l.c": (comment(longest("LGPL-2.1"), "//") + code, "LGPL-2.1", "header"),
+    }
+    plain = {"p/LICENSE": "SPDX-License-Identifier: WTFPL\n", "q/x.py": "the public source of a version, license of software\n" * 50, "r/LICENSE": "All rights reserved. Nobody may copy this.\n", "s/x.de": "Die Lizenz kommt mit dem Haus\n" * 9}
+    texts = [(k, v[0]) for k, v in expected.items()] + list(plain.items()) + [(f"z/{i}", "plain words of code and prose") for i in range(40)]
+    found = {r["path"]: (r["licence"], r["found"]) for r in licenses.scan(spark.createDataFrame(texts, "path string, text string")).collect()}
+    for k, (_, licence, kind) in expected.items():
+        assert found[k][0] in (licence if isinstance(licence, tuple) else (licence,)) and found[k][1] == kind, (k, found[k])
+    assert all(found[k] == (None, None) for k in plain)
 
 
 def _labelled(spark, n=400, seed=6):
