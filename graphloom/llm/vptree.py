@@ -1,9 +1,10 @@
 """Nearest neighbours by vantage-point trees per shard.
 
-Rows fall into shards by a hash of their id, each with a tree over unit vectors, on which Euclidean
+Rows fall into shards of about SHARD_BYTES by a hash of their id, each with a tree over unit vectors, on which Euclidean
 distance orders like cosine. A subtree is skipped if the triangle inequality keeps it farther than the
 best found so far divided by `factor`: 1 is exact, larger values skip more. Queries stream through each
-shard's tree in blocks, so neither side is ever held whole; shards' results meet in a top-k by query.
+shard's tree in blocks, so neither side is ever held whole; shards' results meet in a top-k by query. Where
+there are fewer shards than cores, a shard's queries are dealt to several tasks that hold it.
 
 Distances are rounded, so the trees only propose: every row within a query's k-th distance and the rounding,
 however many tie there, is scored in double precision, and score and id decide.
@@ -13,7 +14,7 @@ its k nearest, so nothing is lost however many copies a vector has.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without an
 id, take no part; vectors of another length than the query's are no candidates of it; repeated rows of
-one id and vector count once; ties go to the smaller id; fewer candidates than k give fewer rows; an
+one id count once, with the least of their vectors if they differ; ties go to the smaller id; fewer candidates than k give fewer rows; an
 empty table gives an empty result; extra columns may have any name.
 """
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from graphloom.session import written
 
-SHARD_ROWS = 2048
-LEAF = 48
+#: Bytes of a shard's vectors, in double precision.
+SHARD_BYTES = 32 << 20
+LEAF = 96
 #: Queries searched together.
 BLOCK = 1024
 #: Candidates kept beyond k; queries with more rows than these within the rounding are searched again for all of them.
@@ -69,7 +71,11 @@ class Tree:
         self.row = np.full((len(unit), keep), -1)
         self.query, self.own, self.factor = unit, own, factor
         if len(self.unit):
-            self._visit(self.root, np.arange(len(unit)))
+            # first each query's own leaf, for a bound; then every node once, with all queries that it may serve
+            self._visit(self.root, np.arange(len(unit)), True)
+            self.limit = self.best[:, -1].copy()
+            self.best[:], self.row[:] = np.inf, -1
+            self._visit(self.root, np.arange(len(unit)), False)
         return self.best, self.row
 
     def within(self, unit: np.ndarray, own: np.ndarray, limit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +110,7 @@ class Tree:
         self.best[q] = np.take_along_axis(every, order, 1)
         self.row[q] = np.where(np.isinf(self.best[q]), -1, np.take_along_axis(names, order, 1))
 
-    def _visit(self, node, q: np.ndarray) -> None:
+    def _visit(self, node, q: np.ndarray, home: bool) -> None:
         if not len(q):
             return
         if isinstance(node, np.ndarray):
@@ -114,13 +120,12 @@ class Tree:
         point, radius, inner, outer = node
         far = self._distance(self.query[q], self.unit[point][None, :])
         self._offer(q, np.array([point]), far)
-        far = far[:, 0]
-        inside = far <= radius
-        self._visit(inner, q[inside])
-        self._visit(outer, q[~inside])
-        reach = self.best[q, -1] / self.factor + ROUNDING
-        self._visit(outer, q[inside & (radius - far <= reach)])
-        self._visit(inner, q[~inside & (far - radius <= reach)])
+        gap = far[:, 0] - radius
+        self._visit(inner, q[gap <= (0 if home else self._reach(q))], home)
+        self._visit(outer, q[gap > 0 if home else -gap <= self._reach(q)], home)
+
+    def _reach(self, q: np.ndarray) -> np.ndarray:
+        return np.minimum(self.limit[q], self.best[q, -1]) / self.factor + ROUNDING
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -151,18 +156,20 @@ def _found(tree: Tree, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(own[q[order]]), pa.array(found[order]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", column: str = "embedding", factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", column: str = "embedding", factor: float = 1.0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row that is_query selects."""
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), is_query.alias("asked")).where(F.col("id").isNotNull() & good)
+    rows = written(rows.groupBy("id").agg(F.min("v").alias("v"), F.bool_or("asked").alias("asked")), "vectors")
     # of equal vectors only the smallest ids can be found; tasks drop the others before the shuffle
     copy = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
-    reps = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "v").dropDuplicates()
-    reps = written(reps, "vectors")
-    shards = max(1, -(-reps.count() // shard_rows))
-    stored = reps.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where("asked").select("id", "v").dropDuplicates()
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    reps = written(rows.select("id", "v").withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "candidates")
+    shards = max(1, -(-8 * (reps.agg(F.sum(F.size("v"))).first()[0] or 0) // shard_bytes))
+    deals = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // shards))
+    cell = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int") * deals
+    stored = reps.select(F.explode(F.sequence(cell, cell + (deals - 1))).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(deals)).cast("int")
+    asked = rows.where("asked").select(F.explode(F.sequence(deal, deal + (shards - 1) * deals, F.lit(deals))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, trees = None, [], {}
@@ -187,7 +194,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", c
                         for at in range(0, len(ids), BLOCK):
                             yield _found(*trees[size], vs[at : at + BLOCK], ids[at : at + BLOCK], k, factor)
 
-    both = stored.unionByName(asked).repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "kind")
+    both = stored.unionByName(asked).repartition(min(shards * deals, 10_000), "shard").sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
