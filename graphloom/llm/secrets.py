@@ -1,7 +1,7 @@
 """Secret scans: exact base patterns, then zstandard novelty primed with dictionaries.
 
 Base spans are leftmost non-overlapping matches per kind. The method adds `novel` spans: strings in a
-sensitive context (a key word shortly before them) whose marginal compressed size, given the text
+sensitive context (a key word shortly before or after them) whose marginal compressed size, given the text
 around them and a dictionary of common identifiers as zstandard dictionary, stays close to their
 length. Strings of digits, of letters and of both are measured alike; of those without digits, words (most of
 whose pairs of letters are PAIRS) are no secrets. The compressor takes a string in
@@ -9,14 +9,16 @@ pieces too short for coding by letter frequency, which shortens random strings o
 with what precedes it in the dictionary, so only repetition counts. Offsets are code points, ends exclusive.
 
 Defined results: a null text counts as empty and has no spans; rows are independent, so repeated
-rows, empty tables and very long texts need nothing special; only the columns asked for are carried,
+rows and empty tables need nothing special, and the time of a text grows with its length; only the columns asked for are carried,
 so extra columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -57,7 +59,7 @@ PAIRS = frozenset(
 )
 WORDY = 0.45
 
-#: Code points before a candidate in which a sensitive word counts, and those around it that prime the dictionary.
+#: Code points before and after a candidate in which a sensitive word counts, and those around it that prime the dictionary.
 REACH, AROUND = 64, 1024
 #: A candidate is novel from this share of its length in marginal bytes on.
 NOVEL_SHARE = 0.75
@@ -89,6 +91,40 @@ def is_novel(token: bytes, around: bytes) -> bool:
     return sum(marginal_bytes(token[x:y], around + token[max(0, x - AROUND) : x]) for x, y in zip(cuts, cuts[1:], strict=False)) >= NOVEL_SHARE * len(token)
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Strings within REACH after a sensitive word, then those within REACH before one, none twice; words aren't among them."""
+    words = list(CONTEXT.finditer(text))
+    reached, seen = 0, set()
+    for word in words:
+        for m in CANDIDATE.finditer(text, max(word.end(), reached), word.end() + REACH + 16):
+            begin = m.start()
+            if begin > word.end() + REACH:
+                break
+            m = CANDIDATE.match(text, begin)  # the whole token, beyond the reach too
+            reached = m.end()
+            seen.add(reached)
+            if not _wordy(m[0]):
+                yield m.span()
+    starts = [word.start() for word in words]
+    for m in CANDIDATE.finditer(text):
+        near = bisect_left(starts, m.end())
+        if near < len(starts) and starts[near] <= m.end() + REACH and m.end() not in seen and not _wordy(m[0]):
+            yield m.span()
+
+
+class _Taken:
+    """Whether a stretch of text touches any of some spans."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        by_start = sorted((begin, end) for _, begin, end in spans)
+        self.starts = [begin for begin, _ in by_start]
+        self.ends = list(accumulate((end for _, end in by_start), max))
+
+    def __call__(self, begin: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > begin
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of one text, by start, then kind as listed."""
     raw = text.encode().lower()
@@ -101,18 +137,11 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if _RUN in raw.translate(_HEX_CLASS):
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(word in raw for word in SENSITIVE_BYTES):
-        reached = 0
-        for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, max(word.end(), reached), word.end() + REACH + 16):
-                begin = m.start()
-                if begin > word.end() + REACH or begin < reached:
-                    break
-                m = CANDIDATE.match(text, begin)  # the whole token, beyond the reach too
-                reached = m.end()
-                if not _wordy(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in found):
-                    around = text[max(0, begin - AROUND) : begin] + text[m.end() : m.end() + AROUND]
-                    if is_novel(m[0].encode(), around.encode()):
-                        found.append(("novel", *m.span()))
+        taken = _Taken(found)
+        for begin, end in _candidates(text):
+            around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
+            if not taken(begin, end) and is_novel(text[begin:end].encode(), around.encode()):
+                found.append(("novel", begin, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +117,27 @@ def test_novel_strings_of_any_letters_and_length():
         assert not any(k == "novel" for k, *_ in secrets.spans(f"my bearer {dull} is here")), dull
 
 
+def test_novel_strings_before_their_word():
+    key = "Xk29fLq0ZpW7vTn31bQ8sYd4"
+    assert secrets.spans(f"{key} is the password") == [("novel", 0, 24)]
+    assert secrets.spans(f"{key} is {'far ' * 20}from the password") == []
+    assert secrets.spans(f"password {key} is the password") == [("novel", 9, 33)]
+
+
+def test_spans_of_a_long_text_take_linear_time():
+    rng = random.Random(5)
+    line = lambda: f"token: {''.join(rng.choice('abcdef0123456789XYZ') for _ in range(24))} password={rng.randrange(10**12)}\n"
+    short = "".join(line() for _ in range(2_000))
+    long = "".join(line() for _ in range(16_000))  # nearly a megabyte
+    seconds = []
+    for text in (short, long):
+        began = time.process_time()
+        found = secrets.spans(text)
+        seconds.append(time.process_time() - began)
+        assert len(found) == 2 * text.count("\n")
+    assert seconds[1] < 24 * seconds[0] + 1
+
+
 def test_redaction(spark):
     text = "a password=abcdefgh1 b " + "0a" * 16
     assert secrets.redacted(text, secrets.spans(text)) == "a [ASSIGN] b [HEX]"
