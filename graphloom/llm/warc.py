@@ -7,11 +7,22 @@ is the response; the others are revisits that refer to it.
 
 Reader: tasks get byte ranges of the files. A task looks for gzip magic from its start on, takes a
 position for a record only if inflating it gives a WARC header, and owns every record that starts in its
-range, wherever it ends.
+range, wherever it ends. Records must follow each other without a gap, from a file's first byte to its last,
+and each task checks that where its last record ends the next one starts: a file of another size than the
+manifest's, a damaged or truncated member, bytes between members and a response that differs from its
+digest raise, so nothing is lost in silence.
+
+Archives of others: header names may have any case; warcinfo, request, metadata, resource and conversion
+records are returned with their block as payload; a response without an HTTP Content-Length has the length
+that it has; without a SHA-1 of the payload in the header it is computed; ids that aren't ours are returned
+as the URIs that they are. `listed` makes a manifest of a folder's files.
+
+Folders are opened through pyarrow: local paths, hdfs:// and s3:// (also as s3a:// and s3n://) work.
 
 Defined results: a null payload counts as empty; a record without id is a revisit if an equal payload
 has an id, else a response; records with one id and payload are all responses, as are payloads below
-the limit; a null URL becomes an empty one; an empty table gives no file and no records.
+the limit; a null URL becomes an empty one; an empty table gives no file and no records; only the three
+named columns are used, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,6 +46,8 @@ FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
+#: How every record begins.
+HEADER = b"WARC/1."
 #: Rows of the table of repeated payloads that may be broadcast; beyond it the join shuffles.
 BROADCAST_GROUPS = 200_000
 URN = "urn:graphloom:record:"
@@ -64,24 +77,38 @@ def record(record_id: str | None, url: str | None, payload: bytes, date: str, re
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def referred(pages: DataFrame, key: str, payload: str, least_bytes: int) -> DataFrame:
-    """The pages with `refers_to`: the id of the response that a page revisits, else null."""
-    text = F.coalesce(F.col(payload), F.lit(""))
-    digest = F.when(F.octet_length(text) >= least_bytes, F.sha1(text))
+def referred(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """Pages (id, url, payload) with `refers_to`: the id of the response that a page revisits, else null."""
+    digest = F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload"))
     # counted and reduced in the tasks first; only payloads that repeat go on
-    groups = pages.select(digest.alias("digest_"), F.col(key).alias("first_")).where("digest_ is not null").groupBy("digest_").agg(F.min("first_").alias("first_"), F.count("*").alias("n_"))
-    groups = written(groups.where("n_ > 1 and first_ is not null").drop("n_"), "repeats")
+    groups = pages.select(digest.alias("digest"), "id").where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 and first is not null"), "repeats")
+    found = pages.withColumn("digest", digest)
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    found = pages.withColumn("digest_", digest).join(groups, "digest_", "left")
-    return found.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("first_")), F.col("first_"))).drop("digest_", "first_")
+        found = found.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        # the most frequent payloads stay where they are, so that no hot one is shuffled; the others meet by digest
+        hot = written(groups.orderBy(F.desc("n"), "digest").limit(BROADCAST_GROUPS).select("digest", F.col("first").alias("hot")), "hot")
+        found = found.join(F.broadcast(hot), "digest", "left")
+        rest = groups.join(F.broadcast(hot), "digest", "left_anti").select("digest", "first")
+        settled = found.where("digest is null or hot is not null").withColumn("first", F.col("hot"))
+        found = settled.unionByName(found.where("digest is not null and hot is null").join(rest, "digest", "left"))
+    return found.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+
+
+def _system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path of a folder or file."""
+    scheme, _, rest = uri.partition("://")
+    if not rest:
+        return pafs.LocalFileSystem(), uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> DataFrame:
     """Writes the archive and returns its manifest (path, size, records), itself kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = _system(folder)
         system.create_dir(root, recursive=True)
         out, path, size, count = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -104,7 +131,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         paths, sizes, counts = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["path", "size", "records"])
 
-    rows = referred(pages, key, payload, least_bytes).select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(payload).cast("string"), F.col("refers_to").cast("string"))
+    three = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    rows = referred(three, least_bytes).select(F.col("id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
     return written(rows.mapInArrow(run, "path string, size long, records long"), "manifest")
 
 
@@ -121,7 +149,10 @@ def _pieces(file, window: memoryview, base: int, at: int, size: int) -> Iterator
 
 
 def _member(pieces: Iterator[bytes | memoryview]) -> tuple[bytes, int] | None:
-    """The record of the gzip member that these bytes start with and the member's length, if it is one."""
+    """The record of the gzip member that these bytes start with and the member's length; none if it is no record.
+
+    A record that can't be inflated to its end raises.
+    """
     inflate, out, known, fed = zlib.decompressobj(31), b"", False, 0
     parts: list[bytes] = []
     try:
@@ -132,71 +163,115 @@ def _member(pieces: Iterator[bytes | memoryview]) -> tuple[bytes, int] | None:
             else:
                 # the header decides whether this is a record; magic inside compressed bytes fails here
                 out += inflate.decompress(piece, 1024)
-                if not b"WARC/1.".startswith(out[:7]):
+                if not HEADER.startswith(out[: len(HEADER)]):
                     return None
-                if known := len(out) >= 7:
+                if known := len(out) >= len(HEADER):
                     parts = [out, inflate.decompress(inflate.unconsumed_tail) if inflate.unconsumed_tail else b""]
             if inflate.eof:
                 return (b"".join(parts), fed - len(inflate.unused_data)) if known else None
-    except zlib.error:
-        pass
+    except zlib.error as e:
+        if known:
+            raise ValueError(f"a damaged record: {e}") from e
+        return None
+    if known:
+        raise ValueError("a record is cut off")
     return None
 
 
 def records_in(file, begin: int, end: int, size: int) -> Iterator[bytes]:
-    """Inflated records that start in [begin, end) of a file."""
+    """Inflated records that start in [begin, end) of a file of `size` bytes; raises where one is missing."""
     data = file.read_at(min(end + len(MAGIC) - 1, size) - begin, begin)
-    at = data.find(MAGIC)
+    view, at, due = memoryview(data), data.find(MAGIC), 0 if begin == 0 else None
     while at >= 0:
-        found = _member(_pieces(file, memoryview(data), begin, at, size))
-        if found is not None:
-            yield found[0]
-        at = data.find(MAGIC, at + (1 if found is None else found[1]))
-
-
-def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int, bytes]:
-    """WARC headers, HTTP header, length of the full payload, and the payload that the record holds."""
+        found = _member(_pieces(file, view, begin, at, size))
+        if found is None:
+            at = data.find(MAGIC, at + 1)
+            continue
+        if due is not None and at != due:
+            break
+        yield found[0]
+        due = at + found[1]
+        at = data.find(MAGIC, due) if due < len(data) else -1
+    if due is not None and begin + due < size and (begin + due < end or _member(_pieces(file, view, begin, due, size)) is None):
+        raise ValueError(f"no record at byte {begin + due}")
+
+
+def parsed(raw: bytes) -> tuple[dict[str, str], int | None, bytes]:
+    """WARC headers (lower-case names), length of the full payload (none if unknown), and the payload that the record holds."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    if fields.get("warc-type") not in ("response", "revisit") or not block.startswith(b"HTTP/"):
+        return fields, len(block), block
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x[16:]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
-    return fields, http, length, payload
+    if fields["warc-type"] == "response":
+        return fields, len(payload), payload
+    stated = _fields(http).get("content-length", "")
+    return fields, int(stated) if stated.isdigit() else None, payload
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields below the first line, by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            found.setdefault(name.strip().lower(), value.strip())
+    return found
 
 
 _ROW = T.StructType([T.StructField(c, T.StringType()) for c in ("record_id", "url", "record_type", "refers_to", "payload_digest")] + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
-def _urn(value: str | None) -> str | None:
-    return urllib.parse.unquote(value[len(URN) + 1 : -1]) or None if value else None
+def _id(value: str | None) -> str | None:
+    """The id in a record's URI: ours bare, others whole."""
+    bare = (value or "").removeprefix("<").removesuffix(">")
+    return (urllib.parse.unquote(bare[len(URN) :]) if bare.startswith(URN) else bare) or None
 
 
-def read(spark: SparkSession, manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """Every record of the files of a manifest (path, size): headers, full length and, if asked, payloads.
+def _row(raw: bytes, payloads: bool) -> tuple:
+    fields, length, payload = parsed(raw)
+    stated = fields.get("warc-payload-digest", "")
+    digest = stated[5:] if stated.lower().startswith("sha1:") else None
+    kind = fields.get("warc-type")
+    if kind != "revisit":
+        real = payload_digest(payload)
+        if kind == "response" and digest not in (None, real):
+            raise ValueError(f"the payload of {fields.get('warc-record-id')} doesn't match its digest")
+        digest = real
+    return (_id(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _id(fields.get("warc-refers-to")), digest, length, payload if payloads else None)
 
-    A response whose payload differs from its digest or length raises.
-    """
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest (path, size) of the archives in a folder that has none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select("path", F.col("length").alias("size"))
+
+
+def read(spark: SparkSession, manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
+    """Every record of the files of a manifest (path, size): headers, full length and, if asked, payloads."""
     steps = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
     ranges = manifest.where("size > 0").select("path", "size", F.explode(steps).alias("begin"))
     parts = max(1, min(100_000, manifest.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1))
     ranges = ranges.repartition(int(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = pafs.FileSystem.from_uri(folder)
+        system, _ = _system(folder)
         for batch in batches:
             for path, size, begin in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 rows, held = [], 0
-                with system.open_input_file(path) as file:
-                    for raw in records_in(file, begin, min(begin + range_bytes, size), size):
-                        fields, _, length, payload = parsed(raw)
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if fields["WARC-Type"] == "response" and (len(payload) != length or payload_digest(payload) != digest):
-                            raise ValueError(f"{path}: a response's payload doesn't match its header")
-                        rows.append((_urn(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], _urn(fields.get("WARC-Refers-To")), digest, length, payload if payloads else None))
-                        held += len(payload) * payloads + 200
-                        if held > 8 << 20:
-                            yield _batch(rows)
-                            rows, held = [], 0
+                with system.open_input_file(_system(path)[1]) as file:
+                    if file.size() != size:
+                        raise ValueError(f"{path}: {file.size()} bytes, {size} in the manifest")
+                    try:
+                        for raw in records_in(file, begin, min(begin + range_bytes, size), size):
+                            rows.append(_row(raw, payloads))
+                            held += len(rows[-1][-1] or b"") + 200
+                            if held > 8 << 20:
+                                yield _batch(rows)
+                                rows, held = [], 0
+                    except ValueError as e:
+                        raise ValueError(f"{path}: {e}") from e
                 if rows:
                     yield _batch(rows)
 

@@ -184,7 +184,7 @@ def _expected(pages, least):
 def test_archive_round_trip(spark, tmp_path, range_bytes, least):
     rng = random.Random(6)
     pages = PAGES + [(i, f"http://p/{i}", rng.choice(["hot"] * 3 + ["t" * rng.randint(0, 9000)])) for i in range(10, 60)]
-    frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, refers_to string").repartition(3)
+    frame = spark.createDataFrame([(*p, "z", 1, 2) for p in pages], "page_id long, url string, html string, refers_to string, digest int, first int").repartition(3)
     folder = f"file://{tmp_path}/w"
     manifest = warc.write(frame, folder, least_bytes=least)
     assert manifest.agg(F.sum("records")).first()[0] == len(pages)
@@ -206,3 +206,58 @@ def test_archive_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert manifest.count() == 0 and warc.read(spark, manifest, folder).collect() == []
+
+
+def test_hot_payloads_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 1)
+    pages = [(i, "u", f"p{i % 7 if i % 3 else 0}" if i != 11 else None) for i in range(1, 60)] + [(None, "u", "p0"), (None, "u", "p3")]
+    folder = f"file://{tmp_path}/w"
+    found = warc.read(spark, warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), folder), folder)
+    got = sorted(((r["record_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload"].decode() if r["record_type"] == "response" else None) for r in found.collect()), key=repr)
+    assert got == _expected(pages, 0)
+
+
+def _foreign(folder, damage=lambda raw: raw):
+    """An archive as other tools write it; damage changes its bytes."""
+    import gzip
+    import os
+
+    digest = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    records = [
+        "WARC/1.0\r\nWARC-Type: warcinfo\r\nwarc-record-id: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n",
+        "WARC/1.0\r\nWarc-Type: request\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n",
+        f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nwarc-payload-digest: sha1:{digest}\r\nCONTENT-LENGTH: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n",
+        "WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    ]
+    os.makedirs(folder)
+    members = [gzip.compress(r.encode()) for r in records]
+    with open(f"{folder}/a.warc.gz", "wb") as out:
+        out.write(damage(b"".join(members)))
+    return members
+
+
+def test_archives_of_others(spark, tmp_path):
+    folder = f"{tmp_path}/w"
+    _foreign(folder)
+    for size in (1 << 20, 50):
+        found = sorted(warc.read(spark, warc.listed(spark, folder), folder, range_bytes=size).collect())
+        assert [(r["record_id"], r["record_type"], r["payload_bytes"], r["payload"]) for r in found] == [("urn:uuid:1", "warcinfo", 4, b"info"), ("urn:uuid:2", "request", 18, b"GET / HTTP/1.1\r\n\r\n"), ("urn:uuid:3", "response", 4, b"body"), ("urn:uuid:4", "metadata", 0, b"")]
+
+
+@pytest.mark.parametrize("damage", [lambda raw: raw[:-9], lambda raw: raw[:200], lambda raw: raw[:150] + b"xx" + raw[152:], lambda raw: b"junk" + raw, lambda raw: raw + b"junk", lambda raw: raw.replace(b"\x1f\x8b", b"\x1f\x00", 1)])
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_damaged_archives_raise(spark, tmp_path, damage, size):
+    folder = f"{tmp_path}/w"
+    _foreign(folder, damage)
+    with pytest.raises(Exception, match="ValueError"):
+        warc.read(spark, warc.listed(spark, folder), folder, range_bytes=size).collect()
+
+
+def test_a_shorter_file_than_the_manifest_says_raises(spark, tmp_path):
+    folder = f"{tmp_path}/w"
+    members = _foreign(folder)
+    manifest = spark.createDataFrame(warc.listed(spark, folder).collect())
+    with open(f"{folder}/a.warc.gz", "r+b") as out:
+        out.truncate(sum(map(len, members[:2])))
+    with pytest.raises(Exception, match="in the manifest"):
+        warc.read(spark, manifest, folder).collect()
