@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.carry import pieces
+from graphloom.llm.hot import join_hot
 from graphloom.session import cut_lineage, written
 
 WORDS = 5
@@ -44,6 +45,8 @@ MARGIN = 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
 BROADCAST_IDS = 500_000
 #: Rounds with pivots before the prefix join, and shingles whose frequency orders its prefixes.
 ROUNDS, COMMON = 2, 1_000_000
+#: Members of a bucket, and holders of a shingle, that meet in one place; larger groups are dealt by salts.
+SPLIT = 500
 #: Words hashed once per task before the memo starts anew.
 MEMO = 100_000
 #: Shingles sketched together.
@@ -204,7 +207,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    def attached(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
+        # a pivot may be in very many pairs: they are dealt by salts, each with its set
+        salts = pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
+        dealt = sets.withColumnRenamed("cid", side).join(salts, side).select(side, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("set").alias(name))
+        return rows.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts"))).drop("salts").join(dealt, [side, "salt"]).drop("salt")
+
+    joined = attached(attached(pairs, "a", "b", "x"), "b", "a", "y")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -228,13 +237,17 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that pass the prefix, size and position bounds."""
+    """Pairs (a, b) of different components that pass the prefix, size and position bounds.
+
+    a is the smaller set: the sets of a pair share 2t / (1 + t) of it at least, so its prefix is the shorter one.
+    Holders of a frequent shingle are dealt by salts.
+    """
     common = sets.sparkSession.sparkContext.broadcast(_common(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = common.value
         for batch in batches:
-            cid, size, place, token = [], [], [], []
+            cid, size, place, token, salts = [], [], [], [], []
             for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(s, np.uint64)
                 n = len(s)
@@ -242,22 +255,26 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: float) -> DataF
                 if len(known):
                     at = np.searchsorted(known, s).clip(0, len(known) - 1)
                     weight = np.where(known[at] == s, count[at], 0)
-                prefix = s[np.lexsort((s, weight))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+                first = np.lexsort((s, weight))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+                prefix = s[first]
                 cid.append(np.full(len(prefix), c))
                 size.append(np.full(len(prefix), n))
                 place.append(np.arange(len(prefix)))
                 token.append(prefix.astype(np.int64))
+                salts.append(1 + weight[first] // SPLIT)
             if cid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cid, size, place)], names=["token", "cid", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cid, size, place, salts)], names=["token", "cid", "size", "place", "salts"])
 
-    rows = written(sets.select("cid", "set").mapInArrow(run, "token long, cid long, size long, place long").join(labels, "cid"), "prefixes")
-    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cid", "size", "place", "label")])
-    b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cid", "size", "place", "label")])
+    rows = written(sets.select("cid", "set").mapInArrow(run, "token long, cid long, size long, place long, salts long").join(labels, "cid"), "prefixes")
+    short = F.col("place") <= F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9)
+    salt = F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt")
+    a = rows.where(short).select("token", salt, *[F.col(c).alias(f"{c}_a") for c in ("cid", "size", "place", "label")])
+    b = rows.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("cid", "size", "place", "label")])
     shared = F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("cid_a") < F.col("cid_b")))
     left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     bound = smaller & (F.col("label_a") != F.col("label_b")) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (left >= shared)
-    pairs = a.join(b, (a["token"] == b["token"]) & bound)
+    pairs = a.join(b, (a["token"] == b["token"]) & (a["salt"] == b["salt"]) & bound)
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
@@ -287,23 +304,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     bands = _bands(classes)
     crowded = written(bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "buckets")
-    members = written(bands.join(crowded, "key"), "members")
+    members = join_hot(bands, crowded, "key", "many", "inner").withColumn("salts", 1 + F.floor(F.col("many") / SPLIT))
+    members = written(members, "members")
     mass = cut_lineage(members.groupBy("cid").agg(F.sum("many").alias("mass")))
     state = mass.withColumn("label", F.col("cid"))
     links, found = None, None
+    salt, every = F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
     for pivots in range(1, ROUNDS + 2):
-        active = members.join(state, "cid").select("key", "cid", "label", "mass")
-        open_ = active.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        active = written(active.join(open_, "key"), "active")
+        # what a bucket's members have in common goes to each of its salts, so no task gets a large bucket whole
+        active = members.join(state, "cid").select("key", salt, "cid", "label", "mass", "salts")
+        open_ = active.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi").select("key", every)
+        active = written(active.join(open_, ["key", "salt"]), "active")
         if active.isEmpty():
             break
         if pivots <= ROUNDS:
             # the most central members go first: they share more buckets with the others
             place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "cid"))
-            chosen = written(active.withColumn("place", place).where(F.col("place") <= pivots).select("key", "cid", "label"), "pivots")
-            pairs = chosen.select("key", F.col("cid").alias("p"), F.col("label").alias("p_label")).join(active, "key").where("p <> cid and p_label <> label")
+            chosen = written(active.withColumn("place", place).where(F.col("place") <= pivots).select("key", "cid", "label", "salts"), "pivots")
+            pairs = chosen.select("key", every, F.col("cid").alias("p"), F.col("label").alias("p_label")).join(active, ["key", "salt"]).where("p <> cid and p_label <> label")
             pairs = cut_lineage(pairs.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct())
-            members = active.select("key", "cid").join(chosen.select("key", "cid"), ["key", "cid"], "left_anti")
+            members = active.select("key", "cid", "salts").join(chosen.select("key", "cid"), ["key", "cid"], "left_anti")
             near = cut_lineage(_plausible(pairs, classes, least))
             sets = _sets(_ids(near.select(F.explode(F.array("a", "b")).alias("cid")), classes), docs, key, text)
         else:
@@ -323,13 +343,13 @@ def _ids(cids: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _result(sketches: DataFrame, classes: DataFrame, found: DataFrame | None, key: str) -> DataFrame:
     """Component ids of all rows; only classes with copies or links are joined."""
-    grouped = classes.where("copies > 1").select("digest", F.col("doc").alias("component"))
+    grouped = classes.where("copies > 1").select("digest", F.col("doc").alias("component"), "copies")
     if found is not None:
         linked = classes.join(found.withColumnRenamed("node", "cid"), "cid")
         least = linked.groupBy("label").agg(F.min("doc").alias("component"))
-        linked = linked.join(least, "label").select("digest", "component", "cid")
-        alone = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("digest", F.col("doc").alias("component"))
-        grouped = linked.select("digest", "component").unionByName(alone)
-    out = sketches.select("doc", "n", "digest").join(written(grouped, "components"), "digest", "left")
+        linked = linked.join(least, "label").select("digest", "component", "copies", "cid")
+        alone = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("digest", F.col("doc").alias("component"), "copies")
+        grouped = linked.select("digest", "component", "copies").unionByName(alone)
+    out = join_hot(sketches.select("doc", "n", "digest"), written(grouped, "components"), "digest", "copies")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc").isNull() | (F.col("doc") == component)).alias("kept"))

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.hot import join_hot
 from graphloom.session import scratch, written
 
 FILE_BYTES = 256 << 20
@@ -48,8 +49,6 @@ READ_BYTES = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 #: How every record begins.
 HEADER = b"WARC/1."
-#: Rows of the table of repeated payloads that may be broadcast; beyond it the join shuffles.
-BROADCAST_GROUPS = 200_000
 URN = "urn:graphloom:record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -83,16 +82,7 @@ def referred(pages: DataFrame, least_bytes: int) -> DataFrame:
     # counted and reduced in the tasks first; only payloads that repeat go on
     groups = pages.select(digest.alias("digest"), "id").where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     groups = written(groups.where("n > 1 and first is not null"), "repeats")
-    found = pages.withColumn("digest", digest)
-    if groups.count() <= BROADCAST_GROUPS:
-        found = found.join(F.broadcast(groups.drop("n")), "digest", "left")
-    else:
-        # the most frequent payloads stay where they are, so that no hot one is shuffled; the others meet by digest
-        hot = written(groups.orderBy(F.desc("n"), "digest").limit(BROADCAST_GROUPS).select("digest", F.col("first").alias("hot")), "hot")
-        found = found.join(F.broadcast(hot), "digest", "left")
-        rest = groups.join(F.broadcast(hot), "digest", "left_anti").select("digest", "first")
-        settled = found.where("digest is null or hot is not null").withColumn("first", F.col("hot"))
-        found = settled.unionByName(found.where("digest is not null and hot is null").join(rest, "digest", "left"))
+    found = join_hot(pages.withColumn("digest", digest), groups, "digest", "n")
     return found.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

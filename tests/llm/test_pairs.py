@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import near_dups, vptree, warc
+from graphloom.llm import hot, near_dups, vptree, warc
 
 
 def _brute_components(docs):
@@ -58,9 +58,12 @@ def _collection(n=420, seed=2):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_components_equal_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "split"), [(0, 500), (0, 3), (2, 500), (2, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, split):
     monkeypatch.setattr(near_dups, "ROUNDS", rounds)  # 0: the prefix join alone has to find all links
+    monkeypatch.setattr(near_dups, "SPLIT", split)  # 3: nearly all groups are dealt by salts
+    if split == 3:
+        monkeypatch.setattr(hot, "BROADCAST_KEYS", 5)
     docs = _collection()
     docs += [docs[20], (None, docs[20][1]), (None, None)]
     frame = spark.createDataFrame([(i, t, 1, True, "s") for i, t in docs], "doc_id long, text string, n_shingles int, kept boolean, label string").repartition(7)
@@ -68,6 +71,17 @@ def test_components_equal_brute_force(spark, monkeypatch, rounds):
     assert found == _brute_components(docs)
 
 
+def test_near_duplicates_among_long_texts_of_a_template(spark):
+    """Long texts that share most of a template, but too little to link, and a few that link."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(4000)
+    docs = [(i, " ".join(template + fresh(1200))) for i in range(24)]
+    docs += [(100 + i, docs[i][1] + " " + " ".join(fresh(30))) for i in range(3)]
+    found = sorted((tuple(r) for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert found == _brute_components(docs)
+
+
 def test_near_duplicates_of_nothing(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.near_duplicates(frame).collect() == []
@@ -209,7 +223,7 @@ def test_archive_of_nothing(spark, tmp_path):
 
 
 def test_hot_payloads_beyond_the_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 1)
+    monkeypatch.setattr(hot, "BROADCAST_KEYS", 1)
     pages = [(i, "u", f"p{i % 7 if i % 3 else 0}" if i != 11 else None) for i in range(1, 60)] + [(None, "u", "p0"), (None, "u", "p3")]
     folder = f"file://{tmp_path}/w"
     found = warc.read(spark, warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), folder), folder)
