@@ -36,15 +36,18 @@ def build_session(app: str = "graphloom", master: str | None = None, **conf) ->
 _SHIPPED: set[str] = set()
 
 
-#: Rows of an Arrow batch: texts may be long, and both the JVM and Python hold a batch whole.
-BATCH_ROWS = 2000
+#: Bounds of an Arrow batch, which both the JVM and Python hold whole: texts may be long. A session whose own
+#: configuration names a bound keeps it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application, and bounds Arrow batches."""
+    """Sends this package to the executors' Python workers, once per application, and bounds Arrow batches (BATCH)."""
     context = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    own = context.getConf()
+    for name, bound in BATCH.items():
+        if not own.contains(name):
+            spark.conf.set(name, bound)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -65,8 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine one of our own will do."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or LOCAL_SCRATCH).rstrip("/")
 
 
@@ -91,11 +97,8 @@ def forget_scratch() -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns it without its lineage (eager)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df without its lineage, as a table in the shared folder that goes with the other scratch (eager)."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
