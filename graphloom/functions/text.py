@@ -36,6 +36,22 @@ LANGUAGES = {
     ".ex": "elixir",
     ".exs": "elixir",
 }
+#: The shorter map of extensions that agent results use; others are unknown.
+AGENT_LANGUAGES = {
+    ".py": "python",
+    ".js": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".jsx": "javascript",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".c": "c",
+    ".cpp": "cpp",
+    ".cs": "csharp",
+}
 #: Text that hints at dynamic dispatch.
 DYNAMIC_HINTS = ("getattr", "setattr", "importlib", "import_module", "__import__", "globals()", "locals()", "eval(", "exec(", "dispatch", "registry", "handler_map", "callback", "plugin", "hook")
 #: Palette of feature colours.
@@ -56,9 +72,9 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def language(path: Column, default: str | None = None) -> Column:
+def language(path: Column, default: str | None = None, languages: dict[str, str] = LANGUAGES) -> Column:
     """Language by extension; null or the default for others."""
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
     return F.coalesce(F.element_at(known, extension(path)), F.lit(default))
 
 
@@ -169,6 +185,11 @@ def complexity(source: Column) -> Column:
     return F.size(F.filter(lines, lambda x: x.rlike("^(" + "|".join(BRANCHES) + ")[ :]"))) + 1
 
 
+def iso_time(time: Column) -> Column:
+    """A timestamp as ISO text with its zone, in UTC."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def json_object(text: Column) -> Column:
     """The variant of a JSON object, without the code fence it may stand in; null for anything else."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
@@ -181,22 +202,35 @@ def answer_line(text: Column) -> Column:
     return F.regexp_replace(F.split(F.trim(text), "\n")[0], "^\"(.*)\"$", "$1")
 
 
+#: Decorators (last part of the name, lower case) that make entry points: type, and what the first argument is.
+ROUTES = {
+    "get": ("http_route", "url"),
+    "post": ("http_route", "url"),
+    "put": ("http_route", "url"),
+    "patch": ("http_route", "url"),
+    "delete": ("http_route", "url"),
+    "head": ("http_route", "url"),
+    "options": ("http_route", "url"),
+    "trace": ("http_route", "url"),
+    "route": ("http_route", "url"),
+    "websocket": ("websocket", "url"),
+    "websocket_route": ("websocket", "url"),
+    "on_event": ("lifecycle", "event"),
+    "on_startup": ("lifecycle", "event"),
+    "on_shutdown": ("lifecycle", "event"),
+    "command": ("cli", "command"),
+    "group": ("cli", "command"),
+    "callback": ("cli", "command"),
+}
+
+
 def route(name: Column, first_arg: Column, methods: Column) -> Column:
     """(type, method, target) of a decorator that makes a function an entry point, else null."""
     last = F.lower(F.substring_index(name, ".", -1))
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, (t, _) in ROUTES.items() for x in (k, t)]), last)
+    method = F.when(last == "route", F.coalesce(methods, F.lit("ANY"))).when(kind == "http_route", F.upper(last))
     arg = F.coalesce(F.regexp_replace(first_arg, "^['\"]+|['\"]+$", ""), F.lit(""))
-
-    def made(kind: str, method: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), method.alias("method"), arg.alias("target"))
-
-    none = F.lit(None).cast("string")
-    return (
-        F.when(last.isin("get", "post", "put", "patch", "delete", "head", "options", "trace"), made("http_route", F.upper(last)))
-        .when(last.isin("websocket", "websocket_route"), made("websocket", none))
-        .when(last.isin("on_event", "on_startup", "on_shutdown"), made("lifecycle", none))
-        .when(last == "route", made("http_route", F.coalesce(methods, F.lit("ANY"))))
-        .when(last.isin("command", "group", "callback"), made("cli", none))
-    )
+    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), method.alias("method"), arg.alias("target")))
 
 
 def progress(percent: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Dead-code candidates: rules with confidence, adjusted by a reviewer's verdict."""
+"""Dead-code candidates: rules with confidence, adjusted by a reviewer's verdict.
+
+Rows with a null node are no candidates, edges with a null end are no references; repeated rows count once, ties are
+ordered by node; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import incoming, targets_by_type
 
+#: Confidence of each reason, in the order in which the rules are tried.
+REASONS = {"no_references": 0.95, "self_referential": 0.9, "unreachable": 0.8, "imported_not_called": 0.7}
 #: Least confidence of a candidate that is reported.
 THRESHOLD = 0.5
 
@@ -25,10 +31,19 @@ def candidates(nodes: DataFrame, edges: DataFrame, reached: DataFrame, owned: Da
         .when(F.col("alive").isNull(), "unreachable")
         .when(F.col("imported") & ~F.col("called"), "imported_not_called")
     )
-    sure = F.create_map(*[F.lit(x) for pair in {"no_references": 0.95, "self_referential": 0.9, "unreachable": 0.8, "imported_not_called": 0.7}.items() for x in pair])
+    sure = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
     return facts.withColumn("reason", reason).where("reason is not null").withColumn("confidence", F.element_at(sure, F.col("reason"))).drop("callers", "only_self", "imported", "called", "alive")
 
 
+def agent_candidates(functions: DataFrame, steps: DataFrame) -> DataFrame:
+    """Functions (file, name, ...) that are no step (file, function) of any feature; names with two underscores at
+    either end are called by the language and left out. Null names and files are no steps and are kept as they are.
+    """
+    used = steps.select("file", F.col("function").alias("name")).distinct()
+    special = F.coalesce(F.col("name").startswith("__") & F.col("name").endswith("__"), F.lit(False))
+    return functions.where(~special).join(used, ["file", "name"], "left_anti")
+
+
 def adjusted(confidence: Column, verdict: Column) -> Column:
     """Confidence after a reviewer's verdict."""
     return (

@@ -1,13 +1,15 @@
 """Enrichment by a language model that the caller injects, and the folds around it.
 
-A client is any callable that takes a prompt and returns text or None. Items fail one by one: a client's
-error leaves that item's answer null.
+A client is any callable that takes a prompt and returns text or None; threads call it at once. Items fail one by
+one: a client's error leaves that item's answer null. Null prompts have null answers; repeated items are asked each;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,17 +30,19 @@ def answer_language(code: str | None) -> str:
 
 
 def ask(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id") -> DataFrame:
-    """(key, answer) of a client for every prompt; null where it fails."""
+    """(key, answer) of a client for every prompt, BATCH of a partition at once; null where it fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                try:
-                    out.append(client(text) if text is not None else None)
-                except Exception:  # one item's failure is that item's alone
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "answer"])
+        def one(text: str | None) -> str | None:
+            try:
+                return client(text) if text is not None else None
+            except Exception:  # one item's failure is that item's alone
+                return None
+
+        with ThreadPoolExecutor(BATCH) as pool:
+            for batch in batches:
+                out = list(pool.map(one, batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "answer"])
 
     kind = items.schema[key].dataType.simpleString()
     return items.select(key, prompt).mapInArrow(run, f"{key} {kind}, answer string")

@@ -1,4 +1,8 @@
-"""Features: clusters of entry points, what they reach, who owns it, and their names."""
+"""Features: clusters of entry points, what they reach, who owns it, and their names.
+
+Null nodes and features take no part; repeated rows of a node in a feature count once; ties go to the least
+feature, order column or name, so results don't depend on the order of rows; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -30,8 +34,7 @@ def cluster_entry_points(entry_points: DataFrame) -> DataFrame:
 
 def tag_nodes(clusters: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cluster, node): all nodes that the entry points of each cluster reach, in one loop for all clusters."""
-    found = reachable(clusters.select("cluster", "node"), edges, by=("cluster",))
-    return found.join(nodes.select("node").distinct(), "node", "left_semi").select("cluster", "node")
+    return reachable(clusters.select("cluster", "node"), edges, by=("cluster",), nodes=nodes)
 
 
 def buckets(nodes: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -90,6 +93,11 @@ def most_common_word(words: DataFrame) -> DataFrame:
     return best.select("group", F.col("best.word").alias("word"))
 
 
+def shared_words(sets: Column) -> Column:
+    """Words that all of an array's word lists hold, without verbs."""
+    return F.array_except(F.aggregate(sets, sets[0], lambda a, s: F.array_intersect(a, s)), F.array(*map(F.lit, VERBS)))
+
+
 def name_clusters(entry_points: DataFrame) -> DataFrame:
     """(cluster_idx, name, description): from what the cluster's URLs share, else its functions' words, command or type.
 
@@ -105,7 +113,7 @@ def name_clusters(entry_points: DataFrame) -> DataFrame:
     )
     names = F.transform("list", lambda x: x["short"])
     sets = F.transform(names, lambda s: F.split(s, "_"))
-    shared = F.array_except(F.aggregate(sets, sets[0], lambda a, s: F.array_intersect(a, s)), F.array(*map(F.lit, VERBS)))
+    shared = shared_words(sets)
     words = F.filter(F.flatten(sets), lambda w: ~F.lower(w).isin(*MORE_VERBS) & (F.length(w) > 2))
     # most frequent word, first of several: count, then earlier place
     counted = F.transform(F.array_distinct(words), lambda w: F.struct(F.size(F.filter(words, lambda x: x == w)).alias("n"), (-F.array_position(words, w)).alias("p"), w.alias("w")))
@@ -127,6 +135,48 @@ def name_clusters(entry_points: DataFrame) -> DataFrame:
     return row.select("cluster_idx", name.alias("name"), F.when(fn.snake(common) != "", route).otherwise(listed).alias("description"))
 
 
+def drop_empty(features: DataFrame, membership: DataFrame, entry_points: DataFrame) -> DataFrame:
+    """Features (feature, ...) with a node (feature, node) or an entry point (feature, ...)."""
+    used = membership.select("feature").union(entry_points.select("feature")).where("feature is not null").distinct()
+    return features.join(used, "feature", "left_semi")
+
+
+def split_features(entry_points: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Adds part and name of the sub-feature to the entry points of features that are to be split; the others go.
+
+    entry_points: feature, ep_seq and any others; suggestions: feature, names (array, in order). Entry points are
+    dealt in their order in runs of equal length, what is left goes to the last name; features without names stay whole.
+    """
+    rows = entry_points.join(suggestions.where(F.size("names") > 0).select("feature", "names"), "feature")
+    whole = Window.partitionBy("feature")
+    size = F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / F.size("names")))
+    place = F.row_number().over(whole.orderBy("ep_seq")) - 1
+    part = F.least(F.floor(place / size), F.size("names") - 1).cast("int")
+    return rows.withColumn("part", part).withColumn("name", F.element_at("names", F.col("part") + 1)).drop("names")
+
+
+def valid_splits(changes: DataFrame, entry_points: DataFrame, reached: DataFrame) -> DataFrame:
+    """Of suggested changes (type, feature) those that the graph allows: reviews, and splits of features whose first
+    two entry points with a node reach sets that share less than half of their nodes.
+
+    entry_points: feature, ep_seq, start (null if it is no node); reached: start, node.
+    """
+    starts = entry_points.where("start is not null")
+    place = F.row_number().over(Window.partitionBy("feature").orderBy("ep_seq"))
+    two = starts.withColumn("place_", place).where("place_ <= 2").join(reached.select("start", "node").distinct(), "start")
+    counted = two.groupBy("feature", "node").agg(F.countDistinct("place_").alias("n_"), F.max("place_").alias("p_"))
+    shared = counted.groupBy("feature").agg(F.avg(F.when(F.col("n_") == 2, 1.0).otherwise(0.0)).alias("share_"))
+    many = entry_points.groupBy("feature").agg(F.count("*").alias("points_"), F.count("start").alias("starts_")).where("points_ >= 2 and starts_ >= 2")
+    apart = many.join(shared.where("share_ < 0.5"), "feature").select("feature")
+    return changes.where("type = 'review'").unionByName(changes.where("type = 'split'").join(apart, "feature", "left_semi"))
+
+
+def by_name(features: DataFrame, name: str) -> DataFrame:
+    """The feature of a name; of several the last (greatest feature_idx)."""
+    found = features.where(F.col("name") == name)
+    return found.groupBy("name").agg(F.max_by(F.struct(*features.columns), "feature_idx").alias("f")).select("f.*")
+
+
 def qualify_names(features: DataFrame) -> DataFrame:
     """Adds unique_name: repeated names get a qualifier in brackets, else their number. Reads name, qualifier, idx."""
     same = Window.partitionBy("name")

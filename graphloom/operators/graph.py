@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import bucketed, cut_lineage
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame, source: str = "src", target: str = "dst", node: str = "node") -> tuple[DataFrame, DataFrame]:
@@ -18,21 +18,31 @@ def adjacency(edges: DataFrame, nodes: DataFrame, source: str = "src", target: s
     return forward, back
 
 
-def reachable(starts: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), nodes: DataFrame | None = None) -> DataFrame:
     """Every node reachable from the starts (by..., node), starts included, per value of `by`.
 
-    A frontier moves along the edges until it finds nothing new; it and what it adds are the only rows
-    that a round writes, and each round cuts the lineage, so a lost executor redoes one round at most.
+    With `nodes` (node), starts that are none don't count and only nodes are returned; paths may lead through
+    other names, such as modules. Null names are no starts and no ends; repeated rows count once.
+
+    Edges are written once, bucketed by source, so no round shuffles them. A frontier moves along them until it
+    finds nothing new; it is the only thing that a round writes. What has been seen is kept in few tables: two of
+    like size are merged. Each round cuts the lineage, so a lost executor redoes one round at most.
     """
     keys = [*by, "node"]
-    near = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    frontier = cut_lineage(starts.select(*keys).where("node is not null").distinct())
-    seen = [frontier]
-    while not frontier.isEmpty():
+    near = bucketed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges", "src")
+    starts = starts.select(*keys).where("node is not null").distinct()
+    known = None if nodes is None else nodes.select("node").distinct()
+    frontier = cut_lineage(starts if known is None else starts.join(known, "node", "left_semi").select(*keys))
+    seen: list[tuple[int, DataFrame]] = []
+    while size := frontier.count():
+        seen.append((size, frontier))
+        while len(seen) > 1 and 2 * seen[-1][0] >= seen[-2][0]:
+            (m, late), (n, early) = seen.pop(), seen.pop()
+            seen.append((m + n, cut_lineage(early.unionByName(late))))
         step = frontier.join(near, F.col("node") == F.col("src")).select(*by, F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
-        seen.append(frontier)
-    return reduce(DataFrame.unionByName, seen)
+        frontier = cut_lineage(reduce(lambda new, old: new.join(old[1], keys, "left_anti"), seen, step))
+    found = reduce(DataFrame.unionByName, [rows for _, rows in seen], frontier)
+    return found if known is None else found.join(known, "node", "left_semi").select(*keys)
 
 
 def unreachable(nodes: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 Suffix conditions become equalities by exploding the suffixes of the shorter-lived side, so no join here
 is a product.
+
+Null names resolve to nothing; ties go to the first or last node in order of `seq`, as each function says; repeated
+nodes and ids of one key count once; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -123,9 +126,10 @@ def resolve_entry_points(entry_points: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def resolve_keys(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges whose both ends have an id (fqn, id), with source_id and target_id; the others go."""
-    one = ids.select(F.col("fqn").alias("src"), F.col("id").alias("source_id"))
-    two = ids.select(F.col("fqn").alias("dst"), F.col("id").alias("target_id"))
+    """Edges whose both ends have an id (fqn, id), with source_id and target_id; the others go. Of a name's ids the least counts."""
+    least = ids.groupBy("fqn").agg(F.min("id").alias("id"))
+    one = least.select(F.col("fqn").alias("src"), F.col("id").alias("source_id"))
+    two = least.select(F.col("fqn").alias("dst"), F.col("id").alias("target_id"))
     return edges.join(one, "src").join(two, "dst")
 
 

@@ -1,4 +1,8 @@
-"""Read views: snapshots, graph payloads, feature lists, flows, dead-code lists."""
+"""Read views: snapshots, graph payloads, feature lists, flows, dead-code lists.
+
+Null keys match nothing, repeated rows are shown as often as they are stored, ties are ordered by id, and empty
+tables give empty views.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,30 @@ def latest_completed(snapshots: DataFrame) -> DataFrame:
     return latest(snapshots, ["repo_id"], ["analyzed_at", "id"], F.col("status") == "completed")
 
 
+def count_in_latest(nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(repo_id, feature_id, node_count): nodes with a feature in each repository's newest completed snapshot."""
+    newest = latest_completed(snapshots).select("repo_id", F.col("id").alias("snapshot_id"))
+    return nodes.where("feature_id is not null").join(newest, "snapshot_id").groupBy("repo_id", "feature_id").agg(F.count("*").alias("node_count"))
+
+
+def feature_count(nodes: DataFrame, feature_id: str) -> DataFrame:
+    """node_count of one feature, in one row."""
+    return nodes.where(F.col("feature_id") == feature_id).agg(F.count("*").alias("node_count"))
+
+
+def by_id(rows: DataFrame, ident: str, key: str = "id") -> DataFrame:
+    """The row of an id; none for a null one."""
+    return rows.where(F.col(key) == ident)
+
+
+def graph_view(repo_id: str, snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
+    """nodes, edges and features of a repository's newest completed snapshot as the view shows them; empty without one."""
+    newest = F.broadcast(latest_completed(snapshots.where(F.col("repo_id") == repo_id)).select(F.col("id").alias("snapshot_id")))
+    own = features.where(F.col("repo_id") == repo_id).join(F.broadcast(newest.limit(1).select(F.lit(1).alias("one_"))), F.lit(True)).drop("one_")
+    here = nodes.join(newest, "snapshot_id", "left_semi")
+    return {"nodes": graph_nodes(here, own), "edges": graph_edges(edges.join(newest, "snapshot_id", "left_semi")), "features": feature_list(own, here)}
+
+
 def graph_nodes(nodes: DataFrame, features: DataFrame) -> DataFrame:
     """Nodes as the view shows them: view type, origin position, feature name and colour where there is one."""
     kind = F.when(F.col("node_type").isin("class", "method", "module"), F.concat("node_type", F.lit("Node"))).otherwise("functionNode")
@@ -43,14 +71,14 @@ def visible(nodes: DataFrame, active: list[str]) -> DataFrame:
 
 
 def flow(nodes: DataFrame, edges: DataFrame, feature_id: str) -> DataFrame:
-    """Steps of a feature in order, each with the targets of its edges inside the feature."""
+    """Steps of a feature in order (those without one last), each with the targets of its edges inside the feature."""
     steps = nodes.where(F.col("feature_id") == feature_id)
     ids = steps.select(F.col("id").alias("n_"))
     inside = edges.join(ids, edges["source_node_id"] == ids["n_"], "left_semi").join(ids, edges["target_node_id"] == ids["n_"], "left_semi")
     calls = inside.groupBy(F.col("source_node_id").alias("id")).agg(F.array_sort(F.collect_set("target_node_id")).alias("calls_next"))
     out = steps.join(calls, "id", "left")
     empty = F.array().cast("array<string>")
-    return out.select("id", "name", F.coalesce("flow_order", F.lit(0)).alias("order"), F.coalesce("flow_description", "description", F.lit("")).alias("description"), F.coalesce("calls_next", empty).alias("calls_next")).orderBy("order", "id")
+    return out.select("id", "name", F.coalesce("flow_order", F.lit(0)).alias("order"), F.coalesce("flow_description", "description", F.lit("")).alias("description"), F.coalesce("calls_next", empty).alias("calls_next"), F.col("flow_order").alias("at_")).orderBy(F.asc_nulls_last("at_"), "id").drop("at_")
 
 
 def sequential_edges(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,6 +127,19 @@ def new_repository(spark, url: str | None, local_path: str, created_at, branch:
     return row.select(ident.alias("id"), "url", "local_path", "branch", none.cast("string").alias("last_commit_sha"), none.cast("timestamp").alias("last_analyzed_at"), "created_at")
 
 
+def repository(repositories: DataFrame, repo_id: str) -> DataFrame:
+    """The repository of an id; no row if there is none."""
+    return by_id(repositories, repo_id)
+
+
+def new_snapshot(spark, repo_id: str, commit_sha: str, created_at) -> DataFrame:
+    """One pending row for the analysis_snapshots table."""
+    row = spark.createDataFrame([(repo_id, commit_sha, "pending", created_at)], "repo_id string, commit_sha string, status string, created_at timestamp")
+    none = F.lit(None)
+    ident = F.sha2(F.concat_ws("::", "repo_id", "commit_sha", F.col("created_at").cast("string")), 256)
+    return row.select(ident.alias("id"), "repo_id", "commit_sha", "status", none.cast("timestamp").alias("analyzed_at"), none.cast("string").alias("stats"), "created_at")
+
+
 def repository_list(repositories: DataFrame) -> DataFrame:
     """Newest first."""
     return repositories.orderBy(F.desc("created_at"), "id")

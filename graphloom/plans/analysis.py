@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,8 +35,14 @@ class Analysis:
     dead: DataFrame
 
 
-def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, entry points) with resolved names; edges whose target isn't a node stay listed with dst null."""
+def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, contained, entry points) with resolved names.
+
+    Edges whose target is neither a node nor a module of the repository stay listed with dst null. An import
+    leads to its module and, if it names some, to the nodes of these names. src is a node: a module stands for
+    its first one; `source` keeps what the file says. contained leads from modules to the nodes of their file and
+    from classes to their methods. Nodes and entry points of one name: the first one counts.
+    """
     nodes = parsing.nodes(parsed).withColumn("seq", F.struct("file_path", "node_seq"))
     # a method's key is its qualified name; fqn stays a lookup column
     nodes = nodes.withColumn("node", F.col("qualified_name"))
@@ -43,33 +50,59 @@ def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lookup = keyed.select(F.col("node").alias("fqn"), "qualified_name", "name", "file_path", "seq")
     raw = parsing.edges(parsed).withColumn("edge_id", F.concat_ws("#", "file_path", F.col("edge_seq").cast("string")))
     found = resolve.resolve_targets(raw.select("edge_id", "source", "target", "edge_type", "line_number"), lookup)
-    calls = found.select(F.col("source").alias("src"), F.col("resolved").alias("dst"), "target", "edge_type", "line_number")
-    imported = parsing.imports(parsed).withColumn("import_id", F.concat_ws("#", "file_path", F.col("import_seq").cast("string")))
-    symbols = resolve.resolve_imports(imported.where(F.size("imported_names") > 0).select("import_id", "module_path", "imported_names"), lookup)
-    named = imported.select("import_id", fn.module_name(F.col("file_path")).alias("src"), "line_number").join(symbols, "import_id")
-    imports = named.select("src", F.col("fqn").alias("dst"), F.col("symbol").alias("target"), F.lit("imports").alias("edge_type"), "line_number")
-    entries = resolve.resolve_entry_points(parsing.entry_points(parsed), lookup)
-    return keyed, calls.unionByName(imports), entries.withColumn("ep_seq", F.struct("file_path", "ep_seq"))
+    calls = found.select("source", F.col("resolved").alias("dst"), "target", "edge_type", "line_number")
 
-
-def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] | None = None) -> Analysis:
-    """Runs all stages over (path, content)."""
+    imported = parsing.imports(parsed).withColumn("import_id", F.concat_ws("#", "file_path", F.col("import_seq").cast("string")))
+    inside = parsing.import_files(imported, parsed.select("path")).select("file_path", "import_seq", fn.module_name(F.col("target")).alias("module"))
+    named = F.filter("imported_names", lambda n: n != "*").alias("imported_names")
+    inside = imported.join(inside, ["file_path", "import_seq"]).select("import_id", fn.module_name(F.col("file_path")).alias("source"), "module", named, "line_number")
+    symbols = resolve.resolve_imports(inside.where(F.size("imported_names") > 0).select("import_id", F.col("module").alias("module_path"), "imported_names"), lookup)
+    kind = F.lit("imports").alias("edge_type")
+    to_symbols = inside.join(symbols, "import_id").select("source", F.col("fqn").alias("dst"), F.col("symbol").alias("target"), kind, "line_number")
+    hit = symbols.select("import_id", F.lit(True).alias("hit")).distinct()
+    module = F.when((F.size("imported_names") == 0) | F.col("hit"), F.col("module"))
+    to_modules = inside.join(hit, "import_id", "left").select("source", module.alias("dst"), F.col("module").alias("target"), kind, "line_number")
+    edges = resolve.resolve_sources(calls.unionByName(to_symbols).unionByName(to_modules), lookup).withColumnRenamed("source_fqn", "src")
+
+    modules = resolve.expand_modules(edges.where("dst is not null"), lookup).select(F.col("module").alias("src"), F.col("fqn").alias("dst"))
+    classes = keyed.where("node_type = 'class'").select("file_path", F.col("name").alias("class"), F.col("node").alias("src"))
+    methods = keyed.where("node_type = 'method'").select("file_path", F.col("node").alias("method"), "qualified_name")
+    owned = resolve.class_members(classes.select("file_path", "class").distinct(), methods)
+    contained = modules.union(classes.join(owned, ["file_path", "class"]).select("src", F.col("method").alias("dst"))).withColumn("edge_type", F.lit("contains"))
+    entries = resolve.first_wins(parsing.entry_points(parsed), ["node_name"], ["file_path", "ep_seq"])
+    entries = resolve.resolve_entry_points(entries, lookup).withColumn("ep_seq", F.struct("file_path", "ep_seq"))
+    return keyed, edges, contained, entries
+
+
+def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] | None = None, partial: Callable[[Analysis], None] | None = None) -> Analysis:
+    """Runs all stages over (path, content). A progress callback that fails is logged and changes nothing.
+
+    partial gets the call graph, with empty features, as soon as it is there, for those who keep it if a later stage fails.
+    """
 
     def tell(stage: str, share: float) -> None:
         if progress is not None:
-            progress(stage, share)
+            try:
+                progress(stage, share)
+            except Exception:  # whoever listens must not end the run
+                logging.getLogger(__name__).warning("progress callback failed at %s", stage, exc_info=True)
 
     tell("code_parsing", 0.0)
     parsed = written(parsing.parse(sources), "parsed")
-    nodes, edges, entries = call_graph(parsed)
+    nodes, edges, contained, entries = call_graph(parsed)
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
+    if partial is not None:
+        spark = nodes.sparkSession
+        none = {"clusters": "cluster_idx int", "tagged": "cluster int, node string", "buckets": "node string, bucket string", "features": "idx int, unique_name string, color string", "assigned": "node string, feature int", "dead": "node string, reason string, confidence double"}
+        partial(Analysis(parsed, nodes, edges, entries, **{k: spark.createDataFrame([], v) for k, v in none.items()}))
     tell("feature_discovery", 25.0)
     clusters = cut_lineage(features.cluster_entry_points(entries))
-    # a main block starts at what its module calls
-    main = clusters.where("entry_type = 'main'").select("cluster_idx", F.substring_index("node_name", ":", 1).alias("src"))
-    seeds = main.join(edges.where("edge_type = 'calls'"), "src").select(F.col("cluster_idx").alias("cluster"), F.col("dst").alias("node"))
+    # a main block starts at what its module calls and imports
+    main = clusters.where("entry_type = 'main'").select("cluster_idx", F.substring_index("node_name", ":", 1).alias("source"))
+    seeds = main.join(edges, "source").select(F.col("cluster_idx").alias("cluster"), F.col("dst").alias("node"))
     starts = clusters.select(F.col("cluster_idx").alias("cluster"), F.col("fqn").alias("node")).union(seeds).where("node is not null")
-    links = edges.where("src is not null and dst is not null").select("src", "dst", "edge_type").distinct()
+    links = edges.where("src is not null and dst is not null").select("src", "dst", "edge_type").union(contained.select("src", "dst", "edge_type")).distinct()
+    links = written(links, "links")
     tagged = cut_lineage(features.tag_nodes(starts, links, nodes))
     kinds = features.buckets(nodes, tagged)
     tell("feature_matching", 50.0)

@@ -316,7 +316,9 @@ def scalar_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    md = docs.select(F.col("path").alias("doc_id"), F.md5("content").alias("md"))
+    return file_source.manifest(docs).select(F.col("path").alias("doc_id"), F.col("content_hash").alias("sha")).join(md, "doc_id")
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'rust' ELSE 'unknown' END AS language FROM pages")
@@ -386,13 +388,13 @@ def common_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH p AS (SELECT p_brand, split_part(p_name, ' ', 2) AS k, p_partkey, string_split(p_name, ' ') AS w FROM part), n AS (SELECT p_brand, k, count(*) AS n FROM p GROUP BY ALL), u AS (SELECT p_brand, k, word, count(DISTINCT p_partkey) AS c FROM (SELECT p_brand, k, p_partkey, unnest(w) AS word FROM p) GROUP BY ALL) SELECT p_brand, k, array_to_string(list(word ORDER BY word), ' ') AS words FROM u JOIN n USING (p_brand, k) WHERE c = n AND word NOT IN ('get', 'set') GROUP BY p_brand, k")
 def common_words(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_brand", F.split("p_name", " ")[1].alias("k"), F.split("p_name", " ").alias("w")).groupBy("p_brand", "k").agg(F.collect_list("w").alias("w"))
-    shared = F.array_except(F.aggregate("w", F.col("w")[0], lambda a, x: F.array_intersect(a, x)), F.array(F.lit("get"), F.lit("set")))
-    return rows.select("p_brand", "k", F.array_join(F.array_sort(shared), " ").alias("words")).where("words <> ''")
+    return rows.select("p_brand", "k", F.array_join(F.array_sort(features.shared_words(F.col("w"))), " ").alias("words")).where("words <> ''")
 
 
 @query(f"{_TAGGED} SELECT count(*) FILTER (k = 2) / count(*) AS jaccard FROM (SELECT node, count(*) AS k FROM tagged WHERE cluster IN ('BUILDING', 'MACHINERY') GROUP BY node)")
 def jaccard_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return features.overlap(cluster_reach(spark, d), "BUILDING", "MACHINERY")
+    two = _starts(spark, d).where("cluster in ('BUILDING', 'MACHINERY')")
+    return features.overlap(features.tag_nodes(two, _edges(spark, d), _nodes(spark, d)), "BUILDING", "MACHINERY")
 
 
 @query(f"{_TAGGED}, m AS (SELECT DISTINCT 'F' || length(cluster) AS feature, node FROM tagged UNION SELECT 'F8', node FROM nodes WHERE node LIKE 'p:%'), r AS (SELECT DISTINCT 'F' || length(cluster) AS feature, node FROM tagged), c AS (SELECT feature, count(*) AS nodes, count(*) FILTER ((feature, node) NOT IN (SELECT (feature, node) FROM r)) AS unreached FROM m GROUP BY feature) SELECT feature, nodes, unreached, unreached / nodes AS ratio, CASE WHEN unreached / nodes > 0.5 THEN 'mostly_unreachable' END AS issue FROM c")
@@ -457,7 +459,10 @@ def parse_python(spark: SparkSession, d: str) -> DataFrame:
     return parsing.nodes(parsing.parse(files)).select("fqn", "qualified_name", "node_type", "line_start", "line_end")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT concat_ws('/', source, lang) AS repo, CAST(doc_id AS VARCHAR) AS path, n_chars AS size, row_number() OVER (PARTITION BY concat_ws('/', source, lang) ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT repo, path, k, size <= 80000 AS whole, CASE WHEN size <= 80000 THEN size ELSE 100 END AS total FROM d WHERE k = 1
+UNION ALL SELECT d.repo, d.path, d.k, f.total + d.size <= 80000, f.total + CASE WHEN f.total + d.size <= 80000 THEN d.size ELSE 100 END FROM f JOIN d ON d.repo = f.repo AND d.k = f.k + 1)
+SELECT repo, path, CASE WHEN whole THEN 'full' ELSE 'minimal' END AS form FROM f""")
 def budget_fold(spark: SparkSession, d: str) -> DataFrame:
     """A prompt's budget over the documents of each source and language."""
     docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("full_size"), F.lit(100).alias("min_size"))
@@ -473,7 +478,7 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return enrich.match_signatures(steps, signatures)
 
 
-@query()
+@query("SELECT user_id AS repo_id, event_type, ts, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def progress_stream(spark: SparkSession, d: str) -> DataFrame:
     """The latest event per user from a file stream of the events, written by a memory sink in complete mode."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema

@@ -77,6 +77,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -90,6 +91,10 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def forget_scratch() -> None:
     """Deletes all scratch folders of this process; results that still read them can't be used any more."""
+    while _TABLES:
+        spark, name = _TABLES.pop()
+        with contextlib.suppress(Exception):  # as below
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         with contextlib.suppress(Exception):  # a session that has stopped can't delete
@@ -108,6 +113,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Writes df to the shared folder as a table bucketed by key: joins on key don't shuffle it again (eager)."""
+    spark, name = df.sparkSession, f"graphloom_{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", scratch(spark, label)).saveAsTable(name)
+    _TABLES.append((spark, name))
+    return spark.table(name)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through Hadoop's file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm

@@ -24,7 +24,7 @@ def wanted(path: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
     return ~bad & size.between(1, max_bytes) & fn.language(path).isNotNull()
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
+def listed(spark: SparkSession, root: str) -> DataFrame:
     """Files under a root with their path below it."""
     mark = root.rstrip("/").split("://")[-1] + "/"
     relative = F.col("path").substr(F.locate(mark, F.col("path")) + len(mark), F.lit(1 << 20))
@@ -33,7 +33,7 @@ def _listed(spark: SparkSession, root: str) -> DataFrame:
 
 def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, language, size, file_seq) of the source files under a root, by path; contents aren't read."""
-    kept = _listed(spark, root).where(wanted(F.col("path"), F.col("length"), max_bytes)).select("path", F.col("length").alias("size"))
+    kept = listed(spark, root).where(wanted(F.col("path"), F.col("length"), max_bytes)).select("path", F.col("length").alias("size"))
     # numbers grow with the path but have gaps, so no task sees all rows
     return kept.withColumn("language", fn.language(F.col("path"))).orderBy("path").withColumn("file_seq", F.monotonically_increasing_id())
 
@@ -47,7 +47,7 @@ def read_text(content: Column) -> Column:
 
 def sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all source files under a root."""
-    return _listed(spark, root).where(wanted(F.col("path"), F.col("length"))).select("path", read_text(F.col("content")).alias("content"))
+    return listed(spark, root).where(wanted(F.col("path"), F.col("length"))).select("path", read_text(F.col("content")).alias("content"))
 
 
 def manifest(files: DataFrame) -> DataFrame:

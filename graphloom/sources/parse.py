@@ -1,7 +1,8 @@
 """Parsing of source text into nodes, edges, imports, entry points and errors, one row per file.
 
 Analyzers are plug-ins by language; the Python one reads the standard library's syntax tree. A file that
-doesn't parse gives one error and no nodes; the task goes on.
+doesn't parse gives one error and no nodes; the task goes on. A null text is an empty file; repeated files are
+parsed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
 
-NODE = "struct<name:string,node_type:string,line_start:int,line_end:int,source_code:string,docstring:string,qualified_name:string,is_async:boolean,decorators:array<struct<name:string,args:array<string>,kwargs:map<string,string>>>,args:array<struct<name:string,annotation:string>>,bases:array<string>>"
+NODE = "struct<name:string,node_type:string,line_start:int,line_end:int,source_code:string,docstring:string,qualified_name:string,is_async:boolean,decorators:array<struct<name:string,args:array<string>,kwargs:map<string,string>>>,args:array<struct<name:string,annotation:string>>,returns:string,bases:array<string>>"
 EDGE = "struct<source:string,target:string,edge_type:string,line_number:int,conditional:boolean,instantiation:boolean,module_level:boolean>"
 IMPORT = "struct<module_path:string,imported_names:array<string>,alias:string,is_relative:boolean,relative_level:int,line_number:int,lazy:boolean,star_import:boolean>"
 ENTRY = "struct<node_name:string,entry_type:string,route_info:map<string,string>>"
@@ -30,6 +31,12 @@ def register(language: str, analyzer: Callable[[str, str, str], dict]) -> None:
     ANALYZERS[language] = analyzer
 
 
+def supported(spark: SparkSession) -> DataFrame:
+    """(language, extension, parsed) of every known extension, once, sorted; parsed: there is an analyzer."""
+    rows = [(name, extension, name in ANALYZERS) for extension, name in fn.LANGUAGES.items()]
+    return spark.createDataFrame(rows, "language string, extension string, parsed boolean").distinct().orderBy("language", "extension")
+
+
 def module_of(path: str) -> str:
     """Dotted module of a path below the repository's root."""
     parts = path.removesuffix(".py").removesuffix(".pyi").split("/")
@@ -42,9 +49,6 @@ def dotted(node: ast.AST) -> str | None:
     while isinstance(node, ast.Attribute):
         parts.append(node.attr)
         node = node.value
-    if isinstance(node, ast.Call):
-        inner = dotted(node.func)
-        return ".".join([inner, *parts[::-1]]) if inner and parts else None
     return ".".join([node.id, *parts[::-1]]) if isinstance(node, ast.Name) else None
 
 
@@ -76,23 +80,27 @@ class _Walk(ast.NodeVisitor):
     def _node(self, node, kind: str, **more) -> dict:
         end = node.end_lineno or node.lineno
         source = "\n".join(self.lines[node.lineno - 1 : end])
-        row = {"name": node.name, "node_type": kind, "line_start": node.lineno, "line_end": end, "source_code": source, "docstring": ast.get_docstring(node), "qualified_name": self.qualified(node.name), "decorators": [_decorator(d) for d in node.decorator_list], "is_async": False, "args": [], "bases": []} | more
+        row = {"name": node.name, "node_type": kind, "line_start": node.lineno, "line_end": end, "source_code": source, "docstring": ast.get_docstring(node), "qualified_name": self.qualified(node.name), "decorators": [_decorator(d) for d in node.decorator_list], "is_async": False, "args": [], "returns": None, "bases": []} | more
         self.out["nodes"].append(row)
         return row
 
     def _function(self, node, is_async: bool) -> None:
-        kind = "method" if self.scopes and self.scopes[-1][0] == "class" else "function"
+        around = [k for k, _ in self.scopes]
+        kind = "method" if "class" in around and "function" not in around else "function"
         a = node.args
         every = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
         args = [{"name": x.arg, "annotation": ast.unparse(x.annotation) if x.annotation else None} for x in every]
-        row = self._node(node, kind, is_async=is_async, args=args)
+        row = self._node(node, kind, is_async=is_async, args=args, returns=ast.unparse(node.returns) if node.returns else None)
         for d in row["decorators"]:
             self._route(d, row["qualified_name"])
-        for d in node.decorator_list:
-            self.visit(d)
-        self.scopes.append(("function", node.name))
-        for x in node.body:
-            self.visit(x)
+        self._inside("function", node)
+
+    def _inside(self, kind: str, node) -> None:
+        """Visits all of a definition but its decorators, which aren't calls of its own: defaults and bases too."""
+        self.scopes.append((kind, node.name))
+        for x in ast.iter_child_nodes(node):
+            if x not in node.decorator_list:
+                self.visit(x)
         self.scopes.pop()
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
@@ -106,10 +114,7 @@ class _Walk(ast.NodeVisitor):
         row = self._node(node, "class", bases=bases)
         for base in bases:
             self._edge(row["qualified_name"], base, "inherits", node.lineno)
-        self.scopes.append(("class", node.name))
-        for x in node.body:
-            self.visit(x)
-        self.scopes.pop()
+        self._inside("class", node)
 
     def _edge(self, source: str, target: str, kind: str, line: int, **flags) -> None:
         self.out["edges"].append({"source": source, "target": target, "edge_type": kind, "line_number": line, "conditional": False, "instantiation": False, "module_level": False} | flags)
@@ -125,9 +130,10 @@ class _Walk(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         target = dotted(node.func)
         if target:
-            last = target.rsplit(".", 1)[-1]
-            made = last[:1].isupper() and last != last.upper()
-            self._edge(self.qualified(), target, "calls", node.lineno, conditional=self.depth_of_if > 0, instantiation=made, module_level=not self.scopes)
+            first = target.split(".", 1)[0]
+            made = first[:1].isupper() and not first.isupper()
+            outside = all(kind != "function" for kind, _ in self.scopes)  # a class's body runs with its module
+            self._edge(self.module if outside else self.qualified(), target, "calls", node.lineno, conditional=self.depth_of_if > 0, instantiation=made, module_level=outside)
         self.generic_visit(node)
 
     def _import(self, module: str, names: list[str], alias: str | None, level: int, line: int) -> None:
@@ -142,21 +148,14 @@ class _Walk(ast.NodeVisitor):
         self._import(node.module or "", [a.name for a in node.names], alias, node.level, node.lineno)
 
     def _route(self, decorator: dict, name: str) -> None:
-        """Entry points by the last part of a decorator's name; `route` in functions.text has the same rule for columns."""
+        """Entry points by the last part of a decorator's name."""
         last = decorator["name"].rsplit(".", 1)[-1].lower()
-        first = decorator["args"][0].strip("'\"") if decorator["args"] else ""
-        if last in ("get", "post", "put", "patch", "delete", "head", "options", "trace"):
-            kind, info = "http_route", {"method": last.upper(), "url": first}
-        elif last in ("websocket", "websocket_route"):
-            kind, info = "websocket", {"url": first}
-        elif last in ("on_event", "on_startup", "on_shutdown"):
-            kind, info = "lifecycle", {"event": first}
-        elif last == "route":
-            kind, info = "http_route", {"method": decorator["kwargs"].get("methods", "ANY"), "url": first}
-        elif last in ("command", "group", "callback"):
-            kind, info = "cli", {"command": first}
-        else:
+        if last not in fn.ROUTES:
             return
+        kind, key = fn.ROUTES[last]
+        info = {key: decorator["args"][0].strip("'\"") if decorator["args"] else ""}
+        if kind == "http_route":
+            info["method"] = decorator["kwargs"].get("methods", "ANY") if last == "route" else last.upper()
         self.out["entry_points"].append({"node_name": name, "entry_type": kind, "route_info": info})
 
 
@@ -200,6 +199,11 @@ def parse(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def counts(parsed: DataFrame) -> DataFrame:
+    """(path, has_errors, node_count, edge_count) of every file."""
+    return parsed.select("path", (F.size("errors") > 0).alias("has_errors"), F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"))
+
+
 def nodes(parsed: DataFrame) -> DataFrame:
     """One row per node, with its file, key and order."""
     rows = parsed.select(F.col("path").alias("file_path"), "language", F.posexplode("nodes").alias("node_seq", "n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -20,12 +21,19 @@ def latest_status(events: DataFrame, key: str = "repo_id", time: str = "ts", tie
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("last")).select(key, "last.*")
 
 
-def follow(events: DataFrame, repo_id: str, push: Callable[[dict], None], interval: str = "500 milliseconds", available_now: bool = False) -> StreamingQuery:
+def follow(events: DataFrame, repo_id: str, push: Callable[[dict], None], interval: str = "500 milliseconds", available_now: bool = False, checkpoint: str | None = None) -> StreamingQuery:
     """Pushes a repository's latest status whenever it changes; the query ends with a terminal status.
 
-    push gets {"status": "not_found"} if the first batch has nothing of the repository.
+    push gets {"status": "not_found"} if the first batch has nothing of the repository. With a checkpoint folder
+    a new start goes on where the last one ended.
     """
     holder: dict[str, object] = {"last": None}
+    started, ended = threading.Event(), threading.Event()
+
+    def stop_at_the_end() -> None:
+        ended.wait()
+        started.wait()  # the first batch may end before start() has returned
+        holder["query"].stop()
 
     def one(batch: DataFrame, number: int) -> None:
         rows = batch.collect()  # one row: the state of one repository
@@ -33,12 +41,16 @@ def follow(events: DataFrame, repo_id: str, push: Callable[[dict], None], interv
         if found != holder["last"] and (rows or holder["last"] is None):
             holder["last"] = found
             push(found)
-        if found["status"] in TERMINAL and "query" in holder and not available_now:
-            holder["query"].stop()
+        if found["status"] in TERMINAL:
+            ended.set()
 
     writer = latest_status(events.where(F.col("repo_id") == repo_id)).withColumn("progress", fn.progress(F.col("progress"))).writeStream.outputMode("complete").foreachBatch(one)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+    if not available_now:
+        threading.Thread(target=stop_at_the_end, daemon=True).start()  # a batch can't stop its own query
     holder["query"] = query = writer.start()
+    started.set()
     return query
 
 

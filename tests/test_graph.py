@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import dead_code, features, graph
 
 
@@ -23,6 +25,25 @@ def test_nulls_and_empty_inputs(spark, rows):
     assert rows(graph.reachable(_nodes(spark, ["a"]), _edges(spark, []))) == [("a",)]
 
 
+def test_only_nodes_are_reached_but_paths_lead_through_others(spark, rows):
+    edges = _edges(spark, [("a", "m"), ("m", "b"), ("x", "c")])
+    assert rows(graph.reachable(_nodes(spark, ["a", "x"]), edges, nodes=_nodes(spark, ["a", "b", "c"]))) == [("a",), ("b",)]
+
+
+def test_long_path_is_followed_in_few_tables(spark, rows):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(12)]
+    assert len(rows(graph.reachable(_nodes(spark, ["n0"]), _edges(spark, pairs)))) == 13
+
+
+def test_edges_are_read_without_a_shuffle(spark):
+    from graphloom.session import bucketed
+
+    edges = _edges(spark, [("a", "b")] * 3)
+    near = bucketed(edges.select("src", "dst"), "edges", "src")
+    plan = _nodes(spark, ["a"]).hint("merge").join(near, F.col("node") == F.col("src"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1  # that of the frontier
+
+
 def test_random_graph_equals_search(spark, rows):
     rng = random.Random(4)
     names = [f"n{i}" for i in range(60)]

@@ -49,6 +49,52 @@ def test_parse(spark, rows):
     assert ("app:get_item", "Service", True) in calls and ("app:Service.__init__", "self.run", False) in calls
 
 
+def _calls(spark, code):
+    found = parse.edges(parse.parse(_files(spark, {"m.py": code})))
+    return {(r["source"], r["target"], r["instantiation"], r["module_level"]) for r in found.where("edge_type = 'calls'").collect()}
+
+
+def test_calls(spark):
+    assert _calls(spark, "Service().run()\n") == {("m", "Service", True, True)}  # a call's result has no name
+    assert _calls(spark, "d['k']()\nmodels.User()\nFoo.create()\nURL()\n") == {("m", "models.User", False, True), ("m", "Foo.create", True, True), ("m", "URL", False, True)}
+    assert _calls(spark, "@deco(make())\ndef f(a=one(), *, b: two() = 3):\n    return inner()\n") == {("m:f", "one", False, False), ("m:f", "two", False, False), ("m:f", "inner", False, False)}
+    assert _calls(spark, "class A(base()):\n    x = made()\n    def g(self):\n        self.h()\n") == {("m", "base", False, True), ("m", "made", False, True), ("m:A.g", "self.h", False, False)}
+
+
+def test_signature_parts(spark):
+    found = parse.nodes(parse.parse(_files(spark, {"m.py": "def f(a: int) -> str:\n    class K:\n        def g(self):\n            pass\n"}))).collect()
+    assert {(r["qualified_name"], r["node_type"], r["returns"]) for r in found} == {("m:f", "function", "str"), ("m:f.<locals>.K", "class", None), ("m:f.<locals>.K.g", "function", None)}
+
+
+def test_imports_lead_through_modules(spark):
+    """A module that is imported is alive with all that its file holds, and so is what a module itself calls."""
+    some = {
+        "a/boot.py": "import pkg.util\n\ndef setup():\n    pass\n\nsetup()\n\nif __name__ == '__main__':\n    pass\n", "pkg/util.py": "def helper():\n    return deeper()\n\ndef deeper():\n    pass\n", "pkg/alone.py": "def lonely():\n    pass\n",
+        "a/rel.py": "from .sib import thing, nothing\nfrom . import gone\nimport os\n\ndef use():\n    import a.lazy\n    return thing()\n", "a/sib.py": "def thing():\n    pass\n", "z/sib.py": "def thing():\n    pass\n", "a/lazy.py": "from pkg.util import *\n\ndef later():\n    pass\n",
+    }
+    a = analysis.analyze_sources(_files(spark, some))
+    dead = {r["node"]: r["reason"] for r in a.dead.collect()}
+    assert not {"pkg.util:helper", "pkg.util:deeper", "a.boot:setup"} & set(dead) and dead["pkg.alone:lonely"] == "no_references"
+    edges = {(r["src"], r["dst"]) for r in a.edges.where("edge_type = 'imports'").collect()}
+    assert ("a.rel:use", "a.sib:thing") in edges and ("a.rel:use", "a.sib") in edges and ("a.rel:use", "z.sib:thing") not in edges
+    assert ("a.rel:use", "a.lazy") in edges and ("a.lazy:later", "pkg.util") in edges and ("a.boot:setup", "pkg.util") in edges
+    assert not any("os" == dst for _, dst in edges)
+
+
+def test_entry_points_and_nodes_of_one_name_count_once(spark):
+    code = "@app.get('/a')\ndef f():\n    pass\n\n@app.get('/b')\ndef f():\n    pass\n"
+    nodes, _, _, entries = analysis.call_graph(parse.parse(_files(spark, {"m.py": code})))
+    assert [(r["node"], r["line_start"]) for r in nodes.collect()] == [("m:f", 2)]
+    assert [(r["node_name"], r["route_info"]["url"], r["fqn"]) for r in entries.collect()] == [("m:f", "/a", "m:f")]
+
+
+def test_a_failing_listener_changes_nothing(spark):
+    def listener(stage, share):
+        raise RuntimeError(stage)
+
+    assert analysis.analyze_sources(_files(spark, {"m.py": "def f():\n    pass\n"}), listener).nodes.count() == 1
+
+
 def test_import_files(spark, rows):
     some = {"a/b/c.py": "from . import d\nfrom ..x import y\nimport a.b.d.e\nimport zlib\n", "a/b/d.py": "", "a/x.py": "", "a/b/__init__.py": ""}
     parsed = parse.parse(_files(spark, some))
@@ -58,13 +104,13 @@ def test_import_files(spark, rows):
 
 def test_analysis(spark):
     told = []
-    a = analysis.analyze_sources(_files(spark, {"app.py": APP, "pkg/util.py": "def helper():\n    return 1\n\ndef lonely():\n    pass\n"}), lambda *x: told.append(x))
+    a = analysis.analyze_sources(_files(spark, {"app.py": APP, "pkg/util.py": "def helper():\n    return 1\n", "pkg/other.py": "def lonely():\n    pass\n"}), lambda *x: told.append(x))
     tagged = {r["node"] for r in a.tagged.collect()}
     assert "app:get_item" in tagged and "app:Service" in tagged
     dead = {r["node"]: r["reason"] for r in a.dead.collect()}
-    assert dead["app:unused"] == "no_references" and dead["pkg.util:lonely"] == "no_references"
+    assert dead["app:unused"] == "no_references" and dead["pkg.other:lonely"] == "no_references"
     assert told[0][0] == "code_parsing" and told[-1] == ("done", 100.0)
-    assert dict(map(tuple, analysis.statistics(a).collect()))["files"] == 2
+    assert dict(map(tuple, analysis.statistics(a).collect()))["files"] == 3
 
 
 def test_discover_and_persist(spark, tmp_path):
@@ -139,6 +185,9 @@ def test_progress(spark, tmp_path):
     got = []
     progress.follow(stream, "r", got.append, available_now=True).awaitTermination()
     assert got[-1]["status"] == "completed" and got[-1]["progress"] == 100.0
+    got, folder = [], str(tmp_path / "checkpoint")
+    query = progress.follow(stream, "r", got.append, interval="0 seconds", checkpoint=folder)
+    assert query.awaitTermination(60) and got[-1]["status"] == "completed"  # it ends itself, even in its first batch
     assert [progress.may_start(True, False, None), progress.may_start(False, False, None), progress.may_start(True, True, None), progress.may_start(True, False, "zz")] == [202, 404, 409, 400]
 
 
@@ -157,3 +206,44 @@ def test_repository_tables(spark):
     features = spark.createDataFrame([("f", "a", None), ("g", "b", "x")], "id string, name string, description string")
     changed = serve.update_feature(features, spark.createDataFrame([("f", None, "new")], "id string, name string, description string"))
     assert sorted(map(tuple, changed.collect())) == [("f", "a", "new"), ("g", "b", "x")]
+
+
+def test_flow_steps_without_a_place_come_last(spark):
+    nodes = spark.createDataFrame([("a", "x", "f", None), ("b", "y", "f", 2), ("c", "z", "f", 1), ("d", "z", "g", 1), ("e", "w", None, 0)], "id string, name string, feature_id string, flow_order int")
+    nodes = nodes.selectExpr("*", "cast(null as string) as flow_description", "cast(null as string) as description")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "d"), (None, "b")], "source_node_id string, target_node_id string")
+    assert [(r["id"], r["order"], r["calls_next"]) for r in serve.flow(nodes, edges, "f").collect()] == [("c", 1, []), ("b", 2, []), ("a", 0, ["b"])]
+
+
+def test_views_of_nothing(spark):
+    none = spark.createDataFrame([], "id string, repo_id string, status string, analyzed_at timestamp")
+    nodes = spark.createDataFrame([], "id string, snapshot_id string, node_type string, feature_id string")
+    edges = spark.createDataFrame([], "id string, snapshot_id string, edge_type string")
+    features_ = spark.createDataFrame([("1", "r", "n", "c")], "id string, repo_id string, name string, color string")
+    assert [v.count() for v in serve.graph_view("r", none, nodes, edges, features_).values()] == [0, 0, 0]
+
+
+def test_pending_snapshots(spark):
+    from datetime import datetime
+
+    row = serve.new_snapshot(spark, "r", "abc", datetime(2024, 1, 1)).first()
+    assert (row["repo_id"], row["status"], row["analyzed_at"]) == ("r", "pending", None) and len(row["id"]) == 64
+
+
+def test_repeated_ids_do_not_multiply_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", None)], "src string, dst string")
+    ids = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4")], "fqn string, id string")
+    assert [tuple(r) for r in resolve.resolve_keys(edges, ids).select("source_id", "target_id").collect()] == [("1", "3")]
+
+
+def test_clients_are_asked_in_threads(spark):
+    import time
+
+    def slow(text):
+        time.sleep(0.2)
+        return text
+
+    items = spark.createDataFrame([(i, "x") for i in range(20)], "id int, prompt string").coalesce(1)
+    began = time.time()
+    assert enrich.ask(items, slow).where("answer = 'x'").count() == 20
+    assert time.time() - began < 3.5  # one by one it would be four seconds
