@@ -3,8 +3,8 @@
 Voters are lexicon words, word beginnings and patterns. Lexicons are induced from a bounded sample of
 labelled training rows, beside a small fixed one. The label model is a latent-class model: each voter
 fires at one rate on toxic and another on clean texts; both rates, the share of toxic texts and the
-voters' correlations within a class are estimated by classification EM, and correlated voters
-(a word and its beginning) share their weight. A logistic model over hashed words and word beginnings is
+voters' correlations within a class are estimated anew in every round of classification EM, and correlated
+voters (a word and its beginning) share their weight. A logistic model over hashed words and word beginnings is
 fitted to the posterior labels and scores whole texts.
 
 Defined results: a null text counts as empty; scores depend on the text only, so repeated rows get
@@ -14,6 +14,7 @@ columns asked for, so extra columns may have any name; an empty table gives an e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,11 +73,38 @@ class _Slots(dict):
         return found
 
 
+_INSULT = "(?:" + "|".join(INSULTS) + ")"
+#: Pattern voters: phrases on the folded text (words between single spaces), and forms of the raw one.
+PHRASES = tuple(
+    re.compile(p)
+    for p in (
+        rf"\b(?:you|u|youre|your)(?: are| re| r)?(?: all| such| just| really| so| a| an| the)* {_INSULT}\b",  # an insult to the reader
+        rf"\b(?:he|she|they|these|those|that|what)(?: is| are| s| re)?(?: all| such| just| a| an)+ {_INSULT}\b",  # one to others
+        rf"\b{_INSULT} (?:\w+ )?{_INSULT}\b",  # two together
+        r"\b(?:shut up|get lost|go away|drop dead|go to hell|nobody (?:likes|wants|needs) you)\b",
+        r"\b(?:hate|despise|loathe) (?:you|them|him|her|those|these|all)\b",
+        r"\b(?:kill|hang|hurt|harm) (?:you|yourself|them|him|her)\b|\b(?:should|hope you|deserve to) die\b",
+    )
+)
+FORMS = tuple(
+    re.compile(p)
+    for p in (
+        r"[!?]{3,}",  # shouting by marks
+        r"(?:\b[A-Z]{3,}\b[\s,!]*){3,}",  # three words in capitals
+        r"\b[A-Za-z]+[*@#$]+[A-Za-z]+\b",  # letters hidden by signs
+        r"([A-Za-z])\1{3,}",  # drawn-out letters
+    )
+)
+
+
 def patterns(text: str, lexicon_hits: int) -> list[bool]:
-    """Votes of the pattern voters."""
-    letters = sum(c.isalpha() for c in text) or 1
-    upper = sum(c.isupper() for c in text)
-    return [lexicon_hits >= 2, text.count("!") >= 3 and upper > 0.5 * letters, lexicon_hits == 0]
+    """Votes of the pattern voters: phrases, forms, capitals, and none or several words of the lexicon."""
+    folded = " ".join((text or "").encode().translate(_FOLD).decode("utf-8", "replace").split())
+    letters, upper = sum(c.isalpha() for c in text) or 1, sum(c.isupper() for c in text)
+    return [*(p.search(folded) is not None for p in PHRASES), *(p.search(text) is not None for p in FORMS), upper > 0.5 * letters, lexicon_hits >= 2, lexicon_hits == 0]
+
+
+N_PATTERNS = len(PHRASES) + len(FORMS) + 3
 
 
 def independent(slots: list[np.ndarray], size: int) -> np.ndarray:
@@ -122,7 +150,7 @@ def induce(texts: list[str], slots: list[np.ndarray], known: np.ndarray, labels:
 def votes(texts: list[str], lexicon: list[bytes], memo: _Slots) -> np.ndarray:
     """One row per text, one 0/1 column per voter."""
     place = {slot(f): i for i, f in enumerate(lexicon)}
-    out = np.zeros((len(texts), len(lexicon) + 3), np.float32)
+    out = np.zeros((len(texts), len(lexicon) + N_PATTERNS), np.float32)
     for k, text in enumerate(texts):
         fired = [[place[s] for s in memo[w] if s in place] for w in distinct_words(text)]
         out[k, [i for some in fired for i in some]] = 1
@@ -134,24 +162,25 @@ class LabelModel:
     """Latent classes with firing rates per class and weights that discount correlated voters."""
 
     def fit(self, fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-        posterior = start.astype(float)
-        self._rates(fired, posterior)
-        rest = fired - (posterior[:, None] * self.on + (1 - posterior)[:, None] * self.off)
-        covariance = rest.T @ rest / len(fired)
-        deviation = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-        self.correlation = covariance / deviation[:, None] / deviation
-        np.fill_diagonal(self.correlation, 1)
-        # voters that fire together within a class count as one
-        self.weight = 1 / np.where(np.abs(self.correlation) > CORRELATED, np.abs(self.correlation), 0).sum(1)
-        chosen = posterior > 0.5
+        chosen = start > 0.5
         for _ in range(rounds):
             # rates come from the likelier class: with shared weights, soft ones would drift together
+            self._rates(fired, chosen.astype(float))
+            self._correlations(fired, chosen.astype(float))
             before, chosen = chosen, self.posterior(fired) > 0.5
             if (chosen == before).all() or not 0 < chosen.sum() < len(chosen):
                 break
-            self._rates(fired, chosen.astype(float))
         return self
 
+    def _correlations(self, fired: np.ndarray, posterior: np.ndarray) -> None:
+        """Correlations within a class; voters that fire together count as one."""
+        rest = fired - (posterior[:, None] * self.on + (1 - posterior)[:, None] * self.off)
+        covariance = rest.T @ rest / len(fired)
+        deviation = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+        self.correlation = covariance / deviation[:, None] / deviation
+        np.fill_diagonal(self.correlation, 1)
+        self.weight = 1 / np.where(np.abs(self.correlation) > CORRELATED, np.abs(self.correlation), 0).sum(1)
+
     def _rates(self, fired: np.ndarray, posterior: np.ndarray) -> None:
         self.prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
         self.on = (posterior @ fired + 0.5) / (posterior.sum() + 1)
