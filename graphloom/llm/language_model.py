@@ -9,11 +9,14 @@ The model is a GRU with a class-factored softmax: the most frequent words have c
 each with a learned distribution; all others fall into classes by their ending, within which words have
 their smoothed share of the counts. It is trained by truncated backpropagation with Adam on every token of
 every training text: blocks are read where they lie, shards of them train from the current weights, and
-the mean of their weights starts the next round. Each round takes its own share of the documents, so all
+the mean of their weights (added in a tree of fixed fan-in) starts the next round. Each round takes its own share of the documents, so all
 rounds together are one pass; only shards too small for LEAST_STEPS steps are read more than once.
 State is carried across windows, from a document's first token
 to its last, in training and in scoring.
 
+`score` is a probability over the words of the training texts and one unknown word per class of endings: of
+several unknown words that share a class each gets the probability of that one.
+
 Words are known by 64-bit hashes; two of a billion words share one with a chance of about 3 %.
 
 Defined results: a null text counts as empty and is one token, the end; rows with a null id belong to
@@ -35,11 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.hot import join_hot
 from graphloom.session import written
 
 BLOCK_TOKENS = 2_200_000
 #: Tokens from which a task's blocks make a shard; rounds of averaging.
 SHARD_TOKENS, ROUNDS, RATE = BLOCK_TOKENS, 3, 6e-3
+#: Shards whose weights are added together at a time.
+FAN_IN = 64
 #: Steps of a shard and round: small shards are passed over again to reach the first, lanes widen beyond the second.
 LEAST_STEPS, STEPS = 64, 180
 CLASSES, WITHIN, ENDINGS = 32, 32, 32
@@ -49,6 +55,8 @@ WINDOW, LANES = 32, 256
 #: Lanes in training, at least and at most.
 TRAIN_LANES = 16, 128
 MEMO = 300_000
+#: Words that most blocks have, whose counts are broadcast; the others meet by a shuffle.
+HOT_WORDS = 20_000
 END = 0x656E64
 POSITIONS = 24
 
@@ -339,12 +347,11 @@ def log_likelihoods(model: Model, docs: list[np.ndarray], end: int) -> np.ndarra
     return out
 
 
-def _federated(blocks: DataFrame, model_ids: dict[int, int], tokens: int, shard_tokens: int, rounds: int) -> np.ndarray:
-    """Weights after rounds of local training on shards of all blocks and averaging in two steps."""
+def _federated(blocks: DataFrame, model_ids: dict[int, int], shard_tokens: int, rounds: int) -> np.ndarray:
+    """Weights after rounds of local training on shards of all blocks and averaging."""
     context = blocks.sparkSession.sparkContext
     top = context.broadcast(model_ids)
     flat = Model().flat
-    groups = max(1, int(np.sqrt(tokens / shard_tokens)))
     for turn in range(rounds):
         start = context.broadcast(flat)
 
@@ -353,14 +360,14 @@ def _federated(blocks: DataFrame, model_ids: dict[int, int], tokens: int, shard_
             size, shard = 0, 0
 
             def learned() -> pa.RecordBatch:
-                flat = Model(start.value).train(docs, top.value.get(END, TOP), RATE).flat
-                return pa.RecordBatch.from_arrays([pa.array([shard % groups], pa.int32()), pa.array([float(size)]), pa.array([(flat * np.float32(size)).tobytes()], pa.binary())], names=["g", "size", "flat"])
+                flat = Model(start.value).train(docs, top.value.get(END, TOP), RATE).flat.astype(np.float64)
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(size)]), pa.array([(flat * size).tobytes()], pa.binary())], names=["shard", "size", "flat"])
 
             for batch in batches:
                 for k in range(batch.num_rows):
                     block, vocabulary, raw = (batch.column(c)[k].as_py() for c in range(3))
                     more = _lessons(vocabulary, raw, top.value, turn, rounds)
-                    shard = shard if docs else xxhash.xxh3_64_intdigest(str(block).encode())
+                    shard = shard if docs else xxhash.xxh3_64_intdigest(str(block).encode()) >> 1
                     docs += more
                     size += sum(map(len, more))
                     if size * rounds >= shard_tokens:
@@ -369,20 +376,27 @@ def _federated(blocks: DataFrame, model_ids: dict[int, int], tokens: int, shard_
             if docs:
                 yield learned()
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(flat), np.float64)
-            for raw in pdf["flat"]:
-                total += np.frombuffer(raw, np.float32)
-            return pd.DataFrame({"size": [pdf["size"].sum()], "flat": [total.tobytes()]})
-
-        trained = blocks.mapInArrow(local, "g int, size double, flat binary")
-        rows = trained.groupBy("g").applyInPandas(add, "size double, flat binary").collect()  # at most the square root of the number of shards
-        if rows:
-            flat = (sum(np.frombuffer(r["flat"], np.float64) for r in rows) / sum(r["size"] for r in rows)).astype(np.float32)
+        total = _added(written(blocks.mapInArrow(local, "shard long, size double, flat binary"), "weights"))
+        if total is not None:
+            flat = total.astype(np.float32)
         start.unpersist()
     return flat
 
 
+def _added(parts: DataFrame) -> np.ndarray | None:
+    """Weighted mean of rows (shard, size, flat): sums of FAN_IN rows or so, until the driver gets as few."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(raw, np.float64) for raw in pdf["flat"]], 0)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [pdf["size"].sum()], "flat": [total.tobytes()]})
+
+    while (n := parts.count()) > FAN_IN:
+        group = F.pmod(F.xxhash64("shard"), F.lit(-(-n // FAN_IN)))
+        parts = written(parts.groupBy(group).applyInPandas(add, parts.schema), "weights")
+    rows = sorted(parts.collect())
+    return sum(np.frombuffer(r["flat"], np.float64) for r in rows) / sum(r["size"] for r in rows) if rows else None
+
+
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, sample_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
@@ -390,7 +404,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     blocks = written(_blocks(docs, key, text, train, block_tokens), "blocks")
-    counts = written(_words(blocks).groupBy("word").agg(F.sum("n").alias("c"), F.min("ending").alias("ending")).where("c > 0"), "counts")
+    counts = written(_words(blocks).groupBy("word").agg(F.sum("n").alias("c"), F.min("ending").alias("ending"), F.count("*").alias("blocks")).where("c > 0"), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
     most = [(r["word"] & (2**64 - 1), r["c"], r["ending"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP).collect()]
@@ -399,12 +413,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     for _, c, e in most:
         mass[e] -= c + 1
     room = np.array([mass.get(e, 0) + 1 for e in range(ENDINGS)], np.float64)  # one more for an unknown word
-    weights = _federated(blocks, top, n, sample_tokens, rounds)
+    weights = _federated(blocks, top, sample_tokens, rounds)
     shared = spark.sparkContext.broadcast((weights, top, room))
 
     # counts go back to the blocks by word; a block's own row follows its counts
     ids = spark.createDataFrame([(int(np.uint64(w).astype(np.int64)), k) for w, k in top.items()], "word long, id int")
-    rows = _words(blocks).select("at", "word", "ending").join(counts.select("word", "c"), "word", "left").join(F.broadcast(ids), "word", "left")
+    rows = join_hot(_words(blocks).select("at", "word", "ending"), counts.select("word", "c", "blocks"), "word", "blocks", "at", bound=HOT_WORDS).join(F.broadcast(ids), "word", "left")
     rows = rows.select("at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("id", F.col("ending") + TOP).alias("id"), F.lit(None).cast("binary").alias("docs"))
     last = (1 << POSITIONS) - 1
     ends = blocks.select((F.shiftleft("block", POSITIONS) + last).alias("at"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("id"), "docs")

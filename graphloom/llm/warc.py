@@ -82,7 +82,7 @@ def referred(pages: DataFrame, least_bytes: int) -> DataFrame:
     # counted and reduced in the tasks first; only payloads that repeat go on
     groups = pages.select(digest.alias("digest"), "id").where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     groups = written(groups.where("n > 1 and first is not null"), "repeats")
-    found = join_hot(pages.withColumn("digest", digest), groups, "digest", "n")
+    found = join_hot(pages.withColumn("digest", digest), groups, "digest", "n", "id")
     return found.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
