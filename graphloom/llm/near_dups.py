@@ -159,10 +159,16 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sketch").mapInArrow(run, "key long, cid long")
 
 
+def _attached(rows: DataFrame, pairs: DataFrame, classes: DataFrame, side: str, other: str, columns: dict[str, str]) -> DataFrame:
+    """rows of pairs (a, b) with columns of one side's class. A pivot may be in very many pairs: they are dealt by salts."""
+    salts = pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
+    held = classes.select(F.col("cid").alias(side), *[F.col(c).alias(name) for c, name in columns.items()])
+    held = held.join(salts, side).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return rows.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts"))).drop("salts").join(held, [side, "salt"]).drop("salt")
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose joint estimate can still reach the threshold."""
-    one = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    two = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +179,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 yield part.filter(pa.array(near >= threshold - MARGIN)).select(["a", "b"])
 
     # the larger set bounds the similarity: sizes below the threshold's ratio can't link
-    sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    sized = _attached(_attached(pairs, pairs, classes, "a", "b", {"n": "n_a", "sketch": "s_a"}), pairs, classes, "b", "a", {"n": "n_b", "sketch": "s_b"}).where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
@@ -207,13 +213,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def attached(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
-        # a pivot may be in very many pairs: they are dealt by salts, each with its set
-        salts = pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
-        dealt = sets.withColumnRenamed("cid", side).join(salts, side).select(side, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("set").alias(name))
-        return rows.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts"))).drop("salts").join(dealt, [side, "salt"]).drop("salt")
-
-    joined = attached(attached(pairs, "a", "b", "x"), "b", "a", "y")
+    joined = _attached(_attached(pairs, pairs, sets, "a", "b", {"set": "x"}), pairs, sets, "b", "a", {"set": "y"})
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     bands = _bands(classes)
     crowded = written(bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "buckets")
-    members = join_hot(bands, crowded, "key", "many", "inner").withColumn("salts", 1 + F.floor(F.col("many") / SPLIT))
+    members = join_hot(bands, crowded, "key", "many", "cid", "inner").withColumn("salts", 1 + F.floor(F.col("many") / SPLIT))
     members = written(members, "members")
     mass = cut_lineage(members.groupBy("cid").agg(F.sum("many").alias("mass")))
     state = mass.withColumn("label", F.col("cid"))
@@ -350,6 +350,6 @@ def _result(sketches: DataFrame, classes: DataFrame, found: DataFrame | None, ke
         linked = linked.join(least, "label").select("digest", "component", "copies", "cid")
         alone = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("digest", F.col("doc").alias("component"), "copies")
         grouped = linked.select("digest", "component", "copies").unionByName(alone)
-    out = join_hot(sketches.select("doc", "n", "digest"), written(grouped, "components"), "digest", "copies")
+    out = join_hot(sketches.select("doc", "n", "digest"), written(grouped, "components"), "digest", "copies", "doc")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc").isNull() | (F.col("doc") == component)).alias("kept"))
