@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, decontaminate, language_model, license_texts, licenses, quality, secrets, toxicity
 from graphloom.llm.sampling import fold
 
-P = pytest.importorskip("public_tokenizers")
-RANKS = P.path("byte_bpe_50k.tiktoken")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None
+RANKS = P and P.path("byte_bpe_50k.tiktoken")
+needs_tokenizers = pytest.mark.skipif(P is None, reason="no vocabulary files")
 
 
 def _docs(spark, texts, extra=True):
@@ -34,6 +38,7 @@ def _random_texts(n, seed=1):
     return ["".join(rng.choice("abcé ,.\n'\t01漢🙂ß") for _ in range(rng.randint(0, 120))) for _ in range(n)]
 
 
+@needs_tokenizers
 def test_bpe_equals_tiktoken(spark):
     tiktoken = pytest.importorskip("tiktoken")
     texts = TEXTS + _random_texts(300)
@@ -51,6 +56,7 @@ def test_bpe_equals_tiktoken(spark):
         assert digests[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(bytes(r["decoded"])).hexdigest()
 
 
+@needs_tokenizers
 def test_long_rows_merge_like_matrix_rows():
     codec = bpe.codec(bpe.load_ranks(RANKS), P.PATTERN)
     rng = random.Random(2)
@@ -59,6 +65,7 @@ def test_long_rows_merge_like_matrix_rows():
         assert codec._long(piece).tolist() == codec._matrix([piece])[0].tolist()
 
 
+@needs_tokenizers
 def test_bpe_on_an_empty_table(spark):
     assert bpe.encode_decode(_docs(spark, []), RANKS, P.PATTERN, ["doc_id"]).collect() == []
 
@@ -182,6 +189,32 @@ def test_contamination_equals_brute_force(spark, block_words):
         assert (r["n_words"], r["n_hit"], r["items"]) == expected[r["doc_id"]], texts[r["doc_id"]]
 
 
+def test_many_blocks_take_one_worker_and_two_passes(spark):
+    rng = random.Random(6)
+    make = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    items = [(i, make(40)) for i in range(25)] + [(90, make(300))]
+    texts = [*(f"{make(20)} {items[i % 25][1]} {make(5)}" for i in range(40)), items[25][1], make(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate.blocks(benchmark, "item_id", "text", 10, 50))) >= 20
+    found = decontaminate.contamination(_docs(spark, texts), benchmark, ["doc_id"], block_words=50)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in sorted(found.collect())] == _brute_contamination(texts, items)
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    class Same(decontaminate._Hashes):
+        def __missing__(self, word):  # all words of documents look like one of the benchmark's
+            return decontaminate.xxhash.xxh3_64_intdigest(word.replace(b"q", b"a"))
+
+    monkeypatch.setattr(decontaminate, "_Hashes", Same)
+    block = decontaminate.Block([("1", [b"a", b"b", b"c", b"a"])], 10)
+    block.order(np.ones(len(block.shingles), np.int64))
+    texts = ["x a b c a", "x a b c q", "q b c a"]
+    batch = decontaminate.pa.RecordBatch.from_arrays([decontaminate.pa.array(texts)], names=["t"])
+    (_, docs), = decontaminate._groups(iter([batch]), 0, 0)
+    assert [begin.tolist() for begin in block.hits(docs)[1:]] == [[1]]
+
+
 def test_contamination_of_and_by_nothing(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert [(r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(_docs(spark, ["a b"]), benchmark, ["doc_id"]).collect()] == [(2, 0, [])]
@@ -324,7 +357,7 @@ def test_label_model_finds_accurate_voters():
 
 def _brute_base(texts):
     split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w] + [None]
-    ws = {i: split(t) for i, t in enumerate(texts)}
+    ws = {i: split(t) for i, t in (texts.items() if isinstance(texts, dict) else enumerate(texts))}
     count = collections.Counter(w for i, x in ws.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
     n, v = sum(count.values()), len(count)
     return {i: (len(x), sum(count[w] > 0 for w in x), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x)) for i, x in ws.items()}
