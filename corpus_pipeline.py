@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, decontaminate, near_dups, secrets, toxicity
 from graphloom.llm.queries import VOCABULARY
 from graphloom.llm.sampling import fold
-from graphloom.session import table
+from graphloom.session import table, written
 
 #: Texts from this score on are toxic.
 TOXIC = 0.7
@@ -99,8 +99,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to the documents table."""
+    """Applies STAGES to the documents table; each stage's rows are written once and read by the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
