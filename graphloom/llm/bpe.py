@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ LONG = 1024
 BLOCK = 512
 #: Distinct pieces kept per worker before the cache starts anew (memory only, results don't depend on it).
 CACHE = 200_000
+#: Characters from which a text is encoded in runs, and pieces of a run.
+STREAMED, PIECES = 4_000_000, 500_000
 #: Bytes of matrix cells handled at once.
 MATRIX_CELLS = 1_000_000
 NONE = np.int32(2**31 - 1)
@@ -189,8 +192,19 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text (uint32, little-endian)."""
-        split = list(map(self.pattern.findall, texts))
+        """Token ids of each text (uint32, little-endian); of a very long text only some pieces are objects at a time."""
+        short = iter(self._ids([self.pattern.findall(t) for t in texts if len(t) <= STREAMED]))
+        return [next(short) if len(t) <= STREAMED else self._streamed(t) for t in texts]
+
+    def _streamed(self, text: str) -> np.ndarray:
+        found = (m.group() for m in self.pattern.finditer(text))
+        parts = [np.zeros(0, "<u4")]
+        while words := list(islice(found, PIECES)):
+            parts += self._ids([words])
+        return np.concatenate(parts)
+
+    def _ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """Token ids of texts that are cut into the pattern's matches."""
         if len(self.code) > CACHE:
             self._clear()
         fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.code))
@@ -212,7 +226,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of token ids."""
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(b"".join(map(self.tokens.__getitem__, ids[k : k + PIECES].tolist())) for k in range(0, len(ids), PIECES))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

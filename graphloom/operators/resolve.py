@@ -134,9 +134,14 @@ def resolve_keys(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def token_match(items: DataFrame, features: DataFrame) -> DataFrame:
-    """(item, feature_idx): the feature that shares most tokens, at least one; then the first. items (item, tokens), features (feature_idx, tokens)."""
-    left = items.select("item", F.explode(F.array_distinct("tokens")).alias("token"))
-    right = features.select("feature_idx", F.explode(F.array_distinct("tokens")).alias("token")).distinct()
-    shared = left.join(right, "token").groupBy("item", "feature_idx").agg(F.count("*").alias("n_"))
-    best = shared.groupBy("item").agg(F.min(F.struct((-F.col("n_")).alias("n_"), "feature_idx")).alias("best"))
-    return best.select("item", F.col("best.feature_idx").alias("feature_idx"), (-F.col("best.n_")).alias("shared"))
+    """(item, feature_idx, shared): the feature that shares most tokens, at least one; then the first. items (item, tokens), features (feature_idx, tokens).
+
+    Items, and features, of one set of tokens are compared once.
+    """
+    known = F.array_sort(F.array_distinct("tokens")).alias("set_")
+    sets = items.select("item", known)
+    left = sets.select("set_").distinct().select("set_", F.explode("set_").alias("token"))
+    right = features.select("feature_idx", known).groupBy("set_").agg(F.min("feature_idx").alias("feature_idx")).select("feature_idx", F.explode("set_").alias("token"))
+    shared = left.join(right, "token").groupBy("set_", "feature_idx").agg(F.count("*").alias("n_"))
+    best = shared.groupBy("set_").agg(F.min(F.struct((-F.col("n_")).alias("n_"), "feature_idx")).alias("best"))
+    return sets.join(best, "set_").select("item", F.col("best.feature_idx").alias("feature_idx"), (-F.col("best.n_")).alias("shared"))

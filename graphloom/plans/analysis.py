@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
@@ -138,6 +138,49 @@ def verify(nodes: DataFrame, edges: DataFrame, client: enrich.Client, rounds: in
     return edges, rounds
 
 
+def verify_grouping(groups: DataFrame, entry_points: DataFrame, membership: DataFrame, links: DataFrame, client: enrich.Client | None = None, rounds: int = ROUNDS, language: str = "en") -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(features, entry points, membership, rounds) after splits that a client suggests, until nothing is wrong.
+
+    groups: feature (int), name; entry_points: feature, ep_seq, node_name and start (its node or null); membership:
+    feature, node; links: src, dst. In every round features are checked by their structure and by the client, which
+    answers {"features": [{"name", "valid", "suggested_split"}]}. An invalid feature's entry points are dealt to the
+    suggested names, whose members are what they reach of the old ones; without entry points a part doesn't exist.
+    Structural issues alone change nothing, so the rounds go on until the last. Ids of features are given anew.
+    """
+    for number in range(1, rounds + 1):
+        starts = entry_points.where("start is not null").select(F.col("feature").alias("cluster"), F.col("start").alias("node"))
+        reached = graph.reachable(starts, links, by=("cluster",)).withColumnRenamed("cluster", "feature")
+        counts = entry_points.groupBy("feature").agg(F.count("*").alias("entries"))
+        sound = features.structure(groups, membership, counts, reached).where("issue is not null").isEmpty()
+        splits = None
+        if client is not None:
+            listed = entry_points.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("ep_seq", "node_name"))).alias("points"))  # one prompt names them all
+            line = F.concat("name", F.lit(": "), F.array_join(F.transform("points", lambda x: x["node_name"]), ", "))
+            lines = groups.join(listed, "feature", "left").select("feature", F.coalesce(line, F.col("name")).alias("line"))
+            names = F.transform(F.array_sort(F.collect_list(F.struct("feature", "line"))), lambda x: x["line"])
+            asked = enrich.ask_json(lines.agg(names.alias("names")).select(F.lit(1).alias("id"), enrich.grouping_prompt(F.col("names"), language).alias("prompt")), client)
+            said = F.explode(F.try_variant_get("answer", "$.features", "array<struct<name:string,valid:boolean,suggested_split:array<string>>>"))
+            wrong = cut_lineage(asked.select(said.alias("f")).where("not f.valid").select("f.name", F.col("f.suggested_split").alias("names")))
+            sound = sound and wrong.isEmpty()
+            splits = cut_lineage(groups.join(resolve.first_wins(wrong.where(F.size("names") > 0).withColumnRenamed("name", "name_"), ["name_"], ["names"]), F.col("name") == F.col("name_")).select("feature", "names"))
+        if sound:
+            return groups, entry_points, membership, number
+        if splits is None or splits.isEmpty():
+            continue
+        parted = cut_lineage(features.split_features(entry_points, splits))
+        order = parted.select("feature", "part", "name").distinct().unionByName(groups.join(splits, "feature", "left_anti").select("feature", F.lit(0).alias("part"), "name"))
+        order = cut_lineage(order.withColumn("new", F.row_number().over(Window.orderBy("feature", "part")) - 1))  # features are few by nature
+        old = order.join(splits, "feature", "left_anti").select("feature", "new")
+        within = parted.join(order.drop("name"), ["feature", "part"])
+        again = graph.reachable(within.where("start is not null").select(F.col("new").alias("cluster"), F.col("start").alias("node")), links, by=("cluster",))
+        again = again.withColumnRenamed("cluster", "new").join(order.select("feature", "new"), "new").join(membership, ["feature", "node"], "left_semi").select("new", "node")
+        membership = cut_lineage(membership.join(old, "feature").select("new", "node").unionByName(again).distinct().withColumnRenamed("new", "feature"))
+        kept = entry_points.join(old, "feature").unionByName(within.drop("part", "name")).drop("feature").withColumnRenamed("new", "feature")
+        entry_points = cut_lineage(kept)
+        groups = cut_lineage(order.select(F.col("new").alias("feature"), "name"))
+    return groups, entry_points, membership, rounds
+
+
 def statistics(a: Analysis) -> DataFrame:
     """(name, value): sizes of an analysis."""
     sizes = {"files": a.parsed, "nodes": a.nodes, "edges": a.edges, "features": a.features, "dead_code": a.dead}

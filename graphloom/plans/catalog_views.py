@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 from graphloom.operators import dead_code, diff, enrich, features, graph, resolve, serve
 from graphloom.plans import agent, analysis
-from graphloom.plans.catalog import _E_ALL, _PATH, SQL, _edges, _nodes, _page_paths, manifest_diff, query
+from graphloom.plans.catalog import _E, _PATH, SQL, _edges, _nodes, _page_paths, manifest_diff, query
 from graphloom.session import table, written
 from graphloom.sources import parse as parsing
 from graphloom.streaming import progress
@@ -117,9 +117,9 @@ def graph_assembly(spark: SparkSession, d: str) -> DataFrame:
     return out.union(view["features"].select(F.lit("feature"), "id", _text("node_count")))
 
 
-@query(f"WITH {_S}, l AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id FROM customer WHERE c_custkey % 3 = 0), t AS (SELECT repo_id, status AS stored FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY analyzed_at DESC, id DESC) AS k FROM s) WHERE k = 1) SELECT coalesce(l.repo_id, t.repo_id) AS repo_id, CASE WHEN l.repo_id IS NOT NULL THEN 'running' ELSE stored END AS status, CASE WHEN l.repo_id IS NOT NULL THEN 50.0 WHEN stored = 'completed' THEN 100.0 ELSE 0.0 END::DOUBLE AS progress FROM l FULL JOIN t USING (repo_id)")
+@query(f"WITH {_S}, l AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id FROM customer WHERE c_mktsegment = 'BUILDING'), t AS (SELECT repo_id, status AS stored FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY analyzed_at DESC, id DESC) AS k FROM s) WHERE k = 1) SELECT coalesce(l.repo_id, t.repo_id) AS repo_id, CASE WHEN l.repo_id IS NOT NULL THEN 'running' ELSE stored END AS status, CASE WHEN l.repo_id IS NOT NULL THEN 50.0 WHEN stored = 'completed' THEN 100.0 ELSE 0.0 END::DOUBLE AS progress FROM l FULL JOIN t USING (repo_id)")
 def status_read(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "customer").where("c_custkey % 3 = 0").select(_text("c_custkey").alias("repo_id"), F.lit("running").alias("status"), F.lit(50.0).alias("progress"))
+    live = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(_text("c_custkey").alias("repo_id"), F.lit("running").alias("status"), F.lit(50.0).alias("progress"))
     return progress.status(live, _snapshots(spark, d))
 
 
@@ -179,15 +179,15 @@ def call_graph(spark: SparkSession, d: str) -> DataFrame:
 # ---- graph ----
 
 
-@query(f"WITH {_E_ALL} SELECT DISTINCT 'caller' AS role, src AS node FROM ring WHERE dst = 's:1' UNION ALL SELECT DISTINCT 'callee', dst FROM ring WHERE src = 'c:1'")
+@query(f"WITH {_E} SELECT DISTINCT 'caller' AS role, src AS node FROM ring WHERE dst = 's:1' UNION ALL SELECT DISTINCT 'callee', dst FROM ring WHERE src = 'c:1'")
 def callers_and_callees(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d, ring=True, whole=True)
+    edges = _edges(spark, d, ring=True)
     return graph.callers_of(edges, "s:1").select(F.lit("caller").alias("role"), "node").union(graph.callees_of(edges, "c:1").select(F.lit("callee"), "node"))
 
 
-@query(f"WITH {_E_ALL}, f AS (SELECT DISTINCT src, dst FROM ring WHERE src IN (SELECT node FROM nodes)) SELECT 'forward' AS way, src, dst FROM f UNION ALL SELECT 'reverse', dst, src FROM f WHERE dst IN (SELECT node FROM nodes)")
+@query(f"WITH {_E}, f AS (SELECT DISTINCT src, dst FROM ring WHERE src IN (SELECT node FROM nodes)) SELECT 'forward' AS way, src, dst FROM f UNION ALL SELECT 'reverse', dst, src FROM f WHERE dst IN (SELECT node FROM nodes)")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    forward, back = graph.adjacency(_edges(spark, d, ring=True, whole=True), _nodes(spark, d))
+    forward, back = graph.adjacency(_edges(spark, d, ring=True), _nodes(spark, d))
     return forward.select(F.lit("forward").alias("way"), "src", "dst").union(back.select(F.lit("reverse"), "src", "dst"))
 
 
@@ -202,11 +202,13 @@ def dead_detection(spark: SparkSession, d: str) -> DataFrame:
     return dead_code.detect(nodes, edges, none, none, verdicts).select("node", "reason", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT p_partkey FROM part f WHERE p_partkey % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM part s WHERE s.p_partkey % 3 = 0 AND s.p_brand = f.p_brand AND s.p_name = f.p_name)")
+@query("SELECT p_partkey FROM part f WHERE p_type <> (SELECT min(p_type) FROM part) AND NOT EXISTS (SELECT 1 FROM part s WHERE s.p_size < 15 AND s.p_brand = f.p_brand AND s.p_name = f.p_name)")
 def agent_dead_code(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    functions = part.select("p_partkey", F.col("p_brand").alias("file"), F.when(F.col("p_partkey") % 10 == 0, "__init__").otherwise(F.col("p_name")).alias("name"))
-    steps = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("file"), F.col("p_name").alias("function"))
+    least = part.agg(F.min("p_type").alias("least"))
+    special = F.when(F.col("p_type") == F.col("least"), "__init__").otherwise(F.col("p_name"))
+    functions = part.join(F.broadcast(least)).select("p_partkey", F.col("p_brand").alias("file"), special.alias("name"))
+    steps = part.where("p_size < 15").select(F.col("p_brand").alias("file"), F.col("p_name").alias("function"))
     return dead_code.agent_candidates(functions, steps).select("p_partkey")
 
 
@@ -258,10 +260,10 @@ def entry_clusters(spark: SparkSession, d: str) -> DataFrame:
     return features.cluster_entry_points(points).select("c_custkey", "cluster_key", "cluster_idx")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS feature FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS feature FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)")
 def nonempty_features(spark: SparkSession, d: str) -> DataFrame:
-    members = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("long").alias("feature"))
-    points = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").cast("long").alias("feature"))
+    members = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("feature"))
+    points = table(spark, d, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").cast("long").alias("feature"))
     return features.drop_empty(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("feature")), members, points)
 
 

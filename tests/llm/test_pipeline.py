@@ -8,9 +8,7 @@ import pytest
 import corpus_pipeline
 from graphloom.llm import queries, secrets, toxicity
 from tests.llm.test_pairs import _brute_components
-from tests.llm.test_texts import _brute_contamination
-
-pytest.importorskip("public_tokenizers")
+from tests.llm.test_texts import _brute_contamination, needs_tokenizers
 
 
 @pytest.fixture
@@ -39,6 +37,7 @@ def folder(spark, tmp_path):
     return str(tmp_path), bench
 
 
+@needs_tokenizers
 def test_each_stage(spark, folder):
     path, bench = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
@@ -78,6 +77,7 @@ def test_each_stage(spark, folder):
     assert {r["doc_id"] for r in whole.collect()} == before["bpe"]
 
 
+@needs_tokenizers
 def test_stages_of_an_empty_table(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)

@@ -56,6 +56,18 @@ def test_bpe_equals_tiktoken(spark):
         assert digests[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(bytes(r["decoded"])).hexdigest()
 
 
+@needs_tokenizers
+def test_texts_in_runs_have_the_same_ids(monkeypatch):
+    codec = bpe.codec(bpe.load_ranks(RANKS), P.PATTERN)
+    texts = [t or "" for t in TEXTS] + _random_texts(40, seed=3) + ["word 12 été\n" * 3000]
+    whole = codec.encode(texts)
+    monkeypatch.setattr(bpe, "STREAMED", 5)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    parts = codec.encode(texts)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts, strict=True))
+    assert [codec.decode(x) for x in parts] == [t.encode() for t in texts]
+
+
 @needs_tokenizers
 def test_long_rows_merge_like_matrix_rows():
     codec = bpe.codec(bpe.load_ranks(RANKS), P.PATTERN)

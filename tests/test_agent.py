@@ -78,3 +78,20 @@ def test_jobs(spark, tmp_path, monkeypatch):
     assert jobs.start(spark, folder, repos, repo, "abce", lambda: _files(spark), wait=True)[1]["status"] == "failed"
     assert file_source.load(spark, folder, "code_nodes").count() == 2 * nodes  # what was found is kept
     assert {r["status"] for r in jobs.current(file_source.load(spark, folder, "analysis_snapshots")).collect()} == {"completed", "failed"}
+
+
+def test_grouping_is_split_until_the_client_agrees(spark):
+    groups = spark.createDataFrame([(0, "all"), (1, "fine")], "feature int, name string")
+    points = spark.createDataFrame([(0, 0, "m:a", "a"), (0, 1, "m:b", "b"), (0, 2, "m:c", None), (1, 3, "m:d", "d")], "feature int, ep_seq int, node_name string, start string")
+    members = spark.createDataFrame([(0, n) for n in ("a", "x", "b", "y")] + [(1, "d")], "feature int, node string")
+    links = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "d")], "src string, dst string")
+
+    def client(prompt):
+        wrong = [{"name": "all", "valid": False, "suggested_split": ["one", "two"]}] if "all: m:a, m:b, m:c" in prompt else []
+        return json.dumps({"features": [*wrong, {"name": "fine", "valid": True}]})
+
+    found, entries, held, rounds = analysis.verify_grouping(groups, points, members, links, client)
+    assert rounds == 2 and sorted(map(tuple, found.collect())) == [(0, "one"), (1, "two"), (2, "fine")]
+    assert sorted((r["feature"], r["node_name"]) for r in entries.collect()) == [(0, "m:a"), (1, "m:b"), (1, "m:c"), (2, "m:d")]
+    assert sorted(map(tuple, held.select("feature", "node").collect())) == [(0, "a"), (0, "x"), (1, "b"), (1, "y"), (2, "d")]
+    assert analysis.verify_grouping(groups, points, members, links)[3] == 1
