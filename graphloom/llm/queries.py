@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, language_model, license_texts, licenses, near_dups, quality, secrets, toxicity, vptree, warc
+from graphloom.llm import bpe, decontaminate, importance, language_model, license_texts, licenses, near_dups, quality, secrets, set_join, toxicity, vector_codes, vptree, warc
 from graphloom.llm.sampling import fold
 from graphloom.session import table
 
@@ -161,9 +161,71 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks of 64 entries for 16 parts, with their errors."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Two rounds of assigning parts to entries and averaging, then the final assignment."""
+    nearest = "SELECT vec_id, part, v, CAST(arg_min(entry, (d, entry)) AS INT) AS entry, min(d) AS d FROM (SELECT vec_id, part, p.v, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {book} b USING (part)) GROUP BY vec_id, part, v"
+    moved = "SELECT part, entry, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM (SELECT part, entry, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x FROM {near}, unnest(range(1, len(v) + 1)) AS r(i) GROUP BY ALL) GROUP BY ALL) m USING (part, entry)"
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // {vector_codes.PARTS} + 1 : (part + 1) * len(v) // {vector_codes.PARTS}] AS v FROM k, unnest(range({vector_codes.PARTS})) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < {vector_codes.ENTRIES}),
+n0 AS MATERIALIZED ({nearest.format(book="b0")}),
+b1 AS MATERIALIZED ({moved.format(book="b0", near="n0")}),
+n1 AS MATERIALIZED ({nearest.format(book="b1")}),
+b2 AS MATERIALIZED ({moved.format(book="b1", near="n1")}),
+n2 AS MATERIALIZED ({nearest.format(book="b2")}),
+c AS (SELECT vec_id, lower(string_agg(printf('%02x', entry), '' ORDER BY part)) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(x, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM (SELECT part, entry, array_to_string(v, ',') AS x FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), s
+"""
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their shingles."""
+    return set_join.join(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_ JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's words, and a tenth of them drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS w FROM words),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) AS r(i))),
+buckets AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda k: CAST('0x' || substr(hex(encode(w)), 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM target), crc),
+source AS (SELECT bucket, count(*) AS s FROM f JOIN buckets USING (w) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM target) + 10000)))) AS BIGINT) AS gain FROM source LEFT JOIN wanted USING (bucket)),
+sums AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN buckets USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+noise AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM words LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM noise),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20 QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_model": op1_language_model, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_neighbours": op5_neighbours, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc}
+    return {"op1_language_model": op1_language_model, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_neighbours": op5_neighbours, "op6_toxicity": op6_toxicity, "op7_near_dups": op7_near_dups, "op8_licenses": op8_licenses, "op9_byte_bpe": op9_byte_bpe, "op10_warc": op10_warc, "op11_vector_codes": op11_vector_codes, "op12_jaccard_join": op12_jaccard_join, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op5_neighbours": OP5_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op5_neighbours": OP5_SQL, "op7_near_dups": OP7_SQL, "op8_licenses": _op8_sql(), "op10_warc": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_jaccard_join": OP12_SQL, "op13_importance": OP13_SQL}
