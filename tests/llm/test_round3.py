@@ -77,7 +77,7 @@ def test_codes_of_odd_tables(spark):
 
 def test_annulus_is_exact_and_prunes():
     rng = np.random.default_rng(5)
-    entries, rows = rng.integers(-900, 900, (64, 4)), rng.integers(-900, 900, (500, 4))
+    entries, rows = ((rng.normal(size=(n, 4)) * rng.uniform(50, 2000, (n, 1))).astype(np.int64) for n in (64, 500))  # of many norms
     entries[10], rows[0] = entries[3], entries[3]  # a tie goes to the lower index
     book, seen = vector_codes.Book(entries), []
     evaluated = book._evaluated
@@ -85,7 +85,7 @@ def test_annulus_is_exact_and_prunes():
     index, distance = book.nearest(rows)
     full = ((rows[:, None, :] - entries[None]) ** 2).sum(2)
     assert (distance == full.min(1)).all() and (index == full.argmin(1)).all() and index[0] == 3
-    assert sum(seen) < 0.75 * full.size
+    assert sum(seen) < 0.6 * full.size
 
 
 # ---- Jaccard join ----
