@@ -95,6 +95,18 @@ def cluster_reach(spark: SparkSession, d: str) -> DataFrame:
     return features.tag_nodes(_starts(spark, d), _edges(spark, d), _nodes(spark, d))
 
 
+@query("""WITH RECURSIVE near AS (SELECT s_suppkey AS src, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS dst FROM supplier),
+reach AS (SELECT s_nationkey AS nation, min(s_suppkey) AS supplier FROM supplier GROUP BY s_nationkey UNION SELECT nation, dst FROM reach JOIN near ON src = supplier)
+SELECT nation, 's:' || supplier AS node FROM reach""")
+def ring_reach(spark: SparkSession, d: str) -> DataFrame:
+    """What the first supplier of every nation reaches on a ring of all suppliers: as deep as there are suppliers."""
+    suppliers = table(spark, d, "supplier")
+    next_ = ((F.col("s_suppkey") + 1) % F.col("n_")).cast("string")
+    ring = suppliers.join(F.broadcast(suppliers.agg(F.count("*").alias("n_"))))  # one row
+    starts = suppliers.groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("k_")).select("nation", _name("s:", "k_").alias("node"))
+    return graph.reachable(starts, ring.select(_name("s:", "s_suppkey").alias("src"), F.concat(F.lit("s:"), next_).alias("dst")), by=("nation",))
+
+
 @query(f"{_TAGGED} SELECT n.node, CASE WHEN k IS NULL THEN 'unmatched' WHEN k > 1 THEN 'shared' ELSE 'exclusive' END AS bucket FROM nodes n LEFT JOIN (SELECT node, count(*) AS k FROM tagged WHERE cluster <> 'FURNITURE' GROUP BY node) t USING (node)")
 def shared_exclusive_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Customers of one segment are no entry points, so that they and their orders match no cluster."""

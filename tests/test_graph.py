@@ -96,3 +96,73 @@ def test_cluster_names(spark, rows):
     clusters = features.cluster_entry_points(points).cache()
     assert {(r["node_name"], r["cluster_key"]) for r in clusters.collect()} == {("app:list_repos", "/api/repos"), ("app:get_repo", "/api/repos"), ("cli:build_all", "build"), ("w:feed", "/ws"), ("m:start", "root")}
     assert rows(features.name_clusters(clusters).select("cluster_idx", "name")) == [(0, "Api Repos"), (1, "Ws"), (2, "Build All"), (3, "Start")]
+
+
+def _search(starts, pairs):
+    """(group, node) by plain search."""
+    near, seen = {}, set(starts)
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    todo = list(seen)
+    while todo:
+        group, node = todo.pop()
+        for other in near.get(node, ()):
+            if (group, other) not in seen:
+                seen.add((group, other))
+                todo.append((group, other))
+    return sorted(seen, key=repr)
+
+
+def _count_rounds(monkeypatch):
+    rounds, steps = [], graph._steps
+    monkeypatch.setattr(graph, "_steps", lambda *a: (rounds.append(1), steps(*a))[1])
+    return rounds
+
+
+def test_deep_chain_and_ring_take_few_rounds(spark, monkeypatch):
+    rounds = _count_rounds(monkeypatch)
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("concat('n', id) as src", "concat('n', id + 1) as dst")
+    assert graph.reachable(_nodes(spark, ["n0"]), chain).count() == n
+    assert len(rounds) <= 20
+    rounds.clear()
+    ring = spark.range(500).selectExpr("concat('n', id) as src", "concat('n', (id + 1) % 500) as dst")
+    starts = spark.createDataFrame([("x", "n3"), ("y", "n77"), (None, "n5")], "cluster string, node string")
+    assert [tuple(r) for r in graph.reachable(starts, ring, by=("cluster",)).groupBy("cluster").count().orderBy("cluster").collect()] == [(None, 500), ("x", 500), ("y", 500)]
+    assert len(rounds) <= 12
+
+
+def test_walks_stop_where_they_would_be_too_many(spark, rows, monkeypatch):
+    """Dense layers on a long chain: squares are refused at once, or after some rounds."""
+    rng = random.Random(9)
+    layers = [[f"l{i}x{k}" for k in range(6)] for i in range(8)]
+    pairs = [(a, b) for one, two in zip(layers, layers[1:], strict=False) for a in one for b in two if rng.random() < 0.6]
+    pairs += [(layers[-1][0], "c0")] + [(f"c{i}", f"c{i + 1}") for i in range(25)] + [("c25", layers[0][0]), ("c9", "c9")]
+    starts = [("x", layers[0][1]), ("y", "c3"), ("z", "nowhere")]
+    frame = spark.createDataFrame(starts, "cluster string, node string")
+    for growth in (0.9, 100):
+        monkeypatch.setattr(graph, "GROWTH", growth)
+        assert sorted(rows(graph.reachable(frame, _edges(spark, pairs), by=("cluster",))), key=repr) == _search(starts, pairs)
+
+
+def test_many_groups_fill_several_words(spark, rows, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)]
+    starts = [(i, f"n{rng.randrange(40)}") for i in range(200)]
+    frame = spark.createDataFrame(starts, "cluster long, node string")
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)  # joins shuffle
+    monkeypatch.setattr(graph, "GROUPS", 50)
+    assert sorted(rows(graph.reachable(frame, _edges(spark, pairs), by=("cluster",))), key=repr) == _search(starts, pairs)
+    
+
+def test_maintained_reach_equals_a_new_search(spark, rows):
+    rng = random.Random(12)
+    for case in range(3):
+        pairs = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)]
+        starts = [(c, f"n{rng.randrange(30)}") for c in "xyz"]
+        # edges go and come; a cycle loses what led to it, a start moves
+        after = [p for p in pairs if rng.random() < 0.8] + [(f"n{rng.randrange(32)}", f"n{rng.randrange(32)}") for _ in range(4)]
+        begins = [*starts[:-1], ("w", "n1")] if case else starts
+        frame = lambda s: spark.createDataFrame(s, "cluster string, node string")
+        found = graph.maintained(frame(_search(starts, pairs)), _edges(spark, pairs), _edges(spark, after), frame(starts), frame(begins))
+        assert sorted(rows(found), key=repr) == _search(begins, after)
