@@ -1,8 +1,9 @@
 """Enrichment by a language model that the caller injects, and the folds around it.
 
 A client is any callable that takes a prompt and returns text or None; threads call it at once. Items fail one by
-one: a client's error leaves that item's answer null. Null prompts have null answers; repeated items are asked each;
-empty tables give empty results.
+one: a client's error leaves that item's answer null. Null prompts have null answers; equal prompts are asked once;
+empty tables give empty results. Answers are kept in a table by the hash of their prompt, written before they are read:
+reading a result again, or a retry of what reads it, asks nobody.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
+from graphloom.session import scratch
 
 #: Items that a partition asks at once, tries for a JSON answer, least confidence of an inferred call.
 BATCH, TRIES, LEAST_CONFIDENCE = 10, 2, 0.5
@@ -29,8 +31,19 @@ def answer_language(code: str | None) -> str:
     return ANSWER_IN.get(code or "en", ANSWER_IN["en"])
 
 
-def ask(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id") -> DataFrame:
-    """(key, answer) of a client for every prompt, BATCH of a partition at once; null where it fails."""
+def ask(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id", answers: str | None = None) -> DataFrame:
+    """(key, answer) of a client for every prompt, BATCH of a partition at once; null where it fails (eager).
+
+    answers names a folder whose answers are used and added to, so that later runs don't ask again; what failed is
+    asked again by the next run. Without it the answers last as long as the driver. A task that is lost while it asks
+    asks its own prompts again.
+    """
+    spark, folder, known = items.sparkSession, answers or scratch(items.sparkSession, "answers"), "prompt_hash string, answer string"
+    hashed = items.select(F.col(key).alias("id_"), F.sha2(F.col(prompt), 256).alias("prompt_hash"), F.col(prompt).alias("prompt_"))
+    # an empty table to begin with, so that there is one to read
+    spark.createDataFrame([], known).write.mode("append").parquet(folder)
+    read = lambda: spark.read.schema(known).parquet(folder).groupBy("prompt_hash").agg(F.min("answer").alias("answer"))
+    missing = hashed.where("prompt_ is not null").select("prompt_hash", "prompt_").dropDuplicates(["prompt_hash"]).join(read(), "prompt_hash", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(text: str | None) -> str | None:
@@ -42,13 +55,13 @@ def ask(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id
         with ThreadPoolExecutor(BATCH) as pool:
             for batch in batches:
                 out = list(pool.map(one, batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "answer"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["prompt_hash", "answer"])
 
-    kind = items.schema[key].dataType.simpleString()
-    return items.select(key, prompt).mapInArrow(run, f"{key} {kind}, answer string")
+    missing.select("prompt_hash", "prompt_").mapInArrow(run, known).where("answer is not null").write.mode("append").parquet(folder)
+    return hashed.join(read(), "prompt_hash", "left").select(F.col("id_").alias(key), "answer")
 
 
-def ask_json(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id", tries: int = TRIES) -> DataFrame:
+def ask_json(items: DataFrame, client: Client, prompt: str = "prompt", key: str = "id", tries: int = TRIES, answers: str | None = None) -> DataFrame:
     """(key, answer): variant objects; an answer that is none is asked for again, then stays null."""
 
     def again(text: str) -> str | None:
@@ -65,7 +78,7 @@ def ask_json(items: DataFrame, client: Client, prompt: str = "prompt", key: str
                 continue
         return None
 
-    return ask(items, again, prompt, key).withColumn("answer", fn.json_object(F.col("answer")))
+    return ask(items, again, prompt, key, answers).withColumn("answer", fn.json_object(F.col("answer")))
 
 
 def describable(nodes: DataFrame) -> DataFrame:

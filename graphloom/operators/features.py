@@ -18,7 +18,7 @@ MORE_VERBS = (*VERBS, "start", "stop", "run", "is", "has", "do")
 
 
 def cluster_entry_points(entry_points: DataFrame) -> DataFrame:
-    """Adds cluster_idx: routes by URL prefix, commands by group, others by folder; in order of first appearance.
+    """Adds cluster_idx and cluster_name, which stays the same when others come or go: routes by URL prefix, commands by group, others by folder; in order of first appearance.
 
     Reads node_name, entry_type, route_info (map) and ep_seq.
     """
@@ -29,7 +29,7 @@ def cluster_entry_points(entry_points: DataFrame) -> DataFrame:
     order = keyed.groupBy("kind_", "cluster_key").agg(F.min("ep_seq").alias("first_"))
     # one row per cluster, not per entry point, is numbered
     order = order.withColumn("cluster_idx", F.row_number().over(Window.orderBy("kind_", "first_")) - 1).drop("first_")
-    return keyed.join(order, ["kind_", "cluster_key"]).drop("kind_")
+    return keyed.join(order, ["kind_", "cluster_key"]).withColumn("cluster_name", F.concat_ws(":", F.col("kind_").cast("string"), "cluster_key")).drop("kind_")
 
 
 def tag_nodes(clusters: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from graphloom.operators import dead_code, enrich
 from graphloom.session import written
 from graphloom.sources import files as file_source
 from graphloom.sources import parse as parsing
+from graphloom.sources import snapshots
 
 #: Extensions that an agent reads, and folders that it skips beside hidden ones.
 EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".rb", ".php", ".c", ".cpp", ".h", ".hpp", ".cs")
@@ -68,17 +69,17 @@ def summary(files: DataFrame, signatures: DataFrame, budget: int = SUMMARY_CHARS
     names = signatures.groupBy(F.col("file").alias("path")).agg(listed.alias("names"))
     rows = files.where("content <> ''").join(names, "path", "left")
     lines = F.split("content", "\n")
-    each = F.array_join(F.transform("names", lambda x: F.concat(F.lit("    "), x["name"], F.lit(" (L"), x["line_start"].cast("string"), F.lit("-"), x["line_end"].cast("string"), F.lit(")"))), "\n")
-    title = F.concat(F.lit("\n=== "), "path")
-    full = F.concat(title, F.lit(" ("), F.size(lines).cast("string"), F.lit(" lines) ===\n"), F.array_join(F.slice(lines, 1, HEAD_LINES), "\n"), F.lit("\n"), F.when(F.size("names") > 0, F.concat(F.lit("Signatures:\n"), each)).otherwise(""), F.lit("\n"))
+    each = F.array_join(F.transform("names", lambda x: F.concat(F.lit("    "), x["name"], F.lit(" at "), x["line_start"].cast("string"), F.lit(".."), x["line_end"].cast("string"))), "\n")
+    title = F.concat(F.lit("\n# "), "path")
+    full = F.concat(title, F.lit(" ("), F.size(lines).cast("string"), F.lit(" lines)\n"), F.array_join(F.slice(lines, 1, HEAD_LINES), "\n"), F.lit("\n"), F.when(F.size("names") > 0, F.concat(F.lit("Defines:\n"), each)).otherwise(""), F.lit("\n"))
     short = F.array_join(F.array_sort(F.transform("names", lambda x: x["name"])), ", ")
-    minimal = F.concat(title, F.lit(" ===\n"), F.when(F.size("names") > 0, F.concat(F.lit("Functions: "), short)).otherwise("(signatures not extracted)"), F.lit("\n"))
+    minimal = F.concat(title, F.lit(", names only: "), F.when(F.size("names") > 0, short).otherwise("none known"), F.lit("\n"))
     texts = rows.select(F.lit("r").alias("repo"), "path", F.col("path").alias("seq"), full.alias("full"), minimal.alias("minimal"))
     forms = enrich.budget_fold(texts.select("repo", "path", "seq", F.length("full").alias("full_size"), F.length("minimal").alias("min_size")), budget)
     chosen = texts.join(forms, ["repo", "path"]).select("path", F.when(F.col("form") == "full", F.col("full")).otherwise(F.col("minimal")).alias("text"))
     details = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("details"))
     tree = files.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda p: F.concat(F.lit("  "), p)), "\n").alias("tree"))
-    whole = F.concat(F.lit("File tree ("), F.col("n").cast("string"), F.lit(" source files):\n"), "tree", F.lit("\n\nFile details:\n"), "details")
+    whole = F.concat(F.lit("Paths of all "), F.col("n").cast("string"), F.lit(" files\n"), "tree", F.lit("\n\nWhat they hold\n"), "details")
     return tree.join(F.broadcast(details)).select(whole.alias("summary"))  # one row each
 
 
@@ -136,14 +137,13 @@ def step_edges(steps: DataFrame) -> DataFrame:
 
 
 def persist(a: Agent, folder: str, repo_id: str, snapshot_id: str) -> None:
-    """Appends features, nodes (steps, and functions that are none as dead code) and edges of an agent's snapshot."""
+    """Commits features, nodes (steps, and functions that are none as dead code) and edges of an agent's snapshot."""
 
     def ident(*parts) -> Column:
         return F.sha2(F.concat_ws("::", F.lit(snapshot_id), *parts), 256)
 
     none = F.lit(None).cast("string")
     features = a.features.select(ident(F.col("feature_idx").cast("string")).alias("id"), F.lit(repo_id).alias("repo_id"), "name", "description", fn.color(F.col("feature_idx"), COLORS).alias("color"))
-    file_source.save(features, folder, "features")
     node = F.concat_ws("::", "file", "function")
     steps = a.steps.withColumn("node", node)
     # a function is one node, the step that names it last
@@ -155,7 +155,9 @@ def persist(a: Agent, folder: str, repo_id: str, snapshot_id: str) -> None:
     used = last.withColumn("feature_id", ident(F.col("feature_idx").cast("string"))).withColumn("is_entry_point", F.col("order") == 1).withColumn("is_dead_code", F.lit(False))
     dead = dead_code.agent_candidates(a.functions, a.steps).withColumn("node", F.concat_ws("::", "file", "name")).withColumn("feature_id", none).withColumn("is_entry_point", F.lit(False)).withColumn("is_dead_code", F.lit(True))
     dead = dead.withColumn("description", F.lit("Not referenced by any discovered feature")).withColumn("order", F.lit(None).cast("int"))
-    file_source.save(shared(used, "function").unionByName(shared(dead, "name")), folder, "code_nodes")
+    nodes = shared(used, "function").unionByName(shared(dead, "name"))
     edges = step_edges(steps)
     edges = edges.select(ident(F.col("source"), F.col("target")).alias("id"), F.lit(snapshot_id).alias("snapshot_id"), ident(F.col("source")).alias("source_node_id"), ident(F.col("target")).alias("target_node_id"), F.lit("calls").alias("edge_type"), F.lit(0).alias("line_number"))
-    file_source.save(edges, folder, "code_edges")
+    with snapshots.Run(a.steps.sparkSession, folder, repo_id, snapshot_id) as out:
+        for name, table in (("features", features), ("code_nodes", nodes), ("code_edges", edges)):
+            out.save(table, name)

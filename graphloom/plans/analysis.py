@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import dead_code, enrich, features, graph, resolve
+from graphloom.operators import dead_code, diff, enrich, features, graph, resolve
 from graphloom.session import cut_lineage, written
 from graphloom.sources import files as file_source
 from graphloom.sources import parse as parsing
+from graphloom.sources import snapshots
 
 #: Rounds of verification at most.
 ROUNDS = 3
@@ -33,6 +34,39 @@ class Analysis:
     features: DataFrame
     assigned: DataFrame
     dead: DataFrame
+    # what the next analysis starts from; only whole analyses have them
+    manifest: DataFrame | None = None
+    links: DataFrame | None = None
+    starts: DataFrame | None = None
+    reached: DataFrame | None = None
+
+
+@dataclass
+class Previous:
+    """What an earlier analysis of a repository left."""
+
+    manifest: DataFrame
+    parsed: DataFrame
+    links: DataFrame
+    starts: DataFrame
+    reached: DataFrame
+
+
+def previous(spark: SparkSession, folder: str, repo_id: str) -> Previous | None:
+    """The newest committed snapshot of a repository, if it was analysed to the end."""
+    last = snapshots.latest(spark, folder, repo_id)
+    if last is None:
+        return None
+    held = [snapshots.load(spark, folder, name, last).drop("snapshot_id") for name in ("manifests", "parsed", "links", "starts", "reached")]
+    return None if held[0].isEmpty() else Previous(*held)
+
+
+def reparsed(sources: DataFrame, manifest: DataFrame, before: Previous) -> DataFrame:
+    """All files parsed, of which only new and changed ones are parsed now."""
+    fresh = diff.needs_analysis(manifest, before.manifest).select("path")
+    same = manifest.select("path").join(fresh, "path", "left_anti")
+    again = parsing.parse(sources.join(fresh, "path", "left_semi"))
+    return before.parsed.join(same, "path", "left_semi").unionByName(again)
 
 
 def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -53,9 +87,9 @@ def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     calls = found.select("source", F.col("resolved").alias("dst"), "target", "edge_type", "line_number")
 
     imported = parsing.imports(parsed).withColumn("import_id", F.concat_ws("#", "file_path", F.col("import_seq").cast("string")))
-    inside = parsing.import_files(imported, parsed.select("path")).select("file_path", "import_seq", fn.module_name(F.col("target")).alias("module"))
-    named = F.filter("imported_names", lambda n: n != "*").alias("imported_names")
-    inside = imported.join(inside, ["file_path", "import_seq"]).select("import_id", fn.module_name(F.col("file_path")).alias("source"), "module", named, "line_number")
+    inside = parsing.import_files(imported, parsed.select("path")).select("file_path", "import_seq", fn.module_name(F.col("target")).alias("module"), "names")
+    one = F.concat_ws("#", "import_id", "module").alias("import_id")  # an import may name several modules
+    inside = imported.join(inside, ["file_path", "import_seq"]).select(one, fn.module_name(F.col("file_path")).alias("source"), "module", F.col("names").alias("imported_names"), "line_number")
     symbols = resolve.resolve_imports(inside.where(F.size("imported_names") > 0).select("import_id", F.col("module").alias("module_path"), "imported_names"), lookup)
     kind = F.lit("imports").alias("edge_type")
     to_symbols = inside.join(symbols, "import_id").select("source", F.col("fqn").alias("dst"), F.col("symbol").alias("target"), kind, "line_number")
@@ -74,10 +108,12 @@ def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     return keyed, edges, contained, entries
 
 
-def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] | None = None, partial: Callable[[Analysis], None] | None = None) -> Analysis:
+def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] | None = None, partial: Callable[[Analysis], None] | None = None, before: Previous | None = None, client: enrich.Client | None = None) -> Analysis:
     """Runs all stages over (path, content). A progress callback that fails is logged and changes nothing.
 
-    partial gets the call graph, with empty features, as soon as it is there, for those who keep it if a later stage fails.
+    With `before`, files whose content it knows under their path aren't parsed again, and what entry points reach is
+    changed where edges have come or gone; the result is that of a full run. With a client, features are verified and
+    split (verify_grouping). Features without nodes and entry points are left out. partial gets the call graph, with empty features, as soon as it is there, for those who keep it if a later stage fails.
     """
 
     def tell(stage: str, share: float) -> None:
@@ -88,7 +124,8 @@ def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] |
                 logging.getLogger(__name__).warning("progress callback failed at %s", stage, exc_info=True)
 
     tell("code_parsing", 0.0)
-    parsed = written(parsing.parse(sources), "parsed")
+    manifest = written(file_source.manifest(sources), "manifest")
+    parsed = written(parsing.parse(sources) if before is None else reparsed(sources, manifest, before), "parsed")
     nodes, edges, contained, entries = call_graph(parsed)
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     if partial is not None:
@@ -98,23 +135,37 @@ def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] |
     tell("feature_discovery", 25.0)
     clusters = cut_lineage(features.cluster_entry_points(entries))
     # a main block starts at what its module calls and imports
-    main = clusters.where("entry_type = 'main'").select("cluster_idx", F.substring_index("node_name", ":", 1).alias("source"))
-    seeds = main.join(edges, "source").select(F.col("cluster_idx").alias("cluster"), F.col("dst").alias("node"))
-    starts = clusters.select(F.col("cluster_idx").alias("cluster"), F.col("fqn").alias("node")).union(seeds).where("node is not null")
+    main = clusters.where("entry_type = 'main'").select("cluster_name", F.substring_index("node_name", ":", 1).alias("source"))
+    seeds = main.join(edges, "source").select("cluster_name", F.col("dst").alias("node"))
+    starts = clusters.select("cluster_name", F.col("fqn").alias("node")).union(seeds).where("node is not null").withColumnRenamed("cluster_name", "cluster")
+    starts = cut_lineage(starts.join(nodes.select("node"), "node", "left_semi").select("cluster", "node").distinct())
     links = edges.where("src is not null and dst is not null").select("src", "dst", "edge_type").union(contained.select("src", "dst", "edge_type")).distinct()
     links = written(links, "links")
-    tagged = cut_lineage(features.tag_nodes(starts, links, nodes))
+    # clusters go by their names here, which stay the same from run to run
+    reached = graph.reachable(starts, links, by=("cluster",)) if before is None else graph.maintained(before.reached, before.links, links, before.starts, starts)
+    reached = cut_lineage(reached)
+    numbers = clusters.select("cluster_name", F.col("cluster_idx").alias("number")).distinct()
+    tagged = reached.join(nodes.select("node").distinct(), "node", "left_semi").join(numbers, F.col("cluster") == F.col("cluster_name"))
+    tagged = cut_lineage(tagged.select(F.col("number").alias("cluster"), "node"))
     kinds = features.buckets(nodes, tagged)
     tell("feature_matching", 50.0)
     named = features.name_clusters(clusters).withColumn("color", fn.color(F.col("cluster_idx")))
     keys = clusters.groupBy("cluster_idx").agg(F.min("cluster_key").alias("qualifier"))
     listed = features.qualify_names(named.join(keys, "cluster_idx").withColumnRenamed("cluster_idx", "idx"))
-    counts = clusters.groupBy(F.col("cluster_idx").alias("feature")).agg(F.count("*").alias("entries"))
-    assigned = features.assign_exclusive(tagged.select(F.col("cluster").alias("feature"), "node"), counts)
+    points, members = clusters.withColumnRenamed("cluster_idx", "feature"), tagged.select(F.col("cluster").alias("feature"), "node")
+    if client is not None:
+        groups = listed.select(F.col("idx").alias("feature"), F.col("unique_name").alias("name"))
+        starting = points.select("feature", "ep_seq", "node_name", F.col("fqn").alias("start"))
+        groups, points, members, _ = verify_grouping(groups, starting, members, links, client)
+        told = listed.select(F.col("unique_name").alias("name"), "description").distinct()
+        listed = groups.join(told, "name", "left").withColumn("color", fn.color(F.col("feature"))).withColumn("unique_name", F.col("name")).withColumnRenamed("feature", "idx")
+    listed = features.drop_empty(listed.withColumnRenamed("idx", "feature"), members, points).withColumnRenamed("feature", "idx")
+    counts = points.groupBy("feature").agg(F.count("*").alias("entries"))
+    assigned = features.assign_exclusive(members, counts)
     tell("unmatched_analysis", 75.0)
     dead = dead_code.detect(nodes.select("node", "node_type", "file_path", "line_start", "line_end"), links, tagged.select("node").distinct(), kinds.where("bucket <> 'unmatched'"))
     tell("done", 100.0)
-    return Analysis(parsed, nodes, edges, entries, clusters, tagged, kinds, listed, assigned, dead)
+    return Analysis(parsed, nodes, edges, entries, clusters, tagged, kinds, listed, assigned, dead, manifest, links, starts, reached)
 
 
 def analyze(spark: SparkSession, root: str, progress: Callable[[str, float], None] | None = None) -> Analysis:
@@ -192,7 +243,11 @@ def statistics(a: Analysis) -> DataFrame:
 
 
 def persist(a: Analysis, folder: str, repo_id: str, snapshot_id: str) -> None:
-    """Appends nodes and edges of a snapshot; ids are hashes of snapshot and name, so a second run gives the same."""
+    """Commits a snapshot: its nodes, edges and features, and of a whole analysis what the next one starts from.
+
+    Ids are hashes of snapshot and name, and the commit replaces an earlier one of the snapshot for all readers, so a
+    second run gives the same rows once; a run that dies before its end leaves none (see sources.snapshots).
+    """
 
     def ident(c: str):
         return F.sha2(F.concat_ws("::", F.lit(snapshot_id), F.col(c)), 256)
@@ -203,9 +258,12 @@ def persist(a: Analysis, folder: str, repo_id: str, snapshot_id: str) -> None:
     rows = rows.join(entry, "node", "left").withColumn("id", ident("node")).withColumn("snapshot_id", F.lit(snapshot_id))
     meta = F.to_json(F.struct("reason", "confidence"))
     kept = rows.select("id", "snapshot_id", "file_path", "node_type", "name", "language", "line_start", "line_end", "source_code", "docstring", meta.alias("metadata"), "feature_id", F.coalesce("is_entry", F.lit(False)).alias("is_entry_point"), F.coalesce("is_dead", F.lit(False)).alias("is_dead_code"))
-    file_source.save(kept, folder, "code_nodes")
     ids = a.nodes.select(F.col("node").alias("fqn"), ident("node").alias("id"))
     edges = resolve.resolve_keys(a.edges, ids).select(F.sha2(F.concat_ws("::", "source_id", "target_id", "edge_type"), 256).alias("id"), F.lit(snapshot_id).alias("snapshot_id"), F.col("source_id").alias("source_node_id"), F.col("target_id").alias("target_node_id"), "edge_type", "line_number")
-    file_source.save(edges, folder, "code_edges")
     named = a.features.select(F.sha2(F.concat_ws("::", F.lit(repo_id), F.col("idx").cast("string")), 256).alias("id"), F.lit(repo_id).alias("repo_id"), F.col("unique_name").alias("name"), "color")
-    file_source.save(named, folder, "features")
+    with snapshots.Run(a.nodes.sparkSession, folder, repo_id, snapshot_id) as out:
+        for name, table in (("code_nodes", kept), ("code_edges", edges), ("features", named)):
+            out.save(table, name)
+        if a.manifest is not None:
+            for name, table in (("manifests", a.manifest), ("parsed", a.parsed), ("links", a.links.select("src", "dst").distinct()), ("starts", a.starts), ("reached", a.reached)):
+                out.save(table, name)

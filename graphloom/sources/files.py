@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
+from graphloom.sources import snapshots
 
 #: Folders that hold no source, and the largest file that is read.
 SKIPPED = (
@@ -13,8 +14,8 @@ SKIPPED = (
     ".ruff_cache", "egg-info", ".eggs", "target", "vendor", "coverage", ".coverage", ".gradle", ".idea", ".vscode",
 )
 MAX_BYTES = 5 * 1024 * 1024
-#: Tables of an analysis and the columns that partition them.
-TABLES = {"repositories": (), "analysis_snapshots": (), "features": (), "code_nodes": ("snapshot_id",), "code_edges": ("snapshot_id",)}
+#: Tables to which rows are added one by one; those of snapshots are in sources.snapshots.
+TABLES = ("repositories", "analysis_snapshots")
 
 
 def wanted(path: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
@@ -56,9 +57,12 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def save(table: DataFrame, folder: str, name: str, mode: str = "append") -> None:
-    """Writes one of TABLES as Parquet, partitioned where readers filter."""
-    table.write.mode(mode).partitionBy(*TABLES[name]).parquet(f"{folder}/{name}")
+    """Adds rows to one of TABLES."""
+    if name not in TABLES:
+        raise ValueError(f"{name} is written by a run of its snapshot")
+    table.write.mode(mode).parquet(f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    """Rows of a table; of snapshots those that are committed."""
+    return spark.read.parquet(f"{folder}/{name}") if name in TABLES else snapshots.load(spark, folder, name)

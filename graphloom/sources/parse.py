@@ -226,10 +226,12 @@ def entry_points(parsed: DataFrame) -> DataFrame:
 
 
 def import_files(imported: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_path, import_seq, target): the file that an import names; external modules give no row.
+    """(file_path, import_seq, target, names): the files that an import names; external modules give no row.
 
     Absolute names are tried whole, then without their last parts; relative ones start at the importing
-    file's folder, one folder up for each level beyond the first.
+    file's folder, one folder up for each level beyond the first. An import of names from a folder itself
+    (from . import x) tries each name as a file or package of it first. names are those that are left to be
+    looked for in the target.
     """
     folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
     parts = F.filter(F.split(folder, "/"), lambda p: p != "")
@@ -237,10 +239,20 @@ def import_files(imported: DataFrame, files: DataFrame) -> DataFrame:
     own = F.filter(F.split("module_path", r"\."), lambda p: p != "")
     whole = F.when(F.col("is_relative"), F.concat(base, own)).otherwise(own)
     shortest = F.when(F.col("is_relative"), F.size(whole)).otherwise(1)
-    rows = imported.withColumn("whole", whole).where(F.size("whole") > 0).withColumn("n", F.explode(F.sequence(shortest, F.size("whole"))))
-    rows = rows.select("file_path", "import_seq", "n", F.array_join(F.slice("whole", 1, F.col("n")), "/").alias("stem"))
     stems = files.select(F.col("path").alias("target"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", "").alias("stem"))
-    return rows.join(stems, "stem").groupBy("file_path", "import_seq").agg(F.max_by("target", F.struct("n", F.col("target").endswith("__init__.py").cast("int"))).alias("target"))
+    order = F.col("target").endswith("__init__.py").cast("int")
+    key = ["file_path", "import_seq"]
+    wanted = imported.withColumn("names", F.filter("imported_names", lambda n: n != "*"))
+    inside = wanted.where(F.col("is_relative") & (F.size(own) == 0)).select(*key, base.alias("base"), F.explode("names").alias("name"))
+    inside = inside.withColumn("stem", F.array_join(F.concat("base", F.array("name")), "/")).join(stems, "stem")
+    inside = inside.groupBy(*key, "name").agg(F.max_by("target", order).alias("target"))
+    found = inside.groupBy(*key).agg(F.collect_set("name").alias("found"))  # the names of one import
+    rows = wanted.join(found, key, "left").withColumn("names", F.when(F.col("found").isNull(), F.col("names")).otherwise(F.array_except("names", "found")))
+    rows = rows.where(F.col("found").isNull() | (F.size("names") > 0))
+    rows = rows.withColumn("whole", whole).where(F.size("whole") > 0).withColumn("n", F.explode(F.sequence(shortest, F.size("whole"))))
+    rows = rows.select(*key, "names", "n", F.array_join(F.slice("whole", 1, F.col("n")), "/").alias("stem"))
+    rows = rows.join(stems, "stem").groupBy(*key).agg(F.max_by(F.struct("target", "names"), F.struct(F.col("n"), order)).alias("best"))
+    return rows.select(*key, "best.*").unionByName(inside.select(*key, "target", F.array().cast("array<string>").alias("names")))
 
 
 def signatures(parsed: DataFrame) -> DataFrame:

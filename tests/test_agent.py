@@ -2,6 +2,7 @@
 
 import json
 
+from graphloom.operators import enrich
 from graphloom.plans import agent, analysis, jobs
 from graphloom.sources import files as file_source
 
@@ -16,7 +17,7 @@ def _files(spark):
 
 
 def _client(prompt):
-    if "File tree" in prompt:
+    if "Paths of all" in prompt:
         return json.dumps({"features": [{"name": "Loading", "category": "core", "files": ["app.py", "lib/io.py", "gone.py"]}, {"name": "Logs", "category": "utility"}, {"name": "Empty", "files": ["gone.py"]}]})
     steps = [{"order": 1, "file": "app.py", "function": "load", "calls_next": ["lib/io.py:write", "x:y"]}, {"order": 2, "file": "app.py", "function": "App.rum"}, {"order": 3, "file": "lib/io.py", "function": "write"}]
     return "```json\n" + json.dumps({"flow_steps": steps}) + "\n```"
@@ -39,9 +40,9 @@ def test_agent(spark, tmp_path):
 def test_summary_and_stand_in(spark):
     known = agent.functions(_files(spark))
     text = agent.summary(_files(spark), known).first()["summary"]
-    assert text.startswith("File tree (5 source files):\n  app.py\n  bad.py\n") and "    App.run (L2-3)" in text and "=== empty.py" not in text
+    assert text.startswith("Paths of all 5 files\n  app.py\n  bad.py\n") and "    App.run at 2..3" in text and "# empty.py" not in text
     small = agent.summary(_files(spark), known, budget=150).first()["summary"]
-    assert "=== app.py ===\nFunctions: App, App.run, __init__, load, lonely, run\n" in small
+    assert "# app.py, names only: App, App.run, __init__, load, lonely, run\n" in small
     none = agent.analyze(spark, _files(spark), lambda prompt: None)
     assert none.features.first()["name"] == "Main Application" and none.steps.count() == 0
 
@@ -95,3 +96,23 @@ def test_grouping_is_split_until_the_client_agrees(spark):
     assert sorted((r["feature"], r["node_name"]) for r in entries.collect()) == [(0, "m:a"), (1, "m:b"), (1, "m:c"), (2, "m:d")]
     assert sorted(map(tuple, held.select("feature", "node").collect())) == [(0, "a"), (0, "x"), (1, "b"), (1, "y"), (2, "d")]
     assert analysis.verify_grouping(groups, points, members, links)[3] == 1
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    log, folder = tmp_path / "asked", str(tmp_path / "answers")
+
+    def client(prompt):
+        with open(log, "a") as file:
+            file.write(prompt + "\n")
+        if prompt == "bad" and log.read_text().count("bad") == 1:
+            raise RuntimeError("once")
+        return prompt.upper()
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "bad")], "id int, prompt string").repartition(3)
+    asked = enrich.ask(items, client, answers=folder)
+    for _ in range(2):
+        assert sorted(map(tuple, asked.collect())) == [(1, "A"), (2, "B"), (3, "A"), (4, None), (5, None)]
+    assert sorted(log.read_text().split()) == ["a", "b", "bad"]
+    again = enrich.ask(items.union(spark.createDataFrame([(6, "c")], items.schema)), client, answers=folder)
+    assert dict(map(tuple, again.collect())) == {1: "A", 2: "B", 3: "A", 4: None, 5: "BAD", 6: "C"}
+    assert sorted(log.read_text().split()) == ["a", "b", "bad", "bad", "c"]  # what failed, and what is new
