@@ -7,7 +7,8 @@ shard's tree in blocks, so neither side is ever held whole; shards' results meet
 there are fewer shards than cores, a shard's queries are dealt to several tasks that hold it.
 
 Distances are rounded, so the trees only propose: every row within a query's k-th distance and the rounding,
-however many tie there, is scored in double precision, and score and id decide.
+however many tie there, is scored in double precision, and score and id decide. They are gathered in pieces, of
+which the k best so far are kept, so memory doesn't grow with them.
 
 Of equal vectors only the k + 1 smallest ids are searched: no query can have another one of them among
 its k nearest, so nothing is lost however many copies a vector has.
@@ -20,7 +21,7 @@ empty table gives an empty result; extra columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,9 @@ BLOCK = 1024
 SPARE = 6
 #: Error of a distance, at most: the root of that of a product of unit vectors, where vectors are nearly equal.
 ROUNDING = 1e-6
-#: Candidates scored at once.
-PAIRS = 65_536
+#: Candidates scored at once, and rows of a node that are compared with a block at once: rows of one direction can't be
+#: split, however many there are. Nodes this deep aren't split any more.
+PAIRS, ROWS, DEPTH = 65_536, 512, 64
 
 
 class Tree:
@@ -47,10 +49,10 @@ class Tree:
 
     def __init__(self, unit: np.ndarray, ids: np.ndarray, seed: int = 1):
         self.unit, self.ids, self.rng = unit, ids, np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(unit)))
+        self.root = self._build(np.arange(len(unit)), 0)
 
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
+    def _build(self, rows: np.ndarray, depth: int):
+        if len(rows) <= LEAF or depth == DEPTH:
             return rows
         pick = int(self.rng.integers(len(rows)))
         point, rest = rows[pick], np.delete(rows, pick)
@@ -59,7 +61,7 @@ class Tree:
         inside = far <= radius
         if inside.all():
             return rows  # equal distances can't be split
-        return point, radius, self._build(rest[inside]), self._build(rest[~inside])
+        return point, radius, self._build(rest[inside], depth + 1), self._build(rest[~inside], depth + 1)
 
     @staticmethod
     def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,25 +80,24 @@ class Tree:
             self._visit(self.root, np.arange(len(unit)), False)
         return self.best, self.row
 
-    def within(self, unit: np.ndarray, own: np.ndarray, limit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all rows up to each query's limit and the rounding but those with its own id."""
+    def within(self, unit: np.ndarray, own: np.ndarray, limit: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of all rows up to each query's limit and the rounding but those with its own id, in pieces."""
         self.query, self.own, self.factor, self.limit = unit, own, factor, limit
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        self._gather(self.root, np.arange(len(unit)))
-        return tuple(map(np.concatenate, zip(*self.pairs, strict=True)))
+        return self._gather(self.root, np.arange(len(unit)))
 
-    def _gather(self, node, q: np.ndarray) -> None:
+    def _gather(self, node, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(q):
             return
         leaf = isinstance(node, np.ndarray)
-        rows = node if leaf else np.array([node[0]])
-        far = self._distance(self.query[q], self.unit[rows])
-        a, b = np.nonzero((far <= self.limit[q, None] + ROUNDING) & (self.ids[rows][None, :] != self.own[q, None]))
-        self.pairs.append((q[a], rows[b]))
+        for at in range(0, len(node) if leaf else 1, ROWS):
+            rows = node[at : at + ROWS] if leaf else np.array([node[0]])
+            far = self._distance(self.query[q], self.unit[rows])
+            a, b = np.nonzero((far <= self.limit[q, None] + ROUNDING) & (self.ids[rows][None, :] != self.own[q, None]))
+            yield q[a], rows[b]
         if not leaf:
             reach, gap = self.limit[q] / self.factor + ROUNDING, far[:, 0] - node[1]
-            self._gather(node[2], q[gap <= reach])
-            self._gather(node[3], q[-gap <= reach])
+            yield from self._gather(node[2], q[gap <= reach])
+            yield from self._gather(node[3], q[-gap <= reach])
 
     def _offer(self, q: np.ndarray, rows: np.ndarray, far: np.ndarray) -> None:
         far = np.where(self.ids[rows][None, :] == self.own[q][:, None], np.inf, far)
@@ -114,8 +115,9 @@ class Tree:
         if not len(q):
             return
         if isinstance(node, np.ndarray):
-            if len(node):
-                self._offer(q, node, self._distance(self.query[q], self.unit[node]))
+            for at in range(0, len(node), ROWS):
+                rows = node[at : at + ROWS]
+                self._offer(q, rows, self._distance(self.query[q], self.unit[rows]))
             return
         point, radius, inner, outer = node
         far = self._distance(self.query[q], self.unit[point][None, :])
@@ -143,17 +145,34 @@ def _found(tree: Tree, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray
     crowded = np.flatnonzero(np.isfinite(far[:, -1]) & (far[:, -1] <= far[:, k - 1] + 2 * ROUNDING))
     rows[crowded] = -1
     q, place = np.nonzero(rows >= 0)
-    r = rows[q, place]
+    best = _best((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), tree, vectors, queries, [(q, rows[q, place])], k)
     if len(crowded):
-        more, tied = tree.within(unit[crowded], own[crowded], far[crowded, k - 1] + ROUNDING, factor)
-        q, r = np.append(q, crowded[more]), np.append(r, tied)
-    cuts = range(0, len(q), PAIRS)
-    score = np.concatenate([cosine(queries[q[c : c + PAIRS]], vectors[r[c : c + PAIRS]]) for c in cuts]) if len(q) else np.zeros(0)
-    found = tree.ids[r]
-    order = np.lexsort((found, -score, q))
-    first = np.searchsorted(q[order], q[order])
-    order = order[np.arange(len(order)) - first < k]
-    return pa.RecordBatch.from_arrays([pa.array(own[q[order]]), pa.array(found[order]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
+        tied = ((crowded[a], b) for a, b in tree.within(unit[crowded], own[crowded], far[crowded, k - 1] + ROUNDING, factor))
+        best = _best(best, tree, vectors, queries, tied, k)
+    q, found, score = best
+    return pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _best(best: tuple[np.ndarray, np.ndarray, np.ndarray], tree: Tree, vectors: np.ndarray, queries: np.ndarray, pieces: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best by score and id per query, among `best` and the pieces' (query, row); few at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged(best):
+        q, r = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        for c in range(0, len(q), PAIRS):
+            part, row = q[c : c + PAIRS], r[c : c + PAIRS]
+            q_, id_, score = (np.append(x, y) for x, y in zip(best, (part, tree.ids[row], cosine(queries[part], vectors[row])), strict=True))
+            order = np.lexsort((id_, -score, q_))
+            order = order[np.arange(len(order)) - np.searchsorted(q_[order], q_[order]) < k]
+            best = q_[order], id_[order], score[order]
+        return best
+
+    for piece in pieces:
+        held.append(piece)
+        if sum(len(q) for q, _ in held) >= PAIRS:
+            best = merged(best)
+    return merged(best) if held else best
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", column: str = "embedding", factor: float = 1.0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
