@@ -6,11 +6,13 @@ from typing import NamedTuple
 
 
 class Template(NamedTuple):
-    """A statement of a licence; `must` are the words without which nothing counts as that licence."""
+    """A statement of a licence; `must` are the words without which nothing counts as that licence, `never` those with
+    which nothing does: they name a sister of it."""
 
     licence: str
     must: str
     statement: str
+    never: str = ""
 
 
 _MIT = """
@@ -117,23 +119,35 @@ TEMPLATES = (
     Template("CC-BY-NC-4.0", "cc nc 4", "Licensed under CC BY-NC 4.0"),
     Template("CC-BY-NC-4.0", "creative noncommercial 4", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     Template("EPL-2.0", "eclipse 2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
-    Template("GPL-2.0", "gnu general 2", "Licensed under the GNU General Public License, version 2"),
-    Template("GPL-2.0", "gnu general 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    Template("GPL-2.0", "gnu general 2", _GPL_NOTICE.format(kind="", version="2")),
-    Template("GPL-3.0", "gnu general 3", "Licensed under the GNU General Public License, version 3"),
-    Template("GPL-3.0", "gnu general 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    Template("GPL-3.0", "gnu general 3", _GPL_NOTICE.format(kind="", version="3")),
+    Template("GPL-2.0", "gnu general 2", "Licensed under the GNU General Public License, version 2", never="library lesser affero documentation"),
+    Template("GPL-2.0", "gnu general 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", never="library lesser affero documentation"),
+    Template("GPL-2.0", "gnu general 2", _GPL_NOTICE.format(kind="", version="2"), never="library lesser affero documentation"),
+    Template("GPL-3.0", "gnu general 3", "Licensed under the GNU General Public License, version 3", never="library lesser affero documentation"),
+    Template("GPL-3.0", "gnu general 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", never="library lesser affero documentation"),
+    Template("GPL-3.0", "gnu general 3", _GPL_NOTICE.format(kind="", version="3"), never="library lesser affero documentation"),
     Template("ISC", "isc license", "Released under the ISC License"),
     Template("ISC", "permission fee hereby", _ISC),
-    Template("LGPL-2.1", "lesser 2 1", "Licensed under the GNU Lesser General Public License, version 2.1"),
-    Template("LGPL-2.1", "lesser 2 1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
-    Template("LGPL-2.1", "lesser 2 1", _GPL_NOTICE.format(kind="Lesser ", version="2.1")),
-    Template("LGPL-3.0", "lesser 3", "Licensed under the GNU Lesser General Public License, version 3"),
-    Template("LGPL-3.0", "lesser 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    Template("LGPL-3.0", "lesser 3", _GPL_NOTICE.format(kind="Lesser ", version="3")),
+    Template("LGPL-2.1", "lesser 2 1", "Licensed under the GNU Lesser General Public License, version 2.1", never="affero"),
+    Template("LGPL-2.1", "lesser 2 1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", never="affero"),
+    Template("LGPL-2.1", "lesser 2 1", _GPL_NOTICE.format(kind="Lesser ", version="2.1"), never="affero"),
+    Template("LGPL-3.0", "lesser 3", "Licensed under the GNU Lesser General Public License, version 3", never="affero"),
+    Template("LGPL-3.0", "lesser 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", never="affero"),
+    Template("LGPL-3.0", "lesser 3", _GPL_NOTICE.format(kind="Lesser ", version="3"), never="affero"),
     Template("MIT", "mit license", "Released under the MIT License"),
     Template("MIT", "mit license", "The MIT License (MIT) Copyright (c)"),
     Template("MIT", "permission sublicense furnished", _MIT),
+    Template("LGPL-2.0", "library 2", "Licensed under the GNU Library General Public License, version 2", never="lesser affero"),
+    Template("LGPL-2.0", "library 2", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", never="lesser affero"),
+    Template("LGPL-2.0", "library 2", _GPL_NOTICE.format(kind="Library ", version="2"), never="lesser affero"),
+    Template("GPL-1.0", "gnu general 1", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989", never="library lesser affero documentation"),
+    Template("GPL-1.0", "gnu general 1", _GPL_NOTICE.format(kind="", version="1"), never="library lesser affero documentation"),
+    Template("GFDL-1.2", "gnu documentation 1 2", "GNU Free Documentation License Version 1.2, November 2002"),
+    Template("GFDL-1.3", "gnu documentation 1 3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    Template("MPL-1.1", "mozilla 1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    Template("MPL-1.1", "mozilla 1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    Template("CC0-1.0", "cc0 1", "Creative Commons Legal Code CC0 1.0 Universal"),
+    Template("CC0-1.0", "cc0 1", "CC0 1.0 Universal"),
+    Template("Artistic-1.0", "artistic preamble", 'The "Artistic License" Preamble'),
     Template("MPL-2.0", "mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("MPL-2.0", "mozilla 2", "Mozilla Public License Version 2.0"),
     Template("MPL-2.0", "mozilla 2", _MPL_NOTICE),

@@ -3,7 +3,8 @@
 Units of a file are the whole file, its header (the lines up to the first that is neither blank nor a comment)
 and every window of up to WINDOW lines. Units and templates are
 TF-IDF vectors over the templates' words, document frequencies taken over all files. A unit matches a template
-if it holds all words without which nothing counts as that licence (`must`) and the cosine is THRESHOLD or more;
+if it holds all words without which nothing counts as that licence (`must`), none of those that name a sister of it
+(`never`), and the cosine is THRESHOLD or more;
 the greatest cosine counts, then the licence's name, then the shorter unit. A file that lacks the `must` words
 of every template can't match and ends in its own row; nothing else is left out.
 
@@ -62,7 +63,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[s
     spark = files.sparkSession
     bags = [Counter(words(t.statement)) for t in templates]
     musts = sorted({tuple(sorted(set(words(t.must)))) for t in templates})
-    vocabulary = sorted({w for bag in bags for w in bag} | {w for must in musts for w in must})
+    nevers = sorted({w for t in templates for w in words(t.never)})
+    vocabulary = sorted({w for bag in bags for w in bag} | {w for must in musts for w in must} | set(nevers))
     content = F.split(F.lit(" ".join(vocabulary)), " ")  # folded into one literal
     where = F.coalesce(F.col(path), F.lit(""))
     rows = files.select(*keep, where.alias("path_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
@@ -77,13 +79,13 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[s
     listed = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(F.broadcast(seen), "word", "left").crossJoin(F.broadcast(total))
     idf = written(listed.select("word", (F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
 
-    terms = [(k, t.licence, w, n, w in words(t.must), len(set(words(t.must)))) for k, (t, bag) in enumerate(zip(templates, bags, strict=True)) for w, n in sorted(bag.items())]
-    model = spark.createDataFrame(terms, "template int, licence string, word string, tf int, needed boolean, n_needed int").join(F.broadcast(idf), "word")
+    terms = [(k, t.licence, w, n, w in words(t.must), len(set(words(t.must))), words(t.never)) for k, (t, bag) in enumerate(zip(templates, bags, strict=True)) for w, n in sorted(bag.items())]
+    model = spark.createDataFrame(terms, "template int, licence string, word string, tf int, needed boolean, n_needed int, never array<string>").join(F.broadcast(idf), "word")
     model = model.withColumn("weight", F.col("tf") * F.col("idf"))
     norms = model.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    model = written(model.join(F.broadcast(norms), "template").select("template", "licence", "word", "needed", "n_needed", (F.col("weight") / F.col("norm")).alias("share")), "templates")
+    model = written(model.join(F.broadcast(norms), "template").select("template", "licence", "word", "needed", "n_needed", "never", (F.col("weight") / F.col("norm")).alias("share")), "templates")
 
-    own = _own(read.where("text_ is not null"), [list(m) for m in musts], idf, model)
+    own = _own(read.where("text_ is not null"), [list(m) for m in musts], nevers, idf, model)
     name = F.regexp_extract("path_", "([^/]*)$", 1)
     is_file = name.rlike(LICENSE_NAME) | (F.col("said") >= FILE_SHARE * F.col("n_words"))
     own = written(own.select("path_", "licence", "score", is_file.alias("is_file")), "own")
@@ -102,7 +104,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[s
     return out.select(*keep, F.col("path_").alias("path"), F.coalesce("licence", "near_licence").alias("licence"), F.coalesce("score", "near_score").alias("score"), found.alias("found"), F.when(F.col("licence").isNotNull(), F.col("path_")).otherwise(F.col("near_path")).alias("from_path"))
 
 
-def _own(files: DataFrame, musts: list[list[str]], idf: DataFrame, model: DataFrame) -> DataFrame:
+def _own(files: DataFrame, musts: list[list[str]], nevers: list[str], idf: DataFrame, model: DataFrame) -> DataFrame:
     """(path_, licence, score, said, n_words) of every file that has a unit with a licence; said: the templates' words in the unit."""
     # all that follows stays within a file's row until words are counted
     needed = F.split(F.lit(" ".join(sorted({w for must in musts for w in must}))), " ")
@@ -130,7 +132,10 @@ def _own(files: DataFrame, musts: list[list[str]], idf: DataFrame, model: DataFr
     heard = units.dropDuplicates(unit_key).select(*unit_key, F.explode("bag").alias("word"))
     heard = heard.join(F.broadcast(idf), "word").groupBy(*unit_key, "word").agg(F.count("*").alias("tf"), (F.count("*") * F.first("idf")).alias("weight"))
     vectors = heard.groupBy(*unit_key).agg(F.sum("tf").alias("said"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.collect_list(F.struct("word", "weight")).alias("vector"))  # as many words as the templates have
-    pairs = vectors.select(*key, "norm", F.explode("vector").alias("x")).select(*key, "norm", "x.word", "x.weight").join(F.broadcast(model), "word")
+    sister = F.array_sort(F.array_intersect(F.transform("vector", lambda x: x["word"]), F.split(F.lit(" ".join(nevers)), " ")))
+    vectors = vectors.withColumn("sisters", F.array_join(sister, " "))
+    pairs = vectors.select(*key, "norm", "sisters", F.explode("vector").alias("x")).select(*key, "norm", "sisters", "x.word", "x.weight").join(F.broadcast(model), "word")
+    pairs = pairs.where(~F.arrays_overlap(F.split("sisters", " "), "never"))
     scored = pairs.groupBy(*key, "norm", "template", "licence", "n_needed").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"), F.count_if("needed").alias("held"))
     scored = scored.withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where((F.col("score") >= THRESHOLD) & (F.col("held") == F.col("n_needed")))
     best = scored.groupBy("path_").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence", "said", (-F.col("n_words")).alias("less"))).alias("best"))

@@ -79,11 +79,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    listed = ", ".join(f"({k}, '{t.licence}', {sorted(set(licenses.words(t.must)))}, {licenses.words(t.statement)})" for k, t in enumerate(license_texts.ALL))
+    listed = ", ".join(f"({k}, '{t.licence}', {sorted(set(licenses.words(t.must)))}, {licenses.words(t.statement)}, {licenses.words(t.never) or ['']})" for k, t in enumerate(license_texts.ALL))
     tokens = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
     return f"""
-WITH t AS (SELECT * FROM (VALUES {listed}) AS v(template, licence, must, bag)),
-voc AS (SELECT DISTINCT unnest(list_concat(bag, must)) AS word FROM t),
+WITH t AS (SELECT * FROM (VALUES {listed}) AS v(template, licence, must, bag, never)),
+voc AS (SELECT DISTINCT unnest(list_filter(list_concat(bag, must, never), lambda w: w <> '')) AS word FROM t),
 f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'unknown'), CASE WHEN length(coalesce(text, '')) >= 400 THEN coalesce(lang, 'unknown') END, CASE WHEN length(coalesce(text, '')) >= 1500 THEN 'g' || doc_id % 16 END) AS dir FROM documents),
 w AS (SELECT *, dir || '/' || doc_id AS path, {tokens.format("text")} AS bag FROM f),
 df AS (SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(bag)) AS word FROM w) WHERE word IN (SELECT word FROM voc) GROUP BY word),
@@ -96,9 +96,9 @@ units AS (SELECT path, n_words, 0 AS kind, 0 AS line, 0 AS size, whole AS bag FR
 UNION ALL SELECT path, n_words, 2, line, k, flatten(bags[line : line + k - 1]) FROM win, unnest(range(1, {licenses.WINDOW} + 1)) AS r(k)),
 u AS (SELECT path, n_words, kind, line, size, bag FROM units WHERE list_has_any(bag, (SELECT list(DISTINCT m) FROM (SELECT unnest(must) AS m FROM t)))),
 uw AS (SELECT path, n_words, kind, line, size, word, count(*) AS tf, count(*) * any_value(idf) AS weight FROM (SELECT path, n_words, kind, line, size, unnest(bag) AS word FROM u) JOIN idf USING (word) GROUP BY ALL),
-un AS (SELECT path, kind, line, size, sum(tf) AS said, sqrt(sum(weight * weight)) AS norm FROM uw GROUP BY ALL),
-sc AS (SELECT path, uw.n_words, kind, line, size, template, any_value(said) AS said, round(sum(uw.weight * tm.weight) / (any_value(un.norm) * any_value(tn.norm)), 9) AS score, list(uw.word) AS held FROM uw JOIN tm USING (word) JOIN un USING (path, kind, line, size) JOIN tn USING (template) GROUP BY ALL),
-own AS (SELECT path, max(score) AS score, arg_min(licence, (-score, licence, said)) AS licence, arg_min(said, (-score, licence, said)) >= {licenses.FILE_SHARE} * any_value(n_words) AS is_file FROM sc JOIN t USING (template) WHERE score >= {licenses.THRESHOLD} AND list_has_all(held, must) GROUP BY path),
+un AS (SELECT path, kind, line, size, list(word) AS held_all, sum(tf) AS said, sqrt(sum(weight * weight)) AS norm FROM uw GROUP BY ALL),
+sc AS (SELECT path, uw.n_words, kind, line, size, template, any_value(said) AS said, any_value(held_all) AS held_all, round(sum(uw.weight * tm.weight) / (any_value(un.norm) * any_value(tn.norm)), 9) AS score, list(uw.word) AS held FROM uw JOIN tm USING (word) JOIN un USING (path, kind, line, size) JOIN tn USING (template) GROUP BY ALL),
+own AS (SELECT path, max(score) AS score, arg_min(licence, (-score, licence, said)) AS licence, arg_min(said, (-score, licence, said)) >= {licenses.FILE_SHARE} * any_value(n_words) AS is_file FROM sc JOIN t USING (template) WHERE score >= {licenses.THRESHOLD} AND list_has_all(held, must) AND NOT list_has_any(held_all, never) GROUP BY path),
 given AS (SELECT dir, max(score) AS score, arg_min(own.path, (-score, own.path)) AS path, arg_min(licence, (-score, own.path)) AS licence FROM own JOIN w USING (path) WHERE is_file GROUP BY dir),
 above AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1 : depth], '/') AS up FROM (SELECT DISTINCT dir FROM w), unnest(range(0, 4)) AS r(depth)),
 near AS (SELECT above.dir, arg_max(given.score, depth) AS score, arg_max(given.path, depth) AS path, arg_max(licence, depth) AS licence FROM above JOIN given ON given.dir = above.up WHERE depth <= len(string_split(above.dir, '/')) GROUP BY above.dir)

@@ -228,3 +228,47 @@ def test_composed_checksums():
     n, runs = importance.features(text, memo, 5)
     assert n == len(ws) == 8
     assert [r.tolist() for r in runs] == [[zlib.crc32(b" ".join(ws[k : k + m])) for k in range(len(ws) - m + 1)] for m in range(1, 6)]
+
+
+# ---- changes to earlier operators ----
+
+
+def test_rows_of_one_direction_are_searched_in_bounded_memory():
+    """Many more tied rows than a leaf holds; the smallest ids count, whatever order they lie in."""
+    import tracemalloc
+
+    from graphloom.llm import vptree
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    scale = 2.0 ** rng.integers(-6, 6, 20_000)
+    vectors = np.vstack([base * s for s in scale] + [rng.normal(size=16) for _ in range(300)])
+    ids = rng.permutation(len(vectors))
+    tree = vptree.Tree(vptree._unit(vectors), ids)
+    own = ids[:200]
+    tracemalloc.start()
+    found = vptree._found(tree, vectors, vectors[:200], own, 5, 1.0)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    tied = np.sort(ids[:20_000])
+    rows = found.to_pydict()
+    for k, i in enumerate(own):
+        assert rows["vec_id"][5 * k : 5 * k + 5] == [x for x in tied[:6] if x != i][:5]
+    vptree.Tree(np.tile(vptree._unit(base[None]), (20_000, 1)), np.arange(20_000))  # bit-equal rows
+
+
+def test_licences_of_whole_files_of_sisters(spark):
+    """Files as a Linux distribution ships them, where there are any."""
+    import os
+
+    from graphloom.llm import licenses
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    held = [n for n in names if os.path.exists(f"{folder}/{n}")]
+    if not held:
+        pytest.skip("no licence files here")
+    rows = [(f"{n}/LICENSE", open(f"{folder}/{n}", encoding="utf-8", errors="replace").read()) for n in held]
+    rows += [("lib/a.c", "/* This library is under the GNU Library General Public License, version 2. */\nint x;\n"), ("bin/a.c", "/* Licensed under the GNU General Public License, version 2 */\nint x;\n")]
+    found = {r["path"].split("/")[0]: r["licence"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {n: names[n] for n in held} | {"lib": "LGPL-2.0", "bin": "GPL-2.0"}
