@@ -49,7 +49,8 @@ def wanted(path: Column) -> Column:
 
 def sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the files that an agent reads under a root."""
-    return file_source.listed(spark, root).where(wanted(F.col("path"))).select("path", file_source.read_text(F.col("content")).alias("content"))
+    kept = file_source.walk(spark, root, SKIPPED)[0].where(wanted(F.col("path")))
+    return file_source.contents(kept, root).select("path", file_source.read_text(F.col("raw")).alias("content"))
 
 
 def functions(files: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ orders, parts and suppliers, paths from page URLs, texts from documents, flows f
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
 from graphloom.operators import dead_code, diff, enrich, features, graph, resolve, serve
-from graphloom.session import table
+from graphloom.session import scratch, table
 from graphloom.sources import files as file_source
 from graphloom.sources import parse as parsing
 from graphloom.streaming import progress
@@ -456,9 +455,10 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id AS repo_id, event_type, ts, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def progress_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The latest event per user from a file stream of the events, written by a memory sink in complete mode."""
+    """The latest event per user from a file stream of the events: keyed state, changes appended to a table."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").alias("repo_id"), "event_type", "ts", F.col("event_id").alias("seq"))
-    name = f"progress_{uuid.uuid4().hex}"
-    progress.latest_status(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder, checkpoint = scratch(spark, "progress"), scratch(spark, "progress-state")
+    changes = progress.updates(stream)
+    progress.start_updates(changes, folder, checkpoint, available_now=True).awaitTermination()
+    return progress.current(spark, folder, changes.schema).withColumn("ts", F.col("ts").cast(schema["ts"].dataType))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import UTC
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from graphloom.functions import text as fn
+from graphloom.session import ship
 
 #: States after which nothing more comes.
 TERMINAL = ("completed", "failed")
@@ -21,6 +25,79 @@ def latest_status(events: DataFrame, key: str = "repo_id", time: str = "ts", tie
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("last")).select(key, "last.*")
 
 
+class _Latest(StatefulProcessor):
+    """Gives out the newest event of a key when it changes, and holds its time (at_), tie and status; a key that has
+    ended is forgotten later."""
+
+    def __init__(self, names: list[str], kinds: T.StructType, linger: int):
+        self.names, self.kinds, self.linger = names, kinds, linger
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("latest", self.kinds)
+
+    @staticmethod
+    def _place(at: int | None, tie) -> tuple:
+        return at is not None, at, tie is not None, tie
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        tie = self.kinds.names[1]
+        held = self.state.get() if self.state.exists() else None
+        best = max((r.asDict() for r in rows), key=lambda r: self._place(r["at_"], r[tie]))
+        if held is None or self._place(best["at_"], best[tie]) > self._place(held[0], held[1]):
+            self.state.update((best["at_"], best[tie], best.get("status")))
+            if best.get("status") in TERMINAL and best["at_"] is not None:
+                self.handle.registerTimer(best["at_"] // 1000 + self.linger)
+            yield Row(**{c: best[c] for c in self.names})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get() if self.state.exists() else None
+        if held is not None and held[2] in TERMINAL:  # not if it has begun anew
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def updates(events: DataFrame, key: str = "repo_id", time: str = "ts", tie: str = "seq", late: str = "10 minutes", linger_ms: int = 600_000) -> DataFrame:
+    """A stream of each key's latest status whenever it changes (update mode), with a state per key.
+
+    Repeated events (key, tie) are dropped while the watermark, `late` behind the newest event, hasn't passed them; older
+    events don't come back. A key whose latest status is terminal leaves the state when the watermark is linger_ms
+    beyond it, so the state holds what runs, not all that ever ran. Events without a key are dropped; of events of one
+    time the greatest tie counts; without a time they are the oldest. Start it with `start_updates`.
+    """
+    ship(events.sparkSession)
+    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need one with a time zone
+    fresh = events.where(F.col(key).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark([key, tie])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fresh.schema.fields])
+    kinds = T.StructType([T.StructField("at_", T.LongType()), T.StructField(tie, schema[tie].dataType), T.StructField("status", T.StringType())])
+    processor = _Latest(schema.names, kinds, linger_ms)
+    return fresh.withColumn("at_", F.unix_micros(time)).groupBy(key).transformWithState(processor, schema, "Update", "EventTime")
+
+
+#: The state store that keyed states need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def start_updates(changes: DataFrame, folder: str, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds") -> StreamingQuery:
+    """Appends the changes to a table in the shared folder, each batch once; `latest_status` of it is the present state."""
+    spark = changes.sparkSession
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)  # a query keeps what was set when it started
+    try:
+        writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+
+
+def current(spark: SparkSession, folder: str, schema: T.StructType, key: str = "repo_id", time: str = "ts", tie: str = "seq") -> DataFrame:
+    """The latest status per key of what start_updates has written."""
+    return latest_status(spark.read.schema(schema).parquet(folder).select(*schema.names), key, time, tie)
+
+
 def follow(events: DataFrame, repo_id: str, push: Callable[[dict], None], interval: str = "500 milliseconds", available_now: bool = False, checkpoint: str | None = None) -> StreamingQuery:
     """Pushes a repository's latest status whenever it changes; the query ends with a terminal status.
 

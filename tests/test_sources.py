@@ -96,7 +96,7 @@ def test_a_failing_listener_changes_nothing(spark):
 
 
 def test_import_files(spark, rows):
-    some = {"a/b/c.py": "from . import d\nfrom ..x import y\nimport a.b.d.e\nimport zlib\n", "a/b/d.py": "", "a/x.py": "", "a/b/__init__.py": ""}
+    some = {"a/b/c.py": "from . import d, other\nfrom ..x import y\nimport a.b.d.e\nimport zlib\n", "a/b/d.py": "", "a/x.py": "", "a/b/__init__.py": ""}
     parsed = parse.parse(_files(spark, some))
     found = {r["target"] for r in parse.import_files(parse.imports(parsed), _files(spark, some)).collect()}
     assert found == {"a/b/__init__.py", "a/x.py", "a/b/d.py"}
