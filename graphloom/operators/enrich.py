@@ -114,6 +114,29 @@ def grouping_prompt(names: Column, language: str = "en") -> Column:
     return F.concat(F.lit(f"{answer_language(language)} Name each group of entry points, and list groups that should be split. Answer as JSON {{\"names\": [...], \"splits\": [...]}}.\nGroups:\n"), F.array_join(names, "\n"))
 
 
+#: Answers that name no feature, the owner that stands for them, and answers that nothing is inferred for.
+STRUCTURAL, STRUCTURAL_OWNER, NO_GUESS = ("module_init", "global_config", "constant"), "__structural__", ("dead_code", "other")
+#: Confidences of a suggestion without a feature, with one, and for structural code.
+UNMATCHED, MATCHED, IS_STRUCTURAL = 0.3, 0.7, 0.6
+
+
+def suggestions(answers: DataFrame, owners: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, suggested_feature, classification, reason, confidence) of the answers to connection prompts.
+
+    answers: node, classification, owner, reason, one row a node; owners (owner, feature): features that names of
+    owners match; places (node, feature): features that a node's place in the tree suggests, for want of an owner. The
+    least feature counts if there are several. Structural code gets no feature; where nothing matches it is ''.
+    Null classifications count as ''; nodes without an answer aren't in answers and give no row.
+    """
+    known = owners.groupBy("owner").agg(F.min("feature").alias("by_owner"))
+    near = places.groupBy("node").agg(F.min("feature").alias("by_place"))
+    rows = answers.withColumn("classification", F.coalesce("classification", F.lit(""))).join(known, "owner", "left").join(near, "node", "left")
+    structural, guess = F.col("classification").isin(*STRUCTURAL), ~F.col("classification").isin(*NO_GUESS)
+    feature = F.coalesce("by_owner", F.when(guess, F.col("by_place")), F.lit(""))
+    confidence = F.when(structural, IS_STRUCTURAL).when(feature != "", MATCHED).otherwise(UNMATCHED)
+    return rows.select("node", F.when(structural, STRUCTURAL_OWNER).otherwise(feature).alias("suggested_feature"), "classification", F.coalesce("reason", F.lit("")).alias("reason"), confidence.alias("confidence"))
+
+
 def features_prompt(summary: Column, language: str = "en") -> Column:
     """Asks for the features of a code base, given its summary."""
     return F.concat(F.lit(f"{answer_language(language)} List the user-facing features of this code base, with category and entry files. Answer as JSON {{\"features\": [...]}}.\n"), summary)
@@ -143,18 +166,26 @@ def budget_fold(files: DataFrame, budget: int, by: str = "repo") -> DataFrame:
     """(repo, path, form): 'full' while a repository's running total stays within the budget, else 'minimal'.
 
     Reads repo, path, seq, full_size and min_size. A file that would pass the budget adds its minimal
-    size, so later small ones may be full again; the fold runs over one repository's file sizes.
+    size, so later small ones may be full again. A repository's files stream through a task in their order, of which
+    only the total is held, so the number of files has no bound. A file without a full size is minimal, a missing
+    minimal size counts as 0; files without a repository are those of one.
     """
-    row = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "path", "full_size", "min_size"))).alias("files"))
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<path:string,form:string>>").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        full = a["total"] + x["full_size"] <= budget
-        form = F.when(full, "full").otherwise("minimal")
-        total = a["total"] + F.when(full, x["full_size"]).otherwise(x["min_size"])
-        return F.struct(total.cast("long").alias("total"), F.concat(a["out"], F.array(F.struct(x["path"].alias("path"), form.alias("form")))).alias("out"))
 
-    return row.select(by, F.explode(F.aggregate("files", zero, add, lambda a: a["out"])).alias("f")).select(by, "f.path", "f.form")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, total, begun = None, 0, False
+        for batch in batches:
+            forms = []
+            for owner, full, least in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if not begun or owner != repo:
+                    repo, total, begun = owner, 0, True
+                fits = full is not None and total + full <= budget
+                total += full if fits else least or 0
+                forms.append("full" if fits else "minimal")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, pa.string())], names=[by, "path", "form"])
+
+    rows = files.select(by, "path", F.col("full_size").cast("long"), F.col("min_size").cast("long"), "seq").repartition(by).sortWithinPartitions(by, "seq", "path")
+    kinds = f"{by} {files.schema[by].dataType.simpleString()}, path {files.schema['path'].dataType.simpleString()}, form string"
+    return rows.drop("seq").mapInArrow(run, kinds)
 
 
 def match_signatures(steps: DataFrame, signatures: DataFrame, cutoff: float = 0.6) -> DataFrame:

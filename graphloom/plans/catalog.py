@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import dead_code, diff, enrich, features, graph, resolve, serve
+from graphloom.operators import dead_code, diff, enrich, features, graph, resolve, serve, validate
 from graphloom.session import scratch, table
 from graphloom.sources import files as file_source
 from graphloom.sources import parse as parsing
@@ -444,6 +444,32 @@ def budget_fold(spark: SparkSession, d: str) -> DataFrame:
     return enrich.budget_fold(docs, 80_000)
 
 
+@query("""WITH a AS (SELECT 'p:' || p_partkey AS node, CASE p_size % 5 WHEN 0 THEN 'constant' WHEN 1 THEN 'dead_code' WHEN 2 THEN 'other' WHEN 3 THEN 'type_definition' END AS classification, CASE WHEN p_retailprice > 1200 THEN p_type ELSE p_brand END AS owner, p_name AS reason, p_type FROM part),
+o AS (SELECT p_brand AS owner, min(p_brand || '/' || p_type) AS feature FROM part WHERE p_size > 25 GROUP BY p_brand),
+t AS (SELECT p_type, min(p_brand) AS place FROM part GROUP BY p_type),
+s AS (SELECT node, coalesce(classification, '') AS classification, reason, coalesce(feature, CASE WHEN coalesce(classification, '') NOT IN ('dead_code', 'other') THEN place END, '') AS found FROM a LEFT JOIN o USING (owner) LEFT JOIN t USING (p_type))
+SELECT node, CASE WHEN classification = 'constant' THEN '__structural__' ELSE found END AS suggested_feature, classification, reason, CASE WHEN classification = 'constant' THEN 0.6 WHEN found <> '' THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM s""")
+def connection_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Suggested features of parts: their owner is a brand, or a type, which is no feature; else their type's first brand."""
+    part = table(spark, d, "part")
+    kind = F.col("p_size") % 5
+    said = F.when(kind == 0, "constant").when(kind == 1, "dead_code").when(kind == 2, "other").when(kind == 3, "type_definition")
+    owner = F.when(F.col("p_retailprice") > 1200, F.col("p_type")).otherwise(F.col("p_brand"))
+    rows = part.select(_name("p:", "p_partkey").alias("node"), said.alias("classification"), owner.alias("owner"), F.col("p_name").alias("reason"), "p_type")
+    owners = part.where("p_size > 25").select(F.col("p_brand").alias("owner"), F.concat_ws("/", "p_brand", "p_type").alias("feature"))
+    first = part.groupBy("p_type").agg(F.min("p_brand").alias("feature"))
+    return enrich.suggestions(rows.drop("p_type"), owners, rows.select("node", "p_type").join(first, "p_type").select("node", "feature"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN NOT coalesce(l_returnflag IN ('N', 'R'), false) THEN 'flag' END, CASE WHEN NOT coalesce(l_quantity BETWEEN 2 AND 45, false) THEN 'quantity' END,
+CASE WHEN NOT coalesce(l_discount + l_tax < 0.15, false) THEN 'rates' END) AS broken FROM lineitem WHERE NOT coalesce(l_returnflag IN ('N', 'R') AND l_quantity BETWEEN 2 AND 45 AND l_discount + l_tax < 0.15, false)""")
+def rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Line items that go to quarantine, with the rules that they break."""
+    rules = (validate.Rule("flag", validate.one_of("l_returnflag", ("N", "R"))), validate.Rule("quantity", "l_quantity between 2 and 45"), validate.Rule("rates", "l_discount + l_tax < 0.15"))
+    found = validate.judged(table(spark, d, "lineitem"), rules).where(F.size("broken") > 0)
+    return found.select("l_orderkey", "l_linenumber", F.array_join("broken", ",").alias("broken"))
+
+
 @query()
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     """Parts' names with a letter less, matched with the names of their type's first parts."""

@@ -116,3 +116,40 @@ def test_answers_are_asked_once(spark, tmp_path):
     again = enrich.ask(items.union(spark.createDataFrame([(6, "c")], items.schema)), client, answers=folder)
     assert dict(map(tuple, again.collect())) == {1: "A", 2: "B", 3: "A", 4: None, 5: "BAD", 6: "C"}
     assert sorted(log.read_text().split()) == ["a", "b", "bad", "bad", "c"]  # what failed, and what is new
+
+
+def test_budget_folds_over_batches(spark, monkeypatch):
+    """More files than a batch holds, of two repositories and of none."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        files = [(r, f"f{i:04}", i, (i * 37) % 100 or None, (i % 3) or None) for r in ("x", "y", None) for i in range(300)]
+        frame = spark.createDataFrame(files, "repo string, path string, seq int, full_size int, min_size int").repartition(6)
+        found = sorted(((r["repo"], r["path"], r["form"]) for r in enrich.budget_fold(frame, 4000).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = []
+    for repo in ("x", "y", None):
+        total = 0
+        for r, path, _, full, least in files:
+            if r == repo:
+                fits = full is not None and total + full <= 4000
+                total += full if fits else least or 0
+                expected.append((repo, path, "full" if fits else "minimal"))
+    assert found == sorted(expected, key=repr)
+
+
+def test_rows_that_break_rules_are_kept_apart(spark, tmp_path):
+    from graphloom.operators import validate
+
+    rows = [("calls", "a", 1), ("calls", None, 1), ("knows", "b", -1), (None, "c", None), ("calls", "a", 1)]
+    frame = spark.createDataFrame(rows, "edge_type string, source_node_id string, line_number int")
+    path = str(tmp_path / "edges")
+    counts = validate.write(frame, validate.RULES["code_edges"], path)
+    assert counts == {"rows": 5, "quarantined": 3, "broken_edge_type": 2, "broken_source": 1, "broken_line": 2}
+    assert sorted(map(tuple, validate.sound(spark, path).collect())) == [("calls", "a", 1)] * 2
+    assert {(r["edge_type"], tuple(r["broken"])) for r in validate.quarantined(spark, path).collect()} == {("calls", ("source",)), ("knows", ("edge_type", "line")), (None, ("edge_type", "line"))}
+    empty = validate.write(frame.limit(0), (), str(tmp_path / "none"))
+    assert empty == {"rows": 0, "quarantined": 0}
+    for table, rules in validate.RULES.items():
+        assert rules and len({r.name for r in rules}) == len(rules), table
