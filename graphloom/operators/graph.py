@@ -48,7 +48,7 @@ def _squared(links: DataFrame, edges: int) -> DataFrame | None:
     if walks > GROWTH * edges:
         return None
     second = links.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-    return bucketed(links.join(second, links["dst"] == second["mid"]).select("src", F.col("end").alias("dst")).distinct(), "walks", "src")
+    return bucketed(links.join(second, links["dst"] == second["mid"]).select("src", F.col("end").alias("dst")), "walks", "src")
 
 
 def reach_words(starts: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def reach_words(starts: DataFrame, edges: DataFrame, known: DataFrame | None = N
     Edges and walks are written once, bucketed by source. What is known is kept in few tables: two of like size are
     merged. Each round cuts the lineage, so a lost executor redoes one round at most.
     """
-    near = bucketed(edges.select("src", "dst").distinct(), "edges", "src")
+    near = bucketed(edges.select("src", "dst"), "edges", "src")
     seen = [] if known is None else [(known.count(), known)]
     fresh = cut_lineage(_unseen(starts.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), seen))
     links, length, covered, many = near, 1, 0, 0

@@ -114,10 +114,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Writes df to the shared folder as a table bucketed by key: joins on key don't shuffle it again (eager)."""
+    """Writes df's distinct rows to the shared folder as a table bucketed by key: joins on key don't shuffle it again (eager).
+
+    Equal rows meet in their bucket, so they are told apart by the same shuffle.
+    """
     spark, name = df.sparkSession, f"graphloom_{label}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", scratch(spark, label)).saveAsTable(name)
+    df.repartition(parts, key).distinct().write.bucketBy(parts, key).option("path", scratch(spark, label)).saveAsTable(name)
     _TABLES.append((spark, name))
     return spark.table(name)
 
