@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import bucketed, cut_lineage
@@ -137,6 +138,32 @@ def maintained(reached: DataFrame, old_edges: DataFrame, new_edges: DataFrame, o
     return reachable(seeds, now, by=(by,), known=stands)
 
 
+def spread(values: DataFrame, edges: DataFrame, along: Callable[[Column, int], Column] = lambda value, length: value) -> DataFrame:
+    """(node, value): the least value that any walk brings to a node, its own included; along(value, length) is what a walk makes of it.
+
+    values: one row per node, without nulls; edges: src, dst. Values that walks lower (layers, say) need a graph without
+    cycles. Rounds go as in reach_words: a few of one edge each, then by walks of doubling length, as long as they are few.
+    """
+    near = bucketed(edges.select("src", "dst"), "edges", "src")
+    state = ahead = cut_lineage(values.select("node", "value"))
+    links, length, covered, many = near, 1, 0, 0
+    while True:
+        hit = links.join(ahead, links["src"] == ahead["node"]).groupBy(F.col("dst").alias("node")).agg(F.min(along(F.col("value"), length)).alias("value"))
+        fresh = cut_lineage(hit.join(state.withColumnRenamed("value", "old_"), "node").where("value < old_").select("node", "value"))
+        if fresh.isEmpty():
+            return state
+        covered += length
+        state = cut_lineage(state.join(fresh.withColumnRenamed("value", "new_"), "node", "left").select("node", F.coalesce("new_", "value").alias("value")))
+        ahead = fresh
+        while covered >= PATIENCE and 2 * length <= covered + 1 and many is not None:
+            many = many or near.count()
+            longer = _squared(links, many)
+            if longer is None:
+                many = None
+            else:
+                links, length, ahead = longer, 2 * length, state
+
+
 def unreachable(nodes: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no start reaches."""
     return nodes.join(reachable(starts, edges), "node", "left_anti")

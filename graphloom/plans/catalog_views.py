@@ -5,11 +5,11 @@ Parts stand for code nodes, line items for edges, orders for snapshots of reposi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import dead_code, diff, enrich, features, graph, resolve, serve
+from graphloom.operators import dead_code, diff, enrich, features, graph, layers, resolve, serve
 from graphloom.plans import agent, analysis
 from graphloom.plans.catalog import _E, _PATH, SQL, _edges, _nodes, _page_paths, manifest_diff, query
 from graphloom.session import table, written
@@ -353,5 +353,51 @@ def agent_languages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'pkg/p' || p_partkey || '.py' AS path, p_partkey % 10 = 0 AS has_errors, CAST(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 2 END AS INT) AS node_count, CAST(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 3 END AS INT) AS edge_count FROM part")
 def parse_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth file doesn't parse; a call through a call has no name, one in a default argument is the function's."""
+    return parsing.counts(parsing.parse(_files(spark, d)))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("p_partkey") % 10 == 0, "def (").otherwise("class A(B):\n    x = 1\n\ndef main(a=C()):\n    A().run()\n")
-    return parsing.counts(parsing.parse(table(spark, d, "part").select(F.concat(F.lit("pkg/p"), _text("p_partkey"), F.lit(".py")).alias("path"), code.alias("content"))))
+    return table(spark, d, "part").select(F.concat(F.lit("pkg/p"), _text("p_partkey"), F.lit(".py")).alias("path"), code.alias("content"))
+
+
+@query("""SELECT 'pkg/p' || p_partkey || '.py' AS path, n.name, n.node_type, n.line AS line_start FROM part, (VALUES ('A', 'class', 1), ('main', 'function', 4)) n(name, node_type, line) WHERE p_partkey % 10 <> 0""")
+def parse_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The parser as a table function of SQL, joined laterally to the files and to its own nodes."""
+    parsing.register_sql(spark)
+    sql = """SELECT f.path, n.name, n.node_type, n.line_start FROM {files} f, LATERAL parse_source(f.path, 'python', f.content) p
+    LATERAL VIEW explode(p.nodes) AS n"""
+    return spark.sql(sql, files=_files(spark, d))
+
+
+# ---- components, layers and layout ----
+
+_NEXT = """l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS t FROM lineitem),
+e AS (SELECT s AS src, t AS dst FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o DESC, n DESC, t DESC) AS k FROM l WHERE t IS NOT NULL) WHERE k = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_NEXT}, r AS (SELECT s_suppkey AS a, s_suppkey AS b FROM supplier UNION SELECT a, dst FROM r JOIN e ON src = b)
+SELECT 's' || x.a AS node, min('s' || x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+def strong_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier leads to the one after it in the last order where one follows; all line items are read, line numbers may repeat."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    pairs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.lead("l_suppkey").over(order).alias("t")).where("t is not null")
+    last = pairs.groupBy("l_suppkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "t"))["t"].alias("t"))
+    edges = last.select(F.concat(F.lit("s"), _text("l_suppkey")).alias("src"), F.concat(F.lit("s"), _text("t")).alias("dst"))
+    return layers.strong_components(table(spark, d, "supplier").select(F.concat(F.lit("s"), _text("s_suppkey")).alias("node")), edges)
+
+
+_LAYERED = f"""WITH RECURSIVE {_E}, n AS (SELECT 'c:' || c_custkey AS node FROM customer UNION SELECT 'o:' || o_orderkey FROM orders UNION SELECT 'p:' || p_partkey FROM part UNION SELECT 's:' || s_suppkey FROM supplier UNION SELECT src FROM e0 UNION SELECT dst FROM e0),
+d AS (SELECT DISTINCT src, dst FROM e0 WHERE src <> dst),
+w AS (SELECT node, 0 AS k FROM n UNION SELECT dst, k + 1 FROM w JOIN d ON src = node),
+l AS (SELECT node, max(k) AS layer FROM w GROUP BY node),
+p0 AS (SELECT node, layer, row_number() OVER (PARTITION BY layer ORDER BY node) - 1 AS place FROM l),
+m AS (SELECT dst AS node, sum(a.place)::DOUBLE / count(*) AS mean FROM d JOIN p0 a ON a.node = src JOIN p0 b ON b.node = dst WHERE a.layer <> b.layer GROUP BY dst),
+p1 AS (SELECT node, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(mean, place), node) - 1 AS place FROM p0 LEFT JOIN m USING (node))
+SELECT node, CAST(layer AS BIGINT) AS layer, place * 250 AS x, CAST(layer AS BIGINT) * 140 AS y FROM p1"""
+
+
+@query(_LAYERED)
+def layered_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, orders, parts and suppliers in layers by their longest path, one barycentre sweep."""
+    return layers.layout(_nodes(spark, d), _edges(spark, d)).select("node", "layer", "x", "y")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Iterator
+from importlib.metadata import entry_points as entry_points_of
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +173,23 @@ def analyze_python(path: str, module: str, text: str) -> dict:
 register("python", analyze_python)
 
 
+def discover(group: str = "graphloom.analyzers") -> list[str]:
+    """Registers analyzers that installed packages offer as entry points of the group, named by language; returns the names.
+
+    One that can't be loaded raises: a language that is silently missing would look like dead code.
+    """
+    points = sorted(entry_points_of(group=group), key=lambda p: p.name)
+    for point in points:
+        register(point.name, point.load())
+    return [p.name for p in points]
+
+
+def _parts(path: str, language: str, content: str, analyzers: dict) -> dict:
+    """A file's lists, empty ones if its language has no analyzer."""
+    analyzer = analyzers.get(language)
+    return analyzer(path, module_of(path), content) if analyzer else {"nodes": [], "edges": [], "imports": [], "entry_points": [], "errors": []}
+
+
 def parse(files: DataFrame) -> DataFrame:
     """SCHEMA rows for files (path, content); languages without an analyzer give empty lists."""
     analyzers = dict(ANALYZERS)
@@ -185,10 +203,8 @@ def parse(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                analyzer = analyzers.get(language)
-                empty = {"nodes": [], "edges": [], "imports": [], "entry_points": [], "errors": []}
-                out.append({"path": path, "language": language} | (analyzer(path, module_of(path), content) if analyzer else empty))
-            for row in out:
+                out.append({"path": path, "language": language} | _parts(path, language, content, analyzers))
+            for row in out:  # Arrow takes maps as lists of pairs
                 for node in row["nodes"]:
                     for d in node["decorators"]:
                         d["kwargs"] = list(d["kwargs"].items())
@@ -199,6 +215,24 @@ def parse(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def register_sql(spark: SparkSession, name: str = "parse_source") -> None:
+    """Registers parsing as a table function: SELECT ... FROM files, LATERAL parse_source(path, language, content).
+
+    It takes the analyzers that are registered now and gives SCHEMA's columns but path and language, one row per file;
+    a null language or one without an analyzer gives empty lists, a null text is an empty file, a null path an empty name.
+    Spark joins no Arrow table functions laterally, so this one takes a row at a time; parse is the form for whole tables.
+    """
+    analyzers = dict(ANALYZERS)
+    schema = spark.createDataFrame([], SCHEMA).drop("path", "language").schema
+
+    class ParseSource:
+        def eval(self, path: str | None, language: str | None, content: str | None) -> Iterator[tuple]:
+            found = _parts(path or "", language or "unknown", content or "", analyzers)
+            yield tuple(found[name] for name in schema.names)
+
+    spark.udtf.register(name, F.udtf(ParseSource, returnType=schema))
+
+
 def counts(parsed: DataFrame) -> DataFrame:
     """(path, has_errors, node_count, edge_count) of every file."""
     return parsed.select("path", (F.size("errors") > 0).alias("has_errors"), F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"))
