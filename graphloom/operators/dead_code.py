@@ -67,23 +67,30 @@ def detect(nodes: DataFrame, edges: DataFrame, reached: DataFrame, owned: DataFr
 PIECE = 3
 
 
-def suggested_owner(found: DataFrame, members: DataFrame) -> DataFrame:
-    """Adds suggested_feature: the first feature with a member whose name holds the suggested owner, else the owner.
+def holders(owners: DataFrame, names: DataFrame) -> DataFrame:
+    """(owner, columns of names): every name that holds an owner's text. owners: owner, text; names: name and any others.
 
-    found has node and owner; members (feature_idx, feature, fqn). Containment becomes an equality on the piece of
-    PIECE characters (the whole owner if it is shorter) that fewest names hold, before it is tested.
+    Containment becomes an equality on the piece of PIECE characters (the whole text if it is shorter) that fewest
+    names hold, before it is tested. Null and empty texts are held by nothing.
     """
 
     def pieces(text: Column, n: Column | int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n) if isinstance(n, int) else n))
 
-    names = members.select("feature_idx", "feature", F.lower("fqn").alias("name")).where("name <> ''")
     cuts = F.flatten(F.array(*(pieces(F.col("name"), n) for n in range(1, PIECE + 1))))
-    right = names.select("feature_idx", "feature", "name", F.explode(F.array_distinct(cuts)).alias("piece"))
+    right = names.where("name <> ''").withColumn("piece", F.explode(F.array_distinct(cuts)))
     held = right.groupBy("piece").agg(F.count("*").alias("n_"))
-    owners = found.where("owner is not null and owner <> ''").select("owner", F.lower("owner").alias("low")).distinct()
-    left = owners.select("owner", "low", F.explode(F.array_distinct(pieces(F.col("low"), F.least(F.length("low"), F.lit(PIECE))))).alias("piece"))
+    left = owners.where("text <> ''").select("owner", "text", F.explode(F.array_distinct(pieces(F.col("text"), F.least(F.length("text"), F.lit(PIECE))))).alias("piece"))
     # an owner with a piece that no name holds has no match either way
-    left = left.join(held, "piece").groupBy("owner", "low").agg(F.min_by("piece", F.struct("n_", "piece")).alias("piece"))
-    best = left.join(right, "piece").where(F.col("name").contains(F.col("low"))).groupBy("owner").agg(F.min_by("feature", "feature_idx").alias("found_"))
+    left = left.join(held, "piece").groupBy("owner", "text").agg(F.min_by("piece", F.struct("n_", "piece")).alias("piece"))
+    return left.join(right, "piece").where(F.col("name").contains(F.col("text"))).drop("piece", "text")
+
+
+def suggested_owner(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds suggested_feature: the first feature with a member whose name holds the suggested owner, else the owner.
+
+    found has node and owner; members (feature_idx, feature, fqn). Case doesn't matter.
+    """
+    owners = found.where("owner is not null and owner <> ''").select("owner", F.lower("owner").alias("text")).distinct()
+    best = holders(owners, members.select("feature_idx", "feature", F.lower("fqn").alias("name"))).groupBy("owner").agg(F.min_by("feature", "feature_idx").alias("found_"))
     return found.join(best, "owner", "left").withColumn("suggested_feature", F.coalesce("found_", "owner")).drop("found_")

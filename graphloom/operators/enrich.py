@@ -114,6 +114,16 @@ def grouping_prompt(names: Column, language: str = "en") -> Column:
     return F.concat(F.lit(f"{answer_language(language)} Name each group of entry points, and list groups that should be split. Answer as JSON {{\"names\": [...], \"splits\": [...]}}.\nGroups:\n"), F.array_join(names, "\n"))
 
 
+def check_prompt(lines: Column, language: str = "en") -> Column:
+    """Asks whether features belong together as they are."""
+    return F.concat(F.lit(f"{answer_language(language)} Does each of these features serve one purpose? Answer as JSON {{\"features\": [{{\"name\": ..., \"valid\": ..., \"reason\": ..., \"suggested_split\": [...]}}]}}.\nFeatures:\n"), F.array_join(lines, "\n"))
+
+
+def name_prompt(points: Column, language: str = "en") -> Column:
+    """Asks for the name of the feature that begins at some entry points."""
+    return F.concat(F.lit(f"{answer_language(language)} Name the feature that these entry points make up. Answer as JSON {{\"name\": ..., \"description\": ...}}.\nEntry points:\n"), F.array_join(points, "\n"))
+
+
 #: Answers that name no feature, the owner that stands for them, and answers that nothing is inferred for.
 STRUCTURAL, STRUCTURAL_OWNER, NO_GUESS = ("module_init", "global_config", "constant"), "__structural__", ("dead_code", "other")
 #: Confidences of a suggestion without a feature, with one, and for structural code.

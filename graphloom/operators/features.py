@@ -44,14 +44,17 @@ def buckets(nodes: DataFrame, tagged: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(count, "node", "left").select("node", kind.alias("bucket"))
 
 
-def assign_exclusive(membership: DataFrame, entry_counts: DataFrame) -> DataFrame:
+def assign_exclusive(membership: DataFrame, entry_counts: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """(node, feature): the smallest feature that holds the node, then the least feature.
 
-    membership (feature, node), entry_counts (feature, entries).
+    membership (feature, node), entry_counts (feature, entries). With listed (feature, node), nodes that a feature lists
+    belong to it beside what it reaches, and its size is what it lists.
     """
-    size = membership.groupBy("feature").agg(F.countDistinct("node").alias("nodes_")).join(entry_counts, "feature", "left")
-    size = size.select("feature", (F.col("nodes_") + F.coalesce("entries", F.lit(0))).alias("size_"))
-    best = membership.join(size, "feature").groupBy("node").agg(F.min(F.struct("size_", "feature")).alias("best"))
+    sized = membership if listed is None else listed
+    size = sized.groupBy("feature").agg(F.countDistinct("node").alias("nodes_")).join(entry_counts, "feature", "full")
+    size = size.select("feature", (F.coalesce("nodes_", F.lit(0)) + F.coalesce("entries", F.lit(0))).alias("size_"))
+    held = membership.select("feature", "node") if listed is None else membership.select("feature", "node").unionByName(listed.select("feature", "node"))
+    best = held.where("node is not null").join(size, "feature", "left").groupBy("node").agg(F.min(F.struct(F.coalesce("size_", F.lit(0)).alias("size_"), "feature")).alias("best"))
     return best.select("node", F.col("best.feature").alias("feature"))
 
 

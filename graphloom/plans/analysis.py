@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
 from graphloom.operators import dead_code, diff, enrich, features, graph, resolve
+from graphloom.plans import cross_check
 from graphloom.session import cut_lineage, written
 from graphloom.sources import files as file_source
 from graphloom.sources import parse as parsing
@@ -112,7 +113,7 @@ def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] |
     """Runs all stages over (path, content). A progress callback that fails is logged and changes nothing.
 
     With `before`, files whose content it knows under their path aren't parsed again, and what entry points reach is
-    changed where edges have come or gone; the result is that of a full run. With a client, features are verified and
+    changed where edges have come or gone; the result is that of a full run. With a client, clusters are named, features verified and
     split (verify_grouping). Features without nodes and entry points are left out. partial gets the call graph, with empty features, as soon as it is there, for those who keep it if a later stage fails.
     """
 
@@ -149,7 +150,9 @@ def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] |
     tagged = cut_lineage(tagged.select(F.col("number").alias("cluster"), "node"))
     kinds = features.buckets(nodes, tagged)
     tell("feature_matching", 50.0)
-    named = features.name_clusters(clusters).withColumn("color", fn.color(F.col("cluster_idx")))
+    named = features.name_clusters(clusters)
+    named = named if client is None else cross_check.renamed(named, clusters, client)
+    named = named.withColumn("color", fn.color(F.col("cluster_idx")))
     keys = clusters.groupBy("cluster_idx").agg(F.min("cluster_key").alias("qualifier"))
     listed = features.qualify_names(named.join(keys, "cluster_idx").withColumnRenamed("cluster_idx", "idx"))
     points, members = clusters.withColumnRenamed("cluster_idx", "feature"), tagged.select(F.col("cluster").alias("feature"), "node")
@@ -161,7 +164,11 @@ def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] |
         listed = groups.join(told, "name", "left").withColumn("color", fn.color(F.col("feature"))).withColumn("unique_name", F.col("name")).withColumnRenamed("feature", "idx")
     listed = features.drop_empty(listed.withColumnRenamed("idx", "feature"), members, points).withColumnRenamed("feature", "idx")
     counts = points.groupBy("feature").agg(F.count("*").alias("entries"))
-    assigned = features.assign_exclusive(members, counts)
+    if client is None:
+        assigned = features.assign_exclusive(members, counts)
+    else:  # parts of a split list what they kept, and own what they reach beside it
+        begun = points.where("start is not null").select("feature", F.col("start").alias("node"))
+        assigned = features.assign_exclusive(graph.reachable(begun, links, by=("feature",), nodes=nodes.select("node")), counts, members)
     tell("unmatched_analysis", 75.0)
     dead = dead_code.detect(nodes.select("node", "node_type", "file_path", "line_start", "line_end"), links, tagged.select("node").distinct(), kinds.where("bucket <> 'unmatched'"))
     tell("done", 100.0)
