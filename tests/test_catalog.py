@@ -8,7 +8,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
 
-from graphloom.plans import catalog_views  # noqa: E402, F401 (adds queries)
+from graphloom.plans import catalog_checks, catalog_views  # noqa: E402, F401 (add queries)
 from graphloom.plans.catalog import QUERIES, SQL  # noqa: E402
 
 
