@@ -174,8 +174,8 @@ def valid_splits(changes: DataFrame, entry_points: DataFrame, reached: DataFrame
     return changes.where("type = 'review'").unionByName(changes.where("type = 'split'").join(apart, "feature", "left_semi"))
 
 
-def by_name(features: DataFrame, name: str) -> DataFrame:
-    """The feature of a name; of several the last (greatest feature_idx)."""
+def by_name(features: DataFrame, name: str | Column) -> DataFrame:
+    """The feature of a name, or of a scalar subquery's name; of several the last (greatest feature_idx)."""
     found = features.where(F.col("name") == name)
     return found.groupBy("name").agg(F.max_by(F.struct(*features.columns), "feature_idx").alias("f")).select("f.*")
 

@@ -298,8 +298,7 @@ def scalar_paths(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    md = docs.select(F.col("path").alias("doc_id"), F.md5("content").alias("md"))
-    return file_source.manifest(docs).select(F.col("path").alias("doc_id"), F.col("content_hash").alias("sha")).join(md, "doc_id")
+    return file_source.manifest(docs, md=F.md5("content")).select(F.col("path").alias("doc_id"), F.col("content_hash").alias("sha"), "md")
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'rust' ELSE 'unknown' END AS language FROM pages")
@@ -315,9 +314,15 @@ def file_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(file_source.wanted(path, F.col("n_chars"), 2000)).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion ') OR contains(lower(text), 'keit')")
+_HINTED = ", ".join(f"'{h}'" for h in fn.DYNAMIC_HINTS)
+
+
+@query(f"WITH h AS (SELECT [{_HINTED}] AS hints), d AS (SELECT doc_id, hints, coalesce(text, '') || CASE WHEN doc_id % 30 < len(hints) THEN upper(hints[doc_id % 30 + 1]) ELSE '' END AS code FROM documents, h) SELECT doc_id FROM d WHERE len(list_filter(hints, lambda x: contains(lower(code), x))) > 0")
 def dynamic_predicate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(fn.has_dynamic_hint(F.col("text"), ("tion ", "keit"))).select("doc_id")
+    """Documents with a word of dynamic code, of which half of them get one in capitals."""
+    hint = F.get(F.array(*map(F.lit, fn.DYNAMIC_HINTS)), (F.col("doc_id") % 30).cast("int"))
+    code = F.concat(F.coalesce("text", F.lit("")), F.coalesce(F.upper(hint), F.lit("")))
+    return table(spark, d, "documents").where(fn.has_dynamic_hint(code)).select("doc_id")
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS short FROM documents")

@@ -195,7 +195,8 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
 def dead_detection(spark: SparkSession, d: str) -> DataFrame:
     """Candidates among parts that aren't modules, with verdicts, from the threshold on."""
     nodes = table(spark, d, "part").select(F.concat(F.lit("p:"), _text("p_partkey")).alias("node"), F.when(F.col("p_partkey") % 5 == 4, "module").otherwise("function").alias("node_type"))
-    edges = table(spark, d, "lineitem").where("l_quantity < 5").select(F.concat(F.lit("o:"), _text("l_orderkey")).alias("src"), F.concat(F.lit("p:"), _text("l_partkey")).alias("dst"), F.lit("calls").alias("edge_type"))
+    kind = F.when(F.col("l_quantity") < 5, "p:").otherwise("x:")  # most items call code of others
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("o:"), _text("l_orderkey")).alias("src"), F.concat(kind, _text("l_partkey")).alias("dst"), F.lit("calls").alias("edge_type"))
     verdict = F.when(F.col("p_partkey") % 4 == 0, "dead_code").when(F.col("p_partkey") % 4 == 1, "constant").when(F.col("p_partkey") % 4 == 2, "decorator")
     verdicts = table(spark, d, "part").select(F.concat(F.lit("p:"), _text("p_partkey")).alias("node"), verdict.alias("verdict"))
     none = nodes.select("node").limit(0)
@@ -270,7 +271,7 @@ def nonempty_features(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT max(p_partkey) AS feature_idx FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
 def feature_by_name(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("feature_idx"), F.col("p_type").alias("name"))
-    return features.by_name(part, part.agg(F.min("name")).first()[0]).select("feature_idx")
+    return features.by_name(part, table(spark, d, "part").agg(F.min("p_type")).scalar()).select("feature_idx")
 
 
 @query("SELECT c_custkey, part, (CASE n % 3 WHEN 0 THEN ['A', 'B', 'C'] ELSE ['X'] END)[part + 1] AS name FROM (SELECT c_custkey, c_nationkey AS n, CAST(least((row_number() OVER w - 1) // greatest(1, count(*) OVER (PARTITION BY c_nationkey) // CASE c_nationkey % 3 WHEN 0 THEN 3 ELSE 1 END), CASE c_nationkey % 3 WHEN 0 THEN 2 ELSE 0 END) AS INT) AS part FROM customer WHERE c_nationkey % 3 <> 2 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))")
@@ -338,9 +339,15 @@ def iso_times(spark: SparkSession, d: str) -> DataFrame:
 _KNOWN = ", ".join(f"('{e}', '{name}')" for e, name in fn.LANGUAGES.items())
 
 
-@query(f"SELECT language, count(*) AS extensions, count(*) FILTER (language IN ('python')) > 0 AS parsed FROM (VALUES {_KNOWN}) AS v(extension, language) GROUP BY language")
+_ENDINGS = tuple(fn.LANGUAGES)
+
+
+@query(f"WITH v(extension, language) AS (VALUES {_KNOWN}), p AS (SELECT ([{', '.join(repr(e) for e in _ENDINGS)}, '.none'])[page_id % {len(_ENDINGS) + 1} + 1] AS extension FROM pages) SELECT language, count(*) AS files, count(DISTINCT extension) AS extensions, coalesce(language = 'python', false) AS parsed FROM p LEFT JOIN v USING (extension) GROUP BY language")
 def supported_languages(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.supported(spark).groupBy("language").agg(F.count("*").alias("extensions"), F.bool_or("parsed").alias("parsed"))
+    """Pages as files of every known ending and one that is none: files and endings by language, and whether it is parsed."""
+    files = table(spark, d, "pages").select(_pick(F.col("page_id"), *_ENDINGS, ".none").alias("extension"))
+    known = files.join(F.broadcast(parsing.supported(spark)), "extension", "left")
+    return known.groupBy("language").agg(F.count("*").alias("files"), F.countDistinct("extension").alias("extensions"), F.coalesce(F.bool_or("parsed"), F.lit(False)).alias("parsed"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'unknown' ELSE 'csharp' END AS language FROM pages")

@@ -113,9 +113,9 @@ def sources(spark: SparkSession, root: str) -> DataFrame:
     return contents(kept, root).select("path", read_text(F.col("raw")).alias("content"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """(path, content_hash) of rows (path, content)."""
-    return files.select("path", F.sha2(F.col("content"), 256).alias("content_hash"))
+def manifest(files: DataFrame, **more: Column) -> DataFrame:
+    """(path, content_hash) of rows (path, content), and further columns of the same pass by name; null contents have null hashes."""
+    return files.select("path", F.sha2(F.col("content"), 256).alias("content_hash"), *[c.alias(name) for name, c in more.items()])
 
 
 def save(table: DataFrame, folder: str, name: str, mode: str = "append") -> None:
