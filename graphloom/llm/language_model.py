@@ -161,6 +161,8 @@ def _words(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, endings, n = _unpack(raw)
+                if len(h) > 1 << POSITIONS:  # positions would run into the next block's
+                    raise ValueError(f"a block of {len(h):,} different words; at most {1 << POSITIONS:,} fit")
                 for k in range(0, len(h), 100_000):
                     s = slice(k, k + 100_000)
                     at = (block << POSITIONS) + np.arange(len(h))[s]
