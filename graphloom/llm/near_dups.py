@@ -160,11 +160,16 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _attached(rows: DataFrame, pairs: DataFrame, classes: DataFrame, side: str, other: str, columns: dict[str, str]) -> DataFrame:
-    """rows of pairs (a, b) with columns of one side's class. A pivot may be in very many pairs: they are dealt by salts."""
+    """rows of pairs (a, b) with columns of one side's class. A pivot may be in very many pairs: they are dealt by salts.
+
+    Only pivots with more than one salt, at most one per SPLIT pairs, are looked up for the pairs, whose rows don't meet for it.
+    """
     salts = pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
     held = classes.select(F.col("cid").alias(side), *[F.col(c).alias(name) for c, name in columns.items()])
     held = held.join(salts, side).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    return rows.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts"))).drop("salts").join(held, [side, "salt"]).drop("salt")
+    large = written(salts.where("salts > 1"), "pivots")
+    dealt = join_hot(rows, large, side, "salts", other).withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1)))).drop("salts")
+    return dealt.join(held, [side, "salt"]).drop("salt")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
