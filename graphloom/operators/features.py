@@ -101,25 +101,38 @@ def shared_words(sets: Column) -> Column:
     return F.array_except(F.aggregate(sets, sets[0], lambda a, s: F.array_intersect(a, s)), F.array(*map(F.lit, VERBS)))
 
 
+def _cluster_words(flat: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(idx_, shared, common): words that all functions of a cluster hold, without verbs, and the most frequent longer word, first of several.
+
+    flat: cluster_idx, ep_seq, short; sizes: cluster_idx, points_, named_. A cluster with a function without a name has neither.
+    """
+    words = flat.select("cluster_idx", "ep_seq", "short", F.posexplode(F.split("short", "_")).alias("at", "word"))
+    first = F.struct("ep_seq", "short", "at")
+    counted = words.groupBy("cluster_idx", "word").agg(F.count("*").alias("n_"), F.sum(F.when(F.col("at") + 1 == F.array_position(F.split("short", "_"), F.col("word")), 1)).alias("points"), F.min(first).alias("first_"))
+    whole = sizes.where("points_ = named_").select(F.col("cluster_idx").alias("idx_"), "points_")
+    counted = counted.join(whole, F.col("cluster_idx").eqNullSafe(F.col("idx_")))
+    told = ~F.lower("word").isin(*MORE_VERBS) & (F.length("word") > 2)
+    shared = F.collect_list(F.when((F.col("points") == F.col("points_")) & ~F.col("word").isin(*VERBS), F.col("word")))
+    return counted.groupBy("idx_").agg(shared.alias("shared"), F.min_by("word", F.when(told, F.struct((-F.col("n_")).alias("n_"), "first_"))).alias("common"))
+
+
 def name_clusters(entry_points: DataFrame) -> DataFrame:
     """(cluster_idx, name, description): from what the cluster's URLs share, else its functions' words, command or type.
 
-    Reads cluster_idx, node_name, entry_type, route_info and ep_seq; a cluster's functions make one array.
+    Reads cluster_idx, node_name, entry_type, route_info and ep_seq. Words are counted as rows; a cluster's functions
+    make one array, for its description lists them.
     """
     short = fn.short_name(F.col("node_name"))
     url = F.nullif(fn.strip_params(F.coalesce(F.col("route_info")["url"], F.lit(""))), F.lit(""))
     flat = entry_points.select("cluster_idx", "ep_seq", "entry_type", short.alias("short"), url.alias("url"), F.nullif(F.col("route_info")["command"], F.lit("")).alias("command"), F.nullif(F.upper(F.col("route_info")["method"]), F.lit("")).alias("method"))
     row = flat.groupBy("cluster_idx").agg(
-        F.min("url").alias("low"), F.max("url").alias("high"), F.array_sort(F.collect_list(F.struct("ep_seq", "short"))).alias("list"),
+        F.min("url").alias("low"), F.max("url").alias("high"), F.sort_array(F.collect_list(F.struct("ep_seq", "short"))).alias("list"),
         F.min_by("command", F.when(F.col("command").isNotNull(), F.col("ep_seq"))).alias("command"), F.min("entry_type").alias("low_type"), F.max("entry_type").alias("high_type"),
         F.min_by("url", F.when(F.col("entry_type") == "websocket", F.col("ep_seq"))).alias("socket"), F.array_sort(F.collect_set("method")).alias("methods"),
+        F.count("*").alias("points_"), F.count("short").alias("named_"),
     )
-    names = F.transform("list", lambda x: x["short"])
-    sets = F.transform(names, lambda s: F.split(s, "_"))
-    shared = shared_words(sets)
-    words = F.filter(F.flatten(sets), lambda w: ~F.lower(w).isin(*MORE_VERBS) & (F.length(w) > 2))
-    # most frequent word, first of several: count, then earlier place
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(F.size(F.filter(words, lambda x: x == w)).alias("n"), (-F.array_position(words, w)).alias("p"), w.alias("w")))
+    row = row.join(_cluster_words(flat, row.select("cluster_idx", "points_", "named_")), F.col("cluster_idx").eqNullSafe(F.col("idx_")), "left").drop("idx_")
+    names, shared = F.transform("list", lambda x: x["short"]), F.col("shared")
     common = F.regexp_replace(fn.common_prefix(F.col("low"), F.col("high")), "^/+|/+$", "")
     alone = F.col("low_type") == F.col("high_type")
     name = F.coalesce(
@@ -129,7 +142,7 @@ def name_clusters(entry_points: DataFrame) -> DataFrame:
         F.nullif(fn.snake(F.col("command")), F.lit("")),
         F.when(alone & (F.col("low_type") == "websocket"), F.concat(F.coalesce(F.nullif(fn.title(F.col("socket")), F.lit("")), F.lit("WebSocket")), F.lit(" (WS)"))),
         F.when(alone & (F.col("low_type") == "cli"), F.concat(F.lit("CLI "), F.col("cluster_idx").cast("string"))),
-        F.when(F.size(words) > 0, fn.title(F.array_max(counted)["w"])),
+        fn.title(F.col("common")),
         F.nullif(F.array_join(F.transform(F.slice(names, 1, 2), fn.title), " & "), F.lit("")),
         F.concat(F.lit("feature_"), F.col("cluster_idx").cast("string")),
     )

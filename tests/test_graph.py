@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -166,3 +167,14 @@ def test_maintained_reach_equals_a_new_search(spark, rows):
         frame = lambda s: spark.createDataFrame(s, "cluster string, node string")
         found = graph.maintained(frame(_search(starts, pairs)), _edges(spark, pairs), _edges(spark, after), frame(starts), frame(begins))
         assert sorted(rows(found), key=repr) == _search(begins, after)
+
+
+def test_cluster_names_of_large_clusters(spark, rows):
+    """The work grows with the words, not with their pairs: compared pairwise, this cluster took minutes."""
+    kinds = "cluster_idx int, node_name string, entry_type string, route_info map<string,string>, ep_seq int"
+    points = spark.range(6000).selectExpr("0 cluster_idx", "concat('m:get_word', id) node_name", "'http_route' entry_type", "map('url', '/') route_info", "cast(id as int) ep_seq")
+    few = [(1, "m:get_item_x", "a", {}, 1), (1, "m:item_tail_tail", "a", {}, 2), (2, "m:abc_tail", "a", {}, 1), (2, "m:tail_abc", "a", {}, 2), (2, "m:q", "a", {}, 3), (3, "m:do_it", "a", {}, 1), (3, None, "a", {}, 2), (None, "m:one_two", "a", {}, 1), (None, "m:one_six", "b", {}, 2)]
+    began = time.time()
+    found = rows(features.name_clusters(points.unionByName(spark.createDataFrame(few, kinds))).select("cluster_idx", "name"))
+    assert found == [(0, "Word0"), (1, "Item"), (2, "Abc"), (3, "Do It"), (None, "One")]
+    assert time.time() - began < 60
