@@ -198,29 +198,49 @@ def budget_fold(files: DataFrame, budget: int, by: str = "repo") -> DataFrame:
     return rows.drop("seq").mapInArrow(run, kinds)
 
 
+#: Names of a file that one list holds on average, and parts in which a file's functions are dealt.
+NAMES, DEALS = 1_000, 16
+
+
 def match_signatures(steps: DataFrame, signatures: DataFrame, cutoff: float = 0.6) -> DataFrame:
     """Steps (step_id, file, function) with the signature of that name in that file, else the most similar from the cutoff on.
 
-    Only steps without an exact match meet their own file's names; similarity is difflib's ratio.
+    Only steps without an exact match meet their own file's names; similarity is difflib's ratio. Steps of one file and
+    function are compared once. A file's names go in lists of about NAMES, its functions in DEALS parts, so neither the
+    names nor the functions of one file meet in one row or task; of the best of all lists the greatest name counts.
     """
-    exact = signatures.groupBy("file", F.col("name").alias("function")).agg(F.min(F.struct("line_start", "line_end")).alias("at"))
+    exact = signatures.where("name is not null").groupBy("file", F.col("name").alias("function")).agg(F.min(F.struct("line_start", "line_end")).alias("at"))
     rows = steps.join(exact, ["file", "function"], "left")
     found = rows.where("at is not null").select("step_id", "file", "function", F.col("function").alias("matched"), "at.line_start", "at.line_end")
-    rest = rows.where("at is null").select("step_id", "file", "function")
-    names = signatures.groupBy("file").agg(F.array_sort(F.collect_set(F.struct("name", "line_start", "line_end"))).alias("names"))
+    rest = rows.where("at is null").select("step_id", "file", "function", F.coalesce("function", F.lit("")).alias("key_"))
+    sizes = exact.groupBy("file").agg(F.ceil(F.count("*") / NAMES).alias("lists_"))
+    part, task = ("file", "list_", "deal_"), int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = exact.join(sizes, "file").groupBy("file", F.expr("pmod(xxhash64(function), lists_)").alias("list_")).agg(F.collect_list(F.struct(F.col("function").alias("name"), "at.line_start", "at.line_end")).alias("names"))
+    names = names.withColumn("deal_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    asked = rest.select("file", "key_").distinct().join(sizes, "file")
+    asked = asked.select("file", "key_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists_") - 1)).alias("list_"), F.expr(f"pmod(xxhash64(key_), {DEALS}L)").alias("deal_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = difflib.SequenceMatcher()
         for batch in batches:
-            best: list[dict] = []
-            for function, names_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                by_name = {x["name"]: x for x in reversed(names_ or [])}
-                near = difflib.get_close_matches(function or "", by_name, n=1, cutoff=cutoff)
-                best.append(by_name[near[0]] if near else {"name": None, "line_start": None, "line_end": None})
-            out = [pa.array([x["name"] for x in best], pa.string()), pa.array([x["line_start"] for x in best], pa.int32()), pa.array([x["line_end"] for x in best], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], names=["step_id", "file", "function", "matched", "line_start", "line_end"])
-
-    kind = steps.schema["step_id"].dataType.simpleString()
-    near = rest.join(names, "file", "left").select("step_id", "file", "function", "names").mapInArrow(run, f"step_id {kind}, file string, function string, matched string, line_start int, line_end int")
+            out: list[list] = [[], [], [], [], [], []]
+            for file, function, names_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                match.set_seq2(function)
+                best, at = (cutoff, ""), None
+                for x in names_:
+                    match.set_seq1(x["name"])
+                    # each is at most as small as the next one
+                    if match.real_quick_ratio() >= best[0] and match.quick_ratio() >= best[0] and (match.ratio(), x["name"]) >= best:
+                        best, at = (match.ratio(), x["name"]), x
+                if at is not None:
+                    for column, value in zip(out, (file, function, best[0], at["name"], at["line_start"], at["line_end"]), strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["file", "key_", "ratio", "matched", "line_start", "line_end"])
+
+    near = asked.repartition(task, *part).join(names, list(part)).select("file", "key_", "names").mapInArrow(run, "file string, key_ string, ratio double, matched string, line_start int, line_end int")
+    near = near.groupBy("file", "key_").agg(F.max(F.struct("ratio", "matched", "line_start", "line_end")).alias("best"))
+    near = rest.join(near, ["file", "key_"], "left").select("step_id", "file", "function", "best.matched", "best.line_start", "best.line_end")
     return found.select("step_id", "file", "function", "matched", F.col("line_start").cast("int"), F.col("line_end").cast("int")).unionByName(near)
 
 

@@ -1,3 +1,5 @@
+import difflib
+
 from graphloom.operators import diff, enrich, resolve, serve
 from graphloom.plans import analysis
 from graphloom.sources import files, parse
@@ -172,6 +174,19 @@ def test_fuzzy_match(spark):
     assert {r["step_id"]: r["matched"] for r in enrich.match_signatures(steps, names).collect()} == {1: "load", 2: "load_all", 3: None, 4: None}
 
 
+def test_fuzzy_match_in_lists(spark, monkeypatch):
+    """Names in short lists, functions in parts, copies of steps and names that are null: the result is difflib's over all names."""
+    monkeypatch.setattr(enrich, "NAMES", 2)
+    monkeypatch.setattr(enrich, "DEALS", 3)
+    known = ["load", "load_all", "laod", "save", "save_all", "savings", ""]
+    asked = ["lod", "loda_all", "sav", "aves", "zzz", "", None, "load_al"] * 3
+    steps = spark.createDataFrame([(i, "f", x) for i, x in enumerate(asked)], "step_id int, file string, function string")
+    names = spark.createDataFrame([("f", x, 10 * i + k, 9) for i, x in enumerate(known) for k in (2, 1)] + [("f", None, 1, 1)], "file string, name string, line_start int, line_end int")
+    near = {i: (difflib.get_close_matches(x or "", known, 1, 0.6) or [None])[0] for i, x in enumerate(asked)}
+    expected = {i: (m, None if m is None else 10 * known.index(m) + 1) for i, m in near.items()}
+    assert {r["step_id"]: (r["matched"], r["line_start"]) for r in enrich.match_signatures(steps, names).collect()} == expected
+
+
 def test_class_members_and_entry_points(spark, rows):
     nodes = spark.createDataFrame([("m:A.f", "f", "m.py", "m.py::f", 1), ("m:g", "g", "m.py", "m.py::g", 2)], "qualified_name string, name string, file_path string, fqn string, seq int")
     points = spark.createDataFrame([("m:A.f",), ("x:g",), ("no",)], "node_name string")
