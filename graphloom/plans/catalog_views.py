@@ -372,9 +372,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 def parse_lateral(spark: SparkSession, d: str) -> DataFrame:
     """The parser as a table function of SQL, joined laterally to the files and to its own nodes."""
     parsing.register_sql(spark)
+    files = _files(spark, d)
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")  # as parse does
     sql = """SELECT f.path, n.name, n.node_type, n.line_start FROM {files} f, LATERAL parse_source(f.path, 'python', f.content) p
     LATERAL VIEW explode(p.nodes) AS n"""
-    return spark.sql(sql, files=_files(spark, d))
+    return spark.sql(sql, files=files)
 
 
 # ---- components, layers and layout ----

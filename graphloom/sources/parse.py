@@ -190,10 +190,16 @@ def _parts(path: str, language: str, content: str, analyzers: dict) -> dict:
     return analyzer(path, module_of(path), content) if analyzer else {"nodes": [], "edges": [], "imports": [], "entry_points": [], "errors": []}
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """files (path, ...) in as many parts as shuffles have: a few MB of paths, one task to read, can take hours to parse."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """SCHEMA rows for files (path, content); languages without an analyzer give empty lists."""
+    """SCHEMA rows for files (path, content); languages without an analyzer give empty lists. Files are dealt by path first."""
     analyzers = dict(ANALYZERS)
     rows = files.select("path", fn.language(F.col("path"), "unknown").alias("language"), F.coalesce("content", F.lit("")).alias("content"))
+    rows = _dealt(rows)
     schema = rows.sparkSession.createDataFrame([], SCHEMA).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

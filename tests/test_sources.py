@@ -174,6 +174,14 @@ def test_fuzzy_match(spark):
     assert {r["step_id"]: r["matched"] for r in enrich.match_signatures(steps, names).collect()} == {1: "load", 2: "load_all", 3: None, 4: None}
 
 
+def test_parsing_is_dealt(spark):
+    """Files that one task reads are parsed by several."""
+    made = spark.range(40).selectExpr("concat('pkg/m', id, '.py') path", "concat('def f', id, '(): pass') content").coalesce(1)
+    found = parse.nodes(parse.parse(made)).selectExpr("name", "spark_partition_id() task").collect()
+    assert {r["name"] for r in found} == {f"f{i}" for i in range(40)}
+    assert len({r["task"] for r in found}) == 4
+
+
 def test_fuzzy_match_in_lists(spark, monkeypatch):
     """Names in short lists, functions in parts, copies of steps and names that are null: the result is difflib's over all names."""
     monkeypatch.setattr(enrich, "NAMES", 2)
