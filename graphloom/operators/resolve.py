@@ -69,7 +69,8 @@ def resolve_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         way(6, 4, F.coalesce("home", empty), F.coalesce(own, short)), way(7, 5, empty, F.coalesce(own, short)),
     )
     tried = rows.select("edge_id", F.explode(ways).alias("w")).select("edge_id", "w.*").where("key is not null")
-    hits = tried.join(lookup_table(nodes), ["strategy", "scope", "key"]).groupBy("edge_id").agg(F.min_by("fqn", "priority").alias("resolved"))
+    # merged, whatever the nodes' files say of their size: the table holds each node six times
+    hits = tried.join(lookup_table(nodes).hint("merge"), ["strategy", "scope", "key"]).groupBy("edge_id").agg(F.min_by("fqn", "priority").alias("resolved"))
     return edges.join(hits, "edge_id", "left")
 
 

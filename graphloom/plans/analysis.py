@@ -78,10 +78,13 @@ def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     its first one; `source` keeps what the file says. contained leads from modules to the nodes of their file and
     from classes to their methods. Nodes and entry points of one name: the first one counts.
     """
+    # sizes of written files, compressed and columnar, say little of the rows: such tables are merged, never broadcast
+    parsed = parsed.hint("merge")
     nodes = parsing.nodes(parsed).withColumn("seq", F.struct("file_path", "node_seq"))
     # a method's key is its qualified name; fqn stays a lookup column
     nodes = nodes.withColumn("node", F.col("qualified_name"))
-    keyed = resolve.first_wins(nodes, ["node"], ["seq"])
+    nodes = cut_lineage(resolve.first_wins(nodes, ["node"], ["seq"]))
+    keyed = nodes.hint("merge")
     lookup = keyed.select(F.col("node").alias("fqn"), "qualified_name", "name", "file_path", "seq")
     raw = parsing.edges(parsed).withColumn("edge_id", F.concat_ws("#", "file_path", F.col("edge_seq").cast("string")))
     found = resolve.resolve_targets(raw.select("edge_id", "source", "target", "edge_type", "line_number"), lookup)
@@ -91,22 +94,23 @@ def call_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     inside = parsing.import_files(imported, parsed.select("path")).select("file_path", "import_seq", fn.module_name(F.col("target")).alias("module"), "names")
     one = F.concat_ws("#", "import_id", "module").alias("import_id")  # an import may name several modules
     inside = imported.join(inside, ["file_path", "import_seq"]).select(one, fn.module_name(F.col("file_path")).alias("source"), "module", F.col("names").alias("imported_names"), "line_number")
+    inside = cut_lineage(inside).hint("merge")
     symbols = resolve.resolve_imports(inside.where(F.size("imported_names") > 0).select("import_id", F.col("module").alias("module_path"), "imported_names"), lookup)
     kind = F.lit("imports").alias("edge_type")
     to_symbols = inside.join(symbols, "import_id").select("source", F.col("fqn").alias("dst"), F.col("symbol").alias("target"), kind, "line_number")
     hit = symbols.select("import_id", F.lit(True).alias("hit")).distinct()
     module = F.when((F.size("imported_names") == 0) | F.col("hit"), F.col("module"))
     to_modules = inside.join(hit, "import_id", "left").select("source", module.alias("dst"), F.col("module").alias("target"), kind, "line_number")
-    edges = resolve.resolve_sources(calls.unionByName(to_symbols).unionByName(to_modules), lookup).withColumnRenamed("source_fqn", "src")
+    edges = cut_lineage(resolve.resolve_sources(calls.unionByName(to_symbols).unionByName(to_modules), lookup).withColumnRenamed("source_fqn", "src"))
 
-    modules = resolve.expand_modules(edges.where("dst is not null"), lookup).select(F.col("module").alias("src"), F.col("fqn").alias("dst"))
+    modules = resolve.expand_modules(edges.hint("merge").where("dst is not null"), lookup).select(F.col("module").alias("src"), F.col("fqn").alias("dst"))
     classes = keyed.where("node_type = 'class'").select("file_path", F.col("name").alias("class"), F.col("node").alias("src"))
     methods = keyed.where("node_type = 'method'").select("file_path", F.col("node").alias("method"), "qualified_name")
     owned = resolve.class_members(classes.select("file_path", "class").distinct(), methods)
     contained = modules.union(classes.join(owned, ["file_path", "class"]).select("src", F.col("method").alias("dst"))).withColumn("edge_type", F.lit("contains"))
     entries = resolve.first_wins(parsing.entry_points(parsed), ["node_name"], ["file_path", "ep_seq"])
     entries = resolve.resolve_entry_points(entries, lookup).withColumn("ep_seq", F.struct("file_path", "ep_seq"))
-    return keyed, edges, contained, entries
+    return nodes, edges, contained, entries
 
 
 def analyze_sources(sources: DataFrame, progress: Callable[[str, float], None] | None = None, partial: Callable[[Analysis], None] | None = None, before: Previous | None = None, client: enrich.Client | None = None) -> Analysis:

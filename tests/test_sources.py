@@ -270,3 +270,20 @@ def test_clients_are_asked_in_threads(spark):
     began = time.time()
     assert enrich.ask(items, slow).where("answer = 'x'").count() == 20
     assert time.time() - began < 3.5  # one by one it would be four seconds
+
+
+def test_call_graph_broadcasts_no_rows(spark):
+    """Sizes of files, which underrate rows, must not make the call graph's joins broadcasts, and its parts are built once."""
+    made = spark.range(8).selectExpr("concat('pkg/m', id, '.py') path", "concat('from .m', id + 1, ' import f', id + 1, '\\ndef f', id, '():\\n    f', id + 1, '()\\n') content")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set(keys[0], "1g")
+    spark.conf.set(keys[1], "-1")
+    try:
+        _, edges, contained, _ = analysis.call_graph(parse.parse(made))
+        plan = edges.select("src", "dst").union(contained.select("src", "dst"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") < 20
+    assert edges.where("dst is not null").count() == 7 * 3
