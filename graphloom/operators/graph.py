@@ -138,13 +138,14 @@ def maintained(reached: DataFrame, old_edges: DataFrame, new_edges: DataFrame, o
     return reachable(seeds, now, by=(by,), known=stands)
 
 
-def spread(values: DataFrame, edges: DataFrame, along: Callable[[Column, int], Column] = lambda value, length: value) -> DataFrame:
+def spread(values: DataFrame, edges: DataFrame, along: Callable[[Column, int], Column] = lambda value, length: value, ready: bool = False) -> DataFrame:
     """(node, value): the least value that any walk brings to a node, its own included; along(value, length) is what a walk makes of it.
 
     values: one row per node, without nulls; edges: src, dst. Values that walks lower (layers, say) need a graph without
     cycles. Rounds go as in reach_words: a few of one edge each, then by walks of doubling length, as long as they are few.
+    ready: edges are a table of `bucketed`, by src, and aren't written again.
     """
-    near = bucketed(edges.select("src", "dst"), "edges", "src")
+    near = edges if ready else bucketed(edges.select("src", "dst"), "edges", "src")
     state = ahead = cut_lineage(values.select("node", "value"))
     links, length, covered, many = near, 1, 0, 0
     while True:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
-from graphloom.session import cut_lineage
+from graphloom.session import bucketed, cut_lineage
 
-#: Trimming goes on as long as it leaves at most this share of the nodes.
+#: Trimming goes on as long as it leaves at most this share of the edges.
 TRIMMED = 0.9
 
 
@@ -33,42 +33,59 @@ GRAPH, FLOW, FEATURE = Sizes(200, 60), Sizes(300, 120), Sizes(380, 150)
 
 
 def _parts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
-    return cut_lineage(nodes.select("node").where("node is not null").unionByName(ends).distinct()), cut_lineage(pairs)
+    """Distinct nodes, ends included, and distinct edges; the latter once, in buckets by src, for all that reads them."""
+    pairs = bucketed(edges.select("src", "dst").where("src <> dst"), "pairs", "src")
+    return cut_lineage(nodes.select("node").where("node is not null").unionByName(_ends(pairs)).distinct()), pairs
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node) of both ends; sources are told apart in their bucket, targets are not."""
+    return pairs.select(F.col("src").alias("node")).distinct().unionByName(pairs.select(F.col("dst").alias("node")))
+
+
+def _trimmed(inner: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that begin where one ends and end where one begins, again and again while that drops many, and their number."""
+    size, before = inner.count(), 0
+    while size and (not before or size <= TRIMMED * before):
+        ahead, behind = inner.select(F.col("dst").alias("src")).distinct(), inner.select(F.col("src").alias("dst")).distinct()
+        inner = cut_lineage(inner.join(ahead, "src", "left_semi").join(behind, "dst", "left_semi").select("src", "dst"))
+        before, size = size, inner.count()
+    return inner, size
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach each other share a component, named by its smallest node.
 
-    Nodes that nothing leads to or from are components of their own and are trimmed off. Each of the rest takes the
+    Edges that nothing leads to or from are trimmed off; nodes without an edge then are components of their own. Each of the rest takes the
     least random number of all nodes that reach it; those of one number that reach its owner backwards are the owner's
     component. What is left goes on by itself, along edges between equal numbers: the largest part halves or so every
     time, so the rounds grow with the logarithm of the nodes, chains included. All state is written tables.
     """
-    left, inner = _parts(nodes, edges)
-    found, size, turn = [], left.count(), 0
-    while size:
-        ahead = inner.select(F.col("dst").alias("node")).distinct()
-        kept = left.join(ahead, "node", "left_semi").join(inner.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-        kept = cut_lineage(kept)
+    return _components(*_parts(nodes, edges))
+
+
+def _components(left: DataFrame, inner: DataFrame) -> DataFrame:
+    """strong_components of what _parts gives."""
+    found, turn = [], 0
+    while True:
+        inner, size = _trimmed(inner)
+        if not size:
+            found.append(left.select("node", F.col("node").alias("root")))
+            break
+        kept = cut_lineage(_ends(inner).distinct())
         found.append(cut_lineage(left.join(kept, "node", "left_anti").select("node", F.col("node").alias("root"))))
-        before, size, left = size, kept.count(), kept
-        inner = cut_lineage(graph.induced(inner, left)) if size < before else inner
-        if size <= TRIMMED * before:
-            continue
-        values = left.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node").alias("value"))
+        values = kept.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node").alias("value"))
         colours = cut_lineage(graph.spread(values, inner).select("node", F.col("value.node").alias("root")))
         same = inner.join(colours.select(F.col("node").alias("src"), "root"), "src").join(colours.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst")
         same = cut_lineage(same.where("root = other").select("src", "dst"))
         owners = colours.where("node = root").select("node")
         inside = cut_lineage(graph.reachable(owners, same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
         found.append(cut_lineage(colours.join(inside, "node", "left_semi")))
-        left = cut_lineage(left.join(inside, "node", "left_anti"))
-        inner, size, turn = cut_lineage(graph.induced(same, left)), left.count(), turn + 1
-    if not found:
-        return left.select("node", F.col("node").alias("component"))
+        left = cut_lineage(kept.join(inside, "node", "left_anti"))
+        inner, turn = cut_lineage(graph.induced(same, left)), turn + 1
     every = reduce(DataFrame.unionByName, found)
+    if len(found) == 1:  # nothing but nodes by themselves
+        return every.select("node", F.col("root").alias("component"))
     # components of one node are named already, only others are looked up
     names = cut_lineage(every.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n_")).where("n_ > 1").drop("n_"))
     names = F.broadcast(names) if names.count() <= graph.BROADCAST_ROWS else names
@@ -77,19 +94,37 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, layer): the longest path over components that leads to the node's, 0 if none does."""
-    member = cut_lineage(strong_components(nodes, edges))
-    ends = [member.select(F.col("node").alias(end), F.col("component").alias(f"{end}_")) for end in ("src", "dst")]
-    between = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").where("src_ <> dst_")
-    between = between.select(F.col("src_").alias("src"), F.col("dst_").alias("dst")).distinct()
+    return _layers(*_parts(nodes, edges))[0]
+
+
+def _layers(left: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """layers of what _parts gives, and the edges between nodes of different layers.
+
+    An edge that leaves a component leads to a greater layer, one inside it stays. Where every node is a component of
+    its own, edges are taken as they are.
+    """
+    member = cut_lineage(_components(left, pairs))
+    moved = member.where("node <> component")
+    many = moved.count()
+    if not many:
+        depth = graph.spread(member.select("node", F.lit(0).cast("long").alias("value")), pairs, lambda value, length: value - length, True)
+        return depth.select("node", F.col("node").alias("component"), (-F.col("value")).alias("layer")), pairs
+    moved = F.broadcast(moved) if many <= graph.BROADCAST_ROWS else moved
+    across = pairs
+    for end in ("src", "dst"):
+        across = across.join(moved.select(F.col("node").alias(end), F.col("component").alias(f"{end}_")), end, "left")
+    across = cut_lineage(across.select("src", "dst", F.coalesce("src_", "src").alias("src_"), F.coalesce("dst_", "dst").alias("dst_")).where("src_ <> dst_"))
     start = member.select(F.col("component").alias("node"), F.lit(0).cast("long").alias("value")).distinct()
-    depth = graph.spread(start, between, lambda value, length: value - length)
-    return member.join(depth.withColumnRenamed("node", "component"), "component").select("node", "component", (-F.col("value")).alias("layer"))
+    depth = graph.spread(start, across.select(F.col("src_").alias("src"), F.col("dst_").alias("dst")), lambda value, length: value - length)
+    found = member.join(depth.withColumnRenamed("node", "component"), "component").select("node", "component", (-F.col("value")).alias("layer"))
+    return found, across.select("src", "dst")
 
 
 def placed(rows: DataFrame, order: str) -> DataFrame:
     """(node, component, layer, place): places of each layer from 0, by `order`, then node; a layer may be of any size.
 
     Rows are sorted by range over all tasks and counted per task; only those counts, one a task, meet in one place.
+    Ranges are sampled in a pass of its own, so rows should be a written table.
     """
     keys = ["layer", order, "node"]
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -107,14 +142,13 @@ def layout(nodes: DataFrame, edges: DataFrame, sizes: Sizes = GRAPH, sweeps: int
     Places start in order of names; each sweep orders all layers at once by the mean place of predecessors from
     other layers, where a node without one keeps its place. Nodes of one component share a layer.
     """
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    found = cut_lineage(placed(layers(nodes, edges), "node"))
+    rows, pairs = _layers(*_parts(nodes, edges))
+    found = cut_lineage(placed(cut_lineage(rows), "node"))
     for _ in range(sweeps):
-        source = found.select(F.col("node").alias("src"), F.col("layer").alias("above"), F.col("place").alias("from"))
-        mean = pairs.join(source, "src").join(found.select(F.col("node").alias("dst"), F.col("layer").alias("own")), "dst").where("above <> own")
+        mean = pairs.join(found.select(F.col("node").alias("src"), F.col("place").alias("from")), "src")
         mean = mean.groupBy(F.col("dst").alias("node")).agg((F.sum("from").cast("double") / F.count("*")).alias("mean"))
         rows = found.join(mean, "node", "left").select("node", "component", "layer", F.coalesce("mean", F.col("place").cast("double")).alias("mean"))
-        found = cut_lineage(placed(rows, "mean"))
+        found = cut_lineage(placed(cut_lineage(rows), "mean"))
     step, rank = (sizes.width, sizes.height) if down else (sizes.height, sizes.width)
     across, along = F.col("place") * (step + sizes.node_gap), F.col("layer") * (rank + sizes.layer_gap)
     return found.select("*", (across if down else along).alias("x"), (along if down else across).alias("y"))

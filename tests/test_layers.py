@@ -2,6 +2,7 @@ import itertools
 import random
 
 from graphloom.operators import graph, layers
+from graphloom.session import bucketed
 
 
 def _frames(spark, names, pairs):
@@ -69,3 +70,30 @@ def test_layout_gives_top_left_corners(spark, rows):
     assert rows(found) == [("a", 0, 0), ("b", 12, 0), ("c", 12, 7), ("d", 0, 7)]
     found = layers.layout(nodes, edges, layers.Sizes(10, 4, 2, 3), sweeps=0, down=False).select("node", "x", "y")
     assert rows(found) == [("a", 0, 0), ("b", 0, 6), ("c", 13, 0), ("d", 13, 6)]
+
+
+def test_edges_are_written_once_for_all_steps_of_a_layout(spark, rows, monkeypatch):
+    written = []
+    for module in (graph, layers):
+        monkeypatch.setattr(module, "bucketed", lambda df, label, *a: written.append(label) or bucketed(df, label, *a), raising=False)
+    nodes, edges = _frames(spark, ["a", "b", "c"], [("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", "c")])
+    assert rows(layers.layout(nodes, edges, layers.Sizes(10, 4, 2, 3)).select("node", "layer", "x")) == [("a", 0, 0), ("b", 1, 0), ("c", 2, 0)]
+    assert written == ["pairs"]
+
+
+def test_layers_of_dense_random_graphs(spark):
+    for seed, (many, count) in enumerate([(12, 10), (12, 16), (15, 40)]):
+        draw = random.Random(seed)
+        names = [f"n{i}" for i in range(many)]
+        pairs = [(draw.choice(names), draw.choice(names)) for _ in range(count)]
+        found = layers.layers(*_frames(spark, names, pairs))
+        assert {r["node"]: (r["component"], r["layer"]) for r in found.collect()} == _brute(names, pairs)
+
+
+def test_buckets_are_told_apart_and_merged_without_a_sort(spark, rows):
+    edges = spark.createDataFrame([("a", "b"), ("a", None), ("a", "b"), (None, "c"), (None, "c"), ("a", None), ("b", "b")], "src string, dst string")
+    near = bucketed(edges, "edges", "src")
+    assert rows(near) == rows(edges.distinct())
+    assert near.count() == 5 - 1 and bucketed(edges, "edges", "src", False).count() == 7
+    plan = spark.createDataFrame([("a",)], "src string").hint("merge").join(near, "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1  # that of the other side
