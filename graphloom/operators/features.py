@@ -39,9 +39,9 @@ def tag_nodes(clusters: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFr
 
 def buckets(nodes: DataFrame, tagged: DataFrame) -> DataFrame:
     """(node, bucket): exclusive to one cluster, shared by several, or unmatched."""
-    count = tagged.groupBy("node").agg(F.countDistinct("cluster").alias("n_"))
-    kind = F.when(F.col("n_").isNull(), "unmatched").when(F.col("n_") > 1, "shared").otherwise("exclusive")
-    return nodes.select("node").distinct().join(count, "node", "left").select("node", kind.alias("bucket"))
+    ends = tagged.groupBy("node").agg(F.coalesce(F.min("cluster") < F.max("cluster"), F.lit(False)).alias("several"))
+    kind = F.when(F.col("several").isNull(), "unmatched").when(F.col("several"), "shared").otherwise("exclusive")
+    return nodes.select("node").distinct().join(ends, "node", "left").select("node", kind.alias("bucket"))
 
 
 def assign_exclusive(membership: DataFrame, entry_counts: DataFrame, listed: DataFrame | None = None) -> DataFrame:
