@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import incoming, targets_by_type
+from graphloom.operators.graph import references
 
 #: Confidence of each reason, in the order in which the rules are tried.
 REASONS = {"no_references": 0.95, "self_referential": 0.9, "unreachable": 0.8, "imported_not_called": 0.7}
@@ -24,15 +24,15 @@ def candidates(nodes: DataFrame, edges: DataFrame, reached: DataFrame, owned: Da
     """
     rows = nodes.where(F.coalesce(F.col("node_type"), F.lit("")) != "module").drop("node_type") if "node_type" in nodes.columns else nodes
     rows = rows.join(owned.select("node").distinct(), "node", "left_anti")
-    facts = rows.join(incoming(edges), "node", "left").join(targets_by_type(edges), "node", "left").join(reached.select("node", F.lit(True).alias("alive")).distinct(), "node", "left")
+    facts = rows.join(references(edges), "node", "left").join(reached.select("node", F.lit(True).alias("alive")).distinct(), "node", "left")
     reason = (
-        F.when(F.col("callers").isNull(), "no_references")
+        F.when(F.col("referenced").isNull(), "no_references")
         .when(F.col("only_self"), "self_referential")
         .when(F.col("alive").isNull(), "unreachable")
         .when(F.col("imported") & ~F.col("called"), "imported_not_called")
     )
     sure = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    return facts.withColumn("reason", reason).where("reason is not null").withColumn("confidence", F.element_at(sure, F.col("reason"))).drop("callers", "only_self", "imported", "called", "alive")
+    return facts.withColumn("reason", reason).where("reason is not null").withColumn("confidence", F.element_at(sure, F.col("reason"))).drop("referenced", "only_self", "imported", "called", "alive")
 
 
 def agent_candidates(functions: DataFrame, steps: DataFrame) -> DataFrame:

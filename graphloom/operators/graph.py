@@ -18,7 +18,7 @@ BROADCAST_ROWS, GROUPS = 200_000, 1_000_000
 
 def adjacency(edges: DataFrame, nodes: DataFrame, source: str = "src", target: str = "dst", node: str = "node") -> tuple[DataFrame, DataFrame]:
     """Forward and reverse adjacency: an edge counts forward if its source is a node, in reverse if both ends are."""
-    names = nodes.select(F.col(node).alias("n_")).distinct()
+    names = nodes.select(F.col(node).alias("n_"))
     forward = edges.join(names, edges[source] == names["n_"], "left_semi").select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct()
     back = forward.join(names, forward["dst"] == names["n_"], "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return forward, back
@@ -61,10 +61,11 @@ def reach_words(starts: DataFrame, edges: DataFrame, known: DataFrame | None = N
     joining the walks of half the length with themselves, so the rounds grow with the logarithm of the depth. Walks
     are lengthened as long as there are few of them; beyond that the longest walks so far are repeated.
 
-    Edges and walks are written once, bucketed by source. What is known is kept in few tables: two of like size are
+    Edges and walks are written once, bucketed and sorted by source; repeated edges change nothing, so edges are told
+    apart only when walks are to be counted. What is known is kept in few tables: two of like size are
     merged. Each round cuts the lineage, so a lost executor redoes one round at most.
     """
-    near = bucketed(edges.select("src", "dst"), "edges", "src")
+    near = bucketed(edges.select("src", "dst"), "edges", "src", False)
     seen = [] if known is None else [(known.count(), known)]
     fresh = cut_lineage(_unseen(starts.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), seen))
     links, length, covered, many = near, 1, 0, 0
@@ -75,7 +76,9 @@ def reach_words(starts: DataFrame, edges: DataFrame, known: DataFrame | None = N
             seen.append((m + n, cut_lineage(_merged(early, late))))
         ahead = fresh  # what the last round found, as far away as walks are long
         while covered >= PATIENCE and 2 * length <= covered + 1 and many is not None:
-            many = many or near.count()
+            if not many:
+                links = bucketed(near, "edges", "src")
+                many = links.count()
             longer = _squared(links, many)
             if longer is None:
                 many = None  # walks stay as long as they are
@@ -95,8 +98,8 @@ def reachable(starts: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), nod
     Rows of `known` (by..., node) are returned, too, and aren't followed: their successors must be known or starts.
     """
     starts = starts.select(*by, "node").where("node is not null").distinct()
-    names = None if nodes is None else nodes.select("node").distinct()
-    starts = starts if names is None else starts.join(names, "node", "left_semi").select(*by, "node")
+    names = None if nodes is None else nodes.select("node")
+    starts = cut_lineage(starts if names is None else starts.join(names, "node", "left_semi").select(*by, "node"))
     spark, number = starts.sparkSession, F.monotonically_increasing_id()
     if by:
         groups = starts.select(*by) if known is None else starts.select(*by).union(known.select(*by))
@@ -195,9 +198,16 @@ def targets_by_type(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.max(F.col("edge_type") == "imports").alias("imported"), F.max(F.col("edge_type").isin("calls", "instantiates", "inherits")).alias("called"))
 
 
+def references(edges: DataFrame) -> DataFrame:
+    """(node, referenced, only_self, imported, called) for every target, in one grouping: true, and as in incoming and targets_by_type."""
+    kind = F.col("edge_type")
+    called = F.max(kind.isin("calls", "instantiates", "inherits")).alias("called")
+    return edges.groupBy(F.col("dst").alias("node")).agg(F.lit(True).alias("referenced"), F.bool_and(F.col("src") == F.col("dst")).alias("only_self"), F.max(kind == "imports").alias("imported"), called)
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
-    names = nodes.select(F.col("node").alias("n_")).distinct()
+    names = nodes.select(F.col("node").alias("n_"))
     kept = edges.join(names, edges["src"] == names["n_"], "left_semi")
     return kept.join(names, kept["dst"] == names["n_"], "left_semi")
 

@@ -178,3 +178,24 @@ def test_cluster_names_of_large_clusters(spark, rows):
     found = rows(features.name_clusters(points.unionByName(spark.createDataFrame(few, kinds))).select("cluster_idx", "name"))
     assert found == [(0, "Word0"), (1, "Item"), (2, "Abc"), (3, "Do It"), (None, "One")]
     assert time.time() - began < 60
+
+
+def test_repeated_edges_are_told_apart_for_walks_only(spark, rows, monkeypatch):
+    from graphloom.session import bucketed
+
+    written = []
+    monkeypatch.setattr(graph, "bucketed", lambda df, label, key, apart=True: written.append((label, apart)) or bucketed(df, label, key, apart))
+    shallow = [("a", "b"), ("a", "b"), ("b", "c")]
+    assert rows(graph.reachable(_nodes(spark, ["a"]), _edges(spark, shallow))) == [("a",), ("b",), ("c",)]
+    assert written == [("edges", False)]
+    deep = [(f"n{i}", f"n{i + 1}") for i in range(9)] * 2
+    assert len(rows(graph.reachable(_nodes(spark, ["n0"]), _edges(spark, deep)))) == 10
+    assert written[1:3] == [("edges", False), ("edges", True)] and len(written) > 3
+
+
+def test_references_equal_those_of_separate_groupings(spark, rows):
+    edges = spark.createDataFrame([("a", "a", "calls"), ("a", "b", "imports"), ("b", "b", None), ("c", "d", "imports"), (None, "e", "inherits"), ("a", None, "calls")], "src string, dst string, edge_type string")
+    apart = graph.incoming(edges).join(graph.targets_by_type(edges), "node").select("node", F.col("callers").isNotNull().alias("referenced"), "only_self", "imported", "called")
+    assert rows(graph.references(edges).where("node is not null")) == rows(apart)
+    plan = dead_code.candidates(_nodes(spark, ["a"]), edges, _nodes(spark, ["a"]), _nodes(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [dst#") == 1 and "count(" not in plan
