@@ -19,7 +19,8 @@ BROADCAST_ROWS, GROUPS = 200_000, 1_000_000
 def adjacency(edges: DataFrame, nodes: DataFrame, source: str = "src", target: str = "dst", node: str = "node") -> tuple[DataFrame, DataFrame]:
     """Forward and reverse adjacency: an edge counts forward if its source is a node, in reverse if both ends are."""
     names = nodes.select(F.col(node).alias("n_"))
-    forward = edges.join(names, edges[source] == names["n_"], "left_semi").select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct()
+    pairs = bucketed(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")), "pairs", "src")  # read for both
+    forward = pairs.join(names, pairs["src"] == names["n_"], "left_semi")
     back = forward.join(names, forward["dst"] == names["n_"], "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return forward, back
 
