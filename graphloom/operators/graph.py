@@ -43,7 +43,7 @@ def _unseen(rows: DataFrame, seen: list[tuple[int, DataFrame]]) -> DataFrame:
     return rows.where("bits <> 0")
 
 
-def _squared(links: DataFrame, edges: int) -> DataFrame | None:
+def doubled(links: DataFrame, edges: int) -> DataFrame | None:
     """(src, dst) of all walks of two links; None if they would be many more than the graph has edges."""
     into, out = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i_")), links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o_"))
     walks = into.join(out, "node").agg(F.sum(F.col("i_").cast("double") * F.col("o_"))).first()[0] or 0
@@ -80,7 +80,7 @@ def reach_words(starts: DataFrame, edges: DataFrame, known: DataFrame | None = N
             if not many:
                 links = bucketed(near, "edges", "src")
                 many = links.count()
-            longer = _squared(links, many)
+            longer = doubled(links, many)
             if longer is None:
                 many = None  # walks stay as long as they are
             else:
@@ -162,7 +162,7 @@ def spread(values: DataFrame, edges: DataFrame, along: Callable[[Column, int], C
         ahead = fresh
         while covered >= PATIENCE and 2 * length <= covered + 1 and many is not None:
             many = many or near.count()
-            longer = _squared(links, many)
+            longer = doubled(links, many)
             if longer is None:
                 many = None
             else:

@@ -50,14 +50,34 @@ def _trimmed(inner: DataFrame) -> tuple[DataFrame, int]:
         ahead, behind = inner.select(F.col("dst").alias("src")).distinct(), inner.select(F.col("src").alias("dst")).distinct()
         inner = cut_lineage(inner.join(ahead, "src", "left_semi").join(behind, "dst", "left_semi").select("src", "dst"))
         before, size = size, inner.count()
-    return inner, size
+    return _untailed(inner, size) if size else (inner, size)
+
+
+def _untailed(inner: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """inner between nodes that walks of many edges lead to and from, and its number of edges.
+
+    A node on a cycle has such walks of any length, so tails go at once, not edge by edge. Walks are doubled as long as
+    they are few and their ends still become fewer.
+    """
+    links, length, kept, many = inner, 1, None, 0
+    while length < size and (longer := graph.doubled(links, size)) is not None:
+        links, length, before = longer, 2 * length, many
+        ahead, behind = links.select(F.col("dst").alias("node")).distinct(), links.select(F.col("src").alias("node"))
+        kept = cut_lineage(ahead.join(behind, "node", "left_semi"))
+        many = kept.count()
+        if many in (0, before):
+            break
+    if kept is None:
+        return inner, size
+    inner = cut_lineage(graph.induced(inner, kept))
+    return inner, inner.count()
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach each other share a component, named by its smallest node.
 
-    Edges that nothing leads to or from are trimmed off; nodes without an edge then are components of their own. Each of the rest takes the
-    least random number of all nodes that reach it; those of one number that reach its owner backwards are the owner's
+    Edges that nothing leads to or from are trimmed off, and tails of any length; nodes without an edge then are
+    components of their own. Each of the rest takes the least random number of all nodes that reach it; those of one number that reach its owner backwards are the owner's
     component. What is left goes on by itself, along edges between equal numbers: the largest part halves or so every
     time, so the rounds grow with the logarithm of the nodes, chains included. All state is written tables.
     """

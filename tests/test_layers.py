@@ -97,3 +97,13 @@ def test_buckets_are_told_apart_and_merged_without_a_sort(spark, rows):
     assert near.count() == 5 - 1 and bucketed(edges, "edges", "src", False).count() == 7
     plan = spark.createDataFrame([("a",)], "src string").hint("merge").join(near, "src")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1  # that of the other side
+
+
+def test_tails_of_cycles_are_trimmed_at_once(spark, monkeypatch):
+    names = [f"n{i:02}" for i in range(60)]
+    pairs = [*itertools.pairwise(names), (names[34], names[30])]
+    rounds, spread = [], graph.spread
+    monkeypatch.setattr(graph, "spread", lambda *a: rounds.append(a[1].count()) or spread(*a))
+    found = {r["node"]: r["component"] for r in layers.strong_components(*_frames(spark, names, pairs)).collect()}
+    assert [found[n] for n in names] == [names[30] if 30 <= i <= 34 else n for i, n in enumerate(names)]
+    assert rounds == [5]  # the edges of the cycle, and no other
