@@ -42,7 +42,7 @@ from graphloom.llm.hot import join_hot
 from graphloom.session import written
 
 BLOCK_TOKENS = 2_200_000
-#: Tokens from which a task's blocks make a shard; rounds of averaging.
+#: Tokens from which a task's blocks make a shard (the last takes what is left, too); rounds of averaging.
 SHARD_TOKENS, ROUNDS, RATE = BLOCK_TOKENS, 3, 6e-3
 #: Shards whose weights are added together at a time.
 FAN_IN = 64
@@ -54,6 +54,8 @@ HIDDEN = 32
 WINDOW, LANES = 32, 256
 #: Lanes in training, at least and at most.
 TRAIN_LANES = 16, 128
+#: Weights that are updated at a time, so that they stay in a core's cache.
+PIECE = 1 << 14
 MEMO = 300_000
 #: Words that most blocks have, whose counts are broadcast; the others meet by a shuffle.
 HOT_WORDS = 20_000
@@ -62,18 +64,23 @@ POSITIONS = 24
 
 
 class _Memo(dict):
-    """Hash of a word; endings[hash] is its class of ending."""
-
-    def __init__(self):
-        super().__init__()
-        self.endings: dict[int, int] = {}
+    """Hash of a word."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self.endings[h] = int.from_bytes(word[-3:], "little") * 2654435761 // 65536 % ENDINGS
-        self[word] = h
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def endings(self, hashes: np.ndarray) -> np.ndarray:
+        """Classes of ending of ascending hashes; 0 for those of no word here."""
+        found = np.zeros(len(hashes), np.uint8)
+        if self and len(hashes):
+            tails = np.frombuffer(b"".join([w[-3:].ljust(3, b"\0") for w in self]), np.uint8).reshape(-1, 3)
+            known = np.fromiter(self.values(), np.uint64, len(self))
+            place = np.minimum(np.searchsorted(hashes, known), len(hashes) - 1)
+            here = hashes[place] == known
+            found[place[here]] = tails[here].astype(np.uint64) @ np.array([1, 1 << 8, 1 << 16], np.uint64) * np.uint64(2654435761) // np.uint64(65536) % np.uint64(ENDINGS)
+        return found
+
 
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, lower-cased in A-Z; the end isn't among them."""
@@ -138,9 +145,7 @@ def _block(block: int, ids: list, held: list, tokens: list[np.ndarray], memo: _M
     place = rank[place]
     trains = np.repeat(~np.array(held), lengths)
     n = np.bincount(place[trains], minlength=len(known))
-    vocabulary = known[order]
-    endings = np.fromiter((memo.endings.get(h, 0) for h in vocabulary.tolist()), np.uint8, len(vocabulary))
-    row = [(vocabulary, endings, n), (ids, held, lengths, _planes(place))]
+    row = [(known[order], memo.endings(known)[order], n), (ids, held, lengths, _planes(place))]
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in row)], names=["block", "vocabulary", "docs"])
 
 
@@ -148,7 +153,10 @@ def _lessons(vocabulary: bytes, docs: bytes, top: dict[int, int], turn: int, rou
     """Model ids of a block's training documents whose turn is this round; each has one turn."""
     h, endings, _ = _unpack(vocabulary)
     ids, held, lengths, planes = _unpack(docs)
-    model_id = np.fromiter((top.get(w, TOP + e) for w, e in zip(h.tolist(), endings.tolist(), strict=True)), np.int64, len(h))
+    model_id = endings.astype(np.int64) + TOP
+    words_, numbers = (np.fromiter(x, t, len(top)) for x, t in ((top.keys(), np.uint64), (top.values(), np.int64)))
+    _, here, which = np.intersect1d(h, words_, assume_unique=True, return_indices=True)
+    model_id[here] = numbers[which]
     place, start = _from_planes(planes), np.cumsum(lengths) - lengths
     mine = [k for k, i in enumerate(ids) if not held[k] and xxhash.xxh3_64_intdigest(f"{i} {k}".encode()) % rounds == turn]
     return [model_id[place[start[k] : start[k] + lengths[k]]] for k in mine]
@@ -182,6 +190,13 @@ def _softmax_parts(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return logit, e, total
 
 
+def _slopes(e: np.ndarray, total: np.ndarray, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Gradients of the targets' log-probabilities by the logits, in the place of their exponentials."""
+    e *= -1 / total[:, None]
+    e[lane, target] += 1
+    return e
+
+
 class Model:
     """Parameters and passes of the GRU; inputs and outputs are model ids.
 
@@ -200,105 +215,161 @@ class Model:
             self.p[name] = self.flat[at : at + n].reshape(shape)
             at += n
 
-    def _step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step from the inputs' rows of `enter`."""
-        b = h @ self.p["again"]
-        gates = a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        inner = b[:, 2 * HIDDEN :] + self.p["shift"]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
-
     def outputs(self, hidden: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target's class and, for words, within it; gradients of the sum if asked."""
-        top = y < TOP
-        cls = np.where(top, y // WITHIN, y - TOP + CLASSES)
-        logit, e, total = _softmax_parts(hidden @ self.p["classes"] + self.p["class_shift"])
-        lane = np.arange(len(y))
-        out = logit[lane, cls].astype(np.float64) - np.log(total)
+        cls = np.where(y < TOP, y // WITHIN, y - TOP + CLASSES)
+        order = np.argsort(cls.astype(np.uint8), kind="stable")  # words first, by class
+        hidden, y, cls, lane = hidden[order], y[order], cls[order], np.arange(len(y))
+        logit = hidden @ self.p["classes"]
+        logit += self.p["class_shift"]
+        logit, e, total = _softmax_parts(logit)
+        logs = logit[lane, cls].astype(np.float64) - np.log(total)
         back = None
         if grads is not None:
-            g = e / -total[:, None]
-            g[lane, cls] += 1
+            g = _slopes(e, total, lane, cls)
             back = g @ self.p["classes"].T
             grads["classes"] += hidden.T @ g
-            grads["class_shift"] += g.sum(0)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            mine = order[edges[c] : edges[c + 1]]
-            if len(mine):
-                x = hidden[mine]
-                logit, e, total = _softmax_parts(x @ self.p["words"][c] + self.p["word_shift"][c])
-                at, w = np.arange(len(mine)), y[mine] % WITHIN
-                out[mine] += logit[at, w] - np.log(total)
-                if grads is not None:
-                    g = e / -total[:, None]
-                    g[at, w] += 1
-                    back[mine] += g @ self.p["words"][c].T
-                    grads["words"][c] += x.T @ g
-                    grads["word_shift"][c] += g.sum(0)
-        return out, back
+            grads["class_shift"] += np.ones(len(g), np.float32) @ g
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        n, here = edges[-1], [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+        if n:
+            lane, w, logit = lane[:n], y[:n] % WITHIN, np.empty((n, WITHIN), np.float32)
+            for c, mine in here:
+                np.matmul(hidden[mine], self.p["words"][c], out=logit[mine])
+            logit += self.p["word_shift"][cls[:n]]
+            logit, e, total = _softmax_parts(logit)
+            logs[:n] += logit[lane, w] - np.log(total)
+            if grads is not None:
+                g, within = _slopes(e, total, lane, w), np.empty((n, HIDDEN), np.float32)
+                for c, mine in here:
+                    np.matmul(g[mine], self.p["words"][c].T, out=within[mine])
+                    grads["words"][c] += hidden[mine].T @ g[mine]
+                back[:n] += within
+                grads["word_shift"][[c for c, _ in here]] += np.add.reduceat(g, [mine.start for _, mine in here])
+        out = np.empty_like(logs)
+        out[order] = logs
+        if back is None:
+            return out, None
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return out, unsorted
+
+    def _forward(self, a: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, ...]:
+        """States before and after each step of a window (time, lane) from the inputs' rows of `enter`, which it overwrites; gates,
+        candidates and inner parts of each step, or of the last one only."""
+        steps, width, _ = a.shape
+        kept, again, one = steps if keep else 1, self.p["again"].copy(), np.ones((), np.float32)
+        for negated in (a[..., : 2 * HIDDEN], again[:, : 2 * HIDDEN]):
+            np.negative(negated, out=negated)
+        shift, b = np.tile(self.p["shift"], (width, 1)), np.empty((width, 3 * HIDDEN), np.float32)
+        states, gates, news, inners = (np.empty((n, width, k * HIDDEN), np.float32) for n, k in ((steps + 1, 1), (kept, 2), (kept, 1), (kept, 1)))
+        states[0] = h
+        h, b_gates, b_new = states[0], b[:, : 2 * HIDDEN], b[:, 2 * HIDDEN :]
+        for t in range(steps):
+            k, now, after = t if keep else 0, a[t], states[t + 1]
+            g, n, inner = gates[k], news[k], inners[k]
+            np.matmul(h, again, out=b)
+            np.add(b_gates, now[:, : 2 * HIDDEN], out=g)
+            np.exp(g, out=g)
+            np.add(g, one, out=g)
+            np.reciprocal(g, out=g)
+            np.add(b_new, shift, out=inner)
+            np.multiply(g[:, HIDDEN:], inner, out=n)
+            np.add(n, now[:, 2 * HIDDEN :], out=n)
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=after)
+            np.multiply(after, g[:, :HIDDEN], out=after)
+            np.add(after, n, out=after)
+            h = after
+        return states, gates, news, inners
+
+    def _step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from the inputs' rows of `enter`: the state, gates, candidate and inner part."""
+        states, gates, news, inners = self._forward(a[None].copy(), h, True)
+        return states[1], gates[0], news[0], inners[0]
 
     def window(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden states of a window (time, lane) and the last of them."""
-        out, a = np.empty((*x.shape, HIDDEN), np.float32), self.p["enter"][x]
-        for t in range(len(x)):
-            h = self._step(a[t], h)[0]
-            out[t] = h
-        return out, h
+        states = self._forward(self.p["enter"].take(x, 0), h, False)[0]
+        return states[1:], states[-1]
 
     def learn(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients of the mean log-probability over one window, the state after it, and that mean."""
-        states, kept, a = [h], [], self.p["enter"][x]
-        for t in range(len(x)):
-            h, *rest = self._step(a[t], h)
-            kept.append(rest)
-            states.append(h)
         grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        hidden = np.stack(states[1:])
-        logs, back = self.outputs(hidden[mask], y[mask], grads)
-        from_out = np.zeros_like(hidden)
-        from_out[mask] = back
-        carry, back_again = np.zeros_like(h), np.ascontiguousarray(self.p["again"].T)
-        da, db = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.empty((*x.shape, 3 * HIDDEN), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            z, r, n, inner = kept[t]
-            dh = from_out[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = dh * (states[t] - n) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * inner * r * (1 - r)
-            da[t, :, 2 * HIDDEN :] = dn
-            db[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-            db[t, :, 2 * HIDDEN :] = dn * r
-            carry = dh * z + db[t] @ back_again
-        flat, order = da.reshape(-1, 3 * HIDDEN), np.argsort(x.ravel(), kind="stable")
-        inputs, first = np.unique(x.ravel()[order], return_index=True)
-        grads["enter"][inputs] = np.add.reduceat(flat[order], first)
-        grads["again"][:] = np.stack(states[:-1]).reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
-        grads["shift"][:] = db[:, :, 2 * HIDDEN :].sum((0, 1))
+        h, total = self._gradients(x, y, mask, h, grads)
         n_tokens = max(1, int(mask.sum()))
-        return {k: g / n_tokens for k, g in grads.items()}, h, float(logs.sum()) / n_tokens
+        return {k: g / n_tokens for k, g in grads.items()}, h, total / n_tokens
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, grads: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+        """Adds the gradients of the summed log-probability over one window to zeros; the state after it, and that sum."""
+        states, gates, n, inner = self._forward(self.p["enter"].take(x, 0), h, True)
+        steps, width = x.shape
+        logs, back = self.outputs(states[1:][mask], y[mask], grads)
+        from_out = np.zeros((steps, width, HIDDEN), np.float32)
+        from_out[mask] = back
+        # all parts of a step's gradient are multiples of its state's: of the recurrent candidate, both gates, the candidate
+        z, r = np.ascontiguousarray(gates[..., :HIDDEN]), gates[..., HIDDEN:]
+        parts = np.empty((steps, width, 4, HIDDEN), np.float32)
+        dn = np.multiply(n, n, out=parts[:, :, 3])
+        np.subtract(1, dn, out=dn)
+        keep = 1 - z
+        dn *= keep
+        again_n = np.multiply(dn, r, out=parts[:, :, 0])
+        dz = np.subtract(states[:-1], n, out=parts[:, :, 1])
+        dz *= z
+        dz *= keep
+        dr = np.subtract(1, r, out=parts[:, :, 2])
+        dr *= inner
+        dr *= again_n
+        again = self.p["again"]
+        back_again = np.concatenate([again[:, 2 * HIDDEN :], again[:, : 2 * HIDDEN]], 1).T.copy()
+        carry, dh = np.zeros((width, HIDDEN), np.float32), np.empty((width, 1, HIDDEN), np.float32)
+        flat_dh, recurrent = dh[:, 0], parts.reshape(steps, width, 4 * HIDDEN)[..., : 3 * HIDDEN]
+        for t in range(steps - 1, -1, -1):
+            np.add(from_out[t], carry, out=flat_dh)
+            np.multiply(parts[t], dh, out=parts[t])
+            np.matmul(recurrent[t], back_again, out=carry)
+            np.multiply(flat_dh, z[t], out=flat_dh)
+            np.add(carry, flat_dh, out=carry)
+        flat = parts.reshape(-1, 4 * HIDDEN)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        inputs = x.ravel()[order]
+        first = np.flatnonzero(np.diff(inputs, prepend=-1))
+        grads["enter"][inputs[first]] = np.add.reduceat(flat.take(order, 0)[:, HIDDEN:], first)
+        recur = states[:-1].reshape(-1, HIDDEN).T @ flat[:, : 3 * HIDDEN]
+        grads["again"][:, : 2 * HIDDEN], grads["again"][:, 2 * HIDDEN :] = recur[:, HIDDEN:], recur[:, :HIDDEN]
+        grads["shift"][:] = np.ones(len(flat), np.float32) @ flat[:, :HIDDEN]
+        return states[-1], float(logs.sum())
 
     def train(self, docs: list[np.ndarray], end: int, rate: float) -> Model:
         """Truncated backpropagation over all documents, which lanes read one after the other."""
-        m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        # Adam; m and v are kept as sums without their weights 0.1 and 0.01
+        m, v, step, slope = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, Model(np.zeros_like(self.flat))
+        g, pieces = slope.flat, [slice(k, k + PIECE) for k in range(0, len(self.flat), PIECE)]
         size = sum(map(len, docs))
         width = min(TRAIN_LANES[1], max(TRAIN_LANES[0], size // (WINDOW * STEPS)))
         for _ in range(-(-LEAST_STEPS // max(1, size // (WINDOW * width)))):
             states = _States()
             for x, y, mask, here in lanes(docs, width, WINDOW, end):
-                grads, h, _ = self.learn(x, y, mask, states.take(here))
+                g.fill(0)
+                h, _ = self._gradients(x, y, mask, states.take(here), slope.p)
                 states.update(zip(here, h, strict=True))
-                g = np.concatenate([grads[k].ravel() for k in self.SHAPES])
-                g *= min(1.0, 1.0 / (np.sqrt(float(g @ g)) + 1e-12))
+                n_tokens = max(1, int(mask.sum()))
+                g *= min(1.0, 1.0 / (np.sqrt(float(g @ g)) / n_tokens + 1e-12)) / n_tokens
                 step += 1
-                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                self.flat += (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                spread = np.sqrt(0.01 / (1 - 0.99**step))
+                for piece in pieces:
+                    flat, gp, mp, vp = (x[piece] for x in (self.flat, g, m, v))
+                    mp *= 0.9
+                    mp += gp
+                    gp *= gp
+                    vp *= 0.99
+                    vp += gp
+                    np.sqrt(vp, out=gp)
+                    gp += 1e-6 / spread
+                    np.divide(mp, gp, out=gp)
+                    gp *= rate * 0.1 / (1 - 0.9**step) / spread
+                    flat += gp
         return self
 
 
@@ -349,6 +420,26 @@ def log_likelihoods(model: Model, docs: list[np.ndarray], end: int) -> np.ndarra
     return out
 
 
+def _shards(lessons: Iterator[tuple[int, list[np.ndarray]]], least: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first block, tokens, documents) of shards of `least` tokens or more from blocks' documents.
+
+    What is left joins the shard before it: a shard takes at least the steps of its longest document, however small it is.
+    """
+    shards: list[tuple[int, int, list[np.ndarray]]] = []
+    for block, docs in lessons:
+        if not shards or shards[-1][1] >= least:
+            shards.append((block, 0, []))
+        first, size, others = shards.pop()
+        shards.append((first, size + sum(map(len, docs)), others + docs))
+        if len(shards) > 1 and shards[-1][1] >= least:
+            yield shards.pop(0)
+    if len(shards) > 1:
+        (first, size, docs), (_, n, more) = shards
+        shards = [(first, size + n, docs + more)]
+    if shards and shards[0][1]:
+        yield shards[0]
+
+
 def _federated(blocks: DataFrame, model_ids: dict[int, int], shard_tokens: int, rounds: int) -> np.ndarray:
     """Weights after rounds of local training on shards of all blocks and averaging."""
     context = blocks.sparkSession.sparkContext
@@ -358,25 +449,16 @@ def _federated(blocks: DataFrame, model_ids: dict[int, int], shard_tokens: int,
         start = context.broadcast(flat)
 
         def local(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
-            docs: list[np.ndarray] = []
-            size, shard = 0, 0
+            def lessons() -> Iterator[tuple[int, list[np.ndarray]]]:
+                for batch in batches:
+                    for k in range(batch.num_rows):
+                        block, vocabulary, raw = (batch.column(c)[k].as_py() for c in range(3))
+                        yield block, _lessons(vocabulary, raw, top.value, turn, rounds)
 
-            def learned() -> pa.RecordBatch:
+            for block, size, docs in _shards(lessons(), -(-shard_tokens // rounds)):
                 flat = Model(start.value).train(docs, top.value.get(END, TOP), RATE).flat.astype(np.float64)
-                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(size)]), pa.array([(flat * size).tobytes()], pa.binary())], names=["shard", "size", "flat"])
-
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    block, vocabulary, raw = (batch.column(c)[k].as_py() for c in range(3))
-                    more = _lessons(vocabulary, raw, top.value, turn, rounds)
-                    shard = shard if docs else xxhash.xxh3_64_intdigest(str(block).encode()) >> 1
-                    docs += more
-                    size += sum(map(len, more))
-                    if size * rounds >= shard_tokens:
-                        yield learned()
-                        docs, size = [], 0
-            if docs:
-                yield learned()
+                shard = xxhash.xxh3_64_intdigest(str(block).encode()) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(size)]), pa.array([(flat * size).tobytes()], pa.binary())], names=["shard", "size", "flat"])
 
         total = _added(written(blocks.mapInArrow(local, "shard long, size double, flat binary"), "weights"))
         if total is not None:

@@ -421,6 +421,32 @@ def test_language_model_trains_on_every_training_token():
     assert all((d[:-1] == d[0]).all() and d[-1] == 0 for d in lessons)
 
 
+def test_language_model_shards_leave_no_small_rest():
+    blocks = [(k, [np.zeros(n, np.int64)] if n else []) for k, n in enumerate((2, 2, 3, 0, 1, 1))]
+    assert [(first, size, len(docs)) for first, size, docs in language_model._shards(iter(blocks), 3)] == [(0, 4, 2), (2, 5, 3)]
+    assert [(first, size) for first, size, _ in language_model._shards(iter(blocks[:1]), 3)] == [(0, 2)]
+    assert not list(language_model._shards(iter([(0, [])]), 3))
+
+
+def test_language_model_gradients():
+    """Along random directions, against differences of the log-probability."""
+    rng, model = np.random.default_rng(5), language_model.Model()
+    x, y = rng.integers(0, language_model.TOP + language_model.ENDINGS, (2, 9, 5))
+    x[3:, 1] = x[2, 0]
+    mask = np.ones(x.shape, bool)
+    mask[4:, 2] = False
+    h = rng.standard_normal((5, language_model.HIDDEN)).astype(np.float32)
+    grads, _, mean = model.learn(x, y, mask, h)
+    for name, g in grads.items():
+        way, ends = np.sign(g), []
+        for step in (1e-3, -1e-3):
+            moved = language_model.Model(model.flat)
+            moved.p[name] += (step * way).astype(np.float32)
+            ends.append(float(moved.outputs(moved.window(x, h)[0][mask], y[mask])[0].sum()) / mask.sum())
+        assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(float((g * way).sum()), rel=0.02, abs=1e-3), name
+    assert mean == pytest.approx(float(model.outputs(model.window(x, h)[0][mask], y[mask])[0].sum()) / mask.sum(), rel=1e-5)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(_docs(spark, []), F.lit(True)).collect() == []
     alone = language_model.score(_docs(spark, ["a b"]), F.lit(False)).collect()
