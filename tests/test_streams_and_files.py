@@ -35,6 +35,33 @@ def test_ended_keys_leave_the_state(spark, tmp_path):
     assert max(totals) > totals[-1]
 
 
+def test_an_event_that_comes_again_later_is_the_newest(spark, tmp_path):
+    """Of one key and seq, in one batch, as SQL's order by time has it; without a time events are the oldest."""
+    at = lambda minutes: datetime(2024, 1, 1, 12) + timedelta(minutes=minutes)
+    rows = [(f"k{k}", s, 1.0, t, 1) for k in range(20) for s, t in (("first", at(0)), ("again", at(5)), ("none", None))]
+    rows += [(f"k{k}", "tie", 1.0, at(5), 2) for k in range(5)]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    changes = progress.updates(spark.readStream.schema(SCHEMA).parquet(source))
+    query = progress.start_updates(changes, folder, str(tmp_path / "state"), available_now=True)
+    query.awaitTermination()
+    assert {r["repo_id"]: r["status"] for r in progress.current(spark, folder, changes.schema).collect()} == {f"k{k}": "tie" if k < 5 else "again" for k in range(20)}
+    written = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "dedupeWithinWatermark"]
+    assert max(written) == 20  # one event per key, not all 65
+
+
+def test_newest_events_of_many_keys_go_on_in_pieces(spark, monkeypatch):
+    rows = [(k % 700, None if k % 5 == 0 else k % 11, k, "x" * (k % 3)) for k in range(3000)]
+    events = spark.createDataFrame(rows, "repo_id int, ts int, seq long, status string").coalesce(1)
+    monkeypatch.setattr(progress, "PIECE", 1000)
+    found = progress.newest(events, "repo_id", "ts", "seq").collect()
+    best = {}
+    for row in rows:
+        if row[0] not in best or (row[1] is not None, row[1] or 0, row[2]) > (best[row[0]][1] is not None, best[row[0]][1] or 0, best[row[0]][2]):
+            best[row[0]] = row
+    assert len(found) < len(rows) and set(best.values()) <= set(map(tuple, found))
+
+
 def test_skipped_folders_are_never_listed(spark, tmp_path):
     root = tmp_path / "repo"
     for name in ("a.py", "src/b.py", "src/deep/er/c.js", "node_modules/x/y.js", "src/node_modules/z.js", ".git/hooks/h.py", "x.egg-info/t.py", "src/notes.txt", "coverage/d.py"):
