@@ -159,12 +159,26 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sketch").mapInArrow(run, "key long, cid long")
 
 
-def _attached(rows: DataFrame, pairs: DataFrame, classes: DataFrame, side: str, other: str, columns: dict[str, str]) -> DataFrame:
+def _dealt(pairs: DataFrame) -> DataFrame | None:
+    """(cid, salts) of the classes in so many of the pairs (a, b) that they meet dealt by salts; None if there are none.
+
+    There is at most one for SPLIT / 2 pairs, so where they are few they are broadcast and the pairs aren't shuffled for them.
+    """
+    many = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
+    many = written(many.where("salts > 1"), "salts")
+    n = many.count()
+    return (F.broadcast(many) if n <= BROADCAST_IDS else many) if n else None
+
+
+def _attached(rows: DataFrame, dealt: DataFrame | None, classes: DataFrame, side: str, other: str, columns: dict[str, str]) -> DataFrame:
     """rows of pairs (a, b) with columns of one side's class. A pivot may be in very many pairs: they are dealt by salts."""
-    salts = pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SPLIT)).alias("salts"))
     held = classes.select(F.col("cid").alias(side), *[F.col(c).alias(name) for c, name in columns.items()])
-    held = held.join(salts, side).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    return rows.join(salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts"))).drop("salts").join(held, [side, "salt"]).drop("salt")
+    if dealt is None:
+        return rows.join(held, side)
+    salts = dealt.withColumnRenamed("cid", side)
+    held = held.join(salts, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    rows = rows.join(salts, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
+    return rows.join(held, [side, "salt"]).drop("salt")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -179,7 +193,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 yield part.filter(pa.array(near >= threshold - MARGIN)).select(["a", "b"])
 
     # the larger set bounds the similarity: sizes below the threshold's ratio can't link
-    sized = _attached(_attached(pairs, pairs, classes, "a", "b", {"n": "n_a", "sketch": "s_a"}), pairs, classes, "b", "a", {"n": "n_b", "sketch": "s_b"}).where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    dealt = _dealt(pairs)
+    sized = _attached(_attached(pairs, dealt, classes, "a", "b", {"n": "n_a", "sketch": "s_a"}), dealt, classes, "b", "a", {"n": "n_b", "sketch": "s_b"}).where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
@@ -213,7 +228,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = _attached(_attached(pairs, pairs, sets, "a", "b", {"set": "x"}), pairs, sets, "b", "a", {"set": "y"})
+    dealt = _dealt(pairs)
+    joined = _attached(_attached(pairs, dealt, sets, "a", "b", {"set": "x"}), dealt, sets, "b", "a", {"set": "y"})
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 

@@ -275,3 +275,20 @@ def test_a_shorter_file_than_the_manifest_says_raises(spark, tmp_path):
         out.truncate(sum(map(len, members[:2])))
     with pytest.raises(Exception, match="in the manifest"):
         warc.read(spark, manifest, folder).collect()
+
+
+@pytest.mark.parametrize("split", [500, 3])
+def test_pairs_are_shuffled_once_for_each_side(spark, monkeypatch, split):
+    """Those of a pivot in many pairs are dealt by salts, which are few and broadcast."""
+    monkeypatch.setattr(near_dups, "SPLIT", split)
+    none = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same = near_dups.registers([np.arange(40, dtype=np.uint64)])[0].tobytes()
+        classes = near_dups.written(spark.createDataFrame([(k, 40 if k < 15 else 4, bytearray(same)) for k in range(20)], "cid long, n long, sketch binary"), "classes")
+        pairs = near_dups.written(spark.createDataFrame([(0, k) for k in range(1, 20)] + [(k, 14) for k in range(1, 14)] + [(3, 4)], "a long, b long"), "pairs")
+        found = near_dups._plausible(pairs, classes, 0.75)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+        assert sorted(map(tuple, found.collect())) == sorted([(0, k) for k in range(1, 15)] + [(k, 14) for k in range(1, 14)] + [(3, 4)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", none)
